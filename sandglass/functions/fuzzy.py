@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -32,6 +33,6 @@ def composite(a: str, b: str) -> float:
     return max(scores)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def composite_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([composite(x or "", y or "") for x, y in zip(a, b)])

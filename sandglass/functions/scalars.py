@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values.
 STOPWORDS = ("the", "a", "an", "podcast", "show", "with")
@@ -52,7 +53,7 @@ def strip_control(raw: Column) -> Column:
     return F.regexp_replace(raw, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_ascii(names: pd.Series) -> pd.Series:
     """Compatibility decomposition with non-ASCII characters dropped (Spark has no builtin for it)."""
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())

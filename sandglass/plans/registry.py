@@ -1,9 +1,388 @@
-"""The engine's own queries and their SQL."""
+"""The engine's queries over the driver's tables, with equivalent DuckDB SQL beside each.
 
+Suppliers stand for shows and line items for episodes (quantity in minutes); documents, conversations, pages and events
+stand for transcripts, turns, feeds and queue messages. Quantities are whole numbers, so sums don't depend on their order.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import fuzzy
+from ..functions import scalars as X
+from ..operators import hours, matching, queue, rules, sampling, transcripts
+
+SEED = 20260713
+BUDGET = 25.0
+WINDOW = 12
+#: Example parameters of the rule engine over the test tables.
+TERMS = ["supplier#00000001", "building", "region 2"]
+#: ASCII neighbours only: whether \b sees a letter in an umlaut differs between regex libraries.
+PATTERNS = [r"\bthonor\b", r"\bthe of\b", r"\blicensed under\b"]
+
+
+def table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def shows(s, d) -> DataFrame:
+    return table(s, d, "supplier").select(F.col("s_suppkey").alias("show_id"), F.col("s_name").alias("show_name"), "s_nationkey", "s_acctbal")
+
+
+def episodes(s, d) -> DataFrame:
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.date_format("l_shipdate", "yyyyMMdd"))
+    return table(s, d, "lineitem").select(
+        F.col("l_suppkey").alias("show_id"), key.alias("audio_url"), F.substring(F.md5(key), 1, 16).alias("episode_id"), F.col("l_shipdate").alias("pub_date"),
+        (F.col("l_quantity") * 60).alias("duration_sec"), F.when(F.col("l_returnflag") == "R", "estimated_from_bytes").otherwise("itunes:duration").alias("duration_source"),
+        "l_linenumber", "l_returnflag", "l_linestatus",
+    )
+
+
+EP = """ep AS (SELECT l_suppkey AS show_id, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || strftime(l_shipdate, '%Y%m%d') AS audio_url,
+  l_shipdate AS pub_date, l_quantity * 60 AS duration_sec, CASE WHEN l_returnflag = 'R' THEN 'estimated_from_bytes' ELSE 'itunes:duration' END AS duration_source,
+  l_linenumber, l_returnflag, l_linestatus FROM lineitem),
+e AS (SELECT *, substr(md5(audio_url), 1, 16) AS episode_id FROM ep),
+anchor AS (SELECT max(pub_date) AS a FROM e)"""
+HOURS = (
+    EP
+    + """,
+w AS (SELECT unnest([12, 18, 24, 36]) AS window_months),
+h AS (SELECT s.s_suppkey AS show_id, w.window_months, count(x.duration_sec) AS n_episodes, round(coalesce(sum(x.duration_sec), 0.0) / 3600, 2) AS total_hours,
+  round(coalesce(median(x.duration_sec), 0.0) / 60, 1) AS median_ep_minutes
+  FROM supplier s CROSS JOIN w LEFT JOIN (SELECT e.*, a FROM e CROSS JOIN anchor) x
+    ON x.show_id = s.s_suppkey AND x.pub_date >= x.a - to_months(w.window_months) GROUP BY 1, 2),
+tr AS (SELECT s.s_suppkey AS show_id, coalesce(min(pub_date) > (SELECT a - to_months(36) FROM anchor), false) AS feed_truncated
+  FROM supplier s LEFT JOIN e ON e.show_id = s.s_suppkey GROUP BY 1)"""
+)
+SURV = (
+    HOURS
+    + """,
+g AS (SELECT unnest([5, 10, 15, 20, 25, 30, 40, 50]) AS H),
+sv AS (SELECT window_months, H, count(*) FILTER (total_hours >= H) AS n_surviving, count(*) FILTER (total_hours >= H) * H AS corpus_hours
+  FROM h CROSS JOIN g GROUP BY window_months, H)"""
+)
+DRAW = (
+    EP
+    + f""",
+pool AS (SELECT e.* FROM e CROSS JOIN anchor WHERE duration_sec >= 300 AND pub_date >= a - to_months({WINDOW})),
+o AS (SELECT *, md5('{SEED}:' || show_id || ':' || episode_id) AS o FROM pool),
+dr AS (SELECT *, row_number() OVER (PARTITION BY show_id ORDER BY o, episode_id) - 1 AS draw_order,
+  sum(duration_sec) OVER (PARTITION BY show_id ORDER BY o, episode_id ROWS UNBOUNDED PRECEDING) AS cum_sec,
+  sum(duration_sec) OVER (PARTITION BY show_id) AS total_sec FROM o)"""
+)
+
+
+def pool(s, d) -> DataFrame:
+    return hours.lookback(hours.usable(episodes(s, d), 300), WINDOW)
+
+
+def hours_table(s, d) -> DataFrame:
+    return hours.show_hours(shows(s, d), episodes(s, d))
+
+
+def survival(s, d) -> DataFrame:
+    return hours.survival_table(hours_table(s, d))
+
+
+def hours12(s, d) -> DataFrame:
+    return hours_table(s, d).where(F.col("window_months") == 12)
+
+
+def frame(s, d) -> DataFrame:
+    """Suppliers as judged shows: status by account, hours by window, text by name and nation."""
+    n = table(s, d, "nation").select("n_nationkey", "n_name")
+    h = hours12(s, d).select("show_id", F.col("total_hours").alias("hours_available"))
+    base = shows(s, d).join(h, "show_id").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows
+    status = F.when(F.col("show_id") % 17 == 0, "no_feed_url").when(F.col("show_id") % 19 == 0, "feed_unreachable").otherwise("ok")
+    lang = F.when(F.col("show_id") % 7 == 0, " es-ES").when(F.col("show_id") % 5 == 0, "").otherwise("EN-us")
+    return base.select(
+        "show_id", "show_name", F.col("show_name").alias("publisher"), status.alias("status"), F.lit("HTTP 404").alias("error"),
+        lang.alias("rss_language"), F.col("n_name").alias("rss_description"), F.lit("").alias("rss_author"), "hours_available",
+    )
+
+
+FRAME = (
+    HOURS
+    + """,
+f AS (SELECT s_suppkey AS show_id, s_name AS show_name, CASE WHEN s_suppkey % 17 = 0 THEN 'no_feed_url' WHEN s_suppkey % 19 = 0 THEN 'feed_unreachable' ELSE 'ok' END AS status,
+  CASE WHEN s_suppkey % 7 = 0 THEN ' es-ES' WHEN s_suppkey % 5 = 0 THEN '' ELSE 'EN-us' END AS lang, n_name, h.total_hours AS hrs
+  FROM supplier JOIN h ON h.show_id = s_suppkey AND window_months = 12 JOIN nation ON n_nationkey = s_nationkey),
+t AS (SELECT *, CASE WHEN regexp_matches(lower(show_name), '\\bsupplier#000000003\\b') THEN 'supplier#000000003' WHEN regexp_matches(lower(show_name), '\\bsupplier#000000011\\b') THEN 'supplier#000000011' END AS term,
+  regexp_extract(lower(show_name || ' ' || n_name || ' '), '\\bnation_?[ 0]*1[0-2]\\b|\\b(france|germany|canada)\\b', 0) AS found FROM f),
+j AS (SELECT show_id, hrs AS hours_available, CASE WHEN status = 'no_feed_url' THEN 'R1_no_feed_url' WHEN status = 'feed_unreachable' THEN 'R2_feed_unreachable'
+    WHEN show_id <> 3 AND show_id = 5 THEN 'R5_non_us_politics' WHEN show_id <> 3 AND term IS NOT NULL THEN 'R5_non_us_politics'
+    WHEN show_id <> 3 AND trim(lang) <> '' AND NOT starts_with(lower(trim(lang)), 'en') THEN 'R5_non_us_politics' WHEN show_id <> 3 AND found <> '' THEN 'R5_non_us_politics'
+    WHEN hrs < 42.5 THEN 'R6_insufficient_catalog' END AS rule,
+  CASE WHEN status <> 'ok' THEN 'HTTP 404' WHEN show_id <> 3 AND show_id = 5 THEN 'curated list: by hand'
+    WHEN show_id <> 3 AND term IS NOT NULL THEN 'publisher matches blocklist term ''' || term || ''' (' || show_name || ')'
+    WHEN show_id <> 3 AND trim(lang) <> '' AND NOT starts_with(lower(trim(lang)), 'en') THEN 'rss_language=''' || lang || ''' (non-English feed)'
+    WHEN show_id <> 3 AND found <> '' THEN 'title/description matches /\\bnation_?[ 0]*1[0-2]\\b|\\b(france|germany|canada)\\b/ (''' || found || ''')'
+    WHEN hrs < 42.5 THEN hrs || ' h available < 42.5 h threshold' END AS evidence FROM t)"""
+)
+
+
+def judged(s, d) -> DataFrame:
+    terms = ["supplier#000000003", "supplier#000000011"]
+    patterns = [r"\bnation_?[ 0]*1[0-2]\b|\b(france|germany|canada)\b"]
+    return rules.first_failing_rule(frame(s, d), rules.inclusion_rules(terms, patterns, [3], {5: "by hand"}, 42.5)).select("show_id", "hours_available", "rule", "evidence")
+
+
+def doc_title(col="text"):
+    return F.substring(F.coalesce(F.col(col), F.lit("")), 1, 120)
+
+
+def names(s, d) -> DataFrame:
+    return shows(s, d).select(F.col("show_id").alias("id"), X.normalize_ascii(F.col("show_name")).alias("norm"))
+
+
+def label_table(s, d) -> DataFrame:
+    c = table(s, d, "customer").where("c_custkey <= 150")
+    return c.select(F.col("c_name").alias("label"), F.col("c_mktsegment").alias("value"), X.normalize_ascii(F.regexp_replace("c_name", "Customer", "Supplier")).alias("norm"))
+
+
+NORM = r"""list_aggregate(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('', 'the', 'a', 'an', 'podcast', 'show', 'with')), 'string_agg', ' ')"""
+TOP2 = f"""
+WITH n AS (SELECT s_suppkey AS id, {NORM.format("s_name")} AS norm FROM supplier),
+l AS (SELECT c_name AS label, c_mktsegment AS value, {NORM.format("replace(c_name, 'Customer', 'Supplier')")} AS ln FROM customer WHERE c_custkey <= 150),
+p AS (SELECT n.id, l.*, 100.0::DOUBLE * (greatest(length(norm), length(ln)) - levenshtein(norm, ln)) / greatest(length(norm), length(ln)) AS score FROM n CROSS JOIN l),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS r FROM p),
+b AS (SELECT a.id, a.label, a.value, a.ln, a.score, c.label AS label2, c.ln AS ln2, c.score AS score2 FROM r a JOIN r c ON a.id = c.id AND a.r = 1 AND c.r = 2),
+m AS (SELECT id, CASE WHEN score >= 75 THEN label ELSE '' END AS label_name, CASE WHEN score >= 75 THEN value ELSE '' END AS label_value, round(score, 1) AS match_score, round(score2, 1) AS runner_up_score,
+  CASE WHEN score < 75 THEN 'none' WHEN score - score2 < 5 AND ln <> ln2 THEN 'ambiguous' WHEN score >= 90 THEN 'matched' ELSE 'review' END AS match_status,
+  CASE WHEN score >= 75 AND score - score2 < 5 AND ln <> ln2 THEN label2 ELSE '' END AS runner_up_name FROM b)
+"""
+
+
+def matches(s, d) -> DataFrame:
+    return matching.match_status(matching.top2(names(s, d), label_table(s, d)))
+
+
+def raw_durations(s, d) -> DataFrame:
+    e = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
+    k = F.col("l_orderkey") % 6
+    raw = (
+        F.when(k == 0, F.concat(F.col("q"), F.lit(":30"))).when(k == 1, F.concat(F.lit("1:"), F.col("q"), F.lit(":05"))).when(k == 2, F.concat(F.lit(" "), F.col("q"), F.lit(".5 ")))
+        .when(k == 3, F.concat(F.lit("-"), F.col("q"))).when(k == 4, F.lit("1:2:3:4")).otherwise(F.lit(""))
+    )
+    return e.withColumn("raw", raw)
+
+
+RAWDUR = """r AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity::INT AS q, CASE l_orderkey % 6 WHEN 0 THEN l_quantity::INT || ':30' WHEN 1 THEN '1:' || l_quantity::INT || ':05'
+  WHEN 2 THEN ' ' || l_quantity::INT || '.5 ' WHEN 3 THEN '-' || l_quantity::INT WHEN 4 THEN '1:2:3:4' ELSE '' END AS raw FROM lineitem),
+t AS (SELECT *, trim(raw) AS x, string_split(trim(raw), ':') AS p FROM r),
+s AS (SELECT *, CASE WHEN regexp_full_match(x, '\\d+(\\.\\d+)?') THEN x::DOUBLE
+  WHEN regexp_full_match(x, '\\d+(\\.\\d+)?:\\d+(\\.\\d+)?') THEN p[1]::DOUBLE * 60 + p[2]::DOUBLE
+  WHEN regexp_full_match(x, '\\d+(\\.\\d+)?:\\d+(\\.\\d+)?:\\d+(\\.\\d+)?') THEN p[1]::DOUBLE * 3600 + p[2]::DOUBLE * 60 + p[3]::DOUBLE END AS seconds FROM t)"""
+
+
+def durations(s, d) -> DataFrame:
+    return raw_durations(s, d).withColumn("seconds", X.parse_duration(F.col("raw")))
+
+
+def items(s, d) -> DataFrame:
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("item"), "o_orderstatus", F.col("o_totalprice").alias("price"))
+
+
+def q(select: str, base: str) -> str:
+    return f"WITH {base}\n{select}"
+
+
+def build() -> dict[str, tuple]:
+    S, D = "show_id", "duration_sec"
+    docs = lambda s, d: table(s, d, "documents")
+    events = lambda s, d: table(s, d, "events")
+    conv = lambda s, d: table(s, d, "conversations")
+    pct = lambda s, d: hours.quartiles(hours12(s, d))
+    total = lambda s, d: shows(s, d).agg(F.count(F.lit(1)).alias("n_total"))
+    draw_cols = ["show_id", "episode_id", "draw_order", "duration_sec"]
+    kept = f"dr WHERE cum_sec - duration_sec < {BUDGET} * 3600 AND total_sec >= {BUDGET} * 3600"
+    ladder = "(SELECT dr.*, g.r AS rung_h FROM dr CROSS JOIN (SELECT unnest([5, 10, 15, 20, 25, 30, 40]) AS r) g WHERE total_sec >= r * 3600 AND cum_sec - duration_sec < r * 3600)"
+    sample = lambda s, d: sampling.budget_draw(pool(s, d), BUDGET, SEED)
+    rungs = lambda s, d: sampling.saturation_ladder(pool(s, d), SEED)
+    stamp = "strftime(ts, '%a, %d %b %Y %H:%M:%S') || CASE WHEN event_id % 5 = 0 THEN ' junk' WHEN event_id % 2 = 0 THEN ' -0400' ELSE ' GMT' END"
+    meta = lambda: F.concat_ws("|||", F.col("doc_id").cast("string"), "source", F.md5(F.coalesce("text", F.lit(""))), F.concat(F.col("lang"), F.lit("|||"), F.col("source")))
+    meta_sql = "doc_id || '|||' || source || '|||' || md5(coalesce(text, '')) || '|||' || lang || '|||' || source"
+    return {
+        "survival_table": (survival, q("SELECT window_months, H, n_surviving, corpus_hours FROM sv", SURV)),
+        "show_hours_by_window": (lambda s, d: hours_table(s, d).drop("feed_truncated"), q("SELECT * FROM h", HOURS)),
+        "feed_truncated_flag": (lambda s, d: hours_table(s, d).select(S, "feed_truncated").distinct(), q("SELECT * FROM tr", HOURS)),
+        "duration_log": (
+            lambda s, d: hours.duration_log(episodes(s, d)),
+            q("SELECT show_id, count(*) AS episodes_in_feed, count(*) AS episodes_usable, 0::BIGINT AS duration_missing_or_unparseable, count(*) FILTER (duration_source = 'estimated_from_bytes') AS duration_byte_estimated FROM e GROUP BY 1", EP),
+        ),
+        "feed_stats": (
+            lambda s, d: hours.feed_stats(episodes(s, d)),
+            q("""SELECT show_id, count(*) AS episode_count, count(*) AS episodes_with_audio, round(sum(duration_sec) / 3600, 2) AS hours_available,
+              round(sum(duration_sec) FILTER (duration_source = 'estimated_from_bytes') / sum(duration_sec), 3) AS hours_estimated_share, round(avg(duration_sec) / 60, 1) AS avg_episode_minutes,
+              min(pub_date) AS first_pub_date, max(pub_date) AS last_pub_date, round(count(*) / greatest(date_sub('day', min(pub_date), max(pub_date)) / 7, 1 / 7), 2) AS episodes_per_week FROM e GROUP BY 1""", EP),
+        ),
+        "weekly_cadence": (
+            lambda s, d: hours.feed_stats(episodes(s, d)).select(S, "episodes_per_week"),
+            q("SELECT show_id, round(count(*) / greatest(date_sub('day', min(pub_date), max(pub_date)) / 7, 1 / 7), 2) AS episodes_per_week FROM e GROUP BY 1", EP),
+        ),
+        "bottleneck_topk": (lambda s, d: hours12(s, d).orderBy("total_hours", S).limit(30).select(S, "total_hours"), q("SELECT show_id, total_hours FROM h WHERE window_months = 12 ORDER BY total_hours, show_id LIMIT 30", HOURS)),
+        "hours_quantiles": (
+            pct,
+            q("SELECT quantile_cont(total_hours, 0.25) AS p25, median(total_hours) AS median, quantile_cont(total_hours, 0.75) AS p75, min(total_hours) AS min, max(total_hours) AS max, count(*) FILTER (total_hours = 0) AS n_dormant FROM h WHERE window_months = 12", HOURS),
+        ),
+        "dormant_count": (lambda s, d: pct(s, d).select("n_dormant"), q("SELECT count(*) FILTER (total_hours = 0) AS n_dormant FROM h WHERE window_months = 12", HOURS)),
+        "quartile_diagnostics": (
+            lambda s, d: hours.quartile_diagnostics(hours12(s, d)),
+            q("SELECT CASE WHEN total_hours <= (SELECT quantile_cont(total_hours, 0.25) FROM h WHERE window_months = 12) THEN 'low' ELSE 'rest' END AS side, count(*) AS n_shows, median(median_ep_minutes) AS median_minutes, median(n_episodes) AS median_episodes FROM h WHERE window_months = 12 GROUP BY 1", HOURS),
+        ),
+        "knee_rate": (
+            lambda s, d: hours.knee(survival(s, d)),
+            q(""", st AS (SELECT *, lag(H) OVER k AS h0, (lag(n_surviving) OVER k - n_surviving)::DOUBLE / (H - lag(H) OVER k) AS rate FROM sv WINDOW k AS (PARTITION BY window_months ORDER BY H)),
+              b AS (SELECT window_months, h0, rate, row_number() OVER (PARTITION BY window_months ORDER BY rate DESC, h0) AS r FROM st WHERE rate IS NOT NULL),
+              m AS (SELECT window_months, (arg_min(n_surviving, H) - arg_max(n_surviving, H))::DOUBLE / (max(H) - min(H)) AS mean_rate FROM sv GROUP BY 1)
+              SELECT window_months, h0 AS knee_h, rate AS knee_rate, mean_rate, rate >= 2 * mean_rate AS sharp FROM b JOIN m USING (window_months) WHERE r = 1""".lstrip(), SURV).replace("\n, st", ",\nst"),
+        ),
+        "retention_argmax": (
+            lambda s, d: hours.retention_argmax(survival(s, d), total(s, d)),
+            q("SELECT window_months, max(H) FILTER (n_surviving >= 0.9 * (SELECT count(*) FROM supplier)) AS best_h FROM sv GROUP BY 1", SURV),
+        ),
+        "retention_ratios": (
+            lambda s, d: survival(s, d).crossJoin(F.broadcast(total(s, d))).select("window_months", "H", (F.col("n_surviving") / F.col("n_total")).alias("share")),
+            q("SELECT window_months, H, n_surviving::DOUBLE / (SELECT count(*) FROM supplier) AS share FROM sv", SURV),
+        ),
+        "hours_histogram": (lambda s, d: hours.histogram(hours_table(s, d)), q("SELECT least(floor(least(total_hours, 300.0) / 7.5), 39)::INT AS bin, count(*) AS n FROM h GROUP BY 1", HOURS)),
+        "survival_pivot": (
+            lambda s, d: survival(s, d).groupBy("H").pivot("window_months", list(hours.WINDOWS)).agg(F.first("n_surviving")).select("H", *[F.col(str(w)).alias(f"m{w}") for w in hours.WINDOWS]),
+            q("SELECT H, " + ", ".join(f"max(n_surviving) FILTER (window_months = {w}) AS m{w}" for w in hours.WINDOWS) + " FROM sv GROUP BY H", SURV),
+        ),
+        "usable_episodes": (lambda s, d: hours.usable(episodes(s, d), 300).groupBy(S).agg(F.count(F.lit(1)).alias("n")), q("SELECT show_id, count(*) AS n FROM e WHERE duration_sec >= 300 GROUP BY 1", EP)),
+        "lookback_filter_anchor_max": (lambda s, d: hours.lookback(episodes(s, d), 12).select(S, "episode_id", "pub_date"), q("SELECT show_id, episode_id, pub_date FROM e CROSS JOIN anchor WHERE pub_date >= a - to_months(12)", EP)),
+        "lookback_filter_as_of": (
+            lambda s, d: hours.lookback(episodes(s, d), 6, F.lit("1998-08-31").cast("timestamp_ntz")).groupBy(S).agg(F.count(F.lit(1)).alias("n")),
+            q("SELECT show_id, count(*) AS n FROM e WHERE pub_date >= TIMESTAMP '1998-08-31' - to_months(6) GROUP BY 1", EP),
+        ),
+        "budget_draw": (lambda s, d: sample(s, d).select(*draw_cols), q(f"SELECT show_id, episode_id, draw_order::INT AS draw_order, duration_sec FROM {kept}", DRAW)),
+        "budget_draw_short_kept": (
+            lambda s, d: sampling.budget_draw(pool(s, d), 45.0, SEED, keep_short=True).select(*draw_cols),
+            q("SELECT show_id, episode_id, draw_order::INT AS draw_order, duration_sec FROM dr WHERE cum_sec - duration_sec < 45 * 3600 OR draw_order = 0", DRAW),
+        ),
+        "draw_dropped_shows": (
+            lambda s, d: sampling.dropped_shows(pool(s, d), 42.0),
+            q("SELECT show_id, round(sum(duration_sec) / 3600, 2) AS hours_available, count(*) AS n_episodes, 'insufficient_pool' AS reason FROM pool GROUP BY 1 HAVING sum(duration_sec) < 42 * 3600", DRAW),
+        ),
+        "selection_manifest": (
+            lambda s, d: queue.running_manifest(sample(s, d)),
+            q(f"SELECT show_id, episode_id, (draw_order + 1)::INT AS selection_order, round(duration_sec / 60, 1) AS duration_min, round(cum_sec / 3600, 2) AS cumulative_hours FROM {kept}", DRAW),
+        ),
+        "saturation_ladder": (lambda s, d: rungs(s, d).select("rung_h", S, "episode_id"), q(f"SELECT rung_h, show_id, episode_id FROM {ladder}", DRAW)),
+        "ladder_rung_summary": (
+            lambda s, d: sampling.rung_summary(rungs(s, d)),
+            q(f"SELECT rung_h, count(DISTINCT show_id) AS n_shows, count(*) AS n_eps, round(sum(duration_sec) / 3600, 1) AS hours FROM {ladder} GROUP BY 1", DRAW),
+        ),
+        "per_show_summary": (
+            lambda s, d: sampling.per_show_summary(sample(s, d)),
+            q(f"SELECT show_id, count(*) AS n_eps, round(sum(duration_sec) / 3600, 2) AS hours, round(median(duration_sec) / 60, 2) AS med_ep_min FROM {kept} GROUP BY 1", DRAW),
+        ),
+        "sample_totals": (
+            lambda s, d: sample(s, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(D) / 3600, 1).alias("hours"), F.count_distinct(S).alias("n_shows")),
+            q(f"SELECT count(*) AS n, round(sum(duration_sec) / 3600, 1) AS hours, count(DISTINCT show_id) AS n_shows FROM {kept}", DRAW),
+        ),
+        "median_of_show_max": (
+            lambda s, d: sample(s, d).groupBy(S).agg(F.max("cum_sec").alias("m")).agg(F.median("m").alias("median_sec")),
+            q(f"SELECT median(m) AS median_sec FROM (SELECT max(cum_sec) AS m FROM {kept} GROUP BY show_id)", DRAW),
+        ),
+        "permuted_draw": (lambda s, d: sampling.permuted_draw(pool(s, d), BUDGET, SEED), None),
+        "dedup_keep_first": (
+            lambda s, d: queue.keep_first(episodes(s, d).select(S, "l_linenumber", "episode_id", D), [S, "l_linenumber"], ["episode_id"]),
+            q("SELECT show_id, l_linenumber, episode_id, duration_sec FROM (SELECT *, row_number() OVER (PARTITION BY show_id, l_linenumber ORDER BY episode_id) AS r FROM e) WHERE r = 1", EP),
+        ),
+        "last_wins_lookup": (
+            lambda s, d: queue.last_wins(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], F.col("o_orderkey")),
+            "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1",
+        ),
+        "stable_episode_id": (lambda s, d: docs(s, d).select("doc_id", X.episode_id(F.col("text")).alias("episode_id")), "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE substr(md5(text), 1, 16) END AS episode_id FROM documents"),
+        "stable_seed": (
+            lambda s, d: shows(s, d).select(S, X.stable_seed(SEED, F.col(S)).alias("seed")),
+            f"SELECT s_suppkey AS show_id, ('0x' || substr(m, 7, 2) || substr(m, 5, 2) || substr(m, 3, 2) || substr(m, 1, 2))::BIGINT AS seed FROM (SELECT s_suppkey, md5('{SEED}:' || s_suppkey) AS m FROM supplier)",
+        ),
+        "ranked_frame_left_join": (
+            lambda s, d: queue.ranked_frame(
+                shows(s, d).select(F.col(S).alias("id"), F.col("s_acctbal")), table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+            ).select("id", "name", "lookup_found"),
+            "SELECT s_suppkey AS id, c_name AS name, c_custkey IS NOT NULL AS lookup_found FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey AND c_custkey % 3 = 0",
+        ),
+        "ranked_ids": (
+            lambda s, d: shows(s, d).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s_acctbal")).alias("b"), S))), lambda x: x[S]).alias("ids")).select(F.posexplode("ids").alias("p", "id")).select((F.col("p") + 1).alias("rank"), "id"),
+            "SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey)::INT AS rank, s_suppkey AS id FROM supplier",
+        ),
+        "rule_engine_first_fail": (judged, q("SELECT * FROM j", FRAME)),
+        "exclusion_counts": (lambda s, d: queue.value_counts(judged(s, d).where("rule is not null"), "rule"), q("SELECT rule, count(*) AS n FROM j WHERE rule IS NOT NULL GROUP BY 1", FRAME)),
+        "included_partition": (lambda s, d: judged(s, d).where("rule is null").select(S, "hours_available"), q("SELECT show_id, hours_available FROM j WHERE rule IS NULL", FRAME)),
+        "publisher_blocklist": (
+            lambda s, d: table(s, d, "customer").select("c_custkey", rules.first_term(F.col("c_mktsegment"), ["machinery", "building", "auto"]).alias("term")).where("term is not null"),
+            "SELECT c_custkey, CASE WHEN regexp_matches(lower(c_mktsegment), '\\bmachinery\\b') THEN 'machinery' WHEN regexp_matches(lower(c_mktsegment), '\\bbuilding\\b') THEN 'building' ELSE 'auto' END AS term FROM customer WHERE regexp_matches(lower(c_mktsegment), '\\b(machinery|building|auto)\\b')",
+        ),
+        "language_filter": (lambda s, d: docs(s, d).where(rules.not_english(F.col("lang"))).select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE trim(coalesce(lang, '')) <> '' AND NOT starts_with(lower(trim(lang)), 'en')"),
+        "haystack_regex": (
+            lambda s, d: docs(s, d).select("doc_id", rules.first_pattern(F.lower(F.coalesce("text", F.lit(""))), PATTERNS).alias("h")).where("h is not null").select("doc_id", "h.pattern", "h.found"),
+            "SELECT doc_id, p AS pattern, regexp_extract(t, p, 0) AS found FROM (SELECT doc_id, t, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{p}'" for p in PATTERNS) + " END AS p FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)) WHERE p IS NOT NULL",
+        ),
+        "parse_duration": (lambda s, d: durations(s, d).groupBy("raw").agg(F.max("seconds").alias("seconds"), F.count(F.lit(1)).alias("n")), q("SELECT raw, max(seconds) AS seconds, count(*) AS n FROM s GROUP BY 1", RAWDUR)),
+        "duration_estimate": (
+            lambda s, d: durations(s, d).withColumn("e", X.estimate_duration(F.col("seconds"), F.col("l_partkey") * 1000)).groupBy("e.source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("e.sec"), 1).alias("sec")),
+            q("SELECT CASE WHEN seconds IS NULL AND l_partkey * 1000 > 100000 THEN 'estimated_from_bytes' WHEN seconds IS NULL THEN 'missing' ELSE 'itunes:duration' END AS source, count(*) AS n, round(sum(CASE WHEN seconds IS NULL AND l_partkey * 1000 > 100000 THEN l_partkey * 1000 * 8 / 128000 ELSE seconds END), 1) AS sec FROM s GROUP BY 1", RAWDUR),
+        ),
+        "parse_pubdate": (
+            lambda s, d: events(s, d).select("event_id", X.parse_pubdate(F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.when(F.col("event_id") % 5 == 0, " junk").when(F.col("event_id") % 2 == 0, " -0400").otherwise(" GMT"))).cast("timestamp_ntz").alias("pub")),
+            "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN date_trunc('second', ts) + INTERVAL 4 HOUR ELSE date_trunc('second', ts) END AS pub FROM events",
+        ),
+        "sanitize_title": (
+            lambda s, d: docs(s, d).select("doc_id", X.sanitize_title(doc_title()).alias("title")),
+            r"SELECT doc_id, CASE WHEN t = '' THEN 'untitled' ELSE t END AS title FROM (SELECT doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(substr(coalesce(text, ''), 1, 120), '[/\\:*?" + '"' + r"<>|]', '_', 'g'), '\s+', ' ', 'g')), 1, 80)) AS t FROM documents)",
+        ),
+        "normalize_name": (lambda s, d: table(s, d, "part").select("p_partkey", X.normalize_ascii(F.col("p_name")).alias("norm")), f"SELECT p_partkey, coalesce({NORM.format('p_name')}, '') AS norm FROM part"),
+        "normalize_name_folded": (lambda s, d: docs(s, d).select("doc_id", X.normalize_name(doc_title()).alias("norm")), None),
+        "fuzzy_top2": (matches, TOP2 + "SELECT * FROM m"),
+        "match_status": (lambda s, d: queue.value_counts(matches(s, d), "match_status"), TOP2 + "SELECT match_status, count(*) AS n FROM m GROUP BY 1"),
+        "fuzzy_top2_composite": (lambda s, d: matching.match_status(matching.top2(names(s, d), label_table(s, d), fuzzy.composite_ratio)), None),
+        "anti_join_processed": (lambda s, d: queue.pending(items(s, d).select("item"), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item")), ["item"]), "SELECT o_orderkey AS item FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
+        "semi_join_same_hash": (
+            lambda s, d: queue.already_same(docs(s, d).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), docs(s, d).where("doc_id % 3 = 0").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), ["sha"]).select("doc_id", "sha"),
+            "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents WHERE sha256(coalesce(text, '')) IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 3 = 0)",
+        ),
+        "outcome_counts": (
+            lambda s, d: queue.outcomes(items(s, d), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item")), table(s, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("item")), "item", F.col("price") > 1000).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
+            "SELECT CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'skip-done' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O') THEN 'skip-queued' WHEN o_totalprice > 1000 THEN 'ok' ELSE 'fail' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
+        ),
+        "word_counts": (lambda s, d: docs(s, d).select("doc_id", X.word_count(F.col("text")).alias("n_words")), r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+'))::INT AS n_words FROM documents"),
+        "transcript_concat": (lambda s, d: transcripts.ordered_concat(conv(s, d), "conv_id", "turn", "text"), "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text, count(*) AS n_turns FROM conversations GROUP BY 1"),
+        "speaker_turn_stats": (
+            lambda s, d: conv(s, d).groupBy("role").agg(F.count(F.lit(1)).alias("n_turns"), F.count_distinct("conv_id").alias("n_conversations"), F.sum(X.word_count(F.col("text"))).alias("n_words")),
+            r"SELECT role, count(*) AS n_turns, count(DISTINCT conv_id) AS n_conversations, sum(len(regexp_extract_all(coalesce(text, ''), '\S+')))::BIGINT AS n_words FROM conversations GROUP BY 1",
+        ),
+        "transcript_metrics": (
+            lambda s, d: transcripts.metrics(
+                conv(s, d).groupBy("conv_id").agg(transcripts.segments(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")))).alias("segments"), F.count(F.lit(1)).cast("double").alias("duration"), F.lit(0.5).alias("wall_seconds"))
+            ).select("conv_id", "n_segments", "n_words", "realtime_factor"),
+            r"SELECT conv_id, count(*)::INT AS n_segments, sum(len(regexp_extract_all(coalesce(text, ''), '\S+')))::INT AS n_words, round(count(*) / 0.5, 2)::DOUBLE AS realtime_factor FROM conversations GROUP BY 1",
+        ),
+        "meta_split": (
+            lambda s, d: docs(s, d).select("doc_id", X.split_meta(meta()).alias("f")).select("doc_id", F.col("f")[1].alias("show"), F.col("f")[2].alias("sha"), F.col("f")[3].alias("title")),
+            f"SELECT doc_id, f[2] AS show, f[3] AS sha, array_to_string(f[4:], '|||') AS title FROM (SELECT doc_id, string_split({meta_sql}, '|||') AS f FROM documents)",
+        ),
+        "meta_json": (lambda s, d: events(s, d).select("event_id", F.get_json_object("props", "$.k").alias("k")), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
+        "url_parts": (lambda s, d: table(s, d, "pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), X.cache_key(F.col("url")).alias("cache_key")), "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, substr(sha256(url), 1, 24) AS cache_key FROM pages"),
+        "http_classes": (
+            lambda s, d: events(s, d).select(X.http_class(F.element_at(F.array(*[F.lit(c) for c in (200, 403, 404, 410, 500)]), (F.col("event_id") % 5 + 1).cast("int"))).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n")),
+            "SELECT CASE event_id % 5 WHEN 0 THEN 'ok' WHEN 4 THEN 'retry' ELSE 'permanent' END AS class, count(*) AS n FROM events GROUP BY 1",
+        ),
+        "value_counts": (lambda s, d: queue.value_counts(events(s, d), "event_type"), "SELECT event_type, count(*) AS n FROM events GROUP BY 1"),
+        "report_format": (
+            lambda s, d: table(s, d, "orders").groupBy("o_orderstatus").agg(F.format_number(F.sum(F.floor("o_totalprice")), 0).alias("total")),
+            "SELECT o_orderstatus, format('{:,}', sum(floor(o_totalprice))::BIGINT) AS total FROM orders GROUP BY 1",
+        ),
+    }
+
+
+def queries() -> dict:
+    return {k: v[0] for k, v in build().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v[1] for k, v in build().items() if v[1]}
