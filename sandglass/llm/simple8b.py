@@ -14,32 +14,42 @@ ESCAPE = 15
 COUNTS = np.array([0, *(n for n, _ in PACKINGS), 1], dtype=np.int64)
 
 
+#: Values of one lane: words never reach over a lane's end, so lanes are packed side by side and can be read alone.
+LANE = 256
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, escapes), both uint64, of a uint64 array; each word takes as many values as fit."""
-    values = np.ascontiguousarray(values, dtype=np.uint64)
+    """(words, escapes), both uint64; each word takes as many values as fit. The last lane is filled up with zeros."""
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    grade = np.zeros(n, dtype=np.int8)  # the first packing that is wide enough
+    lanes = -(-n // LANE)
+    full = np.zeros(lanes * LANE, dtype=np.uint64)
+    full[:n] = values
+    grade = np.zeros(full.shape, dtype=np.int8)  # the first packing that is wide enough
     for _, bits in PACKINGS:
-        grade += values >= np.uint64(1 << bits)
-    choice = np.full(n, len(PACKINGS), dtype=np.int8)
-    choice[grade == len(PACKINGS)] = ESCAPE
-    low = int(grade.min())
-    for s in range(len(PACKINGS) - 1, low - 1, -1):
+        if bits > int(full.max()).bit_length():
+            break
+        grade += full >= np.uint64(1 << bits)
+    choice = np.full((lanes, LANE), len(PACKINGS), dtype=np.int8)
+    choice[grade.reshape(lanes, LANE) == len(PACKINGS)] = ESCAPE
+    wide = np.zeros((lanes, LANE + 1), dtype=np.int16)
+    for s in range(len(PACKINGS) - 1, int(grade.min()) - 1, -1):
         count = PACKINGS[s][0]
-        if count > n:
-            continue
-        wide = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(grade > s, out=wide[1:])
-        fits = wide[count:] == wide[:-count]
-        choice[: n - count + 1][fits] = s + 1
-    after = (np.arange(n) + COUNTS[choice]).tolist()
-    at, starts = 0, []
-    while at < n:
+        np.cumsum((grade > s).reshape(lanes, LANE), axis=1, out=wide[:, 1:])
+        choice[:, : LANE - count + 1][wide[:, count:] == wide[:, :-count]] = s + 1
+    choice = choice.ravel()
+    steps = COUNTS[choice]
+    at = np.arange(0, lanes * LANE, LANE)
+    ends = at + LANE
+    starts = []
+    while len(at):
         starts.append(at)
-        at = after[at]
-    first = np.array(starts, dtype=np.int64)
+        at = at + steps[at]
+        going = at < ends
+        at, ends = at[going], ends[going]
+    first = np.sort(np.concatenate(starts))
+    first = first[first < n]
     selector = choice[first].astype(np.int64)
     words = selector.astype(np.uint64) << np.uint64(60)
     for s, (count, bits) in enumerate(PACKINGS, 1):
@@ -48,14 +58,15 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             begin = first[own]
             packed = np.zeros(len(own), dtype=np.uint64)
             for k in range(count):
-                packed |= values[begin + k] << np.uint64(bits * k)
+                packed |= full[begin + k] << np.uint64(bits * k)
             words[own] |= packed
     own = np.flatnonzero(selector == ESCAPE)
     words[own] |= np.arange(len(own), dtype=np.uint64)
-    return words, values[first[own]]
+    return words, full[first[own]]
 
 
-def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
+def decode(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
+    """The first n values of the words."""
     words = np.asarray(words, dtype=np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     counts = COUNTS[selector]
@@ -70,7 +81,7 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     own = np.flatnonzero(selector == ESCAPE)
     if len(own):
         out[begin[own]] = np.asarray(escapes, np.uint64)[(words[own] & np.uint64((1 << 60) - 1)).astype(np.int64)]
-    return out
+    return out[:n]
 
 
 def offsets(words: np.ndarray, stride: int) -> np.ndarray:

@@ -30,7 +30,7 @@ from .common import arrow_schema, ship, stored
 END_ID = 0
 BLOCK_IDS = 1 << 16
 STRIDE = 128
-PIECES = 300_000
+PIECES = 250_000
 _TEXTS = 256
 _ENCODERS: dict = {}
 
@@ -59,6 +59,7 @@ class PieceEncoder:
         self.newline = names["\u010a"]
         self.line = np.array([self.newline], self.kind).tobytes()
         self.spaced: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.limit = limit
 
@@ -66,13 +67,14 @@ class PieceEncoder:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
     def learn(self, spaced: list[str], first: list[str]) -> None:
+        wide = self.kind().itemsize
         for at in range(0, len(spaced), 8192):
             part = spaced[at : at + 8192]
-            ids = self.ids("".join([" " + p for p in part]))
+            ids = self.ids(" " + " ".join(part))
             cuts = np.flatnonzero(self.opens[ids])
             assert len(cuts) == len(part)
-            ends = [*cuts[1:].tolist(), len(ids)]
-            self.spaced.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, cuts.tolist(), ends))
+            raw, edges = ids.tobytes(), [*(cuts * wide).tolist(), len(ids) * wide]
+            self.spaced.update(zip(part, [raw[a:b] for a, b in zip(edges, edges[1:])]))
         for at in range(0, len(first), 8192):
             part = first[at : at + 8192]
             ids = self.ids("\n".join(part))
@@ -81,11 +83,11 @@ class PieceEncoder:
             self.first.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.spaced) > self.limit:
-            self.spaced.clear()
+        if len(self.spaced) > self.limit:  # frequent pieces come back from the older table
+            self.older, self.spaced = self.spaced, {}
         if len(self.first) > self.limit // 4:
             self.first.clear()
-        spaced, first = self.spaced, self.first
+        spaced, older, first = self.spaced, self.older, self.first
         new: set[str] = set()
         new_first: set[str] = set()
         plans: list = []
@@ -104,18 +106,24 @@ class PieceEncoder:
                 got[i] = b""
                 if flat[i] not in first:
                     new_first.add(flat[i])
-            if None in got:
-                new.update([p for p, g in zip(flat, got) if g is None])
-            plans.append((flat, got, starts))
-        self.learn(list(new), list(new_first))
+            gaps = [i for i, g in enumerate(got) if g is None] if None in got else []
+            new.update([flat[i] for i in gaps])
+            plans.append((flat, got, starts, gaps))
+        unknown = []
+        for p in new:
+            if (known := older.get(p)) is None:
+                unknown.append(p)
+            else:
+                spaced[p] = known
+        self.learn(unknown, list(new_first))
         out = []
         for text, plan in zip(texts, plans):
             if plan is None:
                 out.append(self.ids(text))
                 continue
-            flat, got, starts = plan
-            if None in got:
-                got = [spaced[p] if g is None else g for p, g in zip(flat, got)]
+            flat, got, starts, gaps = plan
+            for i in gaps:
+                got[i] = spaced[flat[i]]
             for i in starts:
                 got[i] = self.line + first[flat[i]] if i else first[flat[i]]
             out.append(np.frombuffer(b"".join(got), self.kind))
@@ -169,7 +177,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, blo
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for i, found in zip(part.column(0).to_pylist(), enc.encode(texts)):
                     ids.append(i)
-                    held.append(np.append(found, np.array(end_id, found.dtype)).astype(np.uint64))
+                    held.append(np.append(found, np.array(end_id, found.dtype)))
                     waiting += len(held[-1])
                     if waiting >= block_ids:
                         yield close()
@@ -185,10 +193,10 @@ def simple8b_bytes(values: np.ndarray) -> bytes:
     return simple8b.encode(values)[0].astype("<u8").tobytes()
 
 
-def read_block(n_docs: int, doc_ids: bytes, nulls: bytes, lengths: bytes, words: bytes, escapes: bytes) -> tuple[list, np.ndarray, list[int]]:
+def read_block(n_ids: int, n_docs: int, doc_ids: bytes, nulls: bytes, lengths: bytes, words: bytes, escapes: bytes) -> tuple[list, np.ndarray, list[int]]:
     """(doc ids, all ids, lengths) of one block."""
-    ids = simple8b.decode(np.frombuffer(words, "<u8"), np.frombuffer(escapes, "<u8"))
-    sizes = simple8b.decode(np.frombuffer(lengths, "<u8"), np.empty(0, np.uint64)).astype(np.int64).tolist()
+    ids = simple8b.decode(np.frombuffer(words, "<u8"), np.frombuffer(escapes, "<u8"), n_ids)
+    sizes = simple8b.decode(np.frombuffer(lengths, "<u8"), np.empty(0, np.uint64), n_docs).astype(np.int64).tolist()
     gone = np.unpackbits(np.frombuffer(nulls, np.uint8))[:n_docs]
     names = [None if g else i for i, g in zip(np.frombuffer(doc_ids, "<i8").tolist(), gone)]
     return names, ids, sizes
@@ -205,7 +213,7 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
         target = arrow_schema(schema)
         for batch in batches:
             for row in batch.to_pylist():
-                names, ids, sizes = read_block(*(row[k] for k in ("n_docs", "doc_ids", "nulls", "lengths", "words", "escapes")))
+                names, ids, sizes = read_block(*(row[k] for k in ("n_ids", "n_docs", "doc_ids", "nulls", "lengths", "words", "escapes")))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 at, starts, sums = 0, [], []
                 for n in sizes:
@@ -214,7 +222,8 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
                     at += n
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in (names, starts, sizes, sums)], schema=target)
 
-    return blocks.join(bases, "shard").mapInArrow(run, schema)
+    # one row a shard, and shards are shuffle partitions: their number is set, not grown with the data
+    return blocks.join(F.broadcast(bases), "shard").mapInArrow(run, schema)
 
 
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
