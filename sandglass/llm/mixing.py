@@ -66,31 +66,32 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: tuple = SH
 
 
 def with_copies(docs: DataFrame, weights: tuple = WEIGHTS, share: tuple = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies."""
-    sized = docs.withColumn("_size", size_of(F.col("text")))
+    """(row, doc_id, text, source) of docs, row having all columns, with size, source size, target and copies as __mix_*."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text", "source")
+    sized = packed.withColumn("__mix_size", size_of(F.col("text")))
     goals = source_targets(docs.select("source", size_of(F.col("text")).alias("size")), weights, share, most)
-    goals = goals.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    goals = goals.select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key)), 1, 8), 16, 10).cast("long")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
+    rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(0.0)
     whole = F.floor(rate)
     more = (draw < F.floor((rate - whole) * F.lit(4294967296.0))).cast("long")
-    return sized.join(goals, sized["source"].eqNullSafe(goals["_source"]), "left").drop("_source").withColumn("_copies", whole + more)
+    return sized.join(goals, sized["source"].eqNullSafe(goals["__mix_source"]), "left").drop("__mix_source").withColumn("__mix_copies", whole + more)
 
 
 def mix_digest(docs: DataFrame, **how) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"))
     return with_copies(slim, **how).select(
         "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
-        F.col("_copies").alias("copies"),
+        F.col("__mix_size").alias("size"),
+        F.col("__mix_source_size").alias("source_size"),
+        F.col("__mix_target").alias("target"),
+        (F.col("__mix_size") * F.col("__mix_copies")).alias("taken"),
+        F.col("__mix_copies").alias("copies"),
     )
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: every document as often as it is drawn, with the columns of docs."""
-    drawn = with_copies(docs, **how).where("_copies > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    drawn = with_copies(docs, **how).where("__mix_copies > 0")
+    return drawn.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select("row.*")
