@@ -17,7 +17,7 @@ from sandglass.llm.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 LINE = "one two three four five six seven eight nine ten eleven twelve\n"
-LONG = " ".join(f"w{i % 977}" for i in range(60_000))
+LONG = " ".join(f"w{i}" for i in range(3000))
 TEXTS = [
     None, "", " ", "\n\n", "a", "The same text here", "The same text here", LINE * 6, LONG, LONG + " x", "mixed\tspace\x0bçà 日本語 😀 nb",
     "token = \"abcdef123456\" passwd: x AKIA" + "Q" * 16 + " " + "ab" * 14 + " secret=token: abcdefgh", "Licensed under CC BY-NC 4.0.\nAll  rights\nreserved! all rights reserve",
@@ -138,7 +138,7 @@ def test_licenses():
 
 def test_mix_nears_targets(spark, docs):
     df = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 7}") for i in range(7000)], "doc_id long, text string, source string")
-    per = mixing.mix_digest(df).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.first("source_size").alias("s")).collect()
+    per = mixing.mix_digest(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.first("source_size").alias("s")).collect()
     assert all(abs(r["t"] - r["g"]) < 0.1 * r["g"] and r["g"] <= 2 * r["s"] for r in per)
     assert sum(r["g"] for r in per) == pytest.approx(1.5 * sum(r["s"] for r in per))
     assert mixing.mix(docs).columns == docs.columns and {r[6] for r in mixing.mix(docs).collect()} <= {r[6] for r in ROWS}
@@ -217,7 +217,7 @@ def test_line_runs_brute_force(spark, length):
 def test_trigram_queries_and_spans(docs):
     assert secrets.trigram_query(r"[0-9a-f]{24,}") == [] and secrets.trigram_query("AKIA[A-Z0-9]+") == [[["aki", "kia"]]]
     got = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}[11]
-    assert got["spans"].startswith("assign:0:22") and (got["n_access"], got["n_hex"]) == (1, 1)
+    assert got["spans"].startswith("assign:0:21,") and (got["n_access"], got["n_hex"]) == (1, 1)
     assert got["base_sha256"] == hashlib.sha256(got["spans"].encode()).hexdigest()
 
 
@@ -246,3 +246,8 @@ def test_pipeline_brute_force(spark):
     taken = {r["doc_id"]: r["copies"] for r in mixing.mix_digest(near).collect()}
     counts = {r["doc_id"]: r["count"] for r in corpus_pipeline.run(spark, SF).groupBy("doc_id").count().collect()}
     assert counts == {i: n for i, n in taken.items() if n}
+
+
+def test_very_long_text():
+    text = " ".join(f"w{i % 977}" for i in range(200_000))
+    assert quality.judge(text)[4] == 200_000 and licenses.scan(text)[0] == 200_000 and fingerprints.fingerprint(text) == fingerprints.fingerprint(text.upper())
