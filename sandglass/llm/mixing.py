@@ -5,7 +5,8 @@ source's own size; the rate target / size says how often a document is repeated:
 more if a hash of its id, seeded, falls below the fraction (a Bernoulli draw that every rerun repeats). A
 source's taken size has its target as its mean; its relative spread shrinks with the root of its documents.
 
-Documents meet their source's rate in a join that Spark sizes itself (per-source rows only on one side).
+Documents meet their source's rate in a join that Spark sizes itself: the targets, a row per source, are a stored table,
+broadcast only while it is below spark.sql.autoBroadcastJoinThreshold.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; a source of size 0 has
 target 0 and its documents are taken 0 times; documents without an id draw by their text's hash; repeated rows
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)
 MOST = 2
@@ -69,7 +72,8 @@ def with_copies(docs: DataFrame, weights: tuple = WEIGHTS, share: tuple = SHARE,
     """(row, doc_id, text, source) of docs, row having all columns, with size, source size, target and copies as __mix_*."""
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text", "source")
     sized = packed.withColumn("__mix_size", size_of(F.col("text")))
-    goals = source_targets(docs.select("source", size_of(F.col("text")).alias("size")), weights, share, most)
+    # a stored table has a size that Spark knows: few sources are broadcast, and no text is shuffled
+    goals = stored(source_targets(docs.select("source", size_of(F.col("text")).alias("size")), weights, share, most), "mix-targets")
     goals = goals.select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key)), 1, 8), 16, 10).cast("long")
