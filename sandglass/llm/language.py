@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, ship
+from .common import arrow_schema, ship, stored
 
 FOLDS = 5
 SAMPLE = 1500
@@ -111,7 +111,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -> Filters:
     """Filters from the labelled rows outside the held-out fold. What reaches the driver is ``top`` codes a language."""
     ship(docs.sparkSession)
     usable = docs.where("lang is not null and doc_id is not null and text is not null").where(~held_out())
-    share = usable.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
+    # a stored table has a size that Spark knows: it is broadcast only below spark.sql.autoBroadcastJoinThreshold
+    share = stored(usable.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share")), "language-shares")
     drawn = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30))
     picked = usable.select("doc_id", "text", "lang").join(share, "lang").where(drawn).select("lang", "text")
 
