@@ -5,7 +5,7 @@ to each document and writes blocks of whole documents: a table of the shared fol
 block's place, document ids and lengths, Simple-8b words, escapes and, per ``STRIDE`` words, the place of the next
 id. Reading starts anywhere: a block needs the ids before its shard (a sum over shards) and before itself in it.
 
-Tokenization is the tokenizers library's. Its pre-tokenization never crosses a single space or newline between two
+Tokenization is the tokenizers library's. Its splitter never crosses a single space or newline between two
 other characters, so texts without other white space are cut there and each distinct piece is encoded once
 while it stays in a bounded table; every other text is given to the library whole.
 
@@ -15,31 +15,41 @@ are ordered by their text, equal rows lie side by side; an empty table gives no
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import simple8b
+from .bpe_stream import byte_letters
 from .common import arrow_schema, ship, stored
 
 END_ID = 0
 BLOCK_IDS = 1 << 16
 STRIDE = 128
 PIECES = 250_000
-_TEXTS = 256
+_TEXTS = 1024
+#: Texts that can't be cut at each space and newline: empty, with white space at an end, doubled, or of another kind.
+_UNEVEN = r"\A(?:[ \n]|\z)|[ \n]\z|[ \n]{2}|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A piece of one split: Latin letters, which the splitter keeps together, then a comma or full stop, which it splits off.
+_LETTERS = re.compile("(\n?)([a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,]?)")
 _ENCODERS: dict = {}
 
 
 class PieceEncoder:
     """Ids of texts by the tokenizers library, distinct pieces encoded once while they stay in the table.
 
-    Missing pieces are encoded together, joined as they stand in texts (a space before each, or a newline between
-    line starts), and told apart by the tokens that begin with the space or are the newline.
+    A piece is a word after a single space, or a newline and the word after it. Texts are cut into pieces and numbered by
+    Arrow, a batch at once; only a batch's distinct pieces are looked up. Missing words of Latin letters (a comma or full
+    stop may follow) are a split of their own and go to the library's model; other missing pieces are encoded together,
+    joined as they stand in texts and told apart by the tokens that begin with the space or are the newline.
     """
 
     def __init__(self, path: str, limit: int = PIECES):
@@ -51,83 +61,87 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         names = self.tok.get_vocab(with_added_tokens=True)
         self.kind = np.uint16 if max(names.values()) < 1 << 16 else np.uint32
-        self.opens = np.zeros(max(names.values()) + 1, dtype=bool)
-        self.opens[[i for t, i in names.items() if t.startswith("\u0120")]] = True
         self.newline = names["\u010a"]
+        self.opens = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.opens[[self.newline, *(i for t, i in names.items() if t.startswith("\u0120"))]] = True
+        self.letters = str.maketrans({chr(b): x for b, x in enumerate(byte_letters())})
+        self.end_marks = {c: np.array([names[c]], self.kind).tobytes() for c in ".,"} | {"": b""}
         self.line = np.array([self.newline], self.kind).tobytes()
-        self.spaced: dict[str, bytes] = {}
+        self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
         self.limit = limit
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
-    def learn(self, spaced: list[str], first: list[str]) -> None:
-        wide = self.kind().itemsize
-        for at in range(0, len(spaced), 8192):
-            part = spaced[at : at + 8192]
-            ids = self.ids(" " + " ".join(part))
-            cuts = np.flatnonzero(self.opens[ids])
-            assert len(cuts) == len(part)
-            raw, edges = ids.tobytes(), [*(cuts * wide).tolist(), len(ids) * wide]
-            self.spaced.update(zip(part, [raw[a:b] for a, b in zip(edges, edges[1:])]))
-        for at in range(0, len(first), 8192):
-            part = first[at : at + 8192]
-            ids = self.ids("\n".join(part))
-            cuts = np.flatnonzero(ids == self.newline).tolist()
-            assert len(cuts) == len(part) - 1
-            self.first.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.spaced) > self.limit:  # frequent pieces come back from the older table
-            self.older, self.spaced = self.spaced, {}
-        if len(self.first) > self.limit // 4:
-            self.first.clear()
-        spaced, older, first = self.spaced, self.older, self.first
-        new: set[str] = set()
-        new_first: set[str] = set()
-        plans: list = []
-        for text in texts:
-            flat = text.replace("\n", " ").split(" ")
-            # equal lists: no empty piece and no other white space
-            if flat != text.split() or any(s in text for s in self.special):
-                plans.append(None)
+    def learn(self, pieces: list[str]) -> None:
+        """Put the ids of pieces into the table."""
+        table, tokenize, letters, code, joined = self.table, self.model.tokenize, self.letters, self.kind().dtype.char, []
+        for piece in pieces:
+            if (found := _LETTERS.fullmatch(piece)) is None:
+                joined.append(piece)
                 continue
-            got = list(map(spaced.get, flat))
-            starts, at = [], 0
-            for line in text.split("\n"):
-                starts.append(at)
-                at += line.count(" ") + 1
-            for i in starts:
-                got[i] = b""
-                if flat[i] not in first:
-                    new_first.add(flat[i])
-            gaps = [i for i, g in enumerate(got) if g is None] if None in got else []
-            new.update([flat[i] for i in gaps])
-            plans.append((flat, got, starts, gaps))
+            line, word, mark = found.groups()
+            if line or (own := table.get(word)) is None:
+                raw = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                own = array(code, [t.id for t in tokenize(raw if line else "\u0120" + raw)]).tobytes()
+            table[piece] = self.line + own + self.end_marks[mark] if line else own + self.end_marks[mark]
+        for at in range(0, len(joined), 1024):
+            part = joined[at : at + 1024]
+            ids = self.ids("".join([p if p[0] == "\n" else " " + p for p in part]))
+            cuts = np.flatnonzero(self.opens[ids]).tolist()
+            assert len(cuts) == len(part)
+            table.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, cuts, [*cuts[1:], len(ids)]))
+
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        if len(self.table) > self.limit:  # frequent pieces come back from the older table
+            self.older, self.table = self.table, {}
+        table, older = self.table, self.older
+        got = list(map(table.get, pieces))
+        gaps = [i for i, g in enumerate(got) if g is None]
         unknown = []
-        for p in new:
-            if (known := older.get(p)) is None:
-                unknown.append(p)
+        for i in gaps:
+            if (known := older.get(pieces[i])) is None:
+                unknown.append(pieces[i])
             else:
-                spaced[p] = known
-        self.learn(unknown, list(new_first))
-        out = []
-        for text, plan in zip(texts, plans):
-            if plan is None:
-                out.append(self.ids(text))
-                continue
-            flat, got, starts, gaps = plan
-            for i in gaps:
-                got[i] = spaced[flat[i]]
-            for i in starts:
-                got[i] = self.line + first[flat[i]] if i else first[flat[i]]
-            out.append(np.frombuffer(b"".join(got), self.kind))
-        return out
+                table[pieces[i]] = known
+        self.learn(unknown)
+        for i in gaps:
+            got[i] = table[pieces[i]]
+        return got
+
+    def encode(self, texts: pa.Array | list) -> list[np.ndarray]:
+        """The ids of each text; nulls count as empty."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        odd = pc.match_substring_regex(texts, _UNEVEN)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        own = iter(self._even(texts.filter(pc.invert(odd))))
+        return [self.ids(t.as_py()) if whole else next(own) for t, whole in zip(texts, odd.to_pylist())]
+
+    def _even(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts with single spaces and newlines between words and no other white space."""
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        edges = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        known = self.look_up(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(known), self.kind)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.kind().itemsize
+        which = coded.indices.to_numpy()
+        begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        heads = edges[:-1] - edges[0]
+        begin[heads] += 1  # no newline stands before a text
+        size[heads] -= 1
+        ends = np.cumsum(size)
+        all_ids = pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
+        cuts = [0, *ends[edges[1:] - edges[0] - 1].tolist()]
+        return [all_ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -174,8 +188,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, blo
         for batch in batches:
             for at in range(0, batch.num_rows, _TEXTS):
                 part = batch.slice(at, _TEXTS)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for i, found in zip(part.column(0).to_pylist(), enc.encode(texts)):
+                for i, found in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     ids.append(i)
                     held.append(np.append(found, np.array(end_id, found.dtype)))
                     waiting += len(held[-1])
