@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -54,6 +55,22 @@ def ship(spark: SparkSession) -> None:
     sc._sandglass_shipped = True
 
 
+#: Rows that a Python worker turns into objects at once; Arrow batches of Spark hold many more.
+PART_ROWS = 512
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of PART_ROWS rows; freed memory goes back to the system after each batch, as workers live on."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+        del batch
+        pa.default_memory_pool().release_unused()
+        if give_back is not None:
+            give_back(0)
+
+
 def map_rows(df: DataFrame, rows: Callable[[list[dict]], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow where rows() turns the columns of one Arrow batch (as Python lists) into output columns."""
     ship(df.sparkSession)
@@ -61,7 +78,7 @@ def map_rows(df: DataFrame, rows: Callable[[list[dict]], dict[str, list]], schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = None
-        for batch in batches:
+        for batch in parts(batches):
             if target is None:
                 target = arrow_schema(schema)
             cols = rows(*[batch.column(i).to_pylist() for i in range(len(names))])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, parts, ship
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -137,14 +137,12 @@ def clean_documents(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
 
     A document without failing lines keeps its text and n_chars as they are.
     """
-    from .common import ship
-
     ship(docs.sparkSession)
     at_text = docs.columns.index("text")
     at_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(at_text).to_pylist()
             found = [judge(t, max_loss) for t in texts]
             keep = [i for i, v in enumerate(found) if v[6]]
