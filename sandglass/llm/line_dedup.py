@@ -9,6 +9,12 @@ place stays and the lines of all later places are deleted; overlapping places jo
 Two kinds of runs count: ``min_lines`` lines of which the first has a word, and single lines of at least ``min_words`` words.
 Places are ordered by (doc_id, line), ids that are null last.
 
+With ``whole_runs`` the longest repeated run from each line with a word goes, blank lines within it and what follows them
+too. Only blank lines can make such a run longer than the windows of ``min_lines`` lines that start with a word, as each
+further line with a word starts a window of its own. So lengths are asked from each line with a word to the next: a prefix
+of L lines has two ranks of h lines, h < L <= 2 h, one from its first line and one up to its last, and doubling goes on
+while a blank stretch asks for more.
+
 Ranks come from range-partitioned distinct pairs numbered within their partition plus the partitions before it, so no
 task sorts everything. Frequent lines are pre-aggregated; intervals are reduced to their first place, never gathered.
 
@@ -77,26 +83,57 @@ def suffix_array(lines: DataFrame, length: int) -> DataFrame:
     return array
 
 
-def later_places(array: DataFrame) -> DataFrame:
+def later_places(array: DataFrame, by: tuple[str, ...] = ("rank",)) -> DataFrame:
     """Members of each interval but its first place."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc"), F.col("pos"))
-    first = array.groupBy("rank").agg(F.min(place).alias("first"))
-    return array.join(first, "rank").where(place != F.col("first")).select("doc_id", "doc", "pos")
-
-
-def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    first = array.groupBy(*by).agg(F.min(place).alias("first"))
+    return array.join(first, list(by)).where(place != F.col("first")).select("doc_id", "doc", "pos", *[c for c in by if c != "rank"])
+
+
+def through_blanks(docs: DataFrame, lines: DataFrame, array: DataFrame, min_lines: int) -> DataFrame | None:
+    """(doc_id, doc, pos): last lines of repeated runs over ``min_lines`` long, up to the line with a word after a blank stretch.
+
+    ``array`` is ranked by ``min_lines`` lines. None where no text has a blank line that such a run can go through.
+    """
+    blank = r"\n[ \t-\r]*" + (r"\n" if min_lines > 1 else r"(\n|\z)")
+    gaps = docs.where(F.col("text").rlike(blank)).select(doc_key().alias("doc")).distinct()
+    if gaps.isEmpty():
+        return None
+    before = W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, -(min_lines - 1))
+    start = F.max(F.when(F.col("words") > 0, F.col("pos"))).over(before)
+    asked = lines.join(gaps, "doc", "left_semi").select("doc", start.alias("pos"), (F.col("pos") - start + 1).alias("length"))
+    asked = stored(asked.where(F.col("length") > min_lines), "lengths")
+    longest = asked.agg(F.max("length")).first()[0] or 0
+    out, h = None, min_lines
+    while h < longest:
+        part = asked.where((F.col("length") > h) & (F.col("length") <= 2 * h)).withColumn("at", F.col("pos") + F.col("length") - h)
+        tail = array.select("doc", F.col("pos").alias("at"), F.col("rank").alias("tail"))
+        runs = part.join(array, ["doc", "pos"]).join(tail, ["doc", "at"]).select("doc_id", "doc", "pos", "length", "rank", "tail")
+        found = later_places(runs, ("length", "rank", "tail")).select("doc_id", "doc", (F.col("pos") + F.col("length") - 1).alias("pos"))
+        out = found if out is None else out.unionByName(found)
+        if 2 * h < longest:
+            array = doubled(array, h)
+        h *= 2
+    return out
+
+
+def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> tuple[DataFrame, DataFrame]:
     """(deleted(doc_id, doc, pos), lines)."""
     lines = stored(line_table(docs), "lines")
     single = lines.where(F.col("words") >= min_words)
     long_lines = later_places(suffix_array(single, 1))
-    runs = later_places(suffix_array(lines, min_lines).where("words > 0"))
+    array = suffix_array(lines, min_lines)
+    runs = later_places(array.where("words > 0"))
     covered = runs.withColumn("pos", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))))
+    further = through_blanks(docs, lines, array, min_lines) if whole_runs else None
+    if further is not None:
+        covered = covered.unionByName(further)
     return long_lines.unionByName(covered).distinct(), lines
 
 
-def dedup_digest(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_digest(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed runs as first-last line numbers from 0, comma-joined."""
-    gone, _ = deleted_lines(docs, min_lines, min_words)
+    gone, _ = deleted_lines(docs, min_lines, min_words, whole_runs)
     order = W.partitionBy("doc").orderBy("pos")
     runs = (
         gone.withColumn("run", F.col("pos") - F.row_number().over(order))
@@ -114,9 +151,9 @@ def dedup_digest(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
     )
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """docs with the deleted lines taken out of text; other columns as they were."""
-    gone, lines = deleted_lines(docs, min_lines, min_words)
+    gone, lines = deleted_lines(docs, min_lines, min_words, whole_runs)
     touched = lines.join(gone.select("doc").distinct(), "doc", "left_semi").select("doc", "pos")
     marked = touched.join(gone.select("doc", "pos", F.lit(True).alias("gone")), ["doc", "pos"], "left")
     flag = F.struct("pos", F.coalesce("gone", F.lit(False)).alias("gone"))

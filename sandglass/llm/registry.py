@@ -21,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": lambda s, d: language.identify(documents(s, d)),
         "op7_exact_dedup": lambda s, d: exact_dedup.exact_groups(documents(s, d)),
         "op8_bpe_round_trip": lambda s, d: bpe_stream.bpe_digest(documents(s, d), token_files.tokenizer_path(s, "word_bpe_49k.json")),
-        "op9_line_dedup": lambda s, d: line_dedup.dedup_digest(documents(s, d)),
+        "op9_line_dedup": lambda s, d: line_dedup.dedup_digest(documents(s, d), whole_runs=True),
         "op10_secret_scan": lambda s, d: secrets.scan_secrets(documents(s, d)),
     }
 

@@ -214,6 +214,33 @@ def test_line_runs_brute_force(spark, length):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, min_lines=length).collect()} == want
 
 
+@pytest.mark.parametrize("length", [1, 2, 5])
+def test_whole_line_runs_brute_force(spark, length):
+    rnd = random.Random(6)
+    rows = [(i, "\n".join(rnd.choice("abc" + " " * (i % 9)) for _ in range(rnd.randrange(1, 16)))) for i in range(60)]
+    rows += [(60, "x\n" + "\n" * 13 + "y\nz"), (61, "x\n" + "\n" * 13 + "y\nw"), (62, "x\n" + "\n" * 13 + "z"), (63, "p\n\nq\nr"), (64, "p\n\nq\ns")]
+    seen, gone = set(), {}
+    for i, t in rows:
+        lines = t.split("\n")
+        for p in range(len(lines)):
+            for end in range(p + length, len(lines) + 1):
+                if lines[p].strip():
+                    if tuple(lines[p:end]) in seen:
+                        gone.setdefault(i, set()).update(range(p, end))
+                    seen.add(tuple(lines[p:end]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, min_lines=length, whole_runs=True).collect()} == want
+    if length == 2:
+        assert want[64] == "s"
+
+
+def test_line_dedup_query_takes_whole_runs(spark, tmp_path):
+    spark.createDataFrame([(1, "p\n\nq\nr"), (2, "p\n\nq\ns")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in registry.queries()["op9_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "0-2"}
+
+
 def test_trigram_queries_and_spans(docs):
     assert secrets.trigram_query(r"[0-9a-f]{24,}") == [] and secrets.trigram_query("AKIA[A-Z0-9]+") == [[["aki", "kia"]]]
     got = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}[11]
