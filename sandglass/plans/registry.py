@@ -137,8 +137,7 @@ def names(s, d) -> DataFrame:
 
 
 def label_table(s, d) -> DataFrame:
-    c = table(s, d, "customer").where("c_custkey <= 150")
-    return c.select(F.col("c_name").alias("label"), F.col("c_mktsegment").alias("value"), X.normalize_ascii(F.regexp_replace("c_name", "Customer", "Supplier")).alias("norm"))
+    return table(s, d, "customer").select(F.col("c_name").alias("label"), F.col("c_mktsegment").alias("value"), X.normalize_ascii(F.regexp_replace("c_name", "Customer", "Supplier")).alias("norm"))
 
 
 NORM = r"""list_aggregate(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('', 'the', 'a', 'an', 'podcast', 'show', 'with')), 'string_agg', ' ')"""

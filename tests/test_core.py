@@ -187,6 +187,32 @@ def test_streaming_queue(spark, tmp_path):
 ALL = registry.build()
 
 
+def test_labels_are_all_customers(spark, tmp_path):
+    spark.createDataFrame([(i, f"Supplier#{i:09d}", 1, 0.0) for i in (3, 151, 4321)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    keys = [*range(1, 161), 4320, 4321]
+    spark.createDataFrame([(i, f"Customer#{i:09d}", "AUTO") for i in keys], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    norm = {f"Customer#{i:09d}": f"supplier {i:09d}" for i in keys}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {}
+    for i in (3, 151, 4321):
+        name = f"supplier {i:09d}"
+        best = sorted((-100.0 * (len(name) - distance(name, n)) / len(name), label) for label, n in norm.items())[:2]
+        want[i] = (best[0][1], round(-best[0][0], 1), round(-best[1][0], 1))
+    got = {r["id"]: (r["label_name"], r["match_score"], r["runner_up_score"]) for r in ALL["fuzzy_top2"][0](spark, str(tmp_path)).collect()}
+    assert got == want and all(v[1] == 100.0 for v in got.values())
+    assert {r["label_name"] for r in ALL["fuzzy_top2_composite"][0](spark, str(tmp_path)).collect()} == {v[0] for v in want.values()}
+    assert sum(r["n"] for r in ALL["match_status"][0](spark, str(tmp_path)).collect()) == 3
+
+
 @pytest.mark.parametrize("name", [n for n, (_, sql) in ALL.items() if sql])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
