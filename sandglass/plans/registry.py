@@ -128,10 +128,6 @@ def judged(s, d) -> DataFrame:
     return rules.first_failing_rule(frame(s, d), rules.inclusion_rules(terms, patterns, [3], {5: "by hand"}, 42.5)).select("show_id", "hours_available", "rule", "evidence")
 
 
-def doc_title(col="text"):
-    return F.substring(F.coalesce(F.col(col), F.lit("")), 1, 120)
-
-
 def names(s, d) -> DataFrame:
     return shows(s, d).select(F.col("show_id").alias("id"), X.normalize_ascii(F.col("show_name")).alias("norm"))
 
@@ -332,11 +328,11 @@ def build() -> dict[str, tuple]:
             "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN date_trunc('second', ts) + INTERVAL 4 HOUR ELSE date_trunc('second', ts) END AS pub FROM events",
         ),
         "sanitize_title": (
-            lambda s, d: docs(s, d).select("doc_id", X.sanitize_title(doc_title()).alias("title")),
+            lambda s, d: docs(s, d).select("doc_id", X.sanitize_title(F.col("text")).alias("title")),
             r"SELECT doc_id, CASE WHEN t = '' THEN 'untitled' ELSE t END AS title FROM (SELECT doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(substr(coalesce(text, ''), 1, 120), '[/\\:*?" + '"' + r"<>|]', '_', 'g'), '\s+', ' ', 'g')), 1, 80)) AS t FROM documents)",
         ),
         "normalize_name": (lambda s, d: table(s, d, "part").select("p_partkey", X.normalize_ascii(F.col("p_name")).alias("norm")), f"SELECT p_partkey, coalesce({NORM.format('p_name')}, '') AS norm FROM part"),
-        "normalize_name_folded": (lambda s, d: docs(s, d).select("doc_id", X.normalize_name(doc_title()).alias("norm")), None),
+        "normalize_name_folded": (lambda s, d: docs(s, d).select("doc_id", X.normalize_name(F.coalesce("text", F.lit(""))).alias("norm")), None),
         "fuzzy_top2": (matches, TOP2 + "SELECT * FROM m"),
         "match_status": (lambda s, d: queue.value_counts(matches(s, d), "match_status"), TOP2 + "SELECT match_status, count(*) AS n FROM m GROUP BY 1"),
         "fuzzy_top2_composite": (lambda s, d: matching.match_status(matching.top2(names(s, d), label_table(s, d), fuzzy.composite_ratio)), None),

@@ -187,6 +187,14 @@ def test_streaming_queue(spark, tmp_path):
 ALL = registry.build()
 
 
+def test_titles_and_names_of_whole_texts(spark, tmp_path):
+    rows = [(1, "One" + " " * 200 + "two"), (2, "word " * 40 + "Last"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: {r["doc_id"]: r[1] for r in ALL[n][0](spark, str(tmp_path)).collect()} for n in ("sanitize_title", "normalize_name_folded")}
+    assert got["sanitize_title"] == {1: "One two", 2: ("word " * 16).strip(), 3: "untitled"}
+    assert got["normalize_name_folded"] == {1: "one two", 2: "word " * 40 + "last", 3: ""}
+
+
 def test_labels_are_all_customers(spark, tmp_path):
     spark.createDataFrame([(i, f"Supplier#{i:09d}", 1, 0.0) for i in (3, 151, 4321)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     keys = [*range(1, 161), 4320, 4321]
