@@ -81,6 +81,15 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, most_depth: int = MO
 
 
 def keep_largest(docs: DataFrame, **how) -> DataFrame:
-    """The documents that stay, columns as they were; rows without a doc_id can't be named and stay."""
-    gone = exact_groups(docs, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == gone["_sha"]), "left_anti")
+    """One row of each group of equal texts, columns as they were: one with the largest doc_id, null ids last."""
+    groups = exact_groups(docs, **how).groupBy("doc_id", "text_sha256", "kept").agg(F.count(F.lit(1)).alias("n"))
+    groups = stored(groups, "exact-marks")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
+    sha = lambda df: F.sha2(F.coalesce(df["text"], F.lit("")), 256)
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (sha(docs) == gone["_sha"]), "left_anti")
+    tied = groups.where("kept and n > 1").select(F.col("text_sha256").alias("_tied"))
+    if tied.isEmpty():
+        return left
+    ties = left.join(tied, sha(left) == tied["_tied"], "left_semi").withColumn("__exact_text", text_or_empty())
+    ties = ties.dropDuplicates(["__exact_text"]).drop("__exact_text")
+    return left.join(tied, sha(left) == tied["_tied"], "left_anti").unionByName(ties)

@@ -254,6 +254,14 @@ def test_quality_text_and_copies(docs):
     assert {r["doc_id"] for r in exact_dedup.keep_largest(docs).where("text like 'The same%'").collect()} == {6}
 
 
+def test_one_row_of_each_text_stays(spark, none):
+    rows = [(None, "a"), (None, "a"), (None, "b"), (3, "b"), (4, "c"), (4, "c"), (2, "c"), (4, "d"), (None, None), (None, ""), (7, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["text"] or "", r["doc_id"]) for r in exact_dedup.keep_largest(df).collect()), key=str)
+    assert got == sorted([("a", None), ("b", 3), ("c", 4), ("d", 4), ("", None), ("e", 7)], key=str)
+    assert exact_dedup.keep_largest(none).count() == 0
+
+
 def test_pipeline_brute_force(spark):
     stages, d = dict(corpus_pipeline.STAGES), real(spark)
     step = stages["quality_rules"](spark, d, SF)
