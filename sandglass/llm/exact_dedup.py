@@ -1,13 +1,13 @@
-"""Exact dedup (operator 7): an extendible-hash index in the shared folder.
+"""Exact dedup (operator 7): grouping by (64-bit key, text), with the directory of an extendible-hash index beside it.
 
-A text's 64-bit hash is its key; the key's leading bits index a directory. While a bucket holds more keys than
-``capacity`` it is split by its next bit, and the directory doubles whenever the bucket was as deep as the directory
-(``most_depth`` bounds the directory, and with it what is broadcast: 2 ** most_depth small rows). Each owner task
-holds the key ranges of its buckets. Texts with one key are compared byte by byte and chained when they differ.
+The index method is replaced by grouping: rows of one key and text form a group, which compares their bytes, and Spark deals
+them out by the hash of both. Copies are pre-aggregated before that shuffle (one entry per distinct text and task), so a
+group that holds a third of all rows arrives as a few entries. This needs no owner tasks and no chains walked in them.
 
-Copies are pre-aggregated before any shuffle (one entry per distinct text and task), so a group that holds a third
-of all rows reaches its owner as a few entries. The index keeps an entry per distinct text: bucket, key,
-place in the chain, SHA-256, length, the document that stays and the group's size.
+The directory is still built from the keys' leading bits: a bucket with more than ``capacity`` keys is split by its next bit,
+down to ``most_depth`` bits, where fuller buckets stay as they are. It only labels the entries of the stored index (bucket,
+key, place in the chain of texts with that key, SHA-256, length, the document that stays and the group's size): no row is
+dealt out or looked up by bucket, and results don't depend on it.
 
 Defined cases: null counts as the empty text, and both are one group; the largest doc_id stays, null ids counting
 as smaller than all others (a group of null ids only has keep_id null and its rows stay); repeated rows are members of
