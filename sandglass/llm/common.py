@@ -22,22 +22,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; a temporary one only where none is set (tests)."""
+    """The folder all executors and the driver share; a temporary one only where none is set and Spark runs in one process (tests)."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(sc, "_sandglass_shared", None) or f"file://{tempfile.mkdtemp(prefix='sandglass-')}"
         sc._sandglass_shared = path
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/sandglass-{sc.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: the lineage ends there and survives lost executors."""
+    """df written to the shared folder and read again: the lineage ends there and survives lost executors.
+
+    Tables lie in one folder per application, which can be removed once its results are no longer read.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, one: DataFrame, on: str, weight: str) -> DataFrame:
+    """rows joined with ``one``, which has a row per key and says in ``weight`` how many of rows have that key.
+
+    A key is crowded if its rows are more than a quarter of a task's even share. At most 4 * shuffle partitions keys can be, so
+    these few rows of ``one`` are broadcast, however large the tables are; all other keys meet in a shuffle of even parts.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fair = (one.agg(F.sum(weight)).first()[0] or 0) // (4 * partitions) + 1
+    crowded = one.where(F.col(weight) > fair).drop(weight)
+    thin = one.where(F.col(weight) <= fair).drop(weight)
+    rest = rows.join(F.broadcast(crowded.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(crowded), on).unionByName(rest.join(thin, on))
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers wherever they run (once per Spark context)."""
     sc = spark.sparkContext
