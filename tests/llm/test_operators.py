@@ -108,22 +108,6 @@ def test_simhash_brute_force(spark):
     assert got == {i: (f"{f:016x}", name[comp[f]]) for i, f in prints.items()}
 
 
-@pytest.mark.parametrize("dense", [1024, 3])
-def test_links_lose_none(spark, dense):
-    rnd = random.Random(3)
-    centres = [rnd.getrandbits(64) for _ in range(20)]
-    values = {c ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for c in centres for _ in range(15)} | set(centres)
-    reps = spark.createDataFrame([(fingerprints.signed(v),) for v in values], "fp long")
-    pairs = [(r["a"] % 2**64, r["b"] % 2**64) for r in fingerprints.links(reps, dense=dense).collect()]
-    assert all((a ^ b).bit_count() <= 2 for a, b in pairs)
-    tree = {r["node"] % 2**64: r["root"] for r in fingerprints.components(fingerprints.links(reps, dense=dense)).collect()}
-    want = components(values, 2)
-    groups = {}
-    for v in values:
-        groups.setdefault(want[v], set()).add(tree.get(v, fingerprints.signed(v)))
-    assert all(len(g) == 1 for g in groups.values()) and len({g for s in groups.values() for g in s}) == len(groups)
-
-
 def test_licenses():
     got = licenses.scan(TEXTS[12])
     assert got[1] == 2 and got[4] == "cc-by,reserved" and "cc-by-nc" in got[5].split(",") and 0 < got[6] <= 1
@@ -263,6 +247,7 @@ def test_one_row_of_each_text_stays(spark, none):
 
 
 def test_pipeline_brute_force(spark):
+    """Each stage against plain Python on the rows that its predecessor kept; the near-duplicate stage by 256-bit prints of all pairs."""
     stages, d = dict(corpus_pipeline.STAGES), real(spark)
     step = stages["quality_rules"](spark, d, SF)
     want = {r["doc_id"]: quality.judge(r["text"])[9] for r in d.collect() if quality.judge(r["text"])[6]}
@@ -271,16 +256,32 @@ def test_pipeline_brute_force(spark):
     for i, t in want.items():
         last[t] = max(i, last.get(t, i))
     want = {i: t for t, i in last.items()}
-    prints = {i: plain_print(t) for i, t in want.items()}
-    comp = components(set(prints.values()), 2)
+    exact = stages["exact_dedup"](spark, step, SF)
+    assert {r["doc_id"]: r["text"] for r in exact.collect()} == want
+    prints = {i: int.from_bytes(fingerprints.sketch(t, 5, 4)[0].tobytes(), "little") for i, t in want.items()}
+    comp = components(set(prints.values()), 51)
     first = {}
     for i in want:
         first[comp[prints[i]]] = min(i, first.get(comp[prints[i]], i))
-    near = stages["simhash_near_dedup"](spark, stages["exact_dedup"](spark, step, SF), SF)
+    near = stages["simhash_near_dedup"](spark, exact, SF)
     assert sorted(r["doc_id"] for r in near.collect()) == sorted(first.values()) and near.columns == d.columns
     taken = {r["doc_id"]: r["copies"] for r in mixing.mix_digest(near).collect()}
-    counts = {r["doc_id"]: r["count"] for r in corpus_pipeline.run(spark, SF).groupBy("doc_id").count().collect()}
-    assert counts == {i: n for i, n in taken.items() if n}
+    assert {r["doc_id"]: r["count"] for r in stages["mix_sources"](spark, near, SF).groupBy("doc_id").count().collect()} == {i: n for i, n in taken.items() if n}
+    from tokenizers import Tokenizer
+
+    tok, digests = Tokenizer.from_file(token_files.tokenizer_path(spark, "word_bpe_49k.json")), []
+    for i, n in taken.items():
+        ids = tok.encode(want[i], add_special_tokens=False).ids
+        told = tok.decode(ids, skip_special_tokens=False)
+        digests += [(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(told.encode()).hexdigest())] * n
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == sorted(digests)
+
+
+def test_pipeline_stages_take_odd_rows(docs, none):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(docs.sparkSession, none, SF).count() == 0
+        out = stage(docs.sparkSession, docs, SF)
+        assert out.count() <= 2 * len(ROWS) and (name == "bpe_round_trip" or out.columns == docs.columns)
 
 
 def test_very_long_text():
