@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_join(rows: DataFrame, one: DataFrame, on: str, weight: str) -> DataFrame:
+def spread_join(rows: DataFrame, one: DataFrame, on: list[str], weight: str) -> DataFrame:
     """rows joined with ``one``, which has a row per key and says in ``weight`` how many of rows have that key.
 
     A key is crowded if its rows are more than a quarter of a task's even share. At most 4 * shuffle partitions keys can be, so
@@ -53,7 +53,7 @@ def spread_join(rows: DataFrame, one: DataFrame, on: str, weight: str) -> DataFr
     fair = (one.agg(F.sum(weight)).first()[0] or 0) // (4 * partitions) + 1
     crowded = one.where(F.col(weight) > fair).drop(weight)
     thin = one.where(F.col(weight) <= fair).drop(weight)
-    rest = rows.join(F.broadcast(crowded.select(on)), on, "left_anti")
+    rest = rows.join(F.broadcast(crowded.select(*on)), on, "left_anti")
     return rows.join(F.broadcast(crowded), on).unionByName(rest.join(thin, on))
 
 

@@ -252,10 +252,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         pairs = both(now)
         low = stored(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "lows")
-        large = spread_join(pairs.where("v > u"), low, "u", "n").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(pairs.where("v > u"), low, ["u"], "n").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stored(large, "large-stars")
         low2 = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "lows")
-        small = spread_join(large, low2, "a", "n")
+        small = spread_join(large, low2, ["a"], "n")
         nxt = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = stored(nxt.where("a <> b").distinct(), "edges")
         got = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -269,7 +269,7 @@ def named(reps: DataFrame, found: DataFrame) -> DataFrame:
     tree = components(found)
     rooted = stored(reps.join(tree, reps["fp"] == tree["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     names = stored(rooted.groupBy("root").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("members")), "names")
-    return stored(spread_join(rooted, names, "root", "members").select("fp", "first", "n"), "named")
+    return stored(spread_join(rooted, names, ["root"], "members").select("fp", "first", "n"), "named")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     classes = named(reps, links(reps.select("fp"), radius, segments, bucket))
-    return spread_join(prints, classes, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
+    return spread_join(prints, classes, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def wide(column: pa.Array, words: int) -> np.ndarray:
@@ -391,7 +391,7 @@ def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "copies")
     reps = stored(entries.groupBy("fp").agg(F.min(place).alias("rep"), F.sum("copies").alias("n")), "wide-classes")
     found = similar_links(prints.select("fp", "keys"), words, int(round((1 - similarity) * 64 * words, 6)))
-    return spread_join(prints.select("doc_id", "tag", "fp"), named(reps, found), "fp", "n").select("doc_id", "tag", "first")
+    return spread_join(prints.select("doc_id", "tag", "fp"), named(reps, found), ["fp"], "n").select("doc_id", "tag", "first")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

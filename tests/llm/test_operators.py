@@ -174,10 +174,39 @@ def test_language_held_out(spark):
     assert f.predict(None) == ("und", 0.0) and f.predict("12 34 !") == ("und", 0.0)
 
 
-def test_directory_doubles():
-    depth, entries = exact_dedup.directory({0: 100, 1: 1, 7: 1}, 50, 3)
-    assert depth == 3 and len(entries) == 8 and entries[0] != entries[1] and len(set(entries[4:])) == 1
-    assert exact_dedup.directory({}, 1, 3) == (0, [0])
+def test_directory_splits_overfull_buckets(spark):
+    done, still = exact_dedup.grow([(0, 0)], {0: 100, 1: 1, 7: 1}, 3, 50)
+    assert sorted(done) == [(1, 1), (1, 2), (1, 3)] and still == [(0, 3)]
+    assert exact_dedup.grow([(0, 0)], {}, 3, 1) == ([(0, 0)], [])
+    keys = [k << 40 for k in range(50)] + [-(1 << 62), -1, (1 << 62) + 5]
+    starts = exact_dedup.directory(spark.createDataFrame([(k,) for k in keys], "key long"), 4)
+    held = np.bincount(np.searchsorted(starts, np.array(keys).view(np.uint64), "right") - 1, minlength=len(starts))
+    assert starts[0] == 0 and held.max() <= 4 and (np.diff(starts.astype(object)) > 0).all()
+
+
+@pytest.mark.parametrize("keys", [1, 3])
+def test_chains_tell_colliding_texts_apart(spark, docs, keys):
+    weak = lambda text: F.pmod(F.xxhash64(text), F.lit(keys))
+    got = sorted((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_groups(docs, hash_of=weak).collect())
+    texts = {}
+    for r in ROWS:
+        texts.setdefault(r[1] or "", []).append(r[0])
+    want = []
+    for t, ids in texts.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        want += [(str(i), keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    assert got == sorted(want)
+    index, _ = exact_dedup.build_index(docs, hash_of=weak)
+    places = [(r["key"], r["chain"]) for r in index.collect()]
+    assert len(places) == len(set(places)) == len(texts) and max(c for _, c in places) >= len(texts) // keys - 1
+    assert exact_dedup.keep_largest(docs, hash_of=weak).count() == len(texts)
+
+
+def test_exact_dedup_of_very_long_texts(spark):
+    text = "word " * 2_000_000
+    df = spark.createDataFrame([(1, text), (2, text), (3, text + "x"), (None, text)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(df).collect()) == [("1", 2, 3), ("2", 2, 3), ("3", 3, 1), ("None", 2, 3)]
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_largest(df).select("doc_id").collect()) == [2, 3]
 
 
 @pytest.mark.parametrize("length", [2, 5])
