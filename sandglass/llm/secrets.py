@@ -1,10 +1,12 @@
 """Secret scans (operator 10): a trigram inverted index in front of the rules. DataFrame functions only.
 
 From each rule's regular expression a Boolean query of trigrams is derived: those that every match must hold, as ANDs of
-ORs. The index is a stored table of postings (trigram, row key) for the trigrams that the rules name; a query intersects
-its postings by counting. The row keys that remain are hashed into a bitmap of fixed size (``SLOTS`` slots), which is all
-that is broadcast; the second scan verifies a rule only where the bitmap has it. Slots that two rows share cost an
-extra verification, never a result. Rules without mandatory trigrams scan every text.
+ORs. Rows are numbered once, in a stored copy, and 64 in a row form a segment. The index is a stored table of postings
+(segment, trigram, mask): every trigram of printable ASCII without blanks that stands in a segment's lower-cased texts, with a
+bit for each row that has it. One pass over a text finds all its trigrams, and as segments lie within a task, postings are
+complete before they are shuffled. A query intersects and unites masks, 64 rows at a time; what remains are the
+candidates of a rule, and the scan of the numbered rows verifies a rule only on its candidates. Rules without
+mandatory trigrams scan every text. Masks of segments meet their rows in a join that Spark sizes itself.
 
 Base kinds are assign, access and hex; the method adds its own kinds (private keys, other vendors' keys).
 
@@ -14,9 +16,11 @@ rows repeat their result; a null doc_id stays null; an empty table gives no rows
 
 from __future__ import annotations
 
+import re
 import re._constants as op
 import re._parser as parser
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +50,6 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, False),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}", 0, 1, False),
 )
-SLOTS = 1 << 17
 _MOST = 24
 
 
@@ -112,6 +115,10 @@ def literals(tree) -> tuple[set[str] | None, list[frozenset[str]]]:
     return None, musts
 
 
+#: Trigrams that the index holds: printable ASCII without blanks, in lower case.
+GRAM = r"(?=([!-@\[-~]{3}))"
+
+
 def trigram_query(pattern: str) -> list[list[list[str]]]:
     """AND of ORs of ANDs of lower-cased trigrams that every match holds; [] if there are none."""
     exact, musts = literals(parser.parse(pattern))
@@ -120,40 +127,37 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
     query = []
     for alternatives in musts:
         low = sorted({a.lower() for a in alternatives})
-        query.append([sorted({a[i : i + 3] for i in range(len(a) - 2)}) for a in low])
+        clause = [sorted({a[i : i + 3] for i in range(len(a) - 2) if re.match(GRAM, a[i : i + 3])}) for a in low]
+        if all(clause):
+            query.append(clause)
     return query
 
 
-def row_key() -> Column:
-    return F.xxhash64(text_or_empty())
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, segment, bit), stored, so that index and scan agree on the numbers."""
+    number = F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), number.alias("n"))
+    return stored(rows.select("doc_id", "text", F.shiftright("n", 6).alias("segment"), F.col("n").bitwiseAND(F.lit(63)).cast("int").alias("bit")), "numbered")
 
 
-def build_index(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """Stored postings (gram, key) of the trigrams that the rules' queries name, in lower-cased texts."""
-    vocabulary = sorted({g for r in rules for clause in trigram_query(r.pattern) for one in clause for g in one})
-    low = F.lower(text_or_empty())
-    hits = F.filter(F.array(*[F.when(low.contains(g), F.lit(g)) for g in vocabulary]), lambda g: g.isNotNull())
-    postings = docs.select(row_key().alias("key"), F.explode(hits).alias("gram")).distinct()
-    return stored(postings, "trigram-index")
+def build_index(rows: DataFrame) -> DataFrame:
+    """Stored postings (segment, gram, mask) of rows(text, segment, bit): all trigrams, whatever the rules."""
+    grams = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(GRAM), F.lit(1)))
+    each = rows.select("segment", F.expr("shiftleft(1L, bit)").alias("mask"), F.explode(grams).alias("gram"))
+    return stored(each.groupBy("segment", "gram").agg(F.bit_or("mask").alias("mask")), "trigram-index")
 
 
 def candidates(index: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """(key, rule bits): rows whose postings satisfy a rule's query, by counting each AND's trigrams."""
-    bits = []
-    for i, rule in enumerate(rules):
-        query = trigram_query(rule.pattern)
-        if query:
-            held = F.lit(True)
-            for clause in query:
-                any_of = F.lit(False)
-                for grams in clause:
-                    any_of = any_of | (F.count_if(F.col("gram").isin(*grams)) == len(grams))
-                held = held & any_of
-            bits.append(F.when(held, F.lit(1 << i)).otherwise(0))
-    total = F.lit(0)
-    for b in bits:
-        total = total + b
-    return index.groupBy("key").agg(total.cast("int").alias("bits")).where("bits > 0")
+    """(segment, m0, m1, ...): masks of the rows whose postings satisfy each rule's query; segments without any are left out."""
+    queries = [trigram_query(rule.pattern) for rule in rules]
+    named = sorted({g for q in queries for clause in q for grams in clause for g in grams})
+    held = F.map_from_entries(F.collect_list(F.struct("gram", "mask")))  # an entry for each trigram that the rules name
+    found = index.where(F.col("gram").isin(named)).groupBy("segment").agg(held.alias("held"))
+    mask = lambda g: F.coalesce(F.try_element_at("held", F.lit(g)), F.lit(0).cast("long"))
+    both, either = (lambda a, b: a.bitwiseAND(b)), (lambda a, b: a.bitwiseOR(b))
+    masks = [reduce(both, [reduce(either, [reduce(both, map(mask, grams)) for grams in clause]) for clause in q]).alias(f"m{i}") for i, q in enumerate(queries) if q]
+    some = reduce(either, [F.col(f"m{i}") for i, q in enumerate(queries) if q])
+    return stored(found.select("segment", *masks).where(some != 0), "candidates")
 
 
 def spans_of(rule: Rule, turn: int, text: Column) -> Column:
@@ -181,17 +185,14 @@ def spans_of(rule: Rule, turn: int, text: Column) -> Column:
 
 def scan_secrets(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
-    found = candidates(build_index(docs, rules), rules)
-    slot = lambda key: F.pmod(key, F.lit(SLOTS)).cast("int")
-    bitmap = found.groupBy(slot(F.col("key")).alias("slot")).agg(F.bit_or("bits").alias("bits"))  # SLOTS rows at most
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), slot(row_key()).alias("slot"))
-    flagged = rows.join(F.broadcast(bitmap), "slot", "left").select("doc_id", "text", F.coalesce("bits", F.lit(0)).alias("bits"))
+    rows = numbered_rows(docs)
+    flagged = rows.join(candidates(build_index(rows), rules), "segment", "left")
     none = F.array().cast("array<struct<start:int,turn:int,end:int>>")
     text = F.col("text")
     columns = []
     for i, rule in enumerate(rules):
         if trigram_query(rule.pattern):
-            there = F.col("bits").bitwiseAND(F.lit(1 << i)) != 0
+            there = F.expr(f"coalesce(shiftrightunsigned(m{i}, bit) & 1L, 0L) != 0L")
         else:
             there = text.rlike(rule.pattern)
         columns.append(F.when(there, spans_of(rule, i, text)).otherwise(none).alias(f"s{i}"))

@@ -261,6 +261,37 @@ def test_trigram_queries_and_spans(docs):
     assert got["base_sha256"] == hashlib.sha256(got["spans"].encode()).hexdigest()
 
 
+def test_trigram_postings_and_masks(spark):
+    rnd = random.Random(9)
+    bits = ["password=abcdefgh", "token: zzzzzz", "AKIA" + "A" * 16, "ghp_" + "a1" * 20, "sk_live_" + "9" * 20, "no_key", "Ünï cödé ſecret=abcdef", "ab" * 13, "-----BEGIN RSA PRIVATE KEY-----"]
+    rows = [(i, " ".join(rnd.choice([*bits, "of", "the", "THE x-y"]) for _ in range(rnd.randrange(5)))) for i in range(400)] + [(400, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    numbered = secrets.numbered_rows(df)
+    index = {(r["segment"], r["gram"]): r["mask"] % 2**64 for r in secrets.build_index(numbered).collect()}
+    want = {}
+    for r in numbered.collect():
+        low = r["text"].lower()
+        for g in {low[i : i + 3] for i in range(len(low) - 2)}:
+            if all("!" <= c <= "~" for c in g):
+                want[r["segment"], g] = want.get((r["segment"], g), 0) | 1 << r["bit"]
+    assert index == want
+    plain = {}
+    for i, text in rows:
+        found = []
+        for turn, rule in enumerate(secrets.RULES):
+            for m in re.finditer(rule.pattern.replace("(?i:", "(?ai:"), text or ""):
+                if len(m.group(rule.group)) >= rule.least:
+                    found.append((m.start(), turn, m.end()))
+        plain[i] = ",".join(f"{secrets.RULES[t].kind}:{a}:{b}" for a, t, b in sorted(found))
+    assert {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(df).collect()} == plain
+
+
+def test_secrets_in_very_long_texts(spark):
+    text = "plain words " * 200_000 + "token=abcdef12 " + "x" * 100_000
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["spans"] == f"assign:{12 * 200_000}:{12 * 200_000 + 14}"
+
+
 def test_quality_text_and_copies(docs):
     kept = {r["doc_id"]: r["text"] for r in quality.clean_documents(docs).collect()}
     assert kept[8] == LONG and 7 not in kept and None not in kept and quality.clean_documents(docs).columns == docs.columns
