@@ -2,25 +2,34 @@
 
 The BPE encoding of a prefix followed by its last token is again an encoding, so for each position of a piece one
 token ends the encoding of the prefix up to there: the one compatible with the token before it (two tokens are
-compatible if merging their joined symbols gives those two back). These last tokens form a tree. A token is stable
-once all positions that a later token can start from (the last ``lookahead`` ones, the longest token of the merge
-list) descend from its end; then it is emitted and forgotten, so memory stays constant however long a piece is.
+compatible if merging their joined symbols gives those two back). These last tokens form a tree.
 
-Pieces are what the vocabulary's normalizer and splitter give. For texts of Latin letters (below U+0200) both are done
-here by exact equivalents; other texts pass the library's own normalizer and splitter, and then the same transducer.
+Symbols are pushed one by one. A position is live while the symbols after it begin some token of the merge list, which bounds
+the lookahead: no token has more symbols than ``lookahead``. Whatever comes later starts at a live position, so what all live
+positions descend from is stable: its tokens are emitted and forgotten. On ordinary words that is so after a few symbols, and
+memory stays constant however long a piece is. Every piece takes this way; the results of short ones are remembered in
+a table of bounded size.
 
-Decoding turns ids into text one at a time; the state is whether something has been written before (the
-vocabulary has no decoder, so the library joins token strings by one space).
+Texts are read in slices that end at a blank, which no piece reaches over. Pieces are what the vocabulary's normalizer and
+splitter give. For slices of Latin letters (below U+0200) both are done here by exact equivalents; other slices pass the
+library's own normalizer and splitter, and then the same transducer.
 
-Defined cases: null and empty texts have no tokens and decode to the empty text; repeated rows repeat their
-result; a null doc_id stays null.
+Decoding is a state machine over bytes: each id adds the bytes of its name (or, in a byte-level vocabulary, the bytes that it
+stands for), and a character is given out once its last byte is there; bytes that can't become one give U+FFFD. Without a
+decoder in the vocabulary the library joins names by a space, so the other part of the state is whether a name came before.
+
+Defined cases: null and empty texts have no tokens and decode to the empty text; symbols that the vocabulary lacks are dropped
+before merging, as in the library; repeated rows repeat their result; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +37,9 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 CHUNKS = 150_000
+#: Characters after which a slice of a text ends at the next blank.
+SLICE = 1 << 16
+_BLANK = re.compile("[ \n]")
 _LATIN = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ʯ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LATIN}]+|[{_NUMBER}]|[^{_LATIN}{_NUMBER}]+")
@@ -50,7 +62,7 @@ def byte_letters() -> list[str]:
 
 
 class Transducer:
-    """Streaming BPE over symbols; push() symbols, then finish() a piece. Tokens come out once stable."""
+    """Streaming BPE over the symbols of a piece; tokens are emitted once stable."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
         self.vocab, self.end = vocab, end
@@ -68,7 +80,20 @@ class Transducer:
         made_at = {t: i for t, (_, _, i) in self.split.items()}
         #: Whether each merge joins what earlier merges form, so that ranks are also the order in time.
         self.proper = all(made_at.get(a, -1) < i and made_at.get(b, -1) < i for (a, b), i in self.rank.items()) and len(self.split) == len(self.rank)
-        self.own: dict[tuple, bool] = {}
+        self.own: dict[str, bool] = {}
+        #: What symbols inside a piece can be: 1 the beginning of a longer token, 2 a token, 3 both.
+        self.kinds: dict[str, int] = {}
+        singles = {t for t in vocab if len(self.symbols(t)) == 1}
+        for t in made | singles:
+            body, tail = (t[: -len(end)], True) if end and t.endswith(end) and len(t) > len(end) else (t, False)
+            for i in range(1, len(body)):
+                self.kinds[body[:i]] = self.kinds.get(body[:i], 0) | 1
+            if not tail and t in vocab:
+                self.kinds[body] = self.kinds.get(body, 0) | 2
+        #: Whether the vocabulary has a symbol for every byte, inside a piece and at its end.
+        self.complete = all(c in vocab and c + end in vocab for c in byte_letters())
+        #: Tokens emitted before their piece had ended.
+        self.settled = 0
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: join the pair of lowest rank, leftmost first, until none is left."""
@@ -112,107 +137,123 @@ class Transducer:
         Both sides merge as alone until a pair across the border comes first; that pair exists while both of
         its symbols stand at the border. Of equal pairs, the one further left goes first.
         """
-        got = self.joins.get((a, b))
+        if not self.proper:
+            return self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
+        rank, right = self.rank, self.spine(b, False)
+        for x, formed, used in self.spine(a, True):
+            for y, formed2, used2 in right:
+                r = rank.get((x, y))
+                if r is not None and formed < r < used and formed2 < r <= used2:
+                    return False
+        return True
+
+    def fits(self, before: str, token: str) -> bool:
+        """Whether a token of the vocabulary can follow ``before`` ('' at a piece's start); remembered in a bounded table."""
+        got = self.joins.get((before, token))
         if got is None:
             if len(self.joins) > 200_000:
                 self.joins.clear()
-            if self.proper:
-                rank = self.rank
-                got = True
-                right = self.spine(b, False)
-                for x, formed, used in self.spine(a, True):
-                    for y, formed2, used2 in right:
-                        r = rank.get((x, y))
-                        if r is not None and formed < r < used and formed2 < r <= used2:
-                            got = False
-                            break
-                    if not got:
-                        break
-            else:
-                got = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
-            self.joins[a, b] = got
+            got = self.joins[before, token] = self.canonical(token) and (not before or self.compatible(before, token))
         return got
 
-    def whole(self, piece: str) -> list[str]:
-        """Tokens of a piece inside the window: longest match first, stepping back where nothing fits.
-
-        A place is reached by one path only (the encoding of what lies before it), so it is given up once.
-        """
-        n, vocab, end, own, joins = len(piece), self.vocab, self.end, self.own, self.joins
-        toks, lens, dead = [], [], set()
-        at, size = 0, n
-        while at < n:
-            while size:
-                to = at + size
-                token = piece[at:to] + end if to == n else piece[at:to]
-                if token in vocab and to not in dead:
-                    ok = own.get(token)
-                    if ok is None:
-                        ok = self.canonical(token)
-                    if ok and toks:
-                        ok = joins.get((toks[-1], token))
-                        if ok is None:
-                            ok = self.compatible(toks[-1], token)
-                    if ok:
-                        toks.append(token)
-                        lens.append(size)
-                        at, size = to, n - to
-                        break
-                size -= 1
-            else:
-                if not toks:
-                    return []
-                dead.add(at)
-                toks.pop()
-                size = lens.pop()
-                at -= size
-                size -= 1
-        return toks
-
-    def encode(self, piece: str) -> list[str]:
-        """Tokens of one piece of byte letters."""
-        n, look, vocab = len(piece), self.lookahead, self.vocab
-        if n <= look and (found := self.whole(piece)):
-            return found
+    def encode(self, piece: str, emit=None) -> list[str]:
+        """Tokens of a piece, its last symbol with the end mark; with emit(tokens), they are handed over as they become stable."""
+        vocab, end = self.vocab, self.end
+        ended = True
+        if not self.complete:
+            ended = piece[-1:] + end in vocab
+            piece = "".join([c for c in piece[:-1] if c in vocab]) + (piece[-1:] if ended else "")
         out: list[str] = []
-        base, last, back = 0, [""], [0]  # of positions base..: the token that ends there and where it starts
-        for i in range(1, n + 1):
-            tail = self.end if i == n else ""
-            for j in range(max(0, i - look), i):
-                if j < base:
+        n = len(piece)
+        inner = n - 1 if ended and end else n
+        kinds, joins, settled = self.kinds.get, self.joins, 0
+        base, last, back, live = 0, [""], [0], [0]  # of positions base..: the token that ends there and where it starts
+        for i in range(1, inner + 1):
+            token, start, still = "", i, []
+            for j in live:
+                part = piece[j:i]
+                kind = kinds(part)
+                if kind is None:
                     continue
-                token = piece[j:i] + tail
-                if token in vocab and self.canonical(token) and (j == 0 or (last[j - base] and self.compatible(last[j - base], token))):
-                    last.append(token)
-                    back.append(j)
-                    break
+                if kind != 2:
+                    still.append(j)
+                if kind != 1 and not token:
+                    pair = last[j - base], part
+                    if (joins[pair] if pair in joins else self.fits(*pair)):
+                        token, start = part, j
+            last.append(token)
+            back.append(start)
+            if not still:
+                stable = i
+            elif i - base >= 4 * self.lookahead:
+                stable = self._common(base, back, [*still, i])
             else:
-                last.append("")  # no token ends here: a symbol that the vocabulary lacks
-                back.append(i - 1)
-            if i < n and i - base >= 4 * look:
-                base = self._settle(base, last, back, i, out)
-        path, at = [], n
-        while at > base:
-            path.append(last[at - base])
-            at = back[at - base]
-        out += reversed(path)
-        return [t for t in out if t]
-
-    def _settle(self, base: int, last: list[str], back: list[int], i: int, out: list[str]) -> int:
-        """Emit what all positions that a later token can start from share; returns the new base."""
-        live = {j for j in range(max(base, i - self.lookahead + 1), i + 1)}
-        while len(live) > 1:
-            far = max(live)
-            live.remove(far)
-            live.add(back[far - base] if far > base else base)
-        stable = live.pop()
-        path, at = [], stable
-        while at > base:
-            path.append(last[at - base])
-            at = back[at - base]
-        out += reversed(path)
-        del last[: stable - base], back[: stable - base]
-        return stable
+                stable = base
+            if stable > base:
+                found = self._path(base, last, back, stable)
+                settled += len(found) if i < n else 0
+                if emit:
+                    emit(found)
+                else:
+                    out += found
+                del last[: stable - base], back[: stable - base]
+                base = stable
+            still.append(i)
+            live = still
+        if inner < n:
+            for j in live:
+                token = piece[j:] + end
+                if token in vocab and self.fits(last[j - base], token):
+                    found = [*self._path(base, last, back, j), token]
+                    break
+        else:
+            found = self._path(base, last, back, n)
+        self.settled += settled
+        if emit:
+            emit(found)
+            return out
+        return out + found if out else found
+
+    @staticmethod
+    def _path(base: int, last: list[str], back: list[int], to: int) -> list[str]:
+        """The tokens from base to a position."""
+        path = []
+        while to > base:
+            path.append(last[to - base])
+            to = back[to - base]
+        path.reverse()
+        return path
+
+    @staticmethod
+    def _common(base: int, back: list[int], live: list[int]) -> int:
+        """The position that all live ones descend from."""
+        at = set(live)
+        while len(at) > 1:
+            far = max(at)
+            at.remove(far)
+            at.add(back[far - base] if far > base else base)
+        return at.pop()
+
+
+class ByteText:
+    """Incremental byte-to-text state machine: the state is what is left of a character, and whether a name came before."""
+
+    def __init__(self, names: dict[int, bytes], between: bytes):
+        self.names, self.between = names, between
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+        self.begun = False
+
+    def feed(self, ids: list[int]) -> str:
+        names = self.names
+        raw = self.between.join([names[i] for i in ids if i in names])
+        if not raw:
+            return ""
+        lead = self.between if self.begun else b""
+        self.begun = True
+        return self.machine.decode(lead + raw)
+
+    def finish(self) -> str:
+        return self.machine.decode(b"", final=True)
 
 
 class Codec:
@@ -221,34 +262,33 @@ class Codec:
 
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.machine = Transducer(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.vocab = dict(model["vocab"])
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        letters = byte_letters()
+        byte_level = (whole.get("decoder") or {}).get("type") == "ByteLevel"
+        byte_of = {c: b for b, c in enumerate(letters)}
+        raw = lambda t: bytes(byte_of[c] for c in t) if byte_level and all(c in byte_of for c in t) else t.encode()
+        self.bytes_of = {i: raw(t) for t, i in self.vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.between = b"" if byte_level else b" "
+        self.shown = {i: str(i) for i in self.bytes_of}
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.letters = byte_letters()
-        self.table = str.maketrans({chr(b): x for b, x in enumerate(self.letters)})
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
-
-    def ids_of(self, pieces: list[str]) -> list[int]:
-        return [self.vocab[t] for p in pieces for t in self.machine.encode(p)]
-
-    def told(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+        self.table = str.maketrans({chr(b): x for b, x in enumerate(letters)})
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, piece: str) -> tuple[int, str, str]:
-        """(tokens, ids, decoded) of one plain piece."""
+    def piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of one plain piece."""
         got = self.words.get(piece)
         if got is None and (got := self.older.get(piece)):
             self.words[piece] = got
         if got is None:
             raw = piece if piece.isascii() else piece.encode().decode("latin-1")
-            toks = self.machine.encode(raw.translate(self.table))
             vocab = self.vocab
-            got = len(toks), " ".join([str(vocab[t]) for t in toks]), " ".join(toks)
+            got = tuple([vocab[t] for t in self.machine.encode(raw.translate(self.table))])
             if len(piece) <= 64:
                 if len(self.words) >= CHUNKS:
                     self.older = dict(self.words)  # frequent pieces come back from here
@@ -256,53 +296,61 @@ class Codec:
                 self.words[piece] = got
         return got
 
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """(tokens, ids, decoded) of a run of plain characters between white space."""
+    def chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a run of plain characters between white space."""
         if chunk.isalpha():
             return self.piece(chunk)
         if chunk[:-1].isalpha() and chunk[-1] in ".,":
-            n, ids, words = self.piece(chunk[:-1])
-            m, more, last = self.piece(chunk[-1])
-            return n + m, f"{ids} {more}", f"{words} {last}"
-        found = [self.piece(p) for p in _PIECE.findall(chunk)]
-        if len(found) == 1:
-            return found[0]
-        counts, ids, words = zip(*found)
-        return sum(counts), " ".join(ids), " ".join(words)
-
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
+            return self.piece(chunk[:-1]) + self.piece(chunk[-1])
+        return tuple(chain.from_iterable(map(self.piece, _PIECE.findall(chunk))))
+
+    def ids_of(self, text: str) -> list[int]:
+        """Ids of a slice without special tokens."""
         if not text.encode().translate(None, _PLAIN):
             known, chunk = self.words.get, self.chunk
-            return [known(c) or chunk(c) for c in text.lower().split()]
-        pieces = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))]
-        return [self.told(self.ids_of(pieces))] if pieces else []
+            return list(chain.from_iterable([known(c) or chunk(c) for c in text.lower().split()]))
+        pieces = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))
+        vocab, encode = self.vocab, self.machine.encode
+        return [vocab[t] for p, _ in pieces for t in encode(p)]
+
+    def encode(self, text: str | None) -> Iterator[list[int]]:
+        """Ids of the text, slice by slice."""
+        text, at = text or "", 0
+        while at < len(text):
+            cut = _BLANK.search(text, at + SLICE)
+            part = text[at : cut.end()] if cut else text[at:]
+            at += len(part)
+            if self.cut and "<" in part:
+                ids, done = [], 0
+                for m in self.cut.finditer(part):
+                    ids += self.ids_of(part[done : m.start()])
+                    ids.append(self.special[m.group()])
+                    done = m.end()
+                yield ids + self.ids_of(part[done:])
+            else:
+                yield self.ids_of(part)
+
+    def trip(self, text: str | None, ids_to: Callable[[str], object], text_to: Callable[[str], object]) -> int:
+        """Number of ids; their decimals, joined by a space, and the decoded text are handed on as they come."""
+        machine, n, shown = ByteText(self.bytes_of, self.between), 0, self.shown
+        for ids in self.encode(text):
+            if ids:
+                ids_to((" " if n else "") + " ".join([shown[i] for i in ids]))
+                n += len(ids)
+                text_to(machine.feed(ids))
+        text_to(machine.finish())
+        return n
 
     def run(self, text: str | None) -> tuple[int, str, str]:
         """(tokens, decimal ids joined by a space, decoded text)."""
-        text = text or ""
-        found: list[tuple[int, str, str]] = []
-        if self.cut and "<" in text:
-            at = 0
-            for m in self.cut.finditer(text):
-                found += self.parts(text[at : m.start()])
-                found.append(self.told([self.special[m.group()]]))
-                at = m.end()
-            text = text[at:]
-        found += self.parts(text)
-        if not found:
-            return 0, "", ""
-        counts, ids, words = zip(*found)
-        return sum(counts), " ".join(ids), " ".join(words)
-
-    def decode(self, ids: list[int]) -> str:
-        out, begun = [], False
-        for i in ids:
-            if i in self.names:
-                if begun:
-                    out.append(" ")
-                out.append(self.names[i])
-                begun = True
-        return "".join(out)
+        ids, told = [], []
+        return self.trip(text, ids.append, told.append), "".join(ids), "".join(told)
+
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text), in constant memory beside the text."""
+        ids, told = hashlib.sha256(), hashlib.sha256()
+        n = self.trip(text, lambda s: ids.update(s.encode()), lambda s: told.update(s.encode()))
+        return n, ids.hexdigest(), told.hexdigest()
 
 
 def codec(path: str) -> Codec:
@@ -315,8 +363,7 @@ def bpe_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; no shuffle."""
 
     def rows(names, texts):
-        found = map(codec(tokenizer).run, texts)
-        out = [(n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for n, i, d in found]
+        out = list(map(codec(tokenizer).digest, texts))
         return [names, *([list(c) for c in zip(*out)] if out else [[]] * 3)]
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -166,6 +166,63 @@ def test_bpe_equals_the_library(spark):
         assert own.run(t) == (len(ids), " ".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False))
 
 
+def test_transducer_against_plain_merging():
+    from tokenizers import Tokenizer, models
+
+    rnd = random.Random(12)
+    for _ in range(40):
+        vocab, merges = {c: i for i, c in enumerate("abc")}, []
+        for _ in range(rnd.randrange(1, 12)):
+            pair = rnd.choice(list(vocab)), rnd.choice(list(vocab))
+            if pair[0] + pair[1] not in vocab:
+                merges.append(pair)
+                vocab[pair[0] + pair[1]] = len(vocab)
+        machine = bpe_stream.Transducer(vocab, merges, "")
+        library = Tokenizer(models.BPE(vocab, merges))
+        for _ in range(40):
+            piece = "".join(rnd.choice("abcabcx") for _ in range(rnd.randrange(1, 90)))
+            given: list = []
+            assert machine.encode(piece) == library.encode(piece).tokens
+            machine.encode(piece, given.extend)
+            assert given == library.encode(piece).tokens
+
+
+def test_tokens_leave_before_the_end(spark):
+    own = bpe_stream.codec(token_files.tokenizer_path(spark, "word_bpe_49k.json"))
+    own.machine.settled = 0
+    own.words.clear(), own.older.clear()
+    for r in real(spark).select("text").limit(40).collect():
+        own.run(r[0])
+    assert own.machine.settled > 0
+    left: list = []
+    held = own.machine.encode("thorough" * 4000, left.append)
+    assert not held and len(left) > 100 and max(map(len, left[:-1])) < 4 * own.machine.lookahead
+
+
+def test_memory_stays_flat(spark):
+    import tracemalloc
+
+    own = bpe_stream.codec(token_files.tokenizer_path(spark, "word_bpe_49k.json"))
+    peaks = []
+    for times in (1, 8):
+        text = "Thorough ablation hétier, ñ thinking; " * (30_000 * times)
+        own.digest(text[:200_000])
+        tracemalloc.start()
+        own.digest(text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
+def test_bytes_become_text_as_they_come():
+    raw = "é日😀x".encode() + b"\xe6\x97"
+    machine = bpe_stream.ByteText({i: bytes([b]) for i, b in enumerate(raw)}, b"")
+    out = [machine.feed([i]) for i in range(len(raw))]
+    assert [x for x in out if x] == ["é", "日", "😀", "x"] and machine.finish() == "\ufffd" == (b"\xe6\x97").decode("utf-8", "replace")
+    named = bpe_stream.ByteText({0: b"a", 1: b"b"}, b" ")
+    assert named.feed([0]) + named.feed([9]) + named.feed([1, 0]) + named.finish() == "a b a"
+
+
 def test_language_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
