@@ -82,21 +82,30 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM d JOIN g USING (text)
 """
 
+#: Every repeated run of every length, grown line by line; not the windows and ranks of the Spark code.
 LINES = (
     r"""
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS row, doc_id, text FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS row, doc_id, text FROM documents),
 l AS (
   SELECT row, pos, line, len("""
     + WORDS.format("line")
-    + r""") AS words, lead(line) OVER (PARTITION BY row ORDER BY pos) AS after
+    + r""") AS words
   FROM (SELECT row, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d)),
-single AS (SELECT row, pos, row_number() OVER (PARTITION BY line ORDER BY row, pos) AS k FROM l WHERE words >= 50),
-pairs AS (SELECT row, pos, row_number() OVER (PARTITION BY line, after ORDER BY row, pos) AS k FROM l WHERE words > 0 AND after IS NOT NULL),
+runs AS (
+  SELECT row, pos, 1::BIGINT AS len, md5(line) AS run FROM l QUALIFY count(*) OVER (PARTITION BY line) > 1
+  UNION ALL
+  SELECT * FROM (SELECT r.row, r.pos, r.len + 1 AS len, md5(r.run || md5(l.line)) AS run FROM runs r JOIN l ON l.row = r.row AND l.pos = r.pos + r.len)
+  QUALIFY count(*) OVER (PARTITION BY run) > 1),
+counted AS (SELECT r.* FROM runs r JOIN l USING (row, pos) WHERE (r.len >= 2 AND l.words > 0) OR (r.len = 1 AND l.words >= 50)),
+placed AS (
+  SELECT *, first_value(row) OVER w AS first_row, first_value(pos) OVER w AS first_pos FROM counted
+  WINDOW w AS (PARTITION BY len, run ORDER BY row, pos)),
 gone AS (
-  SELECT row, pos FROM single WHERE k > 1 UNION SELECT row, pos FROM pairs WHERE k > 1 UNION SELECT row, pos + 1 FROM pairs WHERE k > 1),
-runs AS (SELECT row, min(pos) AS a, max(pos) AS b FROM (
-  SELECT row, pos, pos - row_number() OVER (PARTITION BY row ORDER BY pos) AS run FROM gone) GROUP BY row, run),
-shown AS (SELECT row, sum(b - a + 1) AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS removed FROM runs GROUP BY row)
+  SELECT DISTINCT row, spot FROM (SELECT *, unnest(range(pos, pos + len)) AS spot FROM placed WHERE row <> first_row OR pos <> first_pos)
+  WHERE row <> first_row OR spot >= first_pos + len),
+parts AS (SELECT row, min(spot) AS a, max(spot) AS b FROM (
+  SELECT row, spot, spot - row_number() OVER (PARTITION BY row ORDER BY spot) AS part FROM gone) GROUP BY row, part),
+shown AS (SELECT row, sum(b - a + 1) AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS removed FROM parts GROUP BY row)
 SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
 FROM d LEFT JOIN shown USING (row)
 """

@@ -266,43 +266,51 @@ def test_exact_dedup_of_very_long_texts(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.keep_largest(df).select("doc_id").collect()) == [2, 3]
 
 
-@pytest.mark.parametrize("length", [2, 5])
-def test_line_runs_brute_force(spark, length):
-    rnd = random.Random(4)
-    rows = [(i, "\n".join(rnd.choice("ab ") for _ in range(rnd.randrange(1, 12)))) for i in range(40)]
-    seen, gone = set(), {}
+def without_repeats(rows, length):
+    """Texts without the lines of later places of repeated runs of any length, first places whole."""
+    first, gone = {}, {}
     for i, t in rows:
         lines = t.split("\n")
-        for p in range(len(lines) - length + 1):
-            run = tuple(lines[p : p + length])
-            if lines[p].strip():
-                if run in seen:
-                    gone.setdefault(i, set()).update(range(p, p + length))
-                seen.add(run)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, min_lines=length).collect()} == want
+        for p in range(len(lines)):
+            for end in range(p + length, len(lines) + 1):
+                if not lines[p].strip():
+                    break
+                doc, q = first.setdefault(tuple(lines[p:end]), (i, p))
+                if (doc, q) != (i, p):
+                    gone.setdefault(i, set()).update(k for k in range(p, end) if doc != i or k >= q + end - p)
+                elif end - p > 600:
+                    break
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
 
 
 @pytest.mark.parametrize("length", [1, 2, 5])
-def test_whole_line_runs_brute_force(spark, length):
+def test_line_runs_brute_force(spark, length):
     rnd = random.Random(6)
     rows = [(i, "\n".join(rnd.choice("abc" + " " * (i % 9)) for _ in range(rnd.randrange(1, 16)))) for i in range(60)]
     rows += [(60, "x\n" + "\n" * 13 + "y\nz"), (61, "x\n" + "\n" * 13 + "y\nw"), (62, "x\n" + "\n" * 13 + "z"), (63, "p\n\nq\nr"), (64, "p\n\nq\ns")]
-    seen, gone = set(), {}
-    for i, t in rows:
-        lines = t.split("\n")
-        for p in range(len(lines)):
-            for end in range(p + length, len(lines) + 1):
-                if lines[p].strip():
-                    if tuple(lines[p:end]) in seen:
-                        gone.setdefault(i, set()).update(range(p, end))
-                    seen.add(tuple(lines[p:end]))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, min_lines=length, whole_runs=True).collect()} == want
+    rows += [(65, "k l\n" * 7 + "m"), (66, "u v\nw\n" * 5 + "end"), (67, "t\n\n" * 6 + "t")]
+    df = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, __line_doc string").repartition(3)
+    want = without_repeats(rows, length)
+    got = line_dedup.dedup_lines(df, min_lines=length).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and {r["__line_doc"] for r in got} == {"kept"}
     if length == 2:
-        assert want[64] == "s"
+        assert want[64] == "s" and want[65] == "k l\nk l\nm" and want[66] == "u v\nw\nend"
+
+
+def test_long_line_runs(spark):
+    """Runs of 2 to 500 lines planted in two documents each, between lines of their own."""
+    rnd = random.Random(2)
+    rows, number = [], iter(range(10**9))
+    own = lambda k: [f"own {next(number)}" for _ in range(k)]
+    for k, n in enumerate((2, 3, 7, 64, 65, 127, 500)):
+        run = [f"run {k} {j}" if rnd.random() < 0.9 else "" for j in range(n - 1)] + [f"last {k}"]
+        run[0] = f"run {k}"
+        rows += [(2 * k, "\n".join(own(3) + run + own(2))), (2 * k + 1, "\n".join(own(1) + run + own(4)))]
+    levels = line_dedup.suffix_array(line_dedup.stored(line_dedup.line_table(spark.createDataFrame(rows, "doc_id long, text string")), "lines"))
+    assert len(levels) == 9  # 256 of 500 lines
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows:
+        assert got[i] == (t if i % 2 == 0 else "\n".join(x for x in t.split("\n") if x.startswith("own")))
 
 
 def test_line_dedup_query_takes_whole_runs(spark, tmp_path):
