@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, ship, spread_join, stored, text_or_empty
 
-CAPACITY = 16384
+CAPACITY = 256
 #: The capacity grows with the number of keys, so that there are about so many buckets a shuffle partition and no more.
 BUCKETS_A_TASK = 64
 FIRST_BITS, MORE_BITS = 12, 4
