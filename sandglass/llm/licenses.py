@@ -1,9 +1,12 @@
 """License scans (operator 3): fuzzy search for short notices.
 
 Words are runs of digits, a-z (after lower-casing A-Z) and non-ASCII characters; a text is searched as its words
-joined by spaces. Base phrases are found exactly. For the notices, each is split into k + 1 pieces: with at most
-k edits one piece stays whole (pigeonhole), so exact hits of pieces (Aho-Corasick) give candidate windows,
-and the regex library's bounded-error matching verifies edits there and gives the spans.
+joined by spaces. Base phrases are found exactly. A notice is a phrase whose words in brackets tell licenses apart (names,
+version numbers): these must stand there exactly, and edits are allowed in the parts between them only. The longest part
+with k edits allowed is split into k + 1 pieces, of which one stays whole (pigeonhole), so exact hits of pieces
+(Aho-Corasick) give candidate windows, and the regex library's bounded-error matching verifies edits there and gives the
+spans. A part too short for an edit is a seed as it is. For Creative Commons, the words after a match (nc, sharealike, ...) are
+read exactly and complete the label. All work is linear in the text beside the verification of candidate windows.
 
 Defined cases: null and empty texts have no words, no labels and score 0; rows are judged one by one, so repeated
 rows repeat their result; other columns are not read.
@@ -12,7 +15,9 @@ rows repeat their result; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,21 +27,51 @@ from .common import map_rows
 #: Fixed values of the contract.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Short notices, as words joined by spaces, and the label that each gives.
+#: Short notices, as words joined by spaces (those in brackets exact), and the label that each gives.
 NOTICES = (
-    ("released under the mit license", "mit"),
+    ("released under the [mit] license", "mit"),
+    ("[the mit license]", "mit"),
+    ("[mit license]", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
+    ("licensed under the [apache] license version [2 0]", "apache-2.0"),
+    ("[apache] license version [2 0]", "apache-2.0"),
+    ("[apache license 2 0]", "apache-2.0"),
+    ("[apache] license version [1 1]", "apache-1.1"),
+    ("[apache] license version [1 0]", "apache-1.0"),
+    ("[isc license]", "isc"),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("redistribution and use in source and binary forms", "bsd"),
-    ("gnu general public license", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("gnu affero general public license", "agpl"),
-    ("mozilla public license", "mpl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("creative commons attribution", "cc"),
+    ("[bsd 2 clause]", "bsd-2-clause"),
+    ("[bsd 3 clause]", "bsd-3-clause"),
+    ("[bsd license]", "bsd"),
+    ("[gnu] general public license", "gpl"),
+    ("[gnu gpl]", "gpl"),
+    ("[gpl v2]", "gpl"),
+    ("[gpl v3]", "gpl"),
+    ("[gplv2]", "gpl"),
+    ("[gplv3]", "gpl"),
+    ("[gnu lesser] general public license", "lgpl"),
+    ("[gnu library] general public license", "lgpl"),
+    ("[gnu lgpl]", "lgpl"),
+    ("[gnu affero] general public license", "agpl"),
+    ("[gnu agpl]", "agpl"),
+    ("[gnu free] documentation license", "gfdl"),
+    ("[mozilla] public license", "mpl"),
+    ("[eclipse] public license", "epl"),
+    ("[boost] software license", "bsl"),
+    ("[artistic license]", "artistic"),
+    ("[zlib license]", "zlib"),
+    ("this is free and [unencumbered] software released into the public domain", "unlicense"),
+    ("[cc by]", "cc-by"),
+    ("[cc0]", "cc0"),
+    ("creative commons [zero]", "cc0"),
+    ("creative commons attribution", "cc-by"),
     ("dedicated to the public domain", "public-domain"),
+    ("released into the public domain", "public-domain"),
     ("all rights reserved", "reserved"),
 )
+#: Words after a Creative Commons label that complete it, longest first.
+COMPLETES = (("non commercial", "nc"), ("no derivatives", "nd"), ("no derivs", "nd"), ("share alike", "sa"), ("noncommercial", "nc"), ("noderivatives", "nd"), ("noderivs", "nd"), ("sharealike", "sa"), ("nc", "nc"), ("nd", "nd"), ("sa", "sa"))
 ERRORS_PER_CHAR = 0.1
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -48,8 +83,12 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, str]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def allowed(phrase: str, per_char: float) -> int:
-    return int(len(phrase) * per_char)
+def parts_of(notice: str, per_char: float) -> list[tuple[str, int]]:
+    """(text, edits allowed) of a notice's parts; those in brackets allow none. Joined, they are the notice."""
+    out = []
+    for exact, loose in re.findall(r"\[([^\]]*)\]|([^\[\]]+)", notice):
+        out.append((exact or loose, 0 if exact else int(len(loose.strip()) * per_char)))
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -59,18 +98,36 @@ def machine(notices: tuple, per_char: float):
 
     seeds: dict[str, list] = {}
     rules = []
-    for i, (phrase, label) in enumerate(notices):
-        k = allowed(phrase, per_char)
-        rules.append((regex.compile(rf"(?<![^ ])(?e)(?:{regex.escape(phrase)}){{e<={k}}}(?![^ ])"), len(phrase), k, label))
-        for off, part in pieces(phrase, k):
-            seeds.setdefault(part, []).append((i, off))
+    for i, (notice, label) in enumerate(notices):
+        parts = parts_of(notice, per_char)
+        shown = [regex.escape(text) if not k else rf"(?:{regex.escape(text)}){{e<={k}}}" for text, k in parts]
+        whole, errors = "".join(text for text, _ in parts), sum(k for _, k in parts)
+        rules.append((regex.compile(rf"(?<![^ ])(?e)(?:{''.join(shown)})(?![^ ])"), len(whole), errors, label))
+        best = max(range(len(parts)), key=lambda j: len(parts[j][0]) / (parts[j][1] + 1))
+        lead = sum(len(text) for text, _ in parts[:best])
+        for off, piece in pieces(*parts[best]):
+            seeds.setdefault(piece, []).append((i, lead + off))
     auto = ahocorasick.Automaton()
-    for part, where in seeds.items():
-        auto.add_word(part, (len(part), tuple(where)))
+    for piece, where in seeds.items():
+        auto.add_word(piece, (len(piece), tuple(where)))
     auto.make_automaton()
     return auto, rules
 
 
+def completed(joined: str, end: int, label: str) -> tuple[int, str]:
+    """(end, label) of a Creative Commons match with the words after it that complete the label."""
+    marks: list[str] = []
+    while True:
+        for words, mark in COMPLETES:
+            stop = end + 1 + len(words)
+            if joined.startswith(" " + words, end) and (stop == len(joined) or joined[stop] == " "):
+                end = stop
+                marks += [mark] if mark not in marks else []
+                break
+        else:
+            return end, "-".join([label, *marks])
+
+
 def fuzzy_spans(joined: str, notices: tuple = NOTICES, per_char: float = ERRORS_PER_CHAR) -> list[tuple[int, int, str, int]]:
     """(start, end, label, edits) in characters of the joined words, by start."""
     auto, rules = machine(notices, per_char)
@@ -79,9 +136,7 @@ def fuzzy_spans(joined: str, notices: tuple = NOTICES, per_char: float = ERRORS_
         start = end - length + 1
         for i, off in where:
             _, n, k, _ = rules[i]
-            lo, hi = max(0, start - off - k), min(len(joined), start - off + n + k)
-            own = windows.setdefault(i, [])
-            own.append([lo, hi])
+            windows.setdefault(i, []).append([max(0, start - off - k), min(len(joined), start - off + n + k)])
     found = set()
     for i, own in windows.items():
         pattern, _, _, label = rules[i]
@@ -96,7 +151,8 @@ def fuzzy_spans(joined: str, notices: tuple = NOTICES, per_char: float = ERRORS_
             for m in pattern.finditer(joined, lo, min(len(joined), hi + 1)):
                 a, b = m.span()
                 if b > a and (b == len(joined) or joined[b] == " "):
-                    found.add((a, b, label, sum(m.fuzzy_counts)))
+                    b, told = completed(joined, b, label) if label == "cc-by" else (b, label)
+                    found.add((a, b, told, sum(m.fuzzy_counts)))
     return sorted(found)
 
 
@@ -107,23 +163,25 @@ def scan(text: str | None, notices: tuple = NOTICES, per_char: float = ERRORS_PE
         return 0, 0, None, None, "", "", 0.0, ""
     joined = " ".join(words)
     framed = f" {joined} "
-    starts, base = [], set()
+    hits = []
     for phrase, label in BASE.items():
         at = framed.find(f" {phrase} ")
         while at >= 0:
-            starts.append(joined.count(" ", 0, at))
-            base.add(label)
+            hits.append((at, label))
             at = framed.find(f" {phrase} ", at + 1)
     spans = fuzzy_spans(joined, notices, per_char)
-    labels = base | {s[2] for s in spans}
-    covered = set()
-    shown = []
+    if not hits and not spans:
+        return len(words), 0, None, None, "", "", 0.0, ""
+    begins = list(accumulate((len(w) + 1 for w in words), initial=0))
+    word_at = lambda place: bisect_right(begins, place) - 1
+    starts = [word_at(at) for at, _ in hits]
+    covered, shown = set(starts), []
     for a, b, label, edits in spans:
-        first, last = joined.count(" ", 0, a), joined.count(" ", 0, b)
-        covered.update(range(first, last + 1))
-        shown.append(f"{label}:{first}:{last + 1}:{edits}")
-    for s in starts:
-        covered.add(s)
+        first, end = word_at(a), word_at(b - 1) + 1
+        covered.update(range(first, end))
+        shown.append(f"{label}:{first}:{end}:{edits}")
+    base = {label for _, label in hits}
+    labels = base | {s[2] for s in spans}
     score = min(1.0, len(covered) / len(words))
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, ",".join(shown)
 

@@ -120,6 +120,71 @@ def test_licenses():
         assert licenses.scan(t)[:4] == (len(words), len(at), min(at, default=None), max(at, default=None))
 
 
+def edits_to_prefixes(text, of):
+    """Plain edit distance of text to each prefix of ``of``."""
+    row = list(range(len(of) + 1))
+    for i, c in enumerate(text, 1):
+        new = [i]
+        for j, d in enumerate(of, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row
+
+
+def holds(text, parts):
+    if not parts:
+        return not text
+    (own, errors), rest = parts[0], parts[1:]
+    if not errors:
+        return text.startswith(own) and holds(text[len(own) :], rest)
+    found = edits_to_prefixes(own, text)
+    return any(found[n] <= errors and holds(text[n:], rest) for n in range(max(0, len(own) - errors), min(len(text), len(own) + errors) + 1))
+
+
+def test_notices_against_plain_edit_distance():
+    rnd = random.Random(21)
+    plain = [re.sub(r"[\[\]]", "", n) for n, _ in licenses.NOTICES]
+    for turn in range(60):
+        chars = list(plain[turn % len(plain)])
+        for _ in range(rnd.randrange(4)):
+            at, what = rnd.randrange(len(chars)), rnd.randrange(3)
+            chars[at : at + (what < 2)] = [] if what == 0 else [rnd.choice("aeix")]
+        text = " ".join([*rnd.choices(["of", "the", "nc", "x"], k=2), *"".join(chars).split(), *rnd.choices(["sa", "by", "y"], k=rnd.randrange(3))])
+        words, want = text.split(), set()
+        for notice, label in licenses.NOTICES:
+            if label == "cc-by":
+                continue  # what completes these is tested below
+            parts = licenses.parts_of(notice, licenses.ERRORS_PER_CHAR)
+            n, k = sum(len(x) for x, _ in parts), sum(e for _, e in parts)
+            for i in range(len(words)):
+                for j in range(i + 1, len(words) + 1):
+                    part = " ".join(words[i:j])
+                    if abs(len(part) - n) <= k and holds(part, parts):
+                        want.add(label)
+        got = {s[2] for s in licenses.fuzzy_spans(text)}
+        assert {x for x in got if not x.startswith("cc-by")} == want, text
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Licensed under CC BY-SA 4.0", "cc-by-sa"), ("CC BY-ND", "cc-by-nd"), ("cc by nc sa", "cc-by-nc-sa"), ("CC BY 4.0", "cc-by"), ("Creative Commons Atribution Share Alike", "cc-by-sa"),
+    ("Apache License version 1.1", "apache-1.1"), ("under the Apache License, Version 2.0", "apache-2.0"), ("MIT License", "mit"), ("The MIT License (MIT)", "mit"), ("ISC license", "isc"),
+    ("GNU GPL v3", "gpl"), ("GNU Lesser General Public Licence", "lgpl"), ("limit license", ""), ("ccby", ""), ("the general public likes", ""),
+])
+def test_labels_of_notices(text, label):
+    assert ",".join(sorted({s.split(":")[0] for s in licenses.scan(text)[7].split(",")})) == label
+
+
+def test_license_scan_is_linear():
+    import time
+
+    took = []
+    for n in (10_000, 80_000):
+        start = time.process_time()
+        assert licenses.scan("cc by " * n)[1] == n
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0]
+
+
 def test_mix_nears_targets(spark, docs):
     df = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 7}") for i in range(7000)], "doc_id long, text string, source string")
     per = mixing.mix_digest(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.first("source_size").alias("s")).collect()
