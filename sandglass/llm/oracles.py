@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality import PHRASES
+
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 QUALITY = (
@@ -23,25 +25,40 @@ lines AS (
     + r""" AS own FROM (
       SELECT row, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d))),
 dup AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM lines WHERE n_own > 0 GROUP BY row),
+shaped AS (
+  SELECT *, count(*) OVER (PARTITION BY row, line) AS times, regexp_replace(line, '^[ \t-\r|<>»•·]+', '') AS rest,
+    list_filter(own, lambda x: NOT regexp_full_match(x, '[|<>»•·]+')) AS plain FROM lines),
+closing AS (
+  SELECT *, n_own > 0 AND contains('.!?…:;"'')]»”’。！？', right(own[-1], 1)) AS closed FROM shaped),
+menus AS (
+  SELECT *, 2 * count(*) FILTER (closed) OVER (PARTITION BY row) >= count(*) FILTER (n_own > 0) OVER (PARTITION BY row) AS closes, length(rest) - length(translate(rest, '|•·', '')) + CASE WHEN contains(line, '«') THEN 0
+    ELSE len(list_filter(regexp_extract_all(rest, '[^\x20\x09-\x0D]+'), lambda x: regexp_full_match(x, '[<>»]+'))) END AS apart FROM closing),
 judged AS (
   SELECT row, CASE
-    WHEN n_own >= 4 AND 4 * len(list_filter(own, lambda x: regexp_full_match(x, '(\||>|<|»|•)+'))) >= n_own THEN true
-    WHEN n_own >= 4 AND length(line) - length(translate(line, '#*$%&|<>', '')) >= n_own THEN true
-    WHEN n_own >= 4 AND 2 * len(list_filter(own, lambda x: x LIKE '%!!' OR x LIKE '%??')) >= n_own THEN true
-    WHEN n_own BETWEEN 1 AND 12 AND regexp_matches(line, '(?i)\b(cookie policy|privacy policy|terms of (use|service)|accept (all )?cookies|click here|read more|subscribe (now|to our)|sign up (now|for our)|log ?in|share this|back to top|follow us on|skip to content)\b') THEN true
-    ELSE false END AS fails,
+    WHEN n_own > 0 AND apart > 0 AND len(plain) <= 2 * (apart + 1) THEN 'navigation'
+    WHEN n_own >= 4 AND length(line) - length(translate(line, '#*$%&|<>', '')) >= n_own THEN 'punctuation'
+    WHEN n_own >= 4 AND 2 * len(list_filter(own, lambda x: x LIKE '%!!' OR x LIKE '%??')) >= n_own THEN 'punctuation'
+    WHEN closes AND n_own >= 10 AND NOT closed THEN 'punctuation'
+    WHEN n_own BETWEEN 2 AND 12 AND times >= 4 THEN 'boilerplate'
+    WHEN n_own BETWEEN 1 AND 12 AND regexp_matches(lower(line), '\b("""
+    + "|".join(p.replace("'", "''") for p in PHRASES)
+    + r""")([^a-z0-9_]|$)') THEN 'boilerplate'
+    END AS rule,
     coalesce(list_sum(list_transform(own, lambda x: length(x))), 0) AS chars
-  FROM lines),
-lost AS (SELECT row, count(*) FILTER (fails) AS n, coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS chars FROM judged GROUP BY row),
+  FROM menus),
+lost AS (
+  SELECT row, count(rule) AS n, coalesce(sum(chars) FILTER (rule IS NOT NULL), 0)::BIGINT AS chars, count(*) FILTER (rule = 'punctuation') AS punctuation_lines,
+    count(*) FILTER (rule = 'navigation') AS navigation_lines, count(*) FILTER (rule = 'boilerplate') AS boilerplate_lines FROM judged GROUP BY row),
 base AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
-    coalesce(hit.n, 0)::BIGINT AS n_repeat_words, lost.n::BIGINT AS lines_removed, lost.chars AS chars_removed
+    coalesce(hit.n, 0)::BIGINT AS n_repeat_words, lost.n::BIGINT AS lines_removed, lost.chars AS chars_removed,
+    punctuation_lines, navigation_lines, boilerplate_lines
   FROM w LEFT JOIN dup USING (row) LEFT JOIN hit USING (row) LEFT JOIN lost USING (row))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND chars_removed <= 0.5 * word_chars AS kept,
-  lines_removed, chars_removed
+  lines_removed, chars_removed, punctuation_lines, navigation_lines, boilerplate_lines
 FROM base
 """
 )

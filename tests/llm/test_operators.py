@@ -428,6 +428,16 @@ def test_quality_text_and_copies(docs):
     assert {r["doc_id"] for r in exact_dedup.keep_largest(docs).where("text like 'The same%'").collect()} == {6}
 
 
+@pytest.mark.parametrize("line, times, rule", [
+    ("Home | About | Contact", 1, "navigation"), ("Accueil|Produits|Contact", 1, "navigation"), ("Start > Produkte > Preise", 1, "navigation"), ("• buy some milk", 1, ""),
+    ("Il dit « non » et part.", 1, ""), ("This | is a sentence with one bar that goes on and ends.", 1, ""), ("a### b$$$ c%%% d&&&", 1, "punctuation"), ("BUY!! NOW!! ALL!! MUST!! GO!!", 1, "punctuation"),
+    ("one two three four five six seven eight nine ten", 1, "punctuation"), ("one two three four five six seven eight nine ten.", 1, ""), ("A short heading", 1, ""), ("Lire la suite", 1, "boilerplate"),
+    ("Datenschutz und Impressum", 1, "boilerplate"), ("POLÍTICA DE PRIVACIDAD", 1, ""), ("Volver arriba", 1, "boilerplate"), ("Seite drei", 4, "boilerplate"), ("Seite drei", 3, ""), ("Les.", 9, ""), ("", 9, ""),
+])
+def test_line_rules(line, times, rule):
+    assert quality.line_fails(line.encode().split(), line.encode(), times) == rule
+
+
 def test_one_row_of_each_text_stays(spark, none):
     rows = [(None, "a"), (None, "a"), (None, "b"), (3, "b"), (4, "c"), (4, "c"), (2, "c"), (4, "d"), (None, None), (None, ""), (7, "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -440,7 +450,7 @@ def test_pipeline_brute_force(spark):
     """Each stage against plain Python on the rows that its predecessor kept; the near-duplicate stage by 256-bit prints of all pairs."""
     stages, d = dict(corpus_pipeline.STAGES), real(spark)
     step = stages["quality_rules"](spark, d, SF)
-    want = {r["doc_id"]: quality.judge(r["text"])[9] for r in d.collect() if quality.judge(r["text"])[6]}
+    want = {r["doc_id"]: quality.judge(r["text"])[-1] for r in d.collect() if quality.judge(r["text"])[6]}
     assert {r["doc_id"]: r["text"] for r in step.collect()} == want
     last = {}
     for i, t in want.items():
