@@ -1,12 +1,14 @@
 """Language ID (operator 6): language-bitmask n-gram filters.
 
-Each language's most frequent letter trigrams (word borders count as a letter) go into a Bloom filter whose filters of
-all languages are stored sliced: one table of bit masks, in which a slot has the bits of all languages that set it.
-ANDing the masks of a trigram's slots returns every language that holds it, at once. Per language, the trigrams of a
-text that it holds are counted and corrected for the filter's false-positive rate; the largest share decides.
+Each language's own letter trigrams (word borders count as a letter) go into a Bloom filter; the filters of all languages are
+stored sliced: one table of bit masks, in which a slot has the bits of all languages that set it. ANDing the masks of a
+trigram's slots returns every language that holds it, at once. Per language, the trigrams of a text that it holds are counted
+and corrected for the filter's false-positive rate; the largest share decides.
 
-The filters are fitted on a bounded sample of labelled rows (``SAMPLE`` rows a language in the mean, chosen by hash, whole
-texts); prediction reads every text whole. Rows whose crc32(doc_id) is divisible by ``FOLDS`` are never learned from.
+A language holds every trigram that is at least ``OWN`` times as frequent in its learned texts as in those of the language where it
+is most frequent, however many these are: passages in another language add nothing to it. The filters are fitted on a
+bounded sample of labelled rows (``SAMPLE`` rows a language in the mean, chosen by hash, whole texts), which bounds what
+reaches the driver; prediction reads every text whole. Rows whose crc32(doc_id) is divisible by ``FOLDS`` are never learned from.
 
 Defined cases: a null text and one without letters is 'und' with score 0; ties go to the language that sorts first; a null
 doc_id is not held out and not learned from; with no labelled row at all every text is 'und'.
@@ -26,7 +28,7 @@ from .common import arrow_schema, ship, stored
 
 FOLDS = 5
 SAMPLE = 1500
-GRAMS = 3000
+OWN = 0.2
 HASHES = 3
 BITS_PER_GRAM = 16
 _STEP = 1 << 20
@@ -107,8 +109,16 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -> Filters:
-    """Filters from the labelled rows outside the held-out fold. What reaches the driver is ``top`` codes a language."""
+def fit(docs: DataFrame, sample: int = SAMPLE, own: float = OWN) -> Filters:
+    """Filters from the labelled rows outside the held-out fold. What reaches the driver is the trigrams of the sample."""
+    by: dict[str, list[int]] = {}
+    for r in own_grams(docs, sample, own).collect():
+        by.setdefault(r["lang"], []).append(r["code"])
+    return Filters({k: np.array(v, dtype=np.int64).view(np.uint64) for k, v in by.items()})
+
+
+def own_grams(docs: DataFrame, sample: int = SAMPLE, own: float = OWN) -> DataFrame:
+    """(lang, code): the trigrams that each language holds."""
     ship(docs.sparkSession)
     usable = docs.where("lang is not null and doc_id is not null and text is not null").where(~held_out())
     # a stored table has a size that Spark knows: it is broadcast only below spark.sql.autoBroadcastJoinThreshold
@@ -128,12 +138,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -> Filters:
                 n = np.bincount(where, weights=np.concatenate([k for _, k in found]), minlength=len(names)).astype(np.int64)
                 yield pa.record_batch([pa.array([lang] * len(names), pa.string()), pa.array(names.astype(np.int64)), pa.array(n)], schema=target)
 
-    counts = picked.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    best = counts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= top)
-    by: dict[str, list[int]] = {}
-    for r in best.select("lang", "code").collect():
-        by.setdefault(r["lang"], []).append(r["code"])
-    return Filters({k: np.array(v, dtype=np.int64).view(np.uint64) for k, v in by.items()})
+    counts = stored(picked.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "trigram-counts")
+    totals = stored(counts.groupBy("lang").agg(F.sum("n").alias("total")), "trigram-totals")
+    rates = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    # a code's window has a row for each language at most
+    return rates.withColumn("most", F.max("rate").over(W.partitionBy("code"))).where(F.col("rate") >= own * F.col("most")).select("lang", "code")
 
 
 def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
@@ -141,7 +150,7 @@ def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
     filters = filters or fit(docs)
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(filters)  # of a size fixed by top, BITS_PER_GRAM and the number of languages
+    sent = spark.sparkContext.broadcast(filters)  # of a size bounded by the sample's trigrams, BITS_PER_GRAM and the number of languages
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -296,6 +296,39 @@ def test_language_held_out(spark):
     assert f.predict(None) == ("und", 0.0) and f.predict("12 34 !") == ("und", 0.0)
 
 
+def test_language_by_exact_sets(spark):
+    """The filters against plain sets of trigrams: none lost, few false ones, and the same languages where sets decide clearly."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = {}
+    for r in language.own_grams(df).collect():
+        held.setdefault(r["lang"], set()).add(r["code"] % 2**64)
+    filters = language.Filters({k: np.array(sorted(v), dtype=np.uint64) for k, v in held.items()})
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(df).collect()}
+    rows = df.select("doc_id", "text").collect()
+    for r in rows[:300]:
+        low = f" {r['text'].lower()} "
+        letters = [c if c.isalpha() else " " for c in low]
+        codes = [ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in zip(letters, letters[1:], letters[2:]) if b != " "]
+        exact = {k: sum(c in v for c in codes) for k, v in held.items()}
+        total, counts = filters.counts(r["text"])
+        assert total == len(codes) and all(0 <= n - exact[k] <= 0.05 * total + 3 for k, n in zip(filters.languages, counts))
+        best = sorted(exact.values())
+        if best and best[-1] - best[-2] > 0.1 * total:
+            assert got[r["doc_id"]][0] == max(exact, key=exact.get) and got[r["doc_id"]][1] == pytest.approx(best[-1] / total, abs=0.05)
+
+
+def test_filters_of_many_languages():
+    rnd = np.random.default_rng(4)
+    sets = {f"l{k:02}": rnd.integers(0, 1 << 62, 400, dtype=np.uint64) for k in range(19)}
+    filters = language.Filters(sets)
+    assert filters.table.shape[0] == 3
+    for k, name in enumerate(filters.languages):
+        where = language.slots(sets[name], filters.mask)
+        mask = filters.table[k // 8][where[0]] & filters.table[k // 8][where[1]] & filters.table[k // 8][where[2]]
+        assert (mask >> (k % 8) & 1).all()
+        assert filters.false_rate[k] < 0.05
+
+
 def test_directory_splits_overfull_buckets(spark):
     done, still = exact_dedup.grow([(0, 0)], {0: 100, 1: 1, 7: 1}, 3, 50)
     assert sorted(done) == [(1, 1), (1, 2), (1, 3)] and still == [(0, 3)]
