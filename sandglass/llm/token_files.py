@@ -1,21 +1,24 @@
 """Token-ID files (operator 5): byte-level BPE ids in Simple-8b blocks, written and read back through Spark.
 
 Documents are range-partitioned by doc_id; each task tokenizes its range in order, appends the end id
-to each document and writes blocks of whole documents: a table of the shared folder whose rows hold the shard, the
-block's place, document ids and lengths, Simple-8b words, escapes and, per ``STRIDE`` words, the place of the next
-id. Reading starts anywhere: a block needs the ids before its shard (a sum over shards) and before itself in it.
+to each document and writes blocks of whole documents. A block is a binary record with a header (see ``pack``): document ids and
+lengths, Simple-8b words, escapes, and per ``STRIDE`` words the place of the next id, so that readers start at any
+stride; a checksum covers it all. Shards are tasks, and blocks of a shard are rows of a table in the shared folder, which only
+serves as the container. Reading starts anywhere: a block needs the ids before its shard (a sum over shards) and before itself
+in it, and a document in a block only the strides that hold its ids (``read_ids``).
 
 Tokenization is the tokenizers library's. Its splitter never crosses a single space or newline between two
 other characters, so texts without other white space are cut there and each distinct piece is encoded once
 while it stays in a bounded table; every other text is given to the library whole.
 
 Defined cases: a null text counts as empty and has the end id alone; null ids come first; rows with one id
-are ordered by their text, equal rows lie side by side; an empty table gives no rows.
+are ordered by a hash of their text and then by it, equal rows lie side by side; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -94,7 +97,9 @@ class PieceEncoder:
             part = joined[at : at + 1024]
             ids = self.ids("".join([p if p[0] == "\n" else " " + p for p in part]))
             cuts = np.flatnonzero(self.opens[ids]).tolist()
-            assert len(cuts) == len(part)
+            if len(cuts) != len(part):  # some piece has an opening token inside: each is encoded alone
+                table.update((p, self.ids(p if p[0] == "\n" else " " + p).tobytes()) for p in part)
+                continue
             table.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, cuts, [*cuts[1:], len(ids)]))
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
@@ -150,7 +155,64 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-BLOCKS = "shard int, block int, before long, n_ids long, n_docs int, doc_ids binary, nulls binary, lengths binary, words binary, escapes binary, places binary"
+BLOCKS = "shard int, block int, before long, n_ids long, n_docs int, payload binary"
+#: Of a block: magic, version, words of a stride, ids, documents, bytes of the sections, checksum of these.
+HEADER = struct.Struct("<4sHHQI6II")
+MAGIC, VERSION = b"S8TK", 1
+
+
+def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A block: HEADER, then doc ids, bits of null ids, lengths (Simple-8b), words, escapes and places of the strides."""
+    words, escapes = simple8b.encode(ids)
+    sections = [
+        np.array([i or 0 for i in doc_ids], "<i8").tobytes(), np.packbits(np.array([i is None for i in doc_ids])).tobytes(), simple8b_bytes(lengths.astype(np.uint64)),
+        words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes(), simple8b.offsets(words, STRIDE).astype("<u4").tobytes(),
+    ]
+    body = b"".join(sections)
+    return HEADER.pack(MAGIC, VERSION, STRIDE, len(ids), len(doc_ids), *map(len, sections), zlib.crc32(body)) + body
+
+
+class Block:
+    """A packed block opened for reading."""
+
+    def __init__(self, payload: bytes, check: bool = True):
+        magic, version, self.stride, self.n_ids, n_docs, *sizes, checksum = HEADER.unpack_from(payload)
+        if magic != MAGIC or version != VERSION:
+            raise ValueError("not a token block of this version")
+        body = memoryview(payload)[HEADER.size :]
+        if check and zlib.crc32(body) != checksum:
+            raise ValueError("token block is damaged")
+        cuts = np.cumsum([0, *sizes])
+        ids, gone, lengths, words, escapes, places = (body[a:b] for a, b in zip(cuts, cuts[1:]))
+        self.words, self.escapes, self.places = np.frombuffer(words, "<u8"), np.frombuffer(escapes, "<u8"), np.frombuffer(places, "<u4")
+        null = np.unpackbits(np.frombuffer(gone, np.uint8))[:n_docs]
+        self.doc_ids = [None if g else i for i, g in zip(np.frombuffer(ids, "<i8").tolist(), null)]
+        self.lengths = simple8b.decode(np.frombuffer(lengths, "<u8"), np.empty(0, np.uint64), n_docs).astype(np.int64)
+
+    def read_ids(self, first: int, count: int) -> np.ndarray:
+        """``count`` ids from the ``first`` on; only the strides that hold them are decoded."""
+        if count <= 0:
+            return np.empty(0, np.uint64)
+        a = int(np.searchsorted(self.places, first, "right")) - 1
+        b = int(np.searchsorted(self.places, first + count, "left"))
+        skip = first - int(self.places[a])
+        return simple8b.decode(self.words[a * self.stride : b * self.stride], self.escapes, skip + count)[skip:]
+
+    def documents(self, sections: int = 64) -> Iterator[tuple[int | None, np.ndarray]]:
+        """(doc id, its ids) in order, decoded ``sections`` strides at a time and never as a whole."""
+        held, at = np.empty(0, np.uint64), 0
+        stops = [*self.places[sections::sections].tolist(), self.n_ids]
+        for name, size in zip(self.doc_ids, self.lengths.tolist()):
+            parts = [held]
+            have = len(held)
+            while have < size:
+                stop = stops.pop(0)
+                parts.append(self.read_ids(at, stop - at))
+                have += stop - at
+                at = stop
+            held = np.concatenate(parts) if len(parts) > 1 else held
+            yield name, held[:size]
+            held = held[size:]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -170,14 +232,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, blo
         def close() -> pa.RecordBatch:
             nonlocal waiting, block, before
             all_ids = np.concatenate(held)
-            words, escapes = simple8b.encode(all_ids)
-            row = [
-                shard, block, before, len(all_ids), len(ids),
-                np.array([i or 0 for i in ids], "<i8").tobytes(),
-                np.packbits(np.array([i is None for i in ids])).tobytes(),
-                simple8b_bytes(np.array([len(h) for h in held], np.uint64)),
-                words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes(), simple8b.offsets(words, STRIDE).astype("<u4").tobytes(),
-            ]
+            payload = pack(ids, np.array([len(h) for h in held]), all_ids)
+            row = [shard, block, before, len(all_ids), len(ids), payload]
             before += len(all_ids)
             block += 1
             waiting = 0
@@ -197,7 +253,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, blo
         if ids:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash of the text keeps rows of one id, null ids too, from falling into one range
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     return stored(ordered.mapInArrow(run, BLOCKS), "token-blocks")
 
 
@@ -206,15 +264,6 @@ def simple8b_bytes(values: np.ndarray) -> bytes:
     return simple8b.encode(values)[0].astype("<u8").tobytes()
 
 
-def read_block(n_ids: int, n_docs: int, doc_ids: bytes, nulls: bytes, lengths: bytes, words: bytes, escapes: bytes) -> tuple[list, np.ndarray, list[int]]:
-    """(doc ids, all ids, lengths) of one block."""
-    ids = simple8b.decode(np.frombuffer(words, "<u8"), np.frombuffer(escapes, "<u8"), n_ids)
-    sizes = simple8b.decode(np.frombuffer(lengths, "<u8"), np.empty(0, np.uint64), n_docs).astype(np.int64).tolist()
-    gone = np.unpackbits(np.frombuffer(nulls, np.uint8))[:n_docs]
-    names = [None if g else i for i, g in zip(np.frombuffer(doc_ids, "<i8").tolist(), gone)]
-    return names, ids, sizes
-
-
 def read_token_files(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
     ship(blocks.sparkSession)
@@ -226,19 +275,34 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
         target = arrow_schema(schema)
         for batch in batches:
             for row in batch.to_pylist():
-                names, ids, sizes = read_block(*(row[k] for k in ("n_ids", "n_docs", "doc_ids", "nulls", "lengths", "words", "escapes")))
-                raw = memoryview(ids.astype("<u4").tobytes())
-                at, starts, sums = 0, [], []
-                for n in sizes:
-                    starts.append(row["base"] + row["before"] + at)
-                    sums.append(zlib.crc32(raw[4 * at : 4 * (at + n)]))
-                    at += n
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in (names, starts, sizes, sums)], schema=target)
+                block, at = Block(row["payload"]), row["base"] + row["before"]
+                starts, sums = [], []
+                for _, ids in block.documents():
+                    starts.append(at)
+                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    at += len(ids)
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in (block.doc_ids, starts, block.lengths.tolist(), sums)], schema=target)
 
     # one row a shard, and shards are shuffle partitions: their number is set, not grown with the data
     return blocks.join(F.broadcast(bases), "shard").mapInArrow(run, schema)
 
 
+def read_documents(blocks: DataFrame, wanted: list[int]) -> DataFrame:
+    """(doc_id, ids) of the wanted documents: other blocks are passed by, and of theirs only the strides asked for are decoded."""
+    ship(blocks.sparkSession)
+    names = frozenset(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                block = Block(payload)
+                ends = np.cumsum(block.lengths)
+                found = [(i, block.read_ids(int(e - n), int(n)).astype(np.int64)) for i, n, e in zip(block.doc_ids, block.lengths, ends) if i in names]
+                yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([x.tolist() for _, x in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return blocks.select("payload").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     return read_token_files(write_token_files(docs, tokenizer))
 

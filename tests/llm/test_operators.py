@@ -231,6 +231,38 @@ def test_bpe_equals_the_library(spark):
         assert own.run(t) == (len(ids), " ".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False))
 
 
+def test_blocks_are_read_from_anywhere(spark):
+    rnd = np.random.default_rng(7)
+    ids = np.concatenate([rnd.integers(0, 50_000, 20_000), rnd.integers(0, 2, 5000), rnd.integers(0, 50_000, 3001)]).astype(np.uint64)
+    ids[77], ids[20_100] = 1 << 62, (1 << 64) - 1
+    cuts = np.sort(rnd.integers(0, len(ids), 60))
+    lengths = np.diff([0, *cuts, len(ids)])
+    block = token_files.Block(token_files.pack([None if i % 7 == 0 else i for i in range(61)], lengths, ids))
+    for first, count in [(0, len(ids)), (77, 1), (0, 0), (len(ids) - 1, 1), (20_099, 3), *((int(a), int(rnd.integers(0, len(ids) - a + 1))) for a in rnd.integers(0, len(ids), 200))]:
+        assert (block.read_ids(first, count) == ids[first : first + count]).all()
+    for sections in (1, 3, 64):
+        found = list(block.documents(sections))
+        assert [n for n, _ in found] == [None if i % 7 == 0 else i for i in range(61)]
+        assert (np.concatenate([x for _, x in found]) == ids).all() and [len(x) for _, x in found] == lengths.tolist()
+    damaged = bytearray(token_files.pack([1], np.array([3]), ids[:3]))
+    damaged[-1] ^= 1
+    with pytest.raises(ValueError):
+        token_files.Block(bytes(damaged))
+    path = token_files.tokenizer_path(spark, "byte_bpe_50k.json")
+    tok = token_files.encoder(path).tok
+    blocks = token_files.write_token_files(real(spark), path, block_ids=5000)
+    texts = {r["doc_id"]: r["text"] for r in real(spark).collect() if r["doc_id"] % 17 == 0}
+    got = {r["doc_id"]: r["ids"] for r in token_files.read_documents(blocks, sorted(texts)).collect()}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()}
+
+
+def test_pieces_that_open_inside_are_encoded_alone(spark):
+    enc = token_files.PieceEncoder(token_files.tokenizer_path(spark, "byte_bpe_50k.json"))
+    enc.opens[:] = True
+    texts = ["a b-c don't; x", "Ünï cödé 12,5 %"]
+    assert [x.tolist() for x in enc.encode(texts)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_transducer_against_plain_merging():
     from tokenizers import Tokenizer, models
 
