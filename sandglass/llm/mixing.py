@@ -6,7 +6,8 @@ more if a hash of its id, seeded, falls below the fraction (a Bernoulli draw tha
 source's taken size has its target as its mean; its relative spread shrinks with the root of its documents.
 
 Documents meet their source's rate in a join that Spark sizes itself: the targets, a row per source, are a stored table,
-broadcast only while it is below spark.sql.autoBroadcastJoinThreshold.
+broadcast only while it is below spark.sql.autoBroadcastJoinThreshold. However many sources there are, none of their
+ordered sums is taken in one task: ranges are summed within themselves, plus the sums of the ranges before them.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; a source of size 0 has
 target 0 and its documents are taken 0 times; documents without an id draw by their text's hash; repeated rows
@@ -33,35 +34,43 @@ def size_of(text: Column) -> Column:
     return F.length(F.regexp_replace(bare, r"[^ \t-\r]++[ \t-\r]*+", "x")).cast("long")
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """rows with, for each name in sums, the sum of its column over all rows before in the order; stored by ranges."""
+    parts = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    own = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    whole = parts.groupBy("part").agg(*[F.sum(c).alias(f"all_{n}") for n, c in sums.items()])  # a row per range
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    base = whole.select("part", *[F.coalesce(F.sum(f"all_{n}").over(earlier), F.lit(0)).alias(f"base_{n}") for n in sums])
+    inside = [F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"in_{n}") for n, c in sums.items()]
+    joined = parts.select("*", *inside).join(F.broadcast(base), "part")
+    return joined.select(*rows.columns, *[(F.col(f"in_{n}") + F.col(f"base_{n}")).alias(n) for n in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: tuple = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size, target) of sizes(source, size).
 
     Weighted filling with ceilings has a closed form: with sources ordered by ceiling / weight, the sources before
     some point stop at their ceilings and the rest share what is left by weight. Sums stay integers, so
-    one division makes the target and reruns agree to the last bit. One row per source reaches the window.
+    one division makes the target and reruns agree to the last bit.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    everything = W.partitionBy()
-    rank = W.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = rank.rowsBetween(W.unboundedPreceding, -1)
-    after = rank.rowsBetween(0, W.unboundedFollowing)
+    per = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
+    by_name = F.col("source").asc_nulls_last()
     num, den = share
+    turned = running(per, [by_name], {"turn": F.lit(1)}, "mix-turns")
+    weighed = turned.withColumn("w", F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (F.col("turn") % len(weights) + 1).cast("int")))
+    ratio = weighed.withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("w"))
+    ranked = stored(running(ratio, [F.col("ratio").asc(), by_name], {"pos": F.lit(1), "spent": F.col("cap"), "w_before": F.col("w")}, "mix-ranks"), "mix-ranked")
+    total = ranked.agg(F.sum("source_size").alias("total"), F.sum("w").alias("w_all"))
     placed = (
-        per.withColumn("turn", F.row_number().over(order) - 1)
-        .withColumn("w", F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (F.col("turn") % len(weights) + 1).cast("int")))
-        .withColumn("cap", F.col("source_size") * most)
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("spent", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("w_left", F.sum("w").over(after))
+        ranked.crossJoin(F.broadcast(total))  # one row
+        .withColumn("w_left", F.col("w_all") - F.col("w_before"))
         .withColumn("left", F.col("total") * num - F.col("spent") * den)
         .withColumn("stops", F.col("cap") * den * F.col("w_left") <= F.col("w") * F.col("left"))
     )
     # the first source below its ceiling fixes the level for all that follow
-    ranked = placed.withColumn("pos", F.row_number().over(rank))
-    first = F.min(F.when(~F.col("stops"), F.struct("pos", "left", "w_left"))).over(everything)
+    first = placed.agg(F.min(F.when(~F.col("stops"), F.struct("pos", "left", "w_left"))).alias("f"))
     share_of = (F.col("w") * F.col("f.left")) / (F.col("f.w_left") * den)
-    return ranked.withColumn("f", first).select(
+    return placed.crossJoin(F.broadcast(first)).select(  # one row
         "source",
         "source_size",
         F.when(F.col("f").isNull() | (F.col("pos") < F.col("f.pos")), F.col("cap").cast("double")).otherwise(share_of).alias("target"),

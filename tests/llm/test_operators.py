@@ -194,6 +194,20 @@ def test_mix_nears_targets(spark, docs):
     assert mixing.mix(df).count() == mixing.mix_digest(df).agg(F.sum("copies")).first()[0]
 
 
+def test_targets_of_many_sources(spark):
+    rnd = random.Random(14)
+    sizes = {(None if k == 5 else f"s{k:04}"): rnd.choice([0, 1, 10, 500, rnd.randrange(100_000)]) for k in range(900)}
+    rows = [(s, n - n // 2) for s, n in sizes.items()] + [(s, n // 2) for s, n in sizes.items()]
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(5)).collect()}
+    names = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    low, high = 0.0, 1e9  # the level that fills 150 % of all sizes
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * sizes[s], weight[s] * level) for s in names) < 1.5 * sum(sizes.values()) else (low, level)
+    assert all(got[s] == (sizes[s], pytest.approx(min(2 * sizes[s], weight[s] * level), rel=1e-9, abs=1e-6)) for s in names)
+
+
 def test_simple8b():
     rnd = np.random.default_rng(1)
     for a in ([], [0], [1] * 700, [0, 1 << 63, 2**60, 2**60 - 1, 5], list(rnd.integers(0, 1 << 40, 3000)), list(rnd.integers(0, 60000, 999))):
