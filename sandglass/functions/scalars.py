@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import unicodedata
 
 import pandas as pd
@@ -17,7 +18,7 @@ BIT_RATE = 128_000
 
 def parse_duration(raw: Column) -> Column:
     """Seconds of '90', '5:30' or '1:02:03' (no range checks); anything else is NULL."""
-    t = F.trim(raw)
+    t = F.btrim(raw, F.lit(" \t\n\r\x0b\x0c"))
     part = r"\d+(\.\d+)?"
     bits = F.split(t, ":")
     num = lambda i: F.try_element_at(bits, F.lit(i)).try_cast("double")
@@ -42,11 +43,31 @@ def estimate_duration(seconds: Column, size: Column) -> Column:
     )
 
 
+#: Hours of the zone names of RFC 2822.
+ZONES = {"EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AST": -4, "ADT": -3}
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_PUBDATE = r"(?s)^\s*(?:[A-Za-z]+(?:,\s*|\s+))?(\d{1,2})[ \-]+([A-Za-z]{3})[A-Za-z]*[ \-]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?:\s*([+-]\d{4})|\s+([A-Za-z]+))?.*$"
+
+
 def parse_pubdate(raw: Column) -> Column:
-    """RFC 2822 date as a UTC timestamp; NULL if it isn't one. The weekday is not needed."""
-    t = F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3,9},\s*", "")
-    forms = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z")
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms])
+    """RFC 2822 date as a UTC timestamp; NULL if it isn't one.
+
+    Any weekday or none, two-digit years (69 to 99 in the last century), seconds optional. Without a zone, or with a name that
+    stands for none, the time counts as UTC.
+    """
+    part = lambda i: F.regexp_extract(raw, _PUBDATE, i)
+    number = lambda i: part(i).try_cast("int")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2))).cast("int")
+    year = F.when(F.length(part(3)) == 4, number(3)).otherwise(number(3) + F.when(number(3) > 68, 1900).otherwise(2000))
+    second = F.coalesce(number(6), F.lit(0)).cast("decimal(8,6)")
+    local = F.try_make_timestamp(year, month, number(1), number(4), number(5), second, F.lit("UTC"))
+    shift = part(7)
+    named = F.lit(0)
+    for zone, hours in ZONES.items():
+        named = F.when(F.upper(part(8)) == zone, hours * 60).otherwise(named)
+    hours, minutes = F.substring(shift, 2, 2).try_cast("int"), F.substring(shift, 4, 2).try_cast("int")
+    ahead = F.when(shift != "", (hours * 60 + minutes) * F.when(F.startswith(shift, F.lit("-")), -1).otherwise(1)).otherwise(named)
+    return F.when(month > 0, local - F.make_dt_interval(mins=ahead))
 
 
 def strip_control(raw: Column) -> Column:
@@ -95,19 +116,35 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)))
 
 
-#: Audio suffixes that are kept, and suffixes of content types.
-SUFFIXES = (".mp3", ".m4a", ".mp4", ".aac", ".ogg", ".opus", ".wav", ".flac")
-CONTENT_TYPES = {"audio/mpeg": ".mp3", "audio/mp4": ".m4a", "audio/x-m4a": ".m4a", "audio/aac": ".aac", "audio/ogg": ".ogg", "audio/wav": ".wav", "audio/x-wav": ".wav"}
+#: Audio suffixes that are kept.
+SUFFIXES = (".mp3", ".m4a", ".wav", ".ogg", ".oga", ".aac", ".flac", ".opus")
+
+
+def content_suffixes() -> dict[str, str]:
+    """Suffix of each content type: fixed for three, the standard table's otherwise."""
+    table = mimetypes.MimeTypes(filenames=())
+    known = {kind: table.guess_extension(kind) for kind in table.types_map_inv[True]}
+    known = {kind: ".mp3" if suffix == ".mpga" else suffix for kind, suffix in known.items()}
+    known.setdefault("audio/ogg", ".ogg")  # which the standard table lacks in some versions
+    return known | {"audio/mpeg": ".mp3", "audio/mp4": ".m4a", "audio/x-m4a": ".m4a"}
 
 
 def guess_extension(url: Column, content_type: Column) -> Column:
-    """Suffix of the URL's path if known, else by content type, else .mp3."""
-    suffix = F.lower(F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"(\.[A-Za-z0-9]+)$", 1))
+    """Suffix of the final URL's path if it is an audio one, else by content type, else .mp3."""
+    suffix = F.lower(F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"[^/](\.[^./]+)$", 1))
     kind = F.lower(F.trim(F.split(F.coalesce(content_type, F.lit("")), ";")[0]))
-    by_type = F.lit(None).cast("string")
-    for name, ext in CONTENT_TYPES.items():
-        by_type = F.when(kind == name, ext).otherwise(by_type)
-    return F.when(suffix.isin(*SUFFIXES), suffix).otherwise(F.coalesce(by_type, F.lit(".mp3")))
+    by_type = F.create_map(*[F.lit(x) for pair in sorted(content_suffixes().items()) for x in pair])
+    return F.when(suffix.isin(*SUFFIXES), suffix).otherwise(F.coalesce(F.try_element_at(by_type, kind), F.lit(".mp3")))
+
+
+def path_stem(path: Column) -> Column:
+    """File name without folders and without its last suffix."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def path_suffix(path: Column) -> Column:
+    """Last suffix of a file name with its point, '' if there is none."""
+    return F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)
 
 
 def http_class(status: Column) -> Column:

@@ -6,6 +6,8 @@ so smaller budgets are prefixes of larger ones. One window per show computes eve
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,16 +46,25 @@ def saturation_ladder(episodes: DataFrame, seed: int | str, rungs: tuple = LADDE
 
 
 def dropped_shows(episodes: DataFrame, hours: float) -> DataFrame:
-    return (
-        episodes.groupBy("show_id").agg(F.sum("duration_sec").alias("sec"), F.count(F.lit(1)).alias("n_episodes")).where(F.col("sec") < hours * 3600)
-        .select("show_id", F.round(F.col("sec") / 3600, 2).alias("hours_available"), "n_episodes", F.lit("insufficient_pool").alias("reason"))
-    )
+    """Shows that can't reach the budget, with their name where episodes have one."""
+    name = [F.min("show").alias("show")] if "show" in episodes.columns else []
+    per = episodes.groupBy("show_id").agg(*name, F.sum("duration_sec").alias("sec"), F.count(F.lit(1)).alias("n_episodes")).where(F.col("sec") < hours * 3600)
+    return per.select("show_id", *(["show"] if name else []), F.round(F.col("sec") / 3600, 2).alias("hours_available"), "n_episodes", F.lit(f"< {hours:g}h in window").alias("reason"))
 
 
 def per_show_summary(sample: DataFrame) -> DataFrame:
-    return sample.groupBy("show_id").agg(
-        F.count(F.lit(1)).alias("n_eps"), F.round(F.sum("duration_sec") / 3600, 2).alias("hours"), F.round(F.median("duration_sec") / 60, 2).alias("med_ep_min")
+    """Episodes, hours and median minutes of each show, most episodes first."""
+    keys = ["show_id", "show"] if "show" in sample.columns else ["show_id"]
+    per = sample.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_eps"), F.round(F.sum("duration_sec") / 3600, 2).alias("hours"), F.round(F.median("duration_sec") / 60, 1).alias("med_ep_min")
     )
+    return per.orderBy(F.desc("n_eps"), "show_id")
+
+
+def sample_check(summary: DataFrame) -> DataFrame:
+    """One row: hours per show should lie near the budget, episode counts may vary."""
+    ends = lambda c: [F.min(c).alias(f"min_{c}"), F.median(c).alias(f"median_{c}"), F.max(c).alias(f"max_{c}")]
+    return summary.agg(*ends("hours"), *ends("n_eps"))
 
 
 def rung_summary(ladder: DataFrame) -> DataFrame:
@@ -75,3 +86,22 @@ def permuted_draw(episodes: DataFrame, hours: float, seed: int) -> DataFrame:
 
     slim = episodes.select("show_id", "episode_id", "duration_sec")
     return slim.groupBy("show_id").applyInPandas(one, "show_id long, episode_id string, duration_sec double, draw_order int")
+
+
+def shuffled_draw(episodes: DataFrame, hours: float, window: int, seed: int) -> DataFrame:
+    """The draw that keeps short shows whole, ordered by a Mersenne shuffle of a show's episodes sorted by date and url.
+
+    The show's id is part of the shuffle's seed, so that shows of one size are shuffled apart.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pub_date", "audio_url"], kind="stable").reset_index(drop=True)
+        order = list(range(len(pdf)))
+        random.Random(f"{seed}:{window}:{hours:g}:{pdf.show_id.iloc[0]}").shuffle(order)
+        pdf = pdf.iloc[order].reset_index(drop=True)
+        before = pdf.duration_sec.cumsum().shift(fill_value=0.0)
+        pdf = pdf[before < hours * 3600]
+        return pdf.assign(draw_order=np.arange(len(pdf), dtype="int32"))[["show_id", "episode_id", "duration_sec", "draw_order"]]
+
+    slim = episodes.select("show_id", "episode_id", "duration_sec", "pub_date", "audio_url")
+    return slim.groupBy("show_id").applyInPandas(one, "show_id long, episode_id string, duration_sec double, draw_order int")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import scalars as X
 from ..operators import hours, matching, queue, rules, sampling, transcripts
+from ..operators.numbering import numbered
 
 SEED = 20260713
 BUDGET = 25.0
@@ -139,7 +140,7 @@ def label_table(s, d) -> DataFrame:
 NORM = r"""list_aggregate(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('', 'the', 'a', 'an', 'podcast', 'show', 'with')), 'string_agg', ' ')"""
 TOP2 = f"""
 WITH n AS (SELECT s_suppkey AS id, {NORM.format("s_name")} AS norm FROM supplier),
-l AS (SELECT c_name AS label, c_mktsegment AS value, {NORM.format("replace(c_name, 'Customer', 'Supplier')")} AS ln FROM customer WHERE c_custkey <= 150),
+l AS (SELECT c_name AS label, c_mktsegment AS value, {NORM.format("replace(c_name, 'Customer', 'Supplier')")} AS ln FROM customer),
 p AS (SELECT n.id, l.*, 100.0::DOUBLE * (greatest(length(norm), length(ln)) - levenshtein(norm, ln)) / greatest(length(norm), length(ln)) AS score FROM n CROSS JOIN l),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS r FROM p),
 b AS (SELECT a.id, a.label, a.value, a.ln, a.score, c.label AS label2, c.ln AS ln2, c.score AS score2 FROM r a JOIN r c ON a.id = c.id AND a.r = 1 AND c.r = 2),
@@ -175,6 +176,17 @@ def durations(s, d) -> DataFrame:
     return raw_durations(s, d).withColumn("seconds", X.parse_duration(F.col("raw")))
 
 
+def stamped(ts, turn):
+    """Dates as feeds write them, in eight forms; every eighth is none."""
+    day, clock = F.date_format(ts, "dd MMM yyyy"), F.date_format(ts, "HH:mm:ss")
+    forms = [
+        F.concat(F.lit("on "), day), F.concat(F.date_format(ts, "EEE, "), day, F.lit(" "), clock, F.lit(" -0400")), F.concat(day, F.lit(" "), clock),
+        F.concat(F.date_format(ts, "EEEE, d MMMM yyyy "), clock, F.lit(" GMT")), F.concat(F.date_format(ts, "EEE, d MMM yyyy HH:mm"), F.lit(" UT")),
+        F.concat(F.date_format(ts, "EEE, dd MMM yy "), clock, F.lit(" PST")), F.concat(day, F.lit("  "), clock, F.lit(" +0530")), F.concat(F.date_format(ts, "dd-MMM-yyyy "), clock, F.lit(" GMT")),
+    ]
+    return F.element_at(F.array(*forms), (turn % 8 + 1).cast("int"))
+
+
 def items(s, d) -> DataFrame:
     return table(s, d, "orders").select(F.col("o_orderkey").alias("item"), "o_orderstatus", F.col("o_totalprice").alias("price"))
 
@@ -195,7 +207,6 @@ def build() -> dict[str, tuple]:
     ladder = "(SELECT dr.*, g.r AS rung_h FROM dr CROSS JOIN (SELECT unnest([5, 10, 15, 20, 25, 30, 40]) AS r) g WHERE total_sec >= r * 3600 AND cum_sec - duration_sec < r * 3600)"
     sample = lambda s, d: sampling.budget_draw(pool(s, d), BUDGET, SEED)
     rungs = lambda s, d: sampling.saturation_ladder(pool(s, d), SEED)
-    stamp = "strftime(ts, '%a, %d %b %Y %H:%M:%S') || CASE WHEN event_id % 5 = 0 THEN ' junk' WHEN event_id % 2 = 0 THEN ' -0400' ELSE ' GMT' END"
     meta = lambda: F.concat_ws("|||", F.col("doc_id").cast("string"), "source", F.md5(F.coalesce("text", F.lit(""))), F.concat(F.col("lang"), F.lit("|||"), F.col("source")))
     meta_sql = "doc_id || '|||' || source || '|||' || md5(coalesce(text, '')) || '|||' || lang || '|||' || source"
     return {
@@ -259,7 +270,7 @@ def build() -> dict[str, tuple]:
         ),
         "draw_dropped_shows": (
             lambda s, d: sampling.dropped_shows(pool(s, d), 42.0),
-            q("SELECT show_id, round(sum(duration_sec) / 3600, 2) AS hours_available, count(*) AS n_episodes, 'insufficient_pool' AS reason FROM pool GROUP BY 1 HAVING sum(duration_sec) < 42 * 3600", DRAW),
+            q("SELECT show_id, round(sum(duration_sec) / 3600, 2) AS hours_available, count(*) AS n_episodes, '< 42h in window' AS reason FROM pool GROUP BY 1 HAVING sum(duration_sec) < 42 * 3600", DRAW),
         ),
         "selection_manifest": (
             lambda s, d: queue.running_manifest(sample(s, d)),
@@ -272,7 +283,7 @@ def build() -> dict[str, tuple]:
         ),
         "per_show_summary": (
             lambda s, d: sampling.per_show_summary(sample(s, d)),
-            q(f"SELECT show_id, count(*) AS n_eps, round(sum(duration_sec) / 3600, 2) AS hours, round(median(duration_sec) / 60, 2) AS med_ep_min FROM {kept} GROUP BY 1", DRAW),
+            q(f"SELECT show_id, count(*) AS n_eps, round(sum(duration_sec) / 3600, 2) AS hours, round(median(duration_sec) / 60, 1) AS med_ep_min FROM {kept} GROUP BY 1", DRAW),
         ),
         "sample_totals": (
             lambda s, d: sample(s, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(D) / 3600, 1).alias("hours"), F.count_distinct(S).alias("n_shows")),
@@ -282,6 +293,12 @@ def build() -> dict[str, tuple]:
             lambda s, d: sample(s, d).groupBy(S).agg(F.max("cum_sec").alias("m")).agg(F.median("m").alias("median_sec")),
             q(f"SELECT median(m) AS median_sec FROM (SELECT max(cum_sec) AS m FROM {kept} GROUP BY show_id)", DRAW),
         ),
+        "sample_check": (
+            lambda s, d: sampling.sample_check(sampling.per_show_summary(sample(s, d))),
+            q(f"""SELECT min(hours) AS min_hours, median(hours) AS median_hours, max(hours) AS max_hours, min(n_eps) AS min_n_eps, median(n_eps) AS median_n_eps, max(n_eps) AS max_n_eps
+              FROM (SELECT show_id, count(*) AS n_eps, round(sum(duration_sec) / 3600, 2) AS hours FROM {kept} GROUP BY 1)""", DRAW),
+        ),
+        "shuffled_draw": (lambda s, d: sampling.shuffled_draw(pool(s, d), BUDGET, WINDOW, SEED), None),
         "permuted_draw": (lambda s, d: sampling.permuted_draw(pool(s, d), BUDGET, SEED), None),
         "dedup_keep_first": (
             lambda s, d: queue.keep_first(episodes(s, d).select(S, "l_linenumber", "episode_id", D), [S, "l_linenumber"], ["episode_id"]),
@@ -298,12 +315,12 @@ def build() -> dict[str, tuple]:
         ),
         "ranked_frame_left_join": (
             lambda s, d: queue.ranked_frame(
-                shows(s, d).select(F.col(S).alias("id"), F.col("s_acctbal")), table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+                shows(s, d).select(F.col(S).alias("id"), F.col("s_acctbal")), table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
             ).select("id", "name", "lookup_found"),
-            "SELECT s_suppkey AS id, c_name AS name, c_custkey IS NOT NULL AS lookup_found FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey AND c_custkey % 3 = 0",
+            "SELECT s_suppkey AS id, c_name AS name, c_custkey IS NOT NULL AS lookup_found FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey AND c_mktsegment = 'BUILDING'",
         ),
         "ranked_ids": (
-            lambda s, d: shows(s, d).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s_acctbal")).alias("b"), S))), lambda x: x[S]).alias("ids")).select(F.posexplode("ids").alias("p", "id")).select((F.col("p") + 1).alias("rank"), "id"),
+            lambda s, d: numbered(shows(s, d).select(F.col(S).alias("id"), "s_acctbal"), [F.desc("s_acctbal"), F.asc("id")], "rank").select("rank", "id"),
             "SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey)::INT AS rank, s_suppkey AS id FROM supplier",
         ),
         "rule_engine_first_fail": (judged, q("SELECT * FROM j", FRAME)),
@@ -324,12 +341,13 @@ def build() -> dict[str, tuple]:
             q("SELECT CASE WHEN seconds IS NULL AND l_partkey * 1000 > 100000 THEN 'estimated_from_bytes' WHEN seconds IS NULL THEN 'missing' ELSE 'itunes:duration' END AS source, count(*) AS n, round(sum(CASE WHEN seconds IS NULL AND l_partkey * 1000 > 100000 THEN l_partkey * 1000 * 8 / 128000 ELSE seconds END), 1) AS sec FROM s GROUP BY 1", RAWDUR),
         ),
         "parse_pubdate": (
-            lambda s, d: events(s, d).select("event_id", X.parse_pubdate(F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.when(F.col("event_id") % 5 == 0, " junk").when(F.col("event_id") % 2 == 0, " -0400").otherwise(" GMT"))).cast("timestamp_ntz").alias("pub")),
-            "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN date_trunc('second', ts) + INTERVAL 4 HOUR ELSE date_trunc('second', ts) END AS pub FROM events",
+            lambda s, d: events(s, d).select("event_id", X.parse_pubdate(stamped(F.col("ts"), F.col("event_id"))).cast("timestamp_ntz").alias("pub")),
+            """SELECT event_id, CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN date_trunc('second', ts) + INTERVAL 4 HOUR WHEN 4 THEN date_trunc('minute', ts)
+              WHEN 5 THEN date_trunc('second', ts) + INTERVAL 8 HOUR WHEN 6 THEN date_trunc('second', ts) - INTERVAL 330 MINUTE ELSE date_trunc('second', ts) END AS pub FROM events""",
         ),
         "sanitize_title": (
             lambda s, d: docs(s, d).select("doc_id", X.sanitize_title(F.col("text")).alias("title")),
-            r"SELECT doc_id, CASE WHEN t = '' THEN 'untitled' ELSE t END AS title FROM (SELECT doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(substr(coalesce(text, ''), 1, 120), '[/\\:*?" + '"' + r"<>|]', '_', 'g'), '\s+', ' ', 'g')), 1, 80)) AS t FROM documents)",
+            r"SELECT doc_id, CASE WHEN t = '' THEN 'untitled' ELSE t END AS title FROM (SELECT doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[/\\:*?" + '"' + r"<>|]', '_', 'g'), '\s+', ' ', 'g')), 1, 80)) AS t FROM documents)",
         ),
         "normalize_name": (lambda s, d: table(s, d, "part").select("p_partkey", X.normalize_ascii(F.col("p_name")).alias("norm")), f"SELECT p_partkey, coalesce({NORM.format('p_name')}, '') AS norm FROM part"),
         "normalize_name_folded": (lambda s, d: docs(s, d).select("doc_id", X.normalize_name(F.coalesce("text", F.lit(""))).alias("norm")), None),
@@ -338,8 +356,8 @@ def build() -> dict[str, tuple]:
         "fuzzy_top2_composite": (lambda s, d: matching.match_status(matching.top2(names(s, d), label_table(s, d), fuzzy.composite_ratio)), None),
         "anti_join_processed": (lambda s, d: queue.pending(items(s, d).select("item"), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item")), ["item"]), "SELECT o_orderkey AS item FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
         "semi_join_same_hash": (
-            lambda s, d: queue.already_same(docs(s, d).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), docs(s, d).where("doc_id % 3 = 0").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), ["sha"]).select("doc_id", "sha"),
-            "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents WHERE sha256(coalesce(text, '')) IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 3 = 0)",
+            lambda s, d: queue.already_same(docs(s, d).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), docs(s, d).join(table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), ["sha"]).select("doc_id", "sha"),
+            "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents WHERE sha256(coalesce(text, '')) IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))",
         ),
         "outcome_counts": (
             lambda s, d: queue.outcomes(items(s, d), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item")), table(s, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("item")), "item", F.col("price") > 1000).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),

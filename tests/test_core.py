@@ -4,6 +4,7 @@ import json
 from datetime import datetime
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +41,64 @@ def test_pubdate_title_meta_names(spark):
     assert one(spark, ["Café with Ünï!", "The Podcast Show"], X.normalize_name) == ["cafe uni", ""]
     assert one(spark, ["k"], lambda c: X.stable_seed("s", c)) == [int.from_bytes(__import__("hashlib").md5(b"s:k").digest()[:4], "little")]
     df = spark.createDataFrame([("http://h/a.M4A?x=1", None), ("http://h/a", "audio/ogg; q=1"), ("http://h/a.xyz", "text/html")], "u string, t string")
-    assert [r[0] for r in df.select(X.guess_extension(F.col("u"), F.col("t"))).collect()] == [".m4a", ".ogg", ".mp3"]
+    assert [r[0] for r in df.select(X.guess_extension(F.col("u"), F.col("t"))).collect()] == [".m4a", ".ogg", ".html"]
+
+
+def test_dates_as_the_standard_library_reads_them(spark):
+    from datetime import timezone
+    from email.utils import parsedate_to_datetime
+
+    raw = ["Tue, 14 Jul 26 18:31:04 GMT", "Tue, 14 Jul 2026 18:31:04", "Tuesday, 14 July 2026 18:31:04 +0000", "14 Jul 99 01:02 EST", "1 Jan 2024 00:00:00 +1345", "Tue,14 Jul 2026 18:31:04 Z", "29 Feb 2023 00:00:00 GMT", "14 Foo 2026 00:00:00 GMT", " 14 Jul 2026 25:00:00 GMT", "", "14 Jul 2026", "Sun, 06-Nov-94 08:49:37 GMT"]
+    want = []
+    for r in raw:
+        try:
+            d = parsedate_to_datetime(r)
+            want.append((d.astimezone(timezone.utc) if d.tzinfo else d).replace(tzinfo=None))
+        except (TypeError, ValueError):
+            want.append(None)
+    want[5] = datetime(2026, 7, 14, 18, 31, 4)
+    got = one(spark, raw, lambda c: X.parse_pubdate(c).cast("timestamp_ntz"))
+    assert got == want
+    assert one(spark, ["\t5:00\n", "\r7 "], X.parse_duration) == [300, 7]
+
+
+def test_suffixes(spark):
+    rows = [("http://h/a.oga", None, ".oga"), ("http://h/a.mp4", "video/mp4", ".mp4"), ("http://h/a", "audio/x-wav", ".wav"), ("http://h/a", "audio/mpeg; x", ".mp3"), ("http://h/redirect.mp3/x", "", ".mp3"), ("http://h/a", "audio/mp4", ".m4a"), (None, None, ".mp3")]
+    df = spark.createDataFrame(rows, "u string, t string, want string")
+    assert all(r[0] == r[1] for r in df.select(X.guess_extension(F.col("u"), F.col("t")), "want").collect())
+    assert one(spark, ["file:/q/a.b.meta", "x", "/d.e/.part"], X.path_stem) == ["a.b", "x", ".part"] and one(spark, ["file:/q/a.b.meta", "x"], X.path_suffix) == [".meta", ""]
+
+
+def test_shuffles_are_the_libraries(spark):
+    import hashlib
+    import random
+
+    import numpy as np
+
+    rows = [(s, f"e{i}", 600.0 + i, datetime(2026, 1, 1 + i % 9), f"u{i}") for s in (1, 2) for i in range(30)] + [(3, "e", 60.0, datetime(2026, 1, 1), "u")]
+    eps = spark.createDataFrame(rows, "show_id long, episode_id string, duration_sec double, pub_date timestamp, audio_url string")
+    got = {}
+    for r in sampling.shuffled_draw(eps, 1.0, 24, 5).orderBy("show_id", "draw_order").collect():
+        got.setdefault(r["show_id"], []).append(r["episode_id"])
+    assert len(got[3]) == 1
+    for s in (1, 2):
+        pool = sorted((r for r in rows if r[0] == s), key=lambda r: (r[3], r[4]))
+        random.Random(f"5:24:1:{s}").shuffle(pool)
+        want, total = [], 0.0
+        for r in pool:
+            if total >= 3600:
+                break
+            want.append(r[1])
+            total += r[2]
+        assert got[s] == want
+    got = {}
+    for r in sampling.permuted_draw(eps, 1.0, 5).orderBy("show_id", "draw_order").collect():
+        got.setdefault(r["show_id"], []).append(r["episode_id"])
+    assert set(got) == {1, 2}
+    for s in (1, 2):
+        pool = sorted((r for r in rows if r[0] == s), key=lambda r: r[1])
+        order = np.random.default_rng(int.from_bytes(hashlib.md5(f"5:{s}".encode()).digest()[:4], "little")).permutation(30)
+        assert got[s] == [pool[i][1] for i in order][: len(got[s])] and sum(pool[i][2] for i in order[: len(got[s])]) >= 3600
 
 
 def test_word_boundary_language(spark):
@@ -224,15 +282,16 @@ def test_labels_are_all_customers(spark, tmp_path):
 @pytest.mark.parametrize("name", [n for n, (_, sql) in ALL.items() if sql])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents pages conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents pages conversations labels".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = ALL[name][0](spark, SF).toPandas()
     want = con.sql(ALL[name][1]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     cols = sorted(got.columns)
-    plain = lambda df: sorted((tuple("" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df[cols].astype(object).values.tolist()))
-    if "pub" not in cols and "pub_date" not in cols and "first_pub_date" not in cols:
-        for c in cols:
-            if got[c].dtype.kind in "if" or want[c].dtype.kind in "if":
-                got[c], want[c] = got[c].astype(float), want[c].astype(float)
-        assert plain(got) == plain(want)
+    plain = lambda df: sorted((tuple("" if v is None or v != v else f"{v:.12g}" if isinstance(v, float) else str(v) for v in r) for r in df[cols].astype(object).values.tolist()))
+    for c in cols:
+        if got[c].dtype.kind in "if" or want[c].dtype.kind in "if":
+            got[c], want[c] = got[c].astype(float), want[c].astype(float)
+        if got[c].dtype.kind == "M" or want[c].dtype.kind == "M":
+            got[c], want[c] = (pd.to_datetime(x[c]).astype("datetime64[us]").astype(str) for x in (got, want))
+    assert plain(got) == plain(want)
