@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-CHUNKS = 150_000
+CHUNKS = 200_000
 #: Characters after which a slice of a text ends at the next blank.
 SLICE = 1 << 16
 _BLANK = re.compile("[ \n]")
@@ -94,6 +94,8 @@ class Transducer:
         self.complete = all(c in vocab and c + end in vocab for c in byte_letters())
         #: Tokens emitted before their piece had ended.
         self.settled = 0
+        #: The inner symbols of the piece before, and the states after each of them.
+        self.before, self.states = "", ([("", 0, [0], 0, 0)], [])
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: join the pair of lowest rank, leftmost first, until none is left."""
@@ -157,81 +159,99 @@ class Transducer:
         return got
 
     def encode(self, piece: str, emit=None) -> list[str]:
-        """Tokens of a piece, its last symbol with the end mark; with emit(tokens), they are handed over as they become stable."""
-        vocab, end = self.vocab, self.end
+        """Tokens of a piece, its last symbol with the end mark; with emit(tokens), they are handed over as they become stable.
+
+        The states after each symbol are kept until the next piece, which goes on from the symbols that both begin with;
+        they are dropped once a piece has outgrown the window.
+        """
+        vocab, end, kinds, joins = self.vocab, self.end, self.kinds.get, self.joins
         ended = True
         if not self.complete:
             ended = piece[-1:] + end in vocab
             piece = "".join([c for c in piece[:-1] if c in vocab]) + (piece[-1:] if ended else "")
-        out: list[str] = []
         n = len(piece)
         inner = n - 1 if ended and end else n
-        kinds, joins, settled = self.kinds.get, self.joins, 0
-        base, last, back, live = 0, [""], [0], [0]  # of positions base..: the token that ends there and where it starts
-        for i in range(1, inner + 1):
+        before, k = self.before, 0
+        if emit is None:
+            for a, b in zip(before, piece[:inner]):
+                if a != b:
+                    break
+                k += 1
+        # by position, from ``gone`` on: the token that ends there, where it starts, live positions, what is stable, tokens out
+        states, out = self.states
+        del states[k + 1 :]
+        _, _, live, base, n_out = states[k]
+        del out[n_out:]
+        gone, most = 0, 4 * self.lookahead
+        for i in range(k + 1, inner + 1):
             token, start, still = "", i, []
             for j in live:
                 part = piece[j:i]
                 kind = kinds(part)
-                if kind is None:
-                    continue
-                if kind != 2:
-                    still.append(j)
-                if kind != 1 and not token:
-                    pair = last[j - base], part
-                    if (joins[pair] if pair in joins else self.fits(*pair)):
-                        token, start = part, j
-            last.append(token)
-            back.append(start)
-            if not still:
-                stable = i
-            elif i - base >= 4 * self.lookahead:
-                stable = self._common(base, back, [*still, i])
-            else:
-                stable = base
-            if stable > base:
-                found = self._path(base, last, back, stable)
-                settled += len(found) if i < n else 0
-                if emit:
-                    emit(found)
-                else:
-                    out += found
-                del last[: stable - base], back[: stable - base]
-                base = stable
+                if kind:
+                    if kind != 2:
+                        still.append(j)
+                    if kind != 1 and not token:
+                        pair = states[j - gone][0], part
+                        if joins[pair] if pair in joins else self.fits(*pair):
+                            token, start = part, j
+            if not still or i - gone >= most:
+                stable = self._common(base, gone, states, token, start, [*still, i]) if still else i
+                if stable > base:
+                    found = self._path(base, gone, states, token, start, i, stable)
+                    if i < n:
+                        self.settled += len(found)
+                    if emit:
+                        emit(found)
+                    else:
+                        out += found
+                    base = stable
             still.append(i)
             live = still
+            states.append((token, start, still, base, len(out)))
+            if i - gone >= most:
+                del states[: base - gone]
+                gone = base
+        found = []
         if inner < n:
             for j in live:
                 token = piece[j:] + end
-                if token in vocab and self.fits(last[j - base], token):
-                    found = [*self._path(base, last, back, j), token]
+                if token in vocab and self.fits(states[j - gone][0], token):
+                    found = [*self._path(base, gone, states, "", 0, 0, j), token]
                     break
         else:
-            found = self._path(base, last, back, n)
-        self.settled += settled
+            found = self._path(base, gone, states, "", 0, 0, n)
+        result = out + found
         if emit:
             emit(found)
-            return out
-        return out + found if out else found
+            result = []
+        self.before = piece[:inner]
+        if gone or emit:
+            self.before, self.states = "", ([("", 0, [0], 0, 0)], [])
+        return result
 
     @staticmethod
-    def _path(base: int, last: list[str], back: list[int], to: int) -> list[str]:
-        """The tokens from base to a position."""
+    def _path(base: int, gone: int, states: list[tuple], token: str, start: int, at: int, to: int) -> list[str]:
+        """The tokens from base to a position; ``token`` from ``start`` ends at the newest position ``at``."""
         path = []
         while to > base:
-            path.append(last[to - base])
-            to = back[to - base]
+            if to == at:
+                path.append(token)
+                to = start
+            else:
+                path.append(states[to - gone][0])
+                to = states[to - gone][1]
         path.reverse()
         return path
 
     @staticmethod
-    def _common(base: int, back: list[int], live: list[int]) -> int:
-        """The position that all live ones descend from."""
-        at = set(live)
+    def _common(base: int, gone: int, states: list[tuple], token: str, start: int, live: list[int]) -> int:
+        """The position that all live ones descend from; the newest one's token begins at ``start``."""
+        newest, at = live[-1], set(live)
         while len(at) > 1:
             far = max(at)
             at.remove(far)
-            at.add(back[far - base] if far > base else base)
+            at.add(base if far <= base else start if far == newest else states[far - gone][1])
         return at.pop()
 
 
@@ -283,26 +303,45 @@ class Codec:
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one plain piece."""
         got = self.words.get(piece)
-        if got is None and (got := self.older.get(piece)):
-            self.words[piece] = got
         if got is None:
-            raw = piece if piece.isascii() else piece.encode().decode("latin-1")
-            vocab = self.vocab
-            got = tuple([vocab[t] for t in self.machine.encode(raw.translate(self.table))])
-            if len(piece) <= 64:
-                if len(self.words) >= CHUNKS:
-                    self.older = dict(self.words)  # frequent pieces come back from here
-                    self.words.clear()
-                self.words[piece] = got
+            got = self.older.get(piece)
+            if got is None:
+                raw = piece if piece.isascii() else piece.encode().decode("latin-1")
+                vocab = self.vocab
+                got = tuple([vocab[t] for t in self.machine.encode(raw.translate(self.table))])
+            self.keep(piece, got)
         return got
 
+    def keep(self, chunk: str, ids: tuple[int, ...]) -> None:
+        if len(chunk) <= 64:
+            if len(self.words) >= CHUNKS:
+                self.older = dict(self.words)  # frequent pieces come back from here
+                self.words.clear()
+            self.words[chunk] = ids
+
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a run of plain characters between white space."""
         if chunk.isalpha():
             return self.piece(chunk)
-        if chunk[:-1].isalpha() and chunk[-1] in ".,":
-            return self.piece(chunk[:-1]) + self.piece(chunk[-1])
-        return tuple(chain.from_iterable(map(self.piece, _PIECE.findall(chunk))))
+        got = self.older.get(chunk)
+        if got is None:
+            if chunk[:-1].isalpha() and chunk[-1] in ".,":
+                got = self.piece(chunk[:-1]) + self.piece(chunk[-1])
+            else:
+                got = tuple(chain.from_iterable(map(self.piece, _PIECE.findall(chunk))))
+        self.keep(chunk, got)
+        return got
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Fill the table with the words of the texts' first slices in sorted order, in which pieces share their beginnings."""
+        words: set[str] = set()
+        for text in texts:
+            if text:
+                words.update(text[:SLICE].lower().split())
+        known = self.words
+        for word in sorted(words):
+            if word not in known and len(word) <= 64 and not word.encode().translate(None, _PLAIN):
+                self.chunk(word)
 
     def ids_of(self, text: str) -> list[int]:
         """Ids of a slice without special tokens."""
@@ -363,7 +402,9 @@ def bpe_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; no shuffle."""
 
     def rows(names, texts):
-        out = list(map(codec(tokenizer).digest, texts))
+        own = codec(tokenizer)
+        own.learn(texts)
+        out = list(map(own.digest, texts))
         return [names, *([list(c) for c in zip(*out)] if out else [[]] * 3)]
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
