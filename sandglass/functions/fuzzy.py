@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,21 +14,62 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise(100.0 * (longest - F.levenshtein(a, b)) / longest)
 
 
-def composite(a: str, b: str) -> float:
-    """Best of plain, word-sorted and word-set similarity, the latter two at 95 %; partial match at 90 % if lengths differ much."""
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit vector of one string against the letters of the other."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    free = every = (1 << len(a)) - 1
+    for c in b:
+        hit = free & where.get(c, 0)
+        free = (free + hit | free - hit) & every
+    return len(a) - free.bit_count()
+
+
+def ratio(a: str, b: str) -> float:
+    """100 * (1 - insertions and deletions / both lengths)."""
+    return 200.0 * common(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """Best ratio of the shorter string with a part of the longer one that is as long, or cut short by its ends."""
     if not a or not b:
         return 0.0
-    ratio = lambda x, y: 100 * SequenceMatcher(None, x, y, autojunk=False).ratio()
-    sa, sb = sorted(set(a.split())), sorted(set(b.split()))
-    both = " ".join(w for w in sa if w in sb)
-    left, right = " ".join(filter(None, [both, *[w for w in sa if w not in sb]])), " ".join(filter(None, [both, *[w for w in sb if w not in sa]]))
-    scores = [ratio(a, b), 0.95 * ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))]
-    if both:
-        scores.append(0.95 * max(ratio(both, left), ratio(both, right), ratio(left, right)))
     short, long = sorted((a, b), key=len)
-    if len(long) >= 1.5 * len(short):
-        scores.append(0.9 * max(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1)))
-    return max(scores)
+    ways = [(short, long), (long, short)] if len(a) == len(b) else [(short, long)]
+    return max(ratio(x, y[max(at, 0) : at + len(x)]) for x, y in ways for at in range(1 - len(x), len(y)))
+
+
+def token_scores(a: str, b: str) -> tuple[float, float]:
+    """(best of word-sorted and word-set ratio, the same of partial ratios)."""
+    one, two = a.split(), b.split()
+    if not one or not two:
+        return 0.0, 0.0
+    whole, part = ratio(" ".join(sorted(one)), " ".join(sorted(two))), partial_ratio(" ".join(sorted(one)), " ".join(sorted(two)))
+    both, left, right = set(one) & set(two), " ".join(sorted(set(one) - set(two))), " ".join(sorted(set(two) - set(one)))
+    if both:
+        shared = " ".join(sorted(both))
+        if not left or not right:
+            return 100.0, 100.0
+        part = 100.0
+        whole = max(whole, ratio(shared, f"{shared} {left}"), ratio(shared, f"{shared} {right}"))
+        whole = max(whole, ratio(f"{shared} {left}", f"{shared} {right}"))
+    else:
+        part = max(part, partial_ratio(left, right))
+        whole = max(whole, ratio(left, right))
+    return whole, part
+
+
+def composite(a: str, b: str) -> float:
+    """Weighted ratio: the best of ratio and word ratios at 95 %; where lengths differ by half or more, of partial ones at 90 % (60 % beyond eight times)."""
+    if not a or not b:
+        return 0.0
+    times = max(len(a), len(b)) / min(len(a), len(b))
+    whole, part = token_scores(a, b)
+    if times < 1.5:
+        return max(ratio(a, b), 0.95 * whole)
+    scale = 0.9 if times <= 8 else 0.6
+    return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * part)
 
 
 @F.pandas_udf(T.DoubleType())

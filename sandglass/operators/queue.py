@@ -31,6 +31,13 @@ def already_same(items: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     return items.join(done.select(*on).distinct(), on, "left_semi")
 
 
+def probed(items: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """items(show_id, episode_id, audio_sha256, ...) with done: whether the first transcript of the episode, by stem, has their hash."""
+    first = transcripts.groupBy("show_id", "episode_id").agg(F.min_by("audio_sha256", "stem").alias("_sha"))
+    same = F.coalesce(F.col("_sha") == F.col("audio_sha256"), F.lit(False))
+    return items.join(first, ["show_id", "episode_id"], "left").withColumn("done", same).drop("_sha")
+
+
 def outcomes(items: DataFrame, transcripts: DataFrame, queued: DataFrame, key: str, ok: Column) -> DataFrame:
     """items with outcome skip-done, skip-queued, ok or fail, in that order of precedence."""
     t = transcripts.select(key).distinct().withColumn("_t", F.lit(True))

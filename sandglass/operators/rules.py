@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Statuses and the rules they fail.
 STATUS_RULES = {"no_feed_url": "R1", "feed_unreachable": "R2", "feed_unparseable": "R3", "no_audio": "R4"}
 
 
@@ -22,7 +23,8 @@ def first_term(text: Column, terms: list[str]) -> Column:
 
 def first_pattern(text: Column, patterns: list[str]) -> Column:
     """struct(pattern, found) of the first pattern that matches."""
-    return F.coalesce(*[F.when(text.rlike(p), F.struct(F.lit(p).alias("pattern"), F.regexp_extract(text, p, 0).alias("found"))) for p in patterns])
+    none = F.lit(None).cast("struct<pattern:string,found:string>")
+    return F.coalesce(*[F.when(text.rlike(p), F.struct(F.lit(p).alias("pattern"), F.regexp_extract(text, p, 0).alias("found"))) for p in patterns], none)
 
 
 def not_english(lang: Column) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import hours, rules
-from ..sources import readers, sinks
+from ..functions import scalars as X
+from ..functions.fuzzy import composite_ratio
+from ..operators import hours, matching, rules
+from ..sources import readers, schemas, sinks
+from . import reports
 
 
 def build(frame: DataFrame, bodies: DataFrame, terms: list[str], patterns: list[str], exceptions: list[int], manual: dict[int, str], min_hours: float = 10.0) -> dict[str, DataFrame]:
@@ -30,3 +33,30 @@ def report(corpus: DataFrame, exclusions: DataFrame) -> str:
     lines = [f"corpus: {corpus.count():,} shows", f"hours p25/median/p75/max: {q['p25']} / {q['median']} / {q['p75']} / {q['max']}"]
     lines += [f"excluded {r['rule']}: {r['n']:,}" for r in exclusions.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule").collect()]
     return "\n".join(lines)
+
+
+def labelled(corpus: DataFrame, labels: DataFrame) -> DataFrame:
+    """The corpus with its best external label: collection_id, show_name and the columns of match_status. For checks, never for sampling."""
+    names = corpus.select(F.col("show_id").alias("id"), X.normalize_name(F.col("show_name")).alias("norm"))
+    found = matching.match_status(matching.top2(names, labels, composite_ratio)).withColumnRenamed("id", "show_id")
+    return corpus.select("show_id", "show_name").join(found, "show_id").withColumnRenamed("show_id", "collection_id")
+
+
+def write(out: dict[str, DataFrame], root: str, frame: DataFrame | None = None, labels: DataFrame | None = None, **params) -> str:
+    """Everything a run leaves under root: frame copy, corpus, exclusions, episodes, labels where there are some, manifest and summary."""
+    if frame is not None:
+        sinks.csv(frame, f"{root}/raw_chart")
+    ordered = [c for c in schemas.FRAME_COLUMNS if c in out["corpus"].columns or c == "collection_id"]
+    rest = [c for c in out["corpus"].columns if c not in ordered and c != "show_id"]
+    sinks.csv(out["corpus"].withColumnRenamed("show_id", "collection_id").select(*ordered, *rest).orderBy("rank"), f"{root}/corpus")
+    sinks.csv(out["exclusions"].orderBy("rank"), f"{root}/exclusions")
+    sinks.csv(out["episodes"], f"{root}/episodes", gzip=True)
+    known = None
+    if labels is not None:
+        known = labelled(out["corpus"], labels)
+        sinks.csv(known, f"{root}/lean_validation")
+    sinks.manifest(out["manifest"].withColumns({"labels_joined": F.lit(labels is not None), **{k: F.lit(v) for k, v in params.items()}}), f"{root}/run_manifest")
+    text = reports.run_summary(out["corpus"], out["exclusions"], known, **params)
+    spark = out["corpus"].sparkSession
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/summary")
+    return text

@@ -1,10 +1,13 @@
 """A batch DataSource that reads cached HTTP snapshots (url, status, body); fetching is a pluggable callable.
 
 spark.dataSource.register(SnapshotSource); spark.read.format("snapshot").option("urls", ...).option("cache", folder)
+
+Option "fetcher" names a callable as "module:function" (url -> (status, body)), "delay" the seconds between calls to one host.
 """
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
 import time
@@ -16,19 +19,21 @@ RETRIES = 3
 PERMANENT = (403, 404, 410)
 
 
-def fetch_cached(url: str, cache: str, get=None, delay: float = 0.0) -> tuple[int | None, str | None, str]:
+def fetch_cached(url: str, cache: str, get=None, delay: float = 0.0, refresh: bool = False) -> tuple[int | None, str | None, str]:
     """(status, body, error) of url; results, failures too, are kept under the hash of the url."""
     base = os.path.join(cache, sha256(url.encode()).hexdigest()[:24])
-    if os.path.exists(base + ".meta"):
+    if os.path.exists(base + ".meta") and not (refresh and get):
         with open(base + ".meta") as f:
             meta = json.load(f)
         if os.path.exists(base + ".body"):
             with open(base + ".body", encoding="utf-8") as f:
                 return meta["status"], f.read(), ""
         return meta["status"], None, meta.get("error", "")
-    status, body, error = None, None, "no network"
-    for attempt in range(RETRIES if get else 0):
-        time.sleep(delay * 2**attempt if attempt else delay)
+    if get is None:  # nothing was tried, so nothing is kept
+        return None, None, "not in the cache"
+    status, body, error = None, None, ""
+    for attempt in range(RETRIES):
+        time.sleep(delay * 2**attempt)
         try:
             status, body = get(url)
             error = "" if status == 200 else f"HTTP {status}"
@@ -55,6 +60,9 @@ class SnapshotReader(DataSourceReader):
     def __init__(self, options):
         self.urls = json.loads(options.get("urls", "[]"))
         self.cache = options["cache"]
+        self.fetcher = options.get("fetcher", "")
+        self.delay = float(options.get("delay", "0"))
+        self.refresh = options.get("refresh", "false") == "true"
 
     def partitions(self):
         from urllib.parse import urlparse
@@ -65,8 +73,10 @@ class SnapshotReader(DataSourceReader):
         return [_Url(v) for v in hosts.values()] or [_Url([])]
 
     def read(self, partition):
+        module, _, name = self.fetcher.partition(":")
+        get = getattr(importlib.import_module(module), name) if module else None
         for u in partition.urls:
-            status, body, error = fetch_cached(u, self.cache)
+            status, body, error = fetch_cached(u, self.cache, get, self.delay, self.refresh)
             yield u, status, body, error
 
 

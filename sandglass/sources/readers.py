@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,21 @@ def episodes_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EPISODES).csv(path, header=True, multiLine=True, escape='"')
 
 
+def corpus_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The corpus table, ids as text; columns are found by their header."""
+    try:
+        names = spark.read.csv(path, header=True, multiLine=True, escape='"').columns
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no corpus at {path}; run the corpus build first") from e
+    kinds = dict(c.strip().split(" ") for c in schemas.CORPUS.split(","))
+    return spark.read.schema(", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names)).csv(path, header=True, multiLine=True, escape='"')
+
+
+def fixed_ids(spark: SparkSession, ids: list[int]) -> DataFrame:
+    """A source of given numbers, in their order."""
+    return spark.createDataFrame(list(enumerate(ids)), "turn int, id long")
+
+
 def labels_csv(spark: SparkSession, path: str, name: str = "show name", value: str = "partisan leaning") -> DataFrame:
     """(label, value, norm); headers by trimmed name in any case, rows without a name dropped, first of equal names kept."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')

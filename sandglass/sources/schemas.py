@@ -1,4 +1,4 @@
-"""Fixed schemas of inputs. Ids are longs, dates timestamps in UTC, missing values NULL."""
+"""Schemas of inputs and logs; names are fixed values. Ids are longs, dates timestamps in UTC, missing values NULL."""
 
 from __future__ import annotations
 
@@ -25,3 +25,9 @@ TRANSCRIPT = (
 )
 STATUS = "episode_id string, show_id string, engine string, model string, language string, n_segments int, n_words int, realtime_factor double, wall_seconds double"
 FAILURES = "show_id string, episode_id string, audio_url string, episode_title string, reason string"
+CORPUS = (
+    "rank int, collection_id string, show_name string, publisher string, feed_url string, primary_genre string, genres string, apple_category string, "
+    "apple_subcategory string, track_count int, country string, release_date string, apple_url string, artwork_url string, lookup_found boolean, "
+    "rss_description string, rss_language string, rss_author string, rss_owner_name string, episode_count long, episodes_with_audio long, "
+    "hours_available double, hours_estimated_share double, avg_episode_minutes double, episodes_per_week double, first_pub_date timestamp, last_pub_date timestamp"
+)

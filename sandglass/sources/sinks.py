@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from datetime import UTC, datetime
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import sanitize_title
+from ..operators.numbering import shared_folder
+from ..operators.transcripts import cues, full_text
+from . import schemas
+
+
+def stem() -> Column:
+    return F.concat_ws("_", "episode_id", sanitize_title(F.col("episode_title"))).alias("stem")
+
 
-def freeze(frame: DataFrame, root: str, chart_date: str, refresh: bool = False) -> str:
-    """Write a frame once for its date; a second write is an error unless it is a refresh."""
+def freeze(frame: DataFrame, root: str, chart_date: str | None = None, refresh: bool = False) -> str:
+    """Write a frame once for its date (today in UTC if none is given); a second write is an error unless it is a refresh."""
+    chart_date = chart_date or datetime.now(UTC).strftime("%Y%m%d")
     path = f"{root}/chart_date={chart_date}"
     frame.write.mode("overwrite" if refresh else "errorifexists").csv(path, header=True, escape='"')
     return path
@@ -18,7 +32,10 @@ def csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     (writer.option("compression", "gzip") if gzip else writer).csv(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
+def append_log(df: DataFrame, path: str, schema: str | None = None) -> None:
+    """Rows of a log; with a schema (STATUS, FAILURES) in its columns' order and types."""
+    if schema:
+        df = df.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in schema.split(", ")])
     df.write.mode("append").csv(path, header=True, escape='"')
 
 
@@ -38,6 +55,40 @@ def write_transcripts(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("show_id").json(path)
 
 
+def upsert_transcripts(new: DataFrame, path: str) -> None:
+    """Put transcripts(TRANSCRIPT) under path/json and their texts, named by stem, under path/text; rows of one episode, whatever its title was, are replaced.
+
+    Only the shows of the new rows are rewritten. The merged rows are stored before they replace what they were read from.
+    """
+    spark = new.sparkSession
+    there = spark.createDataFrame([], schemas.TRANSCRIPT)
+    try:
+        there = spark.read.schema(schemas.TRANSCRIPT).json(f"{path}/json").join(F.broadcast(new.select("show_id").distinct()), "show_id", "left_semi")
+    except AnalysisException:  # nothing was written yet
+        pass
+    staged = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    latest_transcripts(there.select(*new.columns), new).write.parquet(staged)
+    merged = spark.read.schema(new.schema).parquet(staged)
+    writer = lambda df, keys: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+    writer(merged, ["show_id"]).json(f"{path}/json")
+    writer(merged.select("show_id", stem(), F.trim(full_text(F.col("segments"))).alias("text")), ["show_id"]).json(f"{path}/text")
+
+
+def write_vtt(df: DataFrame, path: str) -> None:
+    """Cues of transcripts as text, a folder for each safe title."""
+    df.select("show_id", stem(), cues(F.col("segments")).alias("value")).write.mode("overwrite").partitionBy("show_id", "stem").text(path)
+
+
+def raw_json(df: DataFrame, path: str) -> None:
+    """A snapshot as JSON, kept if it is there."""
+    df.write.mode("ignore").json(path)
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Lines of a processed list or a log; df has one string column."""
+    df.write.mode("append").text(path)
+
+
 def run_manifest(included: DataFrame, excluded: DataFrame, **params) -> DataFrame:
     """Counts, hours and exclusions by rule, with the run's parameters, as one row."""
     by_rule = excluded.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "n")))).alias("exclusions_by_rule"))
