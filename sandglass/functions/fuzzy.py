@@ -40,24 +40,31 @@ def partial_ratio(a: str, b: str) -> float:
     return max(ratio(x, y[max(at, 0) : at + len(x)]) for x, y in ways for at in range(1 - len(x), len(y)))
 
 
-def token_scores(a: str, b: str) -> tuple[float, float]:
-    """(best of word-sorted and word-set ratio, the same of partial ratios)."""
-    one, two = a.split(), b.split()
-    if not one or not two:
-        return 0.0, 0.0
-    whole, part = ratio(" ".join(sorted(one)), " ".join(sorted(two))), partial_ratio(" ".join(sorted(one)), " ".join(sorted(two)))
-    both, left, right = set(one) & set(two), " ".join(sorted(set(one) - set(two))), " ".join(sorted(set(two) - set(one)))
-    if both:
-        shared = " ".join(sorted(both))
-        if not left or not right:
-            return 100.0, 100.0
-        part = 100.0
-        whole = max(whole, ratio(shared, f"{shared} {left}"), ratio(shared, f"{shared} {right}"))
-        whole = max(whole, ratio(f"{shared} {left}", f"{shared} {right}"))
-    else:
-        part = max(part, partial_ratio(left, right))
-        whole = max(whole, ratio(left, right))
-    return whole, part
+def words_apart(a: str, b: str) -> tuple[str, str, str]:
+    """(shared words, words of a alone, words of b alone), each sorted and joined."""
+    one, two = set(a.split()), set(b.split())
+    return tuple(" ".join(sorted(x)) for x in (one & two, one - two, two - one))
+
+
+def token_ratio(a: str, b: str) -> float:
+    """Best of the ratio of sorted words and those of shared words with and without the rest."""
+    shared, left, right = words_apart(a, b)
+    if not (shared or left) or not (shared or right):
+        return 0.0
+    if shared and not (left and right):
+        return 100.0
+    best = ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    if not shared:
+        return max(best, ratio(left, right))
+    return max(best, ratio(shared, f"{shared} {left}"), ratio(shared, f"{shared} {right}"), ratio(f"{shared} {left}", f"{shared} {right}"))
+
+
+def partial_token_ratio(a: str, b: str) -> float:
+    """Best partial ratio of sorted words, and of the words that the names do not share; 100 if they share one."""
+    shared, left, right = words_apart(a, b)
+    if shared:
+        return 100.0
+    return max(partial_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), partial_ratio(left, right))
 
 
 def composite(a: str, b: str) -> float:
@@ -65,11 +72,10 @@ def composite(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     times = max(len(a), len(b)) / min(len(a), len(b))
-    whole, part = token_scores(a, b)
     if times < 1.5:
-        return max(ratio(a, b), 0.95 * whole)
+        return max(ratio(a, b), 0.95 * token_ratio(a, b))
     scale = 0.9 if times <= 8 else 0.6
-    return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * part)
+    return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -60,7 +60,7 @@ def overlap_assign(words: DataFrame, turns: DataFrame, bucket: float = 30.0) ->
     spread = lambda df, a, b: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket))))
     pairs = spread(words, "w_start", "w_end").join(spread(turns, "t_start", "t_end"), ["doc", "_b"])
     shared = F.least("w_end", "t_end") - F.greatest("w_start", "t_start")
-    best = pairs.withColumn("_o", shared).where("_o > 0").groupBy("doc", "w_start", "w_end").agg(F.max_by("speaker", F.struct("_o", (-F.col("t_start")).alias("s"))).alias("speaker"))
+    best = pairs.withColumn("_o", shared).where("_o > 0").groupBy("doc", "w_start", "w_end").agg(F.max(F.struct("_o", (-F.col("t_start")).alias("s"), "speaker"))["speaker"].alias("speaker"))
     return words.join(best, ["doc", "w_start", "w_end"], "left")
 
 

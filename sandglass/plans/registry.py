@@ -13,6 +13,8 @@ from ..functions import fuzzy
 from ..functions import scalars as X
 from ..operators import hours, matching, queue, rules, sampling, transcripts
 from ..operators.numbering import numbered
+from ..sources import readers, sinks
+from . import reports
 
 SEED = 20260713
 BUDGET = 25.0
@@ -187,6 +189,28 @@ def stamped(ts, turn):
     return F.element_at(F.array(*forms), (turn % 8 + 1).cast("int"))
 
 
+def feeds(s, d) -> DataFrame:
+    """A feed for each supplier, its line items as episodes: every kind of duration, some without, some without audio."""
+    li = table(s, d, "lineitem")
+    length = F.when(F.col("l_linestatus") == "F", (F.col("l_partkey") * 1000).cast("string")).otherwise("none")
+    told = F.when(F.col("l_returnflag") != "R", F.concat(F.lit("<itunes:duration>"), F.col("l_quantity").cast("int"), F.lit(":30</itunes:duration>"))).otherwise("")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    sound = F.when(F.col("l_linenumber") < 7, F.concat(F.lit('<enclosure url="'), key, F.lit('" length="'), length, F.lit('"/>'))).otherwise("")
+    item = F.concat(F.lit("<item><title> T"), key, F.lit(" </title><pubDate>"), F.date_format("l_shipdate", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate>"), told, sound, F.lit("</item>"))
+    # a feed is one XML text of one show, as its host serves it
+    body = F.concat(F.lit("<rss xmlns:itunes='http://x'><channel><description> About \x01 </description><language>en</language>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>"))
+    bodies = li.groupBy(F.col("l_suppkey").alias("collection_id")).agg(body.alias("body"))
+    rows = shows(s, d).select(F.col("show_id").alias("collection_id"), "show_name", F.lit("u").alias("feed_url"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error"))
+    return readers.feed_channel(readers.feed_status(rows.join(bodies, "collection_id", "left")))
+
+
+def overlaps(s, d) -> DataFrame:
+    turns = table(s, d, "conversations").select("conv_id", "turn", "role").distinct()
+    words = turns.select(F.col("conv_id").cast("string").alias("doc"), (F.col("turn") * 10.0 + 3).alias("w_start"), (F.col("turn") * 10.0 + 9).alias("w_end")).distinct()
+    spoken = turns.select(F.col("conv_id").cast("string").alias("doc"), (F.col("turn") * 10.0 - 5).alias("t_start"), (F.col("turn") * 10.0 + 5 + F.col("turn") % 3).alias("t_end"), F.concat_ws("-", "role", "turn").alias("speaker"))
+    return queue.overlap_assign(words, spoken)
+
+
 def items(s, d) -> DataFrame:
     return table(s, d, "orders").select(F.col("o_orderkey").alias("item"), "o_orderstatus", F.col("o_totalprice").alias("price"))
 
@@ -299,6 +323,44 @@ def build() -> dict[str, tuple]:
               FROM (SELECT show_id, count(*) AS n_eps, round(sum(duration_sec) / 3600, 2) AS hours FROM {kept} GROUP BY 1)""", DRAW),
         ),
         "shuffled_draw": (lambda s, d: sampling.shuffled_draw(pool(s, d), BUDGET, WINDOW, SEED), None),
+        "feed_episodes": (
+            lambda s, d: readers.feed_episodes(feeds(s, d)).select("collection_id", "episode_title", "audio_url", F.coalesce("audio_bytes", F.lit(0)).alias("audio_bytes"), "duration_sec", "duration_source", F.col("pub_date").cast("timestamp_ntz").alias("pub_date")),
+            """WITH f AS (SELECT l_suppkey AS collection_id, l_orderkey || '-' || l_linenumber AS k, l_linenumber < 7 AS sound, CASE WHEN l_linestatus = 'F' AND l_linenumber < 7 THEN nullif(l_partkey * 1000, 0) END AS audio_bytes,
+              CASE WHEN l_returnflag <> 'R' THEN l_quantity::INT * 60.0 + 30 END AS told, l_shipdate FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
+            SELECT collection_id, 'T' || k AS episode_title, CASE WHEN sound THEN k ELSE '' END AS audio_url, coalesce(audio_bytes, 0) AS audio_bytes,
+              round(coalesce(told, CASE WHEN audio_bytes > 100000 THEN audio_bytes * 8 / 128000 END), 1)::DOUBLE AS duration_sec,
+              CASE WHEN told IS NOT NULL THEN 'itunes:duration' WHEN audio_bytes > 100000 THEN 'estimated_from_bytes' ELSE 'missing' END AS duration_source, date_trunc('second', l_shipdate) AS pub_date FROM f""",
+        ),
+        "feed_channels": (
+            lambda s, d: feeds(s, d).select("collection_id", "status", "rss_language", F.regexp_replace("rss_description", "[^A-Za-z ]", "").alias("about")),
+            "SELECT s_suppkey AS collection_id, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber < 7) THEN 'ok' ELSE 'feed_unreachable' END AS status, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem) THEN 'en' ELSE '' END AS rss_language, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem) THEN 'About' ELSE '' END AS about FROM supplier",
+        ),
+        "corpus_totals": (
+            lambda s, d: reports.corpus_totals(hours.feed_stats(episodes(s, d))).withColumn("mean_share", F.round("mean_share", 6)),
+            q("""SELECT count(*) AS n_shows, round(sum(h), 1) AS total_hours, count(*) FILTER (share > 0) AS n_estimated, round(avg(share), 6) AS mean_share FROM (
+              SELECT round(sum(duration_sec) / 3600, 2) AS h, coalesce(round(sum(duration_sec) FILTER (duration_source = 'estimated_from_bytes') / sum(duration_sec), 3), 0) AS share FROM e GROUP BY show_id)""", EP),
+        ),
+        "recommendation": (
+            lambda s, d: reports.recommendation(hours_table(s, d)).select("n_total", "n_dormant", "best_h", "n_best", "n_floor", "floor_ok"),
+            q(""", f AS (SELECT * FROM sv WHERE window_months = 24), n AS (SELECT count(*) AS n_total, count(*) FILTER (total_hours = 0) AS n_dormant FROM h WHERE window_months = 24),
+              b AS (SELECT max(H) FILTER (n_surviving >= 0.9 * n_total) AS best_h, max(n_surviving) FILTER (H = 25) AS n_floor FROM f CROSS JOIN n)
+              SELECT n_total, n_dormant, best_h, n_surviving AS n_best, n_floor, n_floor >= 0.9 * n_total AS floor_ok FROM n CROSS JOIN b LEFT JOIN f ON H = best_h""", SURV).replace("\n, f", ",\nf"),
+        ),
+        "overlap_assign": (
+            overlaps,
+            """WITH t AS (SELECT DISTINCT conv_id, turn, role FROM conversations), w AS (SELECT DISTINCT conv_id::VARCHAR AS doc, turn * 10.0 + 3 AS w_start, turn * 10.0 + 9 AS w_end FROM t),
+            s AS (SELECT conv_id::VARCHAR AS doc, turn * 10.0 - 5 AS t_start, turn * 10.0 + 5 + turn % 3 AS t_end, role || '-' || turn AS speaker FROM t),
+            o AS (SELECT w.*, speaker, least(w_end, t_end) - greatest(w_start, t_start) AS shared, t_start FROM w LEFT JOIN s ON w.doc = s.doc AND least(w_end, t_end) > greatest(w_start, t_start))
+            SELECT doc, w_start::DOUBLE AS w_start, w_end::DOUBLE AS w_end, speaker FROM (SELECT *, row_number() OVER (PARTITION BY doc, w_start, w_end ORDER BY shared DESC, t_start, speaker DESC) AS r FROM o) WHERE r = 1""",
+        ),
+        "transcript_stems": (
+            lambda s, d: docs(s, d).select("doc_id", F.col("doc_id").cast("string").alias("episode_id"), F.col("text").alias("episode_title")).select("doc_id", sinks.stem()),
+            r"SELECT doc_id, doc_id || '_' || CASE WHEN t = '' THEN 'untitled' ELSE t END AS stem FROM (SELECT doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[/\\:*?" + '"' + r"<>|]', '_', 'g'), '\s+', ' ', 'g')), 1, 80)) AS t FROM documents)",
+        ),
+        "path_parts": (
+            lambda s, d: table(s, d, "pages").select("page_id", X.path_stem(F.col("url")).alias("stem"), X.path_suffix(F.col("url")).alias("suffix")),
+            r"SELECT page_id, regexp_extract(url, '([^/]+?)(?:\.[^./]*)?$', 1) AS stem, regexp_extract(url, '[^/](\.[^./]+)$', 1) AS suffix FROM pages",
+        ),
         "permuted_draw": (lambda s, d: sampling.permuted_draw(pool(s, d), BUDGET, SEED), None),
         "dedup_keep_first": (
             lambda s, d: queue.keep_first(episodes(s, d).select(S, "l_linenumber", "episode_id", D), [S, "l_linenumber"], ["episode_id"]),
