@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import months_before
+from .numbering import quantiles
 
 WINDOWS = (12, 18, 24, 36)
 GRID = (5, 10, 15, 20, 25, 30, 40, 50)
@@ -71,17 +72,22 @@ def survival_table(hours: DataFrame, grid: tuple = GRID) -> DataFrame:
 
 def quartiles(hours: DataFrame, column: str = "total_hours") -> DataFrame:
     c = F.col(column)
-    names = {"p25": 0.25, "median": 0.5, "p75": 0.75}
-    return hours.agg(*[F.percentile(c, p).alias(n) for n, p in names.items()], F.min(c).alias("min"), F.max(c).alias("max"), F.count_if(c == 0).alias("n_dormant"))
+    ends = hours.agg(F.min(c).alias("min"), F.max(c).alias("max"), F.count_if(c == 0).alias("n_dormant"))
+    return quantiles(hours, column, {"p25": 0.25, "median": 0.5, "p75": 0.75}).crossJoin(F.broadcast(ends))  # a row each
 
 
 def quartile_diagnostics(hours: DataFrame) -> DataFrame:
     """Lowest quarter of shows against the rest: sizes, median episode length, median episode count."""
-    cut = hours.agg(F.percentile("total_hours", 0.25).alias("q1"))
-    side = F.when(F.col("total_hours") <= F.col("q1"), "low").otherwise("rest")
-    return hours.crossJoin(F.broadcast(cut)).groupBy(side.alias("side")).agg(
-        F.count(F.lit(1)).alias("n_shows"), F.median("median_ep_minutes").alias("median_minutes"), F.median("n_episodes").alias("median_episodes")
-    )
+    cut = quantiles(hours, "total_hours", {"q1": 0.25})
+    low = F.col("total_hours") <= F.col("q1")
+    marked = hours.crossJoin(F.broadcast(cut)).withColumn("side", F.when(low, "low").otherwise("rest"))  # one row
+    out = None
+    for side in ("low", "rest"):
+        own = marked.where(F.col("side") == side)
+        size = own.agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("n_shows")).where("n_shows > 0")
+        one = size.crossJoin(F.broadcast(quantiles(own, "median_ep_minutes", {"median_minutes": 0.5}))).crossJoin(F.broadcast(quantiles(own, "n_episodes", {"median_episodes": 0.5})))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def knee(survival: DataFrame) -> DataFrame:

@@ -11,20 +11,17 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import edit_ratio
 
 ACCEPT, REVIEW, GAP = 90.0, 75.0, 5.0
-MOST_LABELS = 100_000
 
 
 def top2(names: DataFrame, labels: DataFrame, score: Callable[[Column, Column], Column] = edit_ratio) -> DataFrame:
     """names(id, norm) with the best and second best of labels(label, value, norm).
 
-    Every pair has to be scored, as any two names can be alike; labels are a curated table, and their number is
-    checked before they are sent to all tasks. Beyond ``MOST_LABELS`` the join is left to Spark. Names are dealt out by
-    id first: a small file of them would be scored in one task.
+    Every pair has to be scored, as any two names can be alike; Spark sends the labels, a curated table, to all tasks
+    if they are small. Names are dealt out by id first: a small file of them would be scored in one task.
     """
     names = names.repartition(names.sparkSession.sparkContext.defaultParallelism, "id")
-    small = labels.limit(MOST_LABELS + 1).count() <= MOST_LABELS
     side = labels.select(F.col("label"), F.col("value"), F.col("norm").alias("label_norm"))
-    scored = names.where("norm <> ''").crossJoin(F.broadcast(side) if small else side).withColumn("score", score(F.col("norm"), F.col("label_norm")))
+    scored = names.where("norm <> ''").crossJoin(side).withColumn("score", score(F.col("norm"), F.col("label_norm")))
     best = F.struct((-F.col("score")).alias("neg"), "label", "value", "label_norm")
     w = W.partitionBy("id").orderBy(F.desc("score"), "label")
     ranked = scored.withColumn("r", F.row_number().over(w)).where("r <= 2")

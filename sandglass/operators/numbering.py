@@ -23,12 +23,48 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._sandglass_tables
 
 
+def ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df in ranges of the order, numbered as _part and stored: range bounds are drawn anew each time a plan runs."""
+    path = f"{shared_folder(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name in sums, the sum of its column up to and with the row within its keys, and all of them as total_*.
+
+    Rows lie in ranges of (keys, order), so a key that holds a third of all rows is spread over a third of the ranges: sums are
+    taken within a range, and what its key has in earlier ranges is added.
+    """
+    parts = ranges(df, [*[F.asc(k) for k in keys], *order])
+    own = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    per = parts.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
+    by_key = W.partitionBy(*keys)  # a row for each range that a key is in
+    earlier = by_key.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = [F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_base_{n}") for n in sums]
+    totals = [F.sum(f"_all_{n}").over(by_key).alias(f"total_{n}") for n in sums]
+    inside = parts.select("*", *[F.sum(c).over(own).alias(f"_in_{n}") for n, c in sums.items()])
+    joined = inside.join(per.select("_part", *keys, *offsets, *totals), ["_part", *keys])
+    return joined.select(*df.columns, *[(F.col(f"_base_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums], *[f"total_{n}" for n in sums])
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row with linearly interpolated quantiles by name: values are counted first, and counts are summed over ranges of them."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = running(counts.withColumn("_one", F.lit(1)), ["_one"], [F.asc("v")], {"upto": F.col("n")})
+    at = lambda p: (F.col("total_upto") - 1) * F.lit(float(p))
+    value = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))  # noqa: E731  the first value that reaches beyond the place
+    low = [value(F.floor(at(p))).alias(f"_low_{n}") for n, p in shares.items()]
+    high = [value(F.ceil(at(p))).alias(f"_high_{n}") for n, p in shares.items()]
+    rest = [F.max(at(p) - F.floor(at(p))).alias(f"_rest_{n}") for n, p in shares.items()]
+    between = lambda n: (F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_rest_{n}")).alias(n)
+    return placed.agg(*low, *high, *rest).select(*[between(n) for n in shares])
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its row number, from 1, in the order given: ranges are numbered within themselves, plus the rows before them."""
-    path = f"{shared_folder(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged.write.parquet(path)  # range bounds are drawn anew each time a plan runs, so the ranges are stored
-    parts = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    parts = ranges(df, order)
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per range
     base = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = parts.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -65,9 +64,8 @@ def overlap_assign(words: DataFrame, turns: DataFrame, bucket: float = 30.0) ->
 
 
 def running_manifest(sample: DataFrame) -> DataFrame:
-    """selection_order from 1 and running hours within each show."""
-    w = W.partitionBy("show_id").orderBy("draw_order")
+    """selection_order from 1 and running hours within each show, from the draw's own order and sums."""
     return sample.select(
-        "show_id", "episode_id", F.row_number().over(w).alias("selection_order"), F.round(F.col("duration_sec") / 60, 1).alias("duration_min"),
-        F.round(F.sum("duration_sec").over(w.rowsBetween(W.unboundedPreceding, 0)) / 3600, 2).alias("cumulative_hours"),
+        "show_id", "episode_id", (F.col("draw_order") + 1).alias("selection_order"), F.round(F.col("duration_sec") / 60, 1).alias("duration_min"),
+        F.round(F.col("cum_sec") / 3600, 2).alias("cumulative_hours"),
     )

@@ -1,7 +1,7 @@
 """Seeded draws until a budget of hours is met, and nested ladders of them.
 
 The order is a hash of seed, show and episode: stable across runs, independent between shows, the same for all budgets,
-so smaller budgets are prefixes of larger ones. One window per show computes everything; ladders explode its result.
+so smaller budgets are prefixes of larger ones. One running sum per show computes everything; ladders explode its result.
 """
 
 from __future__ import annotations
@@ -11,24 +11,19 @@ import random
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import running
+
 LADDER = (5, 10, 15, 20, 25, 30, 40)
 
 
 def drawn(episodes: DataFrame, seed: int | str) -> DataFrame:
     """episodes with draw_order (from 0), cum_sec up to each row, before_sec without it, and the show's total_sec."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("show_id"), F.col("episode_id")))
-    w = W.partitionBy("show_id").orderBy("_o", "episode_id")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    return (
-        episodes.withColumn("_o", key)
-        .withColumn("draw_order", F.row_number().over(w) - 1)
-        .withColumn("cum_sec", F.sum("duration_sec").over(run))
-        .withColumn("before_sec", F.coalesce(F.lag("cum_sec").over(w), F.lit(0.0)))
-        .withColumn("total_sec", F.sum("duration_sec").over(W.partitionBy("show_id")))
-        .drop("_o")
+    found = running(episodes.withColumn("_o", key), ["show_id"], [F.asc("_o"), F.asc("episode_id")], {"upto": F.lit(1), "cum_sec": F.col("duration_sec")})
+    return found.select(
+        *episodes.columns, (F.col("upto") - 1).cast("int").alias("draw_order"), "cum_sec", (F.col("cum_sec") - F.col("duration_sec")).alias("before_sec"), F.col("total_cum_sec").alias("total_sec")
     )
 
 
@@ -72,7 +67,7 @@ def rung_summary(ladder: DataFrame) -> DataFrame:
 
 
 def permuted_draw(episodes: DataFrame, hours: float, seed: int) -> DataFrame:
-    """The same draw with numpy's per-show permutation as the order (an Arrow group per show)."""
+    """The same draw with numpy's per-show permutation as the order: it is one of a whole show, which is an Arrow group."""
     import hashlib
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

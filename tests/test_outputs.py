@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sandglass.functions import fuzzy
 from sandglass.operators import hours, queue
-from sandglass.operators.numbering import numbered
+from sandglass.operators.numbering import numbered, quantiles, running
 from sandglass.plans import cli, reports
 from sandglass.sources import http, readers, schemas, sinks
 from sandglass.streaming import producer, worker
@@ -204,3 +204,29 @@ def test_numbers_over_ranges(spark):
     got = numbered(df, [F.desc("k")], "n").collect()
     assert sorted((r["n"], r["k"]) for r in got) == [(i + 1, 999 - i) for i in range(1000)]
     assert numbered(df.where("false"), [F.asc("k")], "n").count() == 0
+
+
+def test_running_sums_of_a_hot_key(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(1 if rnd.random() < 0.5 else rnd.randrange(40), i, float(rnd.randrange(50))) for i in range(3000)]
+    rnd.shuffle(rows)
+    got = running(spark.createDataFrame(rows, "k int, o int, x double").repartition(5), ["k"], [F.asc("o")], {"n": F.lit(1), "s": F.col("x")}).collect()
+    want, seen, total = set(), {}, {}
+    for k, o, x in sorted(rows):
+        n, s = seen.get(k, (0, 0.0))
+        seen[k] = (n + 1, s + x)
+        want.add((k, o, *seen[k]))
+    assert {(r["k"], r["o"], r["n"], r["s"]) for r in got} == want and all((r["total_n"], r["total_s"]) == seen[r["k"]] for r in got)
+
+
+def test_quantiles_are_interpolated(spark):
+    import numpy as np
+
+    for values in ([5.0], [1.0, 2.0], [3.0, 3.0, 3.0, 9.0, None], [float(i * i % 37) for i in range(101)]):
+        q = quantiles(spark.createDataFrame([(v,) for v in values], "x double").repartition(3), "x", {"a": 0.25, "b": 0.5, "c": 0.9}).first()
+        known = [v for v in values if v is not None]
+        assert [q["a"], q["b"], q["c"]] == pytest.approx([np.quantile(known, p) for p in (0.25, 0.5, 0.9)])
+    empty = quantiles(spark.createDataFrame([], "x double"), "x", {"a": 0.5}).first()
+    assert empty["a"] is None
