@@ -563,6 +563,28 @@ def test_pipeline_stages_take_odd_rows(docs, none):
         assert out.count() <= 2 * len(ROWS) and (name == "bpe_round_trip" or out.columns == docs.columns)
 
 
+@pytest.mark.parametrize("name", sorted(APPLY))
+def test_long_texts_with_hits(spark, name):
+    """Two documents of over a megabyte that hold something for each operator, one on a single line."""
+    part = "token=abcdef1234 All rights reserved. Licensed under CC BY-SA 4.0 | a | b ünï " + "some plain words of a text, ok. " * 20
+    rows = [(1, (part + "\n") * 1500, "en", "s", 1, "x", 1), (2, part * 1500, "en", "s", 1, "x", 1), (3, None, None, None, None, None, None)]
+    got = {r["doc_id"]: r for r in APPLY[name](spark.createDataFrame(rows, KIND)).collect()}
+    assert set(got) == {1, 2, 3}
+    if name == "op10_secret_scan":
+        assert got[1]["n_assign"] == got[2]["n_assign"] == 1500
+    if name == "op3_license_scan":
+        assert got[1]["n_base"] == got[2]["n_base"] == 3000 and "cc-by-sa" in got[2]["labels"]
+    if name == "op9_line_dedup":
+        assert (got[1]["n_removed"], got[2]["n_removed"]) == (1498 if got[1]["removed"] == "2-1499" else 1499, 0)
+
+
+def test_pipeline_of_long_texts(spark, tmp_path):
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(150_000)) + "."
+    rows = [(1, text, "en", "s", len(text)), (2, text, "en", "s", len(text)), (3, text.replace("w17 ", "w18 "), "en", "s", len(text)), (4, "other " + text[::-1], "en", "t", len(text))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {2, 4}
+
+
 def test_very_long_text():
     text = " ".join(f"w{i % 977}" for i in range(200_000))
     assert quality.judge(text)[4] == 200_000 and licenses.scan(text)[0] == 200_000 and fingerprints.fingerprint(text) == fingerprints.fingerprint(text.upper())
