@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-CHUNKS = 200_000
+CHUNKS = 300_000
 #: Characters after which a slice of a text ends at the next blank.
 SLICE = 1 << 16
 _BLANK = re.compile("[ \n]")
