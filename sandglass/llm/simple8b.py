@@ -26,30 +26,37 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lanes = -(-n // LANE)
     full = np.zeros(lanes * LANE, dtype=np.uint64)
     full[:n] = values
+    most = int(full.max())
+    small = full.astype(np.uint32) if most < 1 << 32 else full
     grade = np.zeros(full.shape, dtype=np.int8)  # the first packing that is wide enough
     for _, bits in PACKINGS:
-        if bits > int(full.max()).bit_length():
+        if bits > most.bit_length():
             break
-        grade += full >= np.uint64(1 << bits)
+        grade += small >= small.dtype.type(1 << bits)
+    grade = grade.reshape(lanes, LANE)
     choice = np.full((lanes, LANE), len(PACKINGS), dtype=np.int8)
-    choice[grade.reshape(lanes, LANE) == len(PACKINGS)] = ESCAPE
-    wide = np.zeros((lanes, LANE + 1), dtype=np.int16)
-    for s in range(len(PACKINGS) - 1, int(grade.min()) - 1, -1):
+    choice[grade == len(PACKINGS)] = ESCAPE
+    run, length = grade.copy(), 1  # largest grade of the values from each place on
+    for s in range(len(PACKINGS) - 1, -1, -1):
         count = PACKINGS[s][0]
-        np.cumsum((grade > s).reshape(lanes, LANE), axis=1, out=wide[:, 1:])
-        choice[:, : LANE - count + 1][wide[:, count:] == wide[:, :-count]] = s + 1
+        while length < count:
+            np.maximum(run[:, : LANE - length], grade[:, length:], out=run[:, : LANE - length])
+            length += 1
+        fits = run[:, : LANE - count + 1] <= s
+        if not fits.any():
+            break  # more values of fewer bits fit nowhere either
+        choice[:, : LANE - count + 1][fits] = s + 1
     choice = choice.ravel()
     steps = COUNTS[choice]
     at = np.arange(0, lanes * LANE, LANE)
     ends = at + LANE
-    starts = []
+    starts = np.zeros(lanes * LANE, dtype=bool)
     while len(at):
-        starts.append(at)
+        starts[at] = True
         at = at + steps[at]
         going = at < ends
         at, ends = at[going], ends[going]
-    first = np.sort(np.concatenate(starts))
-    first = first[first < n]
+    first = np.flatnonzero(starts[:n])
     selector = choice[first].astype(np.int64)
     words = selector.astype(np.uint64) << np.uint64(60)
     for s, (count, bits) in enumerate(PACKINGS, 1):

@@ -35,10 +35,10 @@ from .bpe_stream import byte_letters
 from .common import arrow_schema, ship, stored
 
 END_ID = 0
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 STRIDE = 128
-PIECES = 250_000
-_TEXTS = 1024
+PIECES = 500_000
+_TEXTS = 3072
 #: Texts that can't be cut at each space and newline: empty, with white space at an end, doubled, or of another kind.
 _UNEVEN = r"\A(?:[ \n]|\z)|[ \n]\z|[ \n]{2}|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A piece of one split: Latin letters, which the splitter keeps together, then a comma or full stop, which it splits off.
@@ -84,15 +84,26 @@ class PieceEncoder:
     def learn(self, pieces: list[str]) -> None:
         """Put the ids of pieces into the table."""
         table, tokenize, letters, code, joined = self.table, self.model.tokenize, self.letters, self.kind().dtype.char, []
+
+        def word_ids(raw: str) -> bytes:
+            return array(code, [t.id for t in tokenize(raw)]).tobytes()
+
         for piece in pieces:
+            if piece.isascii() and piece.isalpha():
+                if piece not in table:
+                    table[piece] = word_ids("\u0120" + piece)
+                continue
             if (found := _LETTERS.fullmatch(piece)) is None:
                 joined.append(piece)
                 continue
             line, word, mark = found.groups()
-            if line or (own := table.get(word)) is None:
-                raw = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-                own = array(code, [t.id for t in tokenize(raw if line else "\u0120" + raw)]).tobytes()
-            table[piece] = self.line + own + self.end_marks[mark] if line else own + self.end_marks[mark]
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+            if line:
+                table[piece] = self.line + word_ids(raw) + self.end_marks[mark]
+            else:
+                if (own := table.get(word)) is None:
+                    own = table[word] = word_ids("\u0120" + raw)
+                table[piece] = own + self.end_marks[mark]
         for at in range(0, len(joined), 1024):
             part = joined[at : at + 1024]
             ids = self.ids("".join([p if p[0] == "\n" else " " + p for p in part]))
@@ -139,12 +150,14 @@ class PieceEncoder:
         pool = np.frombuffer(b"".join(known), self.kind)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.kind().itemsize
         which = coded.indices.to_numpy()
-        begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        size = sizes[which]
+        short = np.int32 if size.sum() < 1 << 31 and len(pool) < 1 << 31 else np.int64
+        begin, size = (np.cumsum(sizes) - sizes).astype(short)[which], size.astype(short)
         heads = edges[:-1] - edges[0]
         begin[heads] += 1  # no newline stands before a text
         size[heads] -= 1
-        ends = np.cumsum(size)
-        all_ids = pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
+        ends = np.cumsum(size, dtype=short)
+        all_ids = pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1], dtype=short)]
         cuts = [0, *ends[edges[1:] - edges[0] - 1].tolist()]
         return [all_ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
