@@ -65,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--compute-type", default="float16", help="handed to the engine")
     q.add_argument("--language", default="en", help="handed to the engine")
     q.add_argument("--auto-lang", action="store_true", help="let the engine find the language")
+    q.add_argument("--audio", help="folder of the audio files; items without one are dropped")
     q.add_argument("--smoke-test", action="store_true", help="one item through the engine, then end")
     return p
 
@@ -142,7 +143,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
             return json.dumps(worker.smoke_test(a.engine, options=options))
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "queue":
-        worker.drain(spark, a.queue, a.out, a.checkpoint, a.engine, a.batch_size, options)
+        worker.drain(spark, a.queue, a.out, a.checkpoint, a.engine, a.batch_size, options, a.audio)
         return ""
     return {"run": run, "budget": budget, "sample": sample, "download": download}[a.command](a, spark)
 

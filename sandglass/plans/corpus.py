@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,11 @@ def write(out: dict[str, DataFrame], root: str, frame: DataFrame | None = None,
     if labels is not None:
         known = labelled(out["corpus"], labels)
         sinks.csv(known, f"{root}/lean_validation")
+    counts = {"n_excluded": out["exclusions"].count(), "fuzzy_accept": matching.ACCEPT, "fuzzy_review": matching.REVIEW, "finished_utc": datetime.now(UTC).isoformat()}
+    counts |= {"n_frame": frame.count()} if frame is not None else {}
+    params |= {k: v for k, v in counts.items() if k not in params}
     sinks.manifest(out["manifest"].withColumns({"labels_joined": F.lit(labels is not None), **{k: F.lit(v) for k, v in params.items()}}), f"{root}/run_manifest")
-    text = reports.run_summary(out["corpus"], out["exclusions"], known, **params)
+    text = reports.run_summary(out["corpus"], out["exclusions"], known, **{k: v for k, v in params.items() if k not in counts})
     spark = out["corpus"].sparkSession
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/summary")
     return text

@@ -84,8 +84,11 @@ def transcribe(items: DataFrame, engine: str = "stub", options: dict | None = No
     return items.mapInPandas(run, RESULT)
 
 
-def drain(spark: SparkSession, folder: str, out: str, checkpoint: str, engine: str = "stub", per_trigger: int = 2, options: dict | None = None) -> None:
-    """Work off what lies in the queue and stop. Done items (same id and hash, outcome ok) are skipped."""
+def drain(spark: SparkSession, folder: str, out: str, checkpoint: str, engine: str = "stub", per_trigger: int = 2, options: dict | None = None, audio: str | None = None) -> None:
+    """Work off what lies in the queue and stop. Done items (same id and hash, outcome ok) are skipped.
+
+    With a folder of audio, items whose file is not there are dropped at once, with a row that says so.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         s = df.sparkSession
@@ -97,8 +100,15 @@ def drain(spark: SparkSession, folder: str, out: str, checkpoint: str, engine: s
             todo = todo.join(done.where(F.col("batch") != number).join(F.broadcast(todo.select(*keys)), keys, "left_semi").select(*keys).distinct(), keys, "left_anti")
         except AnalysisException:  # nothing was written yet
             pass
+        gone = None
+        if audio:
+            heard = with_audio(todo, s.read.format("binaryFile").load(audio).select("path"))
+            lost = todo.join(heard.select("episode_id").distinct(), "episode_id", "left_anti").select(*todo.columns)
+            gone = lost.selectExpr(*todo.columns, "'dropped' AS outcome", "'no audio' AS reason", "0 AS n_segments", "0 AS n_words", "0.0D AS duration")
+            todo = heard.select(*todo.columns)
+        rows = transcribe(todo, engine, options)
         # a batch that is run again replaces its own rows
-        transcribe(todo, engine, options).withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        (rows if gone is None else rows.unionByName(gone)).withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
     q = queue(spark, folder, per_trigger).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -104,6 +104,11 @@ def test_download_fills_the_queue(spark, tmp_path):
     assert sorted(text.split(", ")) == ["fail: 1", "ok: 1", "skip-queued: 1"] and (q / "STOP").exists()
     failed = spark.read.csv(f"{tmp_path}/failures", header=True)
     assert failed.columns == [c.split()[0] for c in schemas.FAILURES.split(", ")] and failed.first()["reason"] == "HTTP 404"
+    worker.drain(spark, str(q), f"{tmp_path}/done", f"{tmp_path}/check", per_trigger=9, audio=str(q))
+    (q / "e8.meta").write_text("s9|||e8|||h|||no file")
+    worker.drain(spark, str(q), f"{tmp_path}/done", f"{tmp_path}/check", per_trigger=9, audio=str(q))
+    assert {r["episode_id"]: (r["outcome"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/done").collect()} == {"e1": ("ok", ""), "e5": ("ok", ""), "e8": ("dropped", "no audio")}
+    (q / "e8.meta").unlink()
     files = spark.createDataFrame([(f"file:{q}/{n}",) for n in os.listdir(q)], "path string")
     items = spark.createDataFrame([("e1",), ("e5",), ("e7",)], "episode_id string")
     assert sorted(r[0] for r in worker.with_audio(items, files).collect()) == ["e1", "e5"]
