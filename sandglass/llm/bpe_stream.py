@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-CHUNKS = 300_000
+CHUNKS = 500_000
+#: Rows whose words are learned together.
+BATCH = 2048
 #: Characters after which a slice of a text ends at the next blank.
 SLICE = 1 << 16
 _BLANK = re.compile("[ \n]")
@@ -407,7 +409,7 @@ def bpe_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
         out = list(map(own.digest, texts))
         return [names, *([list(c) for c in zip(*out)] if out else [[]] * 3)]
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", BATCH)
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -78,26 +78,26 @@ def ship(spark: SparkSession) -> None:
 PART_ROWS = 512
 
 
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of PART_ROWS rows; freed memory goes back to the system after each batch, as workers live on."""
+def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows; freed memory goes back to the system after each batch, as workers live on."""
     give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
     for batch in batches:
-        for at in range(0, batch.num_rows, PART_ROWS):
-            yield batch.slice(at, PART_ROWS)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
         del batch
         pa.default_memory_pool().release_unused()
         if give_back is not None:
             give_back(0)
 
 
-def map_rows(df: DataFrame, rows: Callable[[list[dict]], dict[str, list]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, rows: Callable[[list[dict]], dict[str, list]], schema: str, part_rows: int = PART_ROWS) -> DataFrame:
     """mapInArrow where rows() turns the columns of one Arrow batch (as Python lists) into output columns."""
     ship(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = None
-        for batch in parts(batches):
+        for batch in parts(batches, part_rows):
             if target is None:
                 target = arrow_schema(schema)
             cols = rows(*[batch.column(i).to_pylist() for i in range(len(names))])
