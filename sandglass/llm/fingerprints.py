@@ -43,7 +43,7 @@ SIMILARITY = 0.8
 WORDS = 4
 KEYS = 8
 EACH = 4
-#: Members of a key compared in all pairs; a larger one's are dealt out by so many, each part with as many leads.
+#: Members of a key compared in all pairs; those of a larger one are dealt out in parts of about so many, half of them leads.
 NEAR_BUCKET = 256
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -330,17 +330,18 @@ def similar_in_bucket(leads: np.ndarray, rest: np.ndarray, radius: int) -> list[
 def similar_links(rows: DataFrame, words: int, radius: int, bucket: int = NEAR_BUCKET) -> DataFrame:
     """(a, b) links among the fingerprints of rows(fp, keys), candidates being those that share a key.
 
-    The members of a key shared by more than ``bucket`` are dealt out evenly in parts of as many; about ``bucket`` leads, drawn by
-    hash, go to each part, so the work is linear in the members and no task has more. Each key draws other leads, and members near
+    The members of a key shared by more than ``bucket`` are dealt out evenly in parts of half as many; about as many leads, drawn
+    by hash, go to each part, so the work is linear in the members and no task has more. Each key draws other leads, and members near
     no lead are compared within their part. Two that are near each other but no lead, and in different parts, still meet in their
     other keys: crowded keys are made of passages that many texts share, and texts with a similarity of 0.8 share more than these.
     """
     ship(rows.sparkSession)
     keyed = stored(rows.select("fp", F.explode("keys").alias("key")).distinct(), "near-keys")
     sizes = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
-    cut = keyed.join(sizes, "key").withColumn("draw", F.pmod(F.xxhash64("key", "fp"), F.lit(1 << 30)))
-    shares = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
-    lead = (F.col("n") > bucket) & (F.col("draw") * F.col("n") < F.lit(bucket).cast("long") * F.lit(1 << 30))
+    cut = spread_join(keyed, sizes.withColumn("members", F.col("n")), ["key"], "members").withColumn("draw", F.pmod(F.xxhash64("key", "fp"), F.lit(1 << 30)))
+    half = max(1, bucket // 2)
+    shares = F.ceil(F.col("n") / F.lit(half)).cast("int")
+    lead = (F.col("n") > bucket) & (F.col("draw") * F.col("n") < F.lit(half).cast("long") * F.lit(1 << 30))
     part = F.when(F.col("n") <= bucket, F.array(F.lit(0))).when(lead, F.sequence(F.lit(0), shares - 1)).otherwise(F.array((F.col("draw") % shares).cast("int")))
     dealt = cut.select("key", F.explode(part).alias("part"), lead.alias("lead"), "fp").repartition("key", "part").sortWithinPartitions("key", "part", F.desc("lead"))
 
