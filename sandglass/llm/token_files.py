@@ -39,6 +39,7 @@ BLOCK_IDS = 1 << 18
 STRIDE = 128
 PIECES = 500_000
 _TEXTS = 3072
+_BYTES = 1 << 24
 #: Texts that can't be cut at each space and newline: empty, with white space at an end, doubled, or of another kind.
 _UNEVEN = r"\A(?:[ \n]|\z)|[ \n]\z|[ \n]{2}|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A piece of one split: Latin letters, which the splitter keeps together, then a comma or full stop, which it splits off.
@@ -228,6 +229,16 @@ class Block:
             held = held[size:]
 
 
+def slices(batch: pa.RecordBatch, rows: int = _TEXTS, size: int = _BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of so many rows or bytes of text in column 1 at most, a row at least."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """The stored table of blocks."""
     ship(docs.sparkSession)
@@ -255,8 +266,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, blo
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, target)], schema=target)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(at, _TEXTS)
+            for part in slices(batch):
                 for i, found in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     ids.append(i)
                     held.append(np.append(found, np.array(end_id, found.dtype)))

@@ -270,6 +270,16 @@ def test_blocks_are_read_from_anywhere(spark):
     assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()}
 
 
+def test_slices_are_bounded():
+    import pyarrow as pa
+
+    texts = ["x" * 50, None, "", "y" * 200, "z", "z", "z", "é" * 30]
+    batch = pa.record_batch([pa.array(range(8)), pa.array(texts)], names=["i", "t"])
+    got = [s.column(0).to_pylist() for s in token_files.slices(batch, 3, 60)]
+    assert got == [[0, 1, 2], [3], [4, 5, 6], [7]]
+    assert list(token_files.slices(batch.slice(0, 0))) == []
+
+
 def test_pieces_that_open_inside_are_encoded_alone(spark):
     enc = token_files.PieceEncoder(token_files.tokenizer_path(spark, "byte_bpe_50k.json"))
     enc.opens[:] = True
