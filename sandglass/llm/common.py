@@ -43,14 +43,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_join(rows: DataFrame, one: DataFrame, on: list[str], weight: str) -> DataFrame:
+def spread_join(rows: DataFrame, one: DataFrame, on: list[str], weight: str, total: int | None = None) -> DataFrame:
     """rows joined with ``one``, which has a row per key and says in ``weight`` how many of rows have that key.
 
     A key is crowded if its rows are more than a quarter of a task's even share. At most 4 * shuffle partitions keys can be, so
     these few rows of ``one`` are broadcast, however large the tables are; all other keys meet in a shuffle of even parts.
+    ``total`` is the number of rows, where the caller knows it already.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fair = (one.agg(F.sum(weight)).first()[0] or 0) // (4 * partitions) + 1
+    if total is None:
+        total = one.agg(F.sum(weight)).first()[0] or 0
+    fair = total // (4 * partitions) + 1
     crowded = one.where(F.col(weight) > fair).drop(weight)
     thin = one.where(F.col(weight) <= fair).drop(weight)
     rest = rows.join(F.broadcast(crowded.select(*on)), on, "left_anti")

@@ -65,14 +65,15 @@ def ranked(keys: DataFrame, by: list[str]) -> DataFrame:
     return stored(inside.join(F.broadcast(base), "part").select(*by, "n", (F.col("in") + F.col("base")).cast("long").alias("longer")), "ranks")
 
 
-def reranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The suffixes of rows (stored) whose ``by`` stands twice or more, ranked by it; stored."""
+def reranked(rows: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """The suffixes of rows (stored) whose ``by`` stands twice or more, ranked by it; stored, with their number."""
     keys = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = spread_join(rows, ranked(keys, by), by, "n")
-    return stored(found.select("doc_id", "doc", "pos", "words", F.col("longer").alias("rank")), "suffixes")
+    found = spread_join(rows, ranked(keys, by), by, "n", rows.count())
+    array = stored(found.select("doc_id", "doc", "pos", "words", F.col("longer").alias("rank")), "suffixes")
+    return array, array.count()
 
 
-def doubled(array: DataFrame, shift: int) -> DataFrame:
+def doubled(array: DataFrame, shift: int) -> tuple[DataFrame, int]:
     """The array by ``shift`` more lines: suffixes whose longer prefix stands twice or more, ranked by it."""
     ahead = W.partitionBy("doc").orderBy("pos").rangeBetween(shift, shift)
     pairs = array.withColumn("next", F.max("rank").over(ahead)).where("next is not null")
@@ -81,17 +82,19 @@ def doubled(array: DataFrame, shift: int) -> DataFrame:
 
 def suffix_array(lines: DataFrame) -> list[DataFrame]:
     """(doc_id, doc, pos, words, rank) for prefixes of 1, 2, 4, ... lines: the suffixes whose prefix stands twice or more."""
-    levels = [reranked(lines, ["id"])]
-    while not levels[-1].isEmpty():
-        levels.append(doubled(levels[-1], 1 << (len(levels) - 1)))
-    return levels[:-1]
+    levels: list[DataFrame] = []
+    array, n = reranked(lines, ["id"])
+    while n:
+        levels.append(array)
+        array, n = doubled(array, 1 << (len(levels) - 1))
+    return levels
 
 
 def later_places(array: DataFrame, by: list[str]) -> DataFrame:
     """Members of each interval but its first place, with that as ``first``; array is stored."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc"), F.col("pos"))
     first = array.groupBy(*by).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return spread_join(array, stored(first, "first-places"), by, "n").where(place != F.col("first"))
+    return spread_join(array, stored(first, "first-places"), by, "n", array.count()).where(place != F.col("first"))
 
 
 def lines_of(places: DataFrame, length: int) -> DataFrame:
@@ -131,7 +134,7 @@ def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     found = [lines_of(later_places(levels[0].where(F.col("words") >= min_words), ["rank"]), 1)]
     k = min_lines.bit_length() - 1  # min_lines is 2^k lines and a rest
     if k < len(levels):
-        array = levels[k] if min_lines == 1 << k else doubled(levels[k], min_lines - (1 << k))
+        array = levels[k] if min_lines == 1 << k else doubled(levels[k], min_lines - (1 << k))[0]
         found.append(lines_of(later_places(array.where("words > 0"), ["rank"]), min_lines))
     found += through_blanks(docs, lines, levels, min_lines)
     return stored(reduce(DataFrame.unionByName, found).distinct(), "deleted-lines"), lines
