@@ -37,7 +37,7 @@ from .common import arrow_schema, ship, stored
 END_ID = 0
 BLOCK_IDS = 1 << 18
 STRIDE = 128
-PIECES = 500_000
+PIECES = 350_000
 _TEXTS = 3072
 _BYTES = 1 << 24
 #: Texts that can't be cut at each space and newline: empty, with white space at an end, doubled, or of another kind.
