@@ -38,8 +38,8 @@ END_ID = 0
 BLOCK_IDS = 1 << 18
 STRIDE = 128
 PIECES = 350_000
-_TEXTS = 3072
-_BYTES = 1 << 24
+_TEXTS = 2048
+_BYTES = 1 << 23
 #: Texts that can't be cut at each space and newline: empty, with white space at an end, doubled, or of another kind.
 _UNEVEN = r"\A(?:[ \n]|\z)|[ \n]\z|[ \n]{2}|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A piece of one split: Latin letters, which the splitter keeps together, then a comma or full stop, which it splits off.
