@@ -16,11 +16,12 @@ ACCEPT, REVIEW, GAP = 90.0, 75.0, 5.0
 def top2(names: DataFrame, labels: DataFrame, score: Callable[[Column, Column], Column] = edit_ratio) -> DataFrame:
     """names(id, norm) with the best and second best of labels(label, value, norm).
 
-    Every pair has to be scored, as any two names can be alike; Spark sends the labels, a curated table, to all tasks
-    if they are small. Names are dealt out by id first: a small file of them would be scored in one task.
+    Every pair has to be scored, as any two names can be alike; Spark sends the smaller side to all tasks if it is small
+    enough. Both sides are dealt out first: a small file of either would be scored in one task.
     """
-    names = names.repartition(names.sparkSession.sparkContext.defaultParallelism, "id")
-    side = labels.select(F.col("label"), F.col("value"), F.col("norm").alias("label_norm"))
+    tasks = names.sparkSession.sparkContext.defaultParallelism
+    names = names.repartition(tasks, "id")
+    side = labels.repartition(tasks, "label").select(F.col("label"), F.col("value"), F.col("norm").alias("label_norm"))
     scored = names.where("norm <> ''").crossJoin(side).withColumn("score", score(F.col("norm"), F.col("label_norm")))
     best = F.struct((-F.col("score")).alias("neg"), "label", "value", "label_norm")
     w = W.partitionBy("id").orderBy(F.desc("score"), "label")
