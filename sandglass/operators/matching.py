@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import edit_ratio
+from ..functions.shipping import ship
 
 ACCEPT, REVIEW, GAP = 90.0, 75.0, 5.0
 
@@ -19,6 +20,7 @@ def top2(names: DataFrame, labels: DataFrame, score: Callable[[Column, Column],
     Every pair has to be scored, as any two names can be alike; Spark sends the smaller side to all tasks if it is small
     enough. Both sides are dealt out first: a small file of either would be scored in one task.
     """
+    ship(names.sparkSession)  # scores in Python come from this package
     tasks = names.sparkSession.sparkContext.defaultParallelism
     names = names.repartition(tasks, "id")
     side = labels.repartition(tasks, "label").select(F.col("label"), F.col("value"), F.col("norm").alias("label_norm"))

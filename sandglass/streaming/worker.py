@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import path_stem, path_suffix, split_meta
+from ..functions.shipping import ship
 
 RESULT = "show_id string, episode_id string, audio_sha256 string, title string, outcome string, reason string, n_segments int, n_words int, duration double"
 
@@ -67,6 +68,7 @@ def queue(spark: SparkSession, folder: str, per_trigger: int = 2) -> DataFrame:
 
 def transcribe(items: DataFrame, engine: str = "stub", options: dict | None = None) -> DataFrame:
     """Outcome rows; an exception is that item's outcome alone. The engine is loaded once a task."""
+    ship(items.sparkSession)
     make = ENGINES[engine]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
