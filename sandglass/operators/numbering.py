@@ -62,10 +62,10 @@ def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame
     return placed.agg(*low, *high, *rest).select(*[between(n) for n in shares])
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str, kind: str = "int") -> DataFrame:
     """df with its row number, from 1, in the order given: ranges are numbered within themselves, plus the rows before them."""
     parts = ranges(df, order)
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per range
     base = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = parts.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return inside.join(F.broadcast(base), "_part").select((F.col("_base") + F.col("_in")).cast("int").alias(name), *df.columns)
+    return inside.join(F.broadcast(base), "_part").select((F.col("_base") + F.col("_in")).cast(kind).alias(name), *df.columns)
