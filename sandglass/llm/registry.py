@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, exact_dedup, fingerprints, language, licenses, line_dedup, mixing, quality, secrets, token_files
+from . import bpe_stream, exact_dedup, fingerprints, language, licenses, line_dedup, mixing, quality, secrets, time_partitions, token_files
 from .common import documents
 from .oracles import ORACLES
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_round_trip": lambda s, d: bpe_stream.bpe_digest(documents(s, d), token_files.tokenizer_path(s, "word_bpe_49k.json")),
         "op9_line_dedup": lambda s, d: line_dedup.dedup_digest(documents(s, d)),
         "op10_secret_scan": lambda s, d: secrets.scan_secrets(documents(s, d)),
+        "op11_time_partitions": lambda s, d: time_partitions.partition_clicks(s.read.parquet(f"{d}/clicks.parquet")),
     }
 
 
