@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, exact_dedup, fingerprints, language, licenses, line_dedup, mixing, quality, secrets, time_partitions, token_files
+from . import bpe_stream, chat_format, exact_dedup, fingerprints, hard_negatives, language, licenses, line_dedup, mixing, quality, secrets, time_partitions, token_files
 from .common import documents
 from .oracles import ORACLES
 
@@ -24,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": lambda s, d: line_dedup.dedup_digest(documents(s, d)),
         "op10_secret_scan": lambda s, d: secrets.scan_secrets(documents(s, d)),
         "op11_time_partitions": lambda s, d: time_partitions.partition_clicks(s.read.parquet(f"{d}/clicks.parquet")),
+        "op12_hard_negatives": lambda s, d: hard_negatives.hard_negatives(s.read.parquet(f"{d}/embeddings.parquet")),
+        "op13_chat_format": lambda s, d: chat_format.chat_digest(chat_format.with_case(s.read.parquet(f"{d}/conversations.parquet"))),
     }
 
 
