@@ -2,34 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.fuzzy import edit_ratio
 from ..functions.shipping import ship
+from ..functions.similarity import Block
 
 ACCEPT, REVIEW, GAP = 90.0, 75.0, 5.0
+#: Names and labels of a block at most; few names are dealt over all tasks.
+NAMES, LABELS = 2048, 8192
 
 
-def top2(names: DataFrame, labels: DataFrame, score: Callable[[Column, Column], Column] = edit_ratio) -> DataFrame:
-    """names(id, norm) with the best and second best of labels(label, value, norm).
+def top2(names: DataFrame, labels: DataFrame, score: str = "edit", most: tuple[int, int] = (NAMES, LABELS)) -> DataFrame:
+    """names(id, norm) with the best and second best of labels(label, value, norm), equal scores by label, as structs a and b.
 
-    Every pair has to be scored, as any two names can be alike; Spark sends the smaller side to all tasks if it is small
-    enough. Both sides are dealt out first: a small file of either would be scored in one task.
+    Exact for every score of functions.similarity, however low the best one is. Distinct names meet the labels in blocks of bounded
+    size; in a block, bounds of the scores leave a few labels of each name to be scored (see there), and the best two of all
+    blocks are the best two of all labels. Of labels with one norm only the first two can be among them. Empty names and names
+    without a norm find nothing; labels without a name or a norm take no part.
     """
-    ship(names.sparkSession)  # scores in Python come from this package
-    tasks = names.sparkSession.sparkContext.defaultParallelism
-    names = names.repartition(tasks, "id")
-    side = labels.repartition(tasks, "label").select(F.col("label"), F.col("value"), F.col("norm").alias("label_norm"))
-    scored = names.where("norm <> ''").crossJoin(side).withColumn("score", score(F.col("norm"), F.col("label_norm")))
+    spark = names.sparkSession
+    ship(spark)
+    asked = names.where("norm <> ''").select("norm").distinct()
+    same_norm = W.partitionBy("norm").orderBy("label", "value")
+    side = labels.where("label is not null and norm is not null").select("label", "value", "norm").withColumn("_r", F.row_number().over(same_norm)).where("_r <= 2").drop("_r")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_asked = asked.count()
+    a = max(1, -(-n_asked // min(most[0], n_asked // tasks + 1)))
+    b = max(1, -(-side.count() // most[1]))
+    deal = lambda n: F.pmod(F.xxhash64("norm"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kinds = {f.name: f.dataType for f in side.schema}
+    schema = T.StructType([T.StructField("norm", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("label", kinds["label"]), T.StructField("value", kinds["value"]), T.StructField("label_norm", T.StringType())])
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        asks, found = left["norm"].to_pylist(), []
+        if asks and right.num_rows:
+            block = Block(right["label"].to_pylist(), right["norm"].to_pylist(), score)
+            found = [(n, s, i) for n in asks for s, i in block.best_two(n)]
+            right = right.take(pa.array(block.order))
+        at = pa.array([i for *_, i in found], pa.int64())
+        got = right.select(["label", "value", "norm"]).take(at)
+        return pa.table([pa.array([n for n, *_ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64()), *got.columns], names=schema.names)
+
+    # the number of partitions is given: by their bytes alone, blocks would be put together into few tasks
+    one = asked.select("norm", deal(a).alias("a")).select("*", every(b).alias("b")).repartition(tasks, "a", "b")
+    two = side.select("*", deal(b).alias("b")).select("*", every(a).alias("a")).repartition(tasks, "a", "b")
+    scored = one.groupBy("a", "b").cogroup(two.groupBy("a", "b")).applyInArrow(search, schema)
+    ranked = scored.withColumn("r", F.row_number().over(W.partitionBy("norm").orderBy(F.desc("score"), "label", "value"))).where("r <= 2")
     best = F.struct((-F.col("score")).alias("neg"), "label", "value", "label_norm")
-    w = W.partitionBy("id").orderBy(F.desc("score"), "label")
-    ranked = scored.withColumn("r", F.row_number().over(w)).where("r <= 2")
-    pairs = ranked.groupBy("id").agg(F.max(F.when(F.col("r") == 1, best)).alias("a"), F.max(F.when(F.col("r") == 2, best)).alias("b"))
-    return names.join(pairs, "id", "left")
+    pairs = ranked.groupBy("norm").agg(F.max(F.when(F.col("r") == 1, best)).alias("a"), F.max(F.when(F.col("r") == 2, best)).alias("b"))
+    return names.join(pairs, "norm", "left").select(*names.columns, "a", "b")
 
 
 def match_status(top: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..functions.fuzzy import composite_ratio
 from ..operators import hours, matching, rules
 from ..sources import readers, schemas, sinks
 from . import reports
@@ -40,7 +39,7 @@ def report(corpus: DataFrame, exclusions: DataFrame) -> str:
 def labelled(corpus: DataFrame, labels: DataFrame) -> DataFrame:
     """The corpus with its best external label: collection_id, show_name and the columns of match_status. For checks, never for sampling."""
     names = corpus.select(F.col("show_id").alias("id"), X.normalize_name(F.col("show_name")).alias("norm"))
-    found = matching.match_status(matching.top2(names, labels, composite_ratio)).withColumnRenamed("id", "show_id")
+    found = matching.match_status(matching.top2(names, labels, "composite")).withColumnRenamed("id", "show_id")
     return corpus.select("show_id", "show_name").join(found, "show_id").withColumnRenamed("show_id", "collection_id")
 
 

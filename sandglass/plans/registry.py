@@ -415,7 +415,7 @@ def build() -> dict[str, tuple]:
         "normalize_name_folded": (lambda s, d: docs(s, d).select("doc_id", X.normalize_name(F.coalesce("text", F.lit(""))).alias("norm")), None),
         "fuzzy_top2": (matches, TOP2 + "SELECT * FROM m"),
         "match_status": (lambda s, d: queue.value_counts(matches(s, d), "match_status"), TOP2 + "SELECT match_status, count(*) AS n FROM m GROUP BY 1"),
-        "fuzzy_top2_composite": (lambda s, d: matching.match_status(matching.top2(names(s, d), label_table(s, d), fuzzy.composite_ratio)), None),
+        "fuzzy_top2_composite": (lambda s, d: matching.match_status(matching.top2(names(s, d), label_table(s, d), "composite")), None),
         "anti_join_processed": (lambda s, d: queue.pending(items(s, d).select("item"), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item")), ["item"]), "SELECT o_orderkey AS item FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
         "semi_join_same_hash": (
             lambda s, d: queue.already_same(docs(s, d).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), docs(s, d).join(table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), ["sha"]).select("doc_id", "sha"),
