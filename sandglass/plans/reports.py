@@ -1,7 +1,9 @@
-"""Text reports. Each collects aggregates of fixed size; every sentence is decided by them."""
+"""Reports as Markdown: every report is a list of small tables, each collected from an aggregate of fixed size."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,29 +24,62 @@ def corpus_totals(corpus: DataFrame) -> DataFrame:
     )
 
 
-def spread(q) -> str:
-    return f"min {q['min']:.1f} | p25 {q['p25']:.1f} | median {q['median']:.1f} | p75 {q['p75']:.1f} | max {q['max']:.1f}"
+@dataclass
+class Sheet:
+    """A titled table; rows are cells of any kind."""
+
+    title: str
+    columns: tuple[str, ...]
+    rows: list[tuple] = field(default_factory=list)
+
+    def text(self) -> str:
+        line = lambda cells: "| " + " | ".join(map(shown, cells)) + " |"
+        return "\n".join([f"## {self.title}", "", line(self.columns), "|" + " --- |" * len(self.columns), *map(line, self.rows), ""])
+
+
+def shown(cell) -> str:
+    """A cell as text: thousands apart, one decimal, a dash for what is not known."""
+    if cell is None:
+        return "-"
+    if isinstance(cell, bool):
+        return "yes" if cell else "no"
+    return f"{cell:,.1f}" if isinstance(cell, float) else f"{cell:,}" if isinstance(cell, int) else str(cell)
+
+
+def percent(part: float, whole: float) -> str:
+    return f"{part / whole:.0%}" if whole else "-"
+
+
+def document(title: str, sheets: list[Sheet]) -> str:
+    return "\n".join([f"# {title}", "", *(s.text() for s in sheets if s.rows)])
+
+
+def tally(df: DataFrame, column: str) -> list[tuple]:
+    """(value, rows) of a column with few values, most frequent first."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
+    return [(r[column], r["n"]) for r in counts.collect()]
+
+
+QUARTILES = ("min", "p25", "median", "p75", "max")
 
 
 def run_summary(corpus: DataFrame, exclusions: DataFrame, labels: DataFrame | None = None, **params) -> str:
-    """Frame, exclusions by rule, corpus, hours and, with labels (match_status, label_value), how many matched."""
-    t = corpus_totals(corpus).first()
-    rules = exclusions.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule").collect()
-    dropped = sum(r["n"] for r in rules)
-    lines = ["=" * 68, "CORPUS RUN SUMMARY", "=" * 68, *(f"{k}: {v}" for k, v in params.items()), ""]
-    lines += [f"shows in sampling frame:   {t['n_shows'] + dropped}", f"shows excluded:            {dropped}"]
-    lines += [f"    {r['rule']:<28s} {r['n']}" for r in rules]
-    lines += [f"shows in final corpus:     {t['n_shows']}", ""]
-    if t["n_shows"]:
+    """What a run took and left: parameters, shows by stage and by rule, their hours and, with labels(match_status, label_value), the matches."""
+    total, rules = corpus_totals(corpus).first(), tally(exclusions, "rule")
+    kept, out = total["n_shows"], sum(n for _, n in rules)
+    sheets = [
+        Sheet("Parameters", ("name", "value"), list(params.items())),
+        Sheet("Shows by stage", ("stage", "shows", "of frame"), [("frame", kept + out, percent(1, 1)), ("rejected", out, percent(out, kept + out)), ("corpus", kept, percent(kept, kept + out))]),
+        Sheet("Rejections by rule", ("rule", "shows", "of rejected"), [(r, n, percent(n, out)) for r, n in rules]),
+    ]
+    if kept:
         q = hours.quartiles(corpus, "hours_available").first()
-        lines += [f"total hours available:     {t['total_hours']:,.0f} h", "hours per show:", f"    {spread(q)}"]
-        lines += [f"shows with any byte-estimated durations: {t['n_estimated']} (mean estimated share {t['mean_share']:.1%})"]
+        sheets.append(Sheet("Hours of audio", ("corpus", *(f"show {k}" for k in QUARTILES)), [(total["total_hours"], *(q[k] for k in QUARTILES))]))
+        sheets.append(Sheet("Durations taken from file sizes", ("shows with some", "mean share of hours"), [(total["n_estimated"], f"{total['mean_share']:.1%}")]))
     if labels is not None:
-        counts = {r["match_status"]: r["n"] for r in labels.groupBy("match_status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        said = ", ".join(f"{counts.get(k, 0)} {shown}" for k, shown in (("matched", "matched"), ("review", "for review"), ("ambiguous", "ambiguous"), ("none", "unmatched")))
-        values = labels.where("match_status = 'matched'").groupBy("label_value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label_value").collect()
-        lines += ["", f"external labels: {said}", *(f"    {r['label_value']:<20s} {r['n']}" for r in values)]
-    return "\n".join([*lines, "=" * 68]) + "\n"
+        sheets.append(Sheet("Label matches", ("status", "shows"), tally(labels, "match_status")))
+        sheets.append(Sheet("Values of matched labels", ("value", "shows"), tally(labels.where("match_status = 'matched'"), "label_value")))
+    return document("Corpus run", sheets)
 
 
 def recommendation(show_hours: DataFrame, target: float = RETENTION, floor: int = DENSITY_FLOOR, focus: int = FOCUS) -> DataFrame:
@@ -60,49 +95,48 @@ def recommendation(show_hours: DataFrame, target: float = RETENTION, floor: int
     return one.join(F.broadcast(at_best), "best_h", "left").withColumn("floor_ok", F.col("n_floor") >= target * F.col("n_total"))
 
 
+def chosen_hours(r, floor: int) -> tuple[int, int]:
+    """(hours a show, shows that have them): the density floor if it keeps enough shows or nothing else does, else the most that does."""
+    return (floor, r["n_floor"]) if r["floor_ok"] or r["best_h"] is None else (r["best_h"], r["n_best"])
+
+
 def budget_report(show_hours: DataFrame, log: DataFrame, names: DataFrame | None = None, target: float = RETENTION, floor: int = DENSITY_FLOOR, focus: int = FOCUS) -> str:
-    """Survival grid, diagnostics of the focus window and the recommendation that follows from them."""
+    """How many shows reach which hours, how the focus window is spread, and the hours a show that follow from it."""
     near = show_hours.where(F.col("window_months") == focus)
     r = recommendation(show_hours, target, floor, focus).first()
     if r is None or not r["n_total"]:
-        return "no shows\n"
-    q, n = hours.quartiles(near).first(), r["n_total"]
+        return document("Hours budget", [Sheet("Scope", ("shows",), [(0,)])])
+    n, q = r["n_total"], hours.quartiles(near).first()
     logged = log.agg(F.sum("duration_missing_or_unparseable").alias("missing"), F.sum("duration_byte_estimated").alias("estimated")).first()
-    cut = near.agg(F.count_if("feed_truncated").alias("n")).first()["n"]
-    grid = {(x["window_months"], x["H"]): x for x in hours.survival_table(show_hours).collect()}
+    young = near.agg(F.count_if("feed_truncated").alias("n")).first()["n"]
+    reach = {(x["window_months"], x["H"]): x["n_surviving"] for x in hours.survival_table(show_hours).collect()}
     sides = {x["side"]: x for x in hours.quartile_diagnostics(near).collect()}
-    low = near if names is None else near.join(names, "show_id", "left")
-    bottom = low.orderBy("total_hours", "show_id").limit(5).collect()
-    share = lambda k: f"{k}/{n} ({k / n:.0%})"
-    lines = ["=" * 70, "HOURS BUDGET: ANALYSIS", "=" * 70, f"shows: {n} | focus window: {focus} months"]
-    lines += [f"episodes with byte-estimated duration: {logged['estimated'] or 0} | missing or unparseable (excluded): {logged['missing'] or 0}"]
-    lines += [f"shows whose feed begins after the widest cutoff: {cut} (their wide-window hours are lower bounds)", "", "SURVIVAL (shows with H hours or more):"]
-    lines += [f"{'H':>4} | " + " | ".join(f"{w:>4}mo" for w in hours.WINDOWS) + f" | {focus}mo corpus hours"]
-    lines += [f"{h:>4} | " + " | ".join(f"{grid[w, h]['n_surviving']:>6}" for w in hours.WINDOWS) + f" | {grid[focus, h]['corpus_hours']:>7,}" for h in hours.GRID]
-    lines += ["", f"DIAGNOSTICS ({focus} months):", f"  hours per show: {spread(q)}"]
-    if "low" in sides and "rest" in sides:
-        a, b = sides["low"], sides["rest"]
-        lines += [f"  bottom quartile (<= {q['p25']:.1f} h, n={a['n_shows']}) against the rest (n={b['n_shows']}):"]
-        lines += [f"     median episode: {a['median_minutes']:.1f} min against {b['median_minutes']:.1f} min", f"     median episodes: {a['median_episodes']:.0f} against {b['median_episodes']:.0f}"]
-    lines += ["  lowest: " + ", ".join(f"{x.asDict().get('show_name') or x['show_id']} ({x['total_hours']:.0f} h)" for x in bottom), "", "RECOMMENDATION:"]
-    lines += [f"  {r['n_dormant']} shows have no episode in the window; at most {share(n - r['n_dormant'])} can stay."]
-    lines += [f"  Largest H of the grid that keeps {target:.0%}: " + (f"{r['best_h']} h -> {share(r['n_best'])}." if r["best_h"] is not None else "none.")]
-    lines += [f"  {'Sharp knee' if r['sharp'] else 'No sharp knee'}: the steepest loss is {r['knee_rate']:.1f} shows an hour above H = {r['knee_h']} h, against {r['mean_rate']:.1f} on average."]
-    verdict = "meets the target, so density and retention do not conflict" if r["floor_ok"] else "misses the target, so density and retention conflict"
-    lines += [f"  The floor of {floor} h keeps {share(r['n_floor'])}: it {verdict}."]
-    pick = floor if r["floor_ok"] or r["best_h"] is None else r["best_h"]
-    stays = r["n_floor"] if pick == floor else r["n_best"]
-    lines += [f"  >>> Recommended H = {pick} h: about {stays * pick:,} hours ({stays} shows x {pick} h)."]
-    return "\n".join([*lines, "=" * 70]) + "\n"
+    thin = (near if names is None else near.join(names, "show_id", "left")).orderBy("total_hours", "show_id").limit(5).collect()
+    pick, stay = chosen_hours(r, floor)
+    scope = [("shows", n), ("focus window, months", focus), ("episodes left out for want of a duration", logged["missing"] or 0), ("episodes timed by file size", logged["estimated"] or 0), ("shows younger than the widest window", young), ("shows silent in the focus window", r["n_dormant"])]
+    decision = [
+        ("shows to keep", f"{target:.0%}"), ("most hours that keep them", r["best_h"]), ("density floor, hours", floor), ("shows at the floor", f"{r['n_floor']:,} ({percent(r['n_floor'], n)})"),
+        ("floor keeps enough", r["floor_ok"]), ("steepest loss, shows an hour", r["knee_rate"]), ("it begins at, hours", r["knee_h"]), ("mean loss, shows an hour", r["mean_rate"]), ("that is a sharp bend", r["sharp"]),
+        ("**hours a show**", pick), ("shows in the sample", stay), ("hours in the sample", stay * pick),
+    ]
+    compared = [("lowest quarter" if k == "low" else "all others", x["n_shows"], x["median_minutes"], x["median_episodes"]) for k, x in sides.items()]
+    return document("Hours budget", [
+        Sheet("Scope", ("figure", "value"), scope),
+        Sheet("Shows that reach", ("hours", *(f"{w} months" for w in hours.WINDOWS), "hours of audio in focus"), [(h, *(reach[w, h] for w in hours.WINDOWS), reach[focus, h] * h) for h in hours.GRID]),
+        Sheet("Hours a show in focus", QUARTILES, [tuple(q[k] for k in QUARTILES)]),
+        Sheet("Short shows against others", ("shows", "number", "median minutes", "median episodes"), sorted(compared, reverse=True)),
+        Sheet("Fewest hours", ("show", "hours"), [(x.asDict().get("show_name") or x["show_id"], x["total_hours"]) for x in thin]),
+        Sheet("Decision", ("figure", "value"), decision),
+    ])
 
 
 def sample_report(summary: DataFrame, budget: float) -> str:
-    """Whether hours per show lie near the budget, and how wide episode counts are."""
+    """Hours and episodes a show of a sample, and whether every show fills the budget."""
     c = sampling.sample_check(summary).first()
     if c["min_hours"] is None:
-        return "[check] empty sample\n"
-    near = "ok" if c["min_hours"] >= budget - 0.01 else "below the budget"
-    return (
-        f"[check] hours per show ({near}): min={c['min_hours']:.1f} median={c['median_hours']:.1f} max={c['max_hours']:.1f}\n"
-        f"[check] episodes per show: min={c['min_n_eps']} median={c['median_n_eps']:.0f} max={c['max_n_eps']}\n"
-    )
+        return document("Sample", [Sheet("Shows", ("shows",), [(0,)])])
+    row = lambda name, column: (name, *(float(c[f"{k}_{column}"]) for k in ("min", "median", "max")))
+    return document("Sample", [
+        Sheet("A show", ("figure", "min", "median", "max"), [row("hours", "hours"), row("episodes", "n_eps")]),
+        Sheet("Budget", ("hours", "filled by all"), [(float(budget), c["min_hours"] >= budget - 0.01)]),
+    ])

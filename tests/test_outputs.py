@@ -52,7 +52,7 @@ def test_run_writes_everything(spark, tmp_path):
     (tmp_path / "rules.json").write_text(json.dumps({"terms": [], "patterns": [], "exceptions": [], "manual": {}}))
     argv = ["run", "--frame", f"{tmp_path}/frames", "--chart-date", "20260714", "--cache", f"{tmp_path}/cache", "--fetcher", "tests.test_outputs:fetch_feed", "--out", f"{tmp_path}/out", "--labels-csv", f"{tmp_path}/labels.csv", "--rules-json", f"{tmp_path}/rules.json"]
     text = cli.main(argv, spark)
-    assert "shows in sampling frame:   4" in text and "shows in final corpus:     2" in text and "R1_no_feed_url" in text and "total hours available:     60 h" in text
+    assert "| frame | 4 | 100% |" in text and "| corpus | 2 | 50% |" in text and "| R1_no_feed_url | 1 | 50% |" in text and "| 60.0 | 30.0 | 30.0 | 30.0 | 30.0 | 30.0 |" in text and "| chart_date | 20260714 |" in text
     assert sorted(os.listdir(tmp_path / "out")) == ["corpus", "episodes", "exclusions", "lean_validation", "raw_chart", "run_manifest", "summary"]
     corpus = readers.corpus_csv(spark, f"{tmp_path}/out/corpus")
     assert [(r["rank"], r["collection_id"], r["hours_available"]) for r in corpus.orderBy("rank").collect()] == [(1, "101", 30.0), (2, "102", 30.0)]
@@ -70,11 +70,11 @@ def test_budget_and_sample_by_command_line(spark, tmp_path):
     rows = [(s, f"Show {s}", f"t{i}", "d", start - timedelta(days=7 * i), f"http://a/{s}/{i}", 1000, 3600.0 * s, "itunes:duration") for s in (1, 2, 3) for i in range(30)]
     sinks.csv(spark.createDataFrame(rows, schemas.EPISODES), f"{tmp_path}/eps", gzip=True)
     text = cli.main(["budget", "--episodes", f"{tmp_path}/eps", "--out", f"{tmp_path}/b", "--as-of", "2026-07-02", "--sample-h", "5"], spark)
-    assert "Recommended H = 25 h" in text and "3/3 (100%)" in text and "meets the target" in text
+    assert "| **hours a show** | 25 |" in text and "| shows at the floor | 3 (100%) |" in text and "| floor keeps enough | yes |" in text and "| hours in the sample | 75 |" in text
     assert sorted(os.listdir(tmp_path / "b")) == ["bottleneck_shows", "budget_manifest", "budget_summary", "duration_log", "sample_manifest", "show_hours", "survival"]
     assert json.loads(text_of(tmp_path / "b/budget_manifest"))["best_h"] == 30
     text = cli.main(["sample", "--episodes", f"{tmp_path}/eps", "--out", f"{tmp_path}/s", "--hours", "50"], spark)
-    assert "min=50.0" in text and "(ok)" in text
+    assert "| hours | 50.0 |" in text and "| 50.0 | yes |" in text
     dropped = spark.read.csv(f"{tmp_path}/s/excluded_shows", header=True).collect()
     assert [(r["show"], r["reason"]) for r in dropped] == [("Show 1", "< 50h in window")]
     assert spark.read.csv(f"{tmp_path}/s/sample_manifest", header=True).columns[:4] == ["show_id", "show", "episode_id", "draw_order"]
@@ -85,8 +85,9 @@ def test_report_follows_the_figures(spark):
     table = spark.createDataFrame([(i, w, n, h, m, t) for i, _, n, h, m, t in rows for w in hours.WINDOWS], "show_id long, window_months int, n_episodes long, total_hours double, median_ep_minutes double, feed_truncated boolean")
     log = spark.createDataFrame([(1, 3, 1)], "show_id long, duration_missing_or_unparseable long, duration_byte_estimated long")
     text = reports.budget_report(table, log)
-    assert "misses the target" in text and "Largest H of the grid that keeps 90%: none." in text and "missing or unparseable (excluded): 3" in text
-    assert reports.budget_report(table.where("false"), log) == "no shows\n"
+    assert "| floor keeps enough | no |" in text and "| most hours that keep them | - |" in text and "| episodes left out for want of a duration | 3 |" in text
+    assert "| lowest quarter | 6 | 30.0 | 10.0 |" in text and "| 0 | 3.0 |" in text and "| 50 | 4 | 4 | 4 | 4 | 200 |" in text
+    assert "| 0 |" in reports.budget_report(table.where("false"), log)
 
 
 def test_download_fills_the_queue(spark, tmp_path):
