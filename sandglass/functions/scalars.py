@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import mimetypes
 import unicodedata
 
@@ -120,6 +121,7 @@ def word_count(text: Column) -> Column:
 SUFFIXES = (".mp3", ".m4a", ".wav", ".ogg", ".oga", ".aac", ".flac", ".opus")
 
 
+@functools.cache
 def content_suffixes() -> dict[str, str]:
     """Suffix of each content type: fixed for three, the standard table's otherwise."""
     table = mimetypes.MimeTypes(filenames=())

@@ -66,6 +66,10 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--language", default="en", help="handed to the engine")
     q.add_argument("--auto-lang", action="store_true", help="let the engine find the language")
     q.add_argument("--audio", help="folder of the audio files; items without one are dropped")
+    q.add_argument("--workers", type=int, default=1, help="queries that attempt items side by side")
+    q.add_argument("--tries", type=int, default=3, help="attempts at an item")
+    q.add_argument("--lease", type=float, default=600.0, help="seconds after which an attempt without outcome is given up")
+    q.add_argument("--patience", type=float, default=60.0, help="seconds that an item waits for its audio")
     q.add_argument("--smoke-test", action="store_true", help="one item through the engine, then end")
     return p
 
@@ -143,8 +147,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
             return json.dumps(worker.smoke_test(a.engine, options=options))
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "queue":
-        worker.drain(spark, a.queue, a.out, a.checkpoint, a.engine, a.batch_size, options, a.audio)
-        return ""
+        worker.drain(spark, a.queue, a.out, a.checkpoint, a.engine, a.batch_size, options, a.audio, a.workers, worker.Rules(a.tries, a.lease, a.patience))
+        return ", ".join(f"{r['outcome']}: {r['n']}" for r in value_counts(worker.results(spark, a.out), "outcome").collect())
     return {"run": run, "budget": budget, "sample": sample, "download": download}[a.command](a, spark)
 
 

@@ -8,11 +8,12 @@ from datetime import UTC, datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import sanitize_title
 from ..operators.numbering import shared_folder
 from ..operators.transcripts import cues, full_text
-from . import schemas
+from . import joblog, schemas
 
 
 def stem() -> Column:
@@ -32,11 +33,15 @@ def csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     (writer.option("compression", "gzip") if gzip else writer).csv(path)
 
 
-def append_log(df: DataFrame, path: str, schema: str | None = None) -> None:
-    """Rows of a log; with a schema (STATUS, FAILURES) in its columns' order and types."""
-    if schema:
-        df = df.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in schema.split(", ")])
-    df.write.mode("append").csv(path, header=True, escape='"')
+def in_columns(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of a schema, in its order and types."""
+    kinds = T.StructType.fromDDL(schema)
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in kinds])
+
+
+def append_log(df: DataFrame, path: str, schema: str | None = None, job: str | None = None) -> None:
+    """Rows of a log, all or none; with a schema (STATUS, FAILURES) in its columns. A job that runs again under its name replaces its rows."""
+    joblog.append(in_columns(df, schema) if schema else df, path, job)
 
 
 def manifest(df: DataFrame, path: str) -> None:
@@ -85,8 +90,8 @@ def raw_json(df: DataFrame, path: str) -> None:
 
 
 def append_lines(df: DataFrame, path: str) -> None:
-    """Lines of a processed list or a log; df has one string column."""
-    df.write.mode("append").text(path)
+    """Lines of a processed list or a log, all or none; df has one string column."""
+    joblog.append(df, path, header="false", ext="txt")
 
 
 def run_manifest(included: DataFrame, excluded: DataFrame, **params) -> DataFrame:
