@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import mimetypes
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -162,3 +163,33 @@ def months_before(ts: Column, months: int | Column) -> Column:
     """Calendar months back with the day clamped to the month's end."""
     m = F.lit(months) if isinstance(months, int) else months
     return ts - F.make_ym_interval(F.lit(0), m)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def round_even(x: Column, digits: int) -> Column:
+    """x to so many digits (0 to 7) as exact arithmetic rounds it: the nearest, of two equally near the even one, by the binary value.
+
+    The fraction times a power of ten is a product and its rounding error (split in two halves of 26 bits), so a value is a tie only
+    if it is exactly between two decimals: 2.675 is less and goes to 2.67, 0.125 is and goes to 0.12. Infinities and NaN stay.
+    """
+    if not 0 <= digits <= 7:
+        raise ValueError("0 to 7 digits")
+    ten = 10.0**digits
+
+    def rounded(x: Column, rest: Column, product: Column) -> Column:
+        whole = F.abs(x) - rest
+        wide = rest * 134217729.0
+        high = wide - (wide - rest)
+        error = (high * ten - product) + (rest - high) * ten
+        below = product - product % 1.0
+        past_half = (product - below - 0.5) + error
+        odd = ((below if digits else whole) % 2.0) == 1.0
+        last = below + F.when((past_half > 0) | ((past_half == 0) & odd), 1.0).otherwise(0.0)
+        found = let(last, lambda k: F.when(whole < 2.0**52 / ten, (whole * ten + k) / ten).otherwise(whole + k / ten))
+        return F.when(F.abs(x) < float("inf"), found * F.when(x < 0, -1.0).otherwise(1.0)).otherwise(x)
+
+    return let(x.cast("double"), lambda x: let(F.abs(x) % 1.0, lambda rest: let(rest * ten, lambda product: rounded(x, rest, product))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import months_before
+from ..functions.scalars import months_before, round_even
 from .numbering import quantiles
 
 WINDOWS = (12, 18, 24, 36)
@@ -34,13 +34,13 @@ def lookback(episodes: DataFrame, months: int, as_of: Column | None = None) -> D
 
 
 def show_hours(shows: DataFrame, episodes: DataFrame, windows: tuple = WINDOWS, as_of: Column | None = None) -> DataFrame:
-    """A row per show and window, shows without episodes too; one shuffle, all windows by conditional aggregation."""
+    """A row per show and window, shows without episodes too: counts and sums by conditional aggregation, medians from counted values."""
     rows = episodes.withColumn("anchor", as_of) if as_of is not None else with_anchor(episodes)
     aggs = []
     for w in windows:
         inside = F.col("pub_date") >= months_before(F.col("anchor"), w)
         sec = F.when(inside, F.col("duration_sec"))
-        aggs += [F.count(sec).alias(f"n{w}"), F.coalesce(F.sum(sec), F.lit(0.0)).alias(f"s{w}"), F.median(sec).alias(f"m{w}")]
+        aggs += [F.count(sec).alias(f"n{w}"), F.coalesce(F.sum(sec), F.lit(0.0)).alias(f"s{w}")]
     oldest = F.coalesce(F.min("pub_date") > months_before(F.max("anchor"), max(windows)), F.lit(False)).alias("feed_truncated")
     per = rows.groupBy("show_id").agg(*aggs, oldest)
     long = shows.select("show_id").join(per, "show_id", "left").select(
@@ -53,14 +53,18 @@ def show_hours(shows: DataFrame, episodes: DataFrame, windows: tuple = WINDOWS,
                         F.lit(w).alias("window_months"),
                         F.coalesce(f"n{w}", F.lit(0)).cast("long").alias("n_episodes"),
                         F.round(F.coalesce(f"s{w}", F.lit(0.0)) / 3600, 2).alias("total_hours"),
-                        F.round(F.coalesce(f"m{w}", F.lit(0.0)) / 60, 1).alias("median_ep_minutes"),
                     )
                     for w in windows
                 ]
             )
         ).alias("x"),
     )
-    return long.select("show_id", "x.*", "feed_truncated")
+    inside = F.filter(F.array(*[F.when(F.col("pub_date") >= months_before(F.col("anchor"), w), w) for w in windows]), lambda w: w.isNotNull())
+    in_window = rows.select(F.col("show_id").alias("_show"), "duration_sec", F.explode(inside).alias("_window"))
+    middle = quantiles(in_window, "duration_sec", {"_median": 0.5}, ["_show", "_window"])
+    told = long.select("show_id", "x.*", "feed_truncated").join(middle, (F.col("show_id") == F.col("_show")) & (F.col("window_months") == F.col("_window")), "left")
+    minutes = F.round(F.coalesce("_median", F.lit(0.0)) / 60, 1).alias("median_ep_minutes")
+    return told.select("show_id", "window_months", "n_episodes", "total_hours", minutes, "feed_truncated")
 
 
 def survival_table(hours: DataFrame, grid: tuple = GRID) -> DataFrame:
@@ -123,7 +127,7 @@ def duration_log(episodes: DataFrame) -> DataFrame:
 
 
 def feed_stats(episodes: DataFrame) -> DataFrame:
-    """Per show: counts, hours, estimated share, mean minutes, first and last date, episodes a week."""
+    """Per show: counts, hours, estimated share, mean minutes, first and last date, episodes a week; rounded half to even."""
     audio = F.col("audio_url") != ""
     counts = audio & (F.coalesce("duration_sec", F.lit(0.0)) != 0)
     sec = F.when(counts, F.col("duration_sec"))
@@ -134,10 +138,10 @@ def feed_stats(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("show_id").agg(
         F.count(F.lit(1)).alias("episode_count"),
         F.count_if(audio).alias("episodes_with_audio"),
-        F.round(total / 3600, 2).alias("hours_available"),
-        F.coalesce(F.round(F.try_divide(guessed, total), 3), F.lit(0.0)).alias("hours_estimated_share"),
-        F.coalesce(F.round(F.avg(F.round(sec, 1)) / 60, 1), F.lit(0.0)).alias("avg_episode_minutes"),
+        round_even(total / 3600, 2).alias("hours_available"),
+        F.coalesce(round_even(F.try_divide(guessed, total), 3), F.lit(0.0)).alias("hours_estimated_share"),
+        F.coalesce(round_even(F.avg(round_even(sec, 1)) / 60, 1), F.lit(0.0)).alias("avg_episode_minutes"),
         first.alias("first_pub_date"),
         last.alias("last_pub_date"),
-        F.coalesce(F.round(F.count("pub_date") / weeks, 2), F.lit(0.0)).alias("episodes_per_week"),
+        F.coalesce(round_even(F.count("pub_date") / weeks, 2), F.lit(0.0)).alias("episodes_per_week"),
     )

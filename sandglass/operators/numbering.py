@@ -45,21 +45,33 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     offsets = [F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_base_{n}") for n in sums]
     totals = [F.sum(f"_all_{n}").over(by_key).alias(f"total_{n}") for n in sums]
     inside = parts.select("*", *[F.sum(c).over(own).alias(f"_in_{n}") for n, c in sums.items()])
-    joined = inside.join(per.select("_part", *keys, *offsets, *totals), ["_part", *keys])
+    before = per.select("_part", *keys, *offsets, *totals).toDF("_p", *[f"_k{i}" for i in range(len(keys))], *[f"_base_{n}" for n in sums], *[f"total_{n}" for n in sums])
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = inside.join(before, same)
     return joined.select(*df.columns, *[(F.col(f"_base_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums], *[f"total_{n}" for n in sums])
 
 
-def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """One row with linearly interpolated quantiles by name: values are counted first, and counts are summed over ranges of them."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    placed = running(counts.withColumn("_one", F.lit(1)), ["_one"], [F.asc("v")], {"upto": F.col("n")})
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], keys: list[str] = ()) -> DataFrame:
+    """A row per key (one row without keys) with linearly interpolated quantiles by name; rows without a value don't count.
+
+    Values are counted first, by key, and counts are summed over ranges of (key, value): the quantiles are picked where the sums reach
+    their places, so no buffer holds the values of a key, however many rows or values it has.
+    """
+    keys = list(keys)
+    by = keys or ["_one"]
+    rows = df if keys else df.withColumn("_one", F.lit(1))
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(counts, by, [F.asc("_v")], {"upto": F.col("_n")})
     at = lambda p: (F.col("total_upto") - 1) * F.lit(float(p))
-    value = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))  # noqa: E731  the first value that reaches beyond the place
+    value = lambda i: F.min(F.when(F.col("upto") > i, F.col("_v")))  # noqa: E731  the first value that reaches beyond the place
     low = [value(F.floor(at(p))).alias(f"_low_{n}") for n, p in shares.items()]
     high = [value(F.ceil(at(p))).alias(f"_high_{n}") for n, p in shares.items()]
     rest = [F.max(at(p) - F.floor(at(p))).alias(f"_rest_{n}") for n, p in shares.items()]
     between = lambda n: (F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_rest_{n}")).alias(n)
-    return placed.agg(*low, *high, *rest).select(*[between(n) for n in shares])
+    picked = placed.groupBy(*keys).agg(*low, *high, *rest) if keys else placed.agg(*low, *high, *rest)
+    return picked.select(*keys, *[between(n) for n in shares])
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, kind: str = "int") -> DataFrame:

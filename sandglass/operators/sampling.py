@@ -7,13 +7,14 @@ so smaller budgets are prefixes of larger ones. One running sum per show compute
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import running
+from .numbering import quantiles, running
 
 LADDER = (5, 10, 15, 20, 25, 30, 40)
 
@@ -51,9 +52,12 @@ def per_show_summary(sample: DataFrame) -> DataFrame:
     """Episodes, hours and median minutes of each show, most episodes first."""
     keys = ["show_id", "show"] if "show" in sample.columns else ["show_id"]
     per = sample.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_eps"), F.round(F.sum("duration_sec") / 3600, 2).alias("hours"), F.round(F.median("duration_sec") / 60, 1).alias("med_ep_min")
+        F.count(F.lit(1)).alias("n_eps"), F.round(F.sum("duration_sec") / 3600, 2).alias("hours")
     )
-    return per.orderBy(F.desc("n_eps"), "show_id")
+    middle = quantiles(sample, "duration_sec", {"_median": 0.5}, keys).toDF(*[f"_{k}" for k in keys], "_median")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    told = per.join(middle, same, "left").select(*per.columns, F.round(F.col("_median") / 60, 1).alias("med_ep_min"))
+    return told.orderBy(F.desc("n_eps"), "show_id")
 
 
 def sample_check(summary: DataFrame) -> DataFrame:

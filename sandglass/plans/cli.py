@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import hours, sampling
 from ..operators.numbering import shared_folder
 from ..operators.queue import value_counts
-from ..sources import http, readers, schemas, sinks
+from ..sources import charts, http, readers, schemas, sinks
 from ..streaming import producer, worker
 from . import corpus, reports
 
@@ -27,6 +27,10 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("run", help="corpus, exclusions, episodes, labels and summary from a frozen frame and feed snapshots")
     r.add_argument("--frame", required=True, help="root of frozen frames")
     r.add_argument("--chart-date", help="date of the frame, YYYYMMDD; today in UTC if not given")
+    r.add_argument("--chart-url", help="pull the chart and freeze its frame, unless there is one of the date")
+    r.add_argument("--lookup-url", help="where {ids} stands for up to 100 ids")
+    r.add_argument("--category", default="")
+    r.add_argument("--subcategory", default="")
     r.add_argument("--cache", required=True, help="folder of HTTP snapshots")
     r.add_argument("--fetcher", default="", help="module:function that gets a url; without it the cache alone is read")
     r.add_argument("--min-hours", type=float, default=10.0)
@@ -75,8 +79,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(a: argparse.Namespace, spark: SparkSession) -> str:
-    """The corpus build from a frozen frame."""
+    """The corpus build from a frozen frame, pulled first if its chart's url is given."""
     date = a.chart_date or datetime.now(UTC).strftime("%Y%m%d")
+    if a.chart_url and (a.refresh or not readers.there(spark, f"{a.frame}/chart_date={date}")):
+        ids, found = charts.pull(spark, a.chart_url, a.lookup_url, a.cache, a.fetcher, refresh=a.refresh)
+        sinks.freeze(readers.frame(ids, found, a.category, a.subcategory, ""), a.frame, date, a.refresh)
     frame = readers.frozen_frame(spark, f"{a.frame}/chart_date={date}").withColumns({"rank": F.col("rank").cast("int"), "collection_id": F.col("collection_id").cast("long")})
     spark.dataSource.register(http.SnapshotSource)
     urls = [r[0] for r in frame.where("trim(feed_url) <> ''").select("feed_url").distinct().collect()]  # a frame is one chart, some hundred shows

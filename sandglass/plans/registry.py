@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy
 from ..functions import scalars as X
+from ..functions import variants as V
 from ..operators import hours, matching, queue, rules, sampling, transcripts
 from ..operators.numbering import numbered, quantiles
 from ..sources import readers, sinks
@@ -156,6 +156,17 @@ def matches(s, d) -> DataFrame:
     return matching.match_status(matching.top2(names(s, d), label_table(s, d)))
 
 
+def mixed_json():
+    """JSON of a lookup whose genres hold all kinds of elements and whose country is text, a number or null."""
+    country = F.when(F.col("p_size") % 3 == 0, '"US"').when(F.col("p_size") % 3 == 1, "null").otherwise(F.col("p_size").cast("string"))
+    size = F.col("p_size").cast("string")
+    return F.concat(F.lit('{"genres": ["'), "p_name", F.lit('", '), size, F.lit(', null, "'), "p_type", F.lit('", true, {"name": "x"}, ["y"], "'), size, F.lit('"], "country": '), country, F.lit(', "trackCount": '), size, F.lit("}"))
+
+
+MIXED_JSON = """'{"genres": ["' || p_name || '", ' || p_size || ', null, "' || p_type || '", true, {"name": "x"}, ["y"], "' || p_size || '"], "country": ' ||
+  CASE p_size % 3 WHEN 0 THEN '"US"' WHEN 1 THEN 'null' ELSE p_size::VARCHAR END || ', "trackCount": ' || p_size || '}'"""
+
+
 def raw_durations(s, d) -> DataFrame:
     e = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
     k = F.col("l_orderkey") % 6
@@ -243,13 +254,13 @@ def build() -> dict[str, tuple]:
         ),
         "feed_stats": (
             lambda s, d: hours.feed_stats(episodes(s, d)),
-            q("""SELECT show_id, count(*) AS episode_count, count(*) AS episodes_with_audio, round(sum(duration_sec) / 3600, 2) AS hours_available,
-              round(sum(duration_sec) FILTER (duration_source = 'estimated_from_bytes') / sum(duration_sec), 3) AS hours_estimated_share, round(avg(duration_sec) / 60, 1) AS avg_episode_minutes,
-              min(pub_date) AS first_pub_date, max(pub_date) AS last_pub_date, round(count(*) / greatest(date_sub('day', min(pub_date), max(pub_date)) / 7, 1 / 7), 2) AS episodes_per_week FROM e GROUP BY 1""", EP),
+            q("""SELECT show_id, count(*) AS episode_count, count(*) AS episodes_with_audio, round_even(sum(duration_sec) / 3600, 2) AS hours_available,
+              round_even(sum(duration_sec) FILTER (duration_source = 'estimated_from_bytes') / sum(duration_sec), 3) AS hours_estimated_share, round_even(avg(duration_sec) / 60, 1) AS avg_episode_minutes,
+              min(pub_date) AS first_pub_date, max(pub_date) AS last_pub_date, round_even(count(*) / greatest(date_sub('day', min(pub_date), max(pub_date)) / 7, 1 / 7), 2) AS episodes_per_week FROM e GROUP BY 1""", EP),
         ),
         "weekly_cadence": (
             lambda s, d: hours.feed_stats(episodes(s, d)).select(S, "episodes_per_week"),
-            q("SELECT show_id, round(count(*) / greatest(date_sub('day', min(pub_date), max(pub_date)) / 7, 1 / 7), 2) AS episodes_per_week FROM e GROUP BY 1", EP),
+            q("SELECT show_id, round_even(count(*) / greatest(date_sub('day', min(pub_date), max(pub_date)) / 7, 1 / 7), 2) AS episodes_per_week FROM e GROUP BY 1", EP),
         ),
         "bottleneck_topk": (lambda s, d: hours12(s, d).orderBy("total_hours", S).limit(30).select(S, "total_hours"), q("SELECT show_id, total_hours FROM h WHERE window_months = 12 ORDER BY total_hours, show_id LIMIT 30", HOURS)),
         "hours_quantiles": (
@@ -447,6 +458,28 @@ def build() -> dict[str, tuple]:
             lambda s, d: events(s, d).select(X.http_class(F.element_at(F.array(*[F.lit(c) for c in (200, 403, 404, 410, 500)]), (F.col("event_id") % 5 + 1).cast("int"))).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n")),
             "SELECT CASE event_id % 5 WHEN 0 THEN 'ok' WHEN 4 THEN 'retry' ELSE 'permanent' END AS class, count(*) AS n FROM events GROUP BY 1",
         ),
+        "heterogeneous_genres": (
+            lambda s, d: table(s, d, "part").select("p_partkey", F.parse_json(mixed_json()).alias("v")).select(
+                "p_partkey", F.array_join(V.strings(F.col("v"), "$.genres"), "|").alias("genres"), V.text(F.col("v"), "$.country", "").alias("country"), F.try_variant_get("v", "$.trackCount", "int").alias("track_count"),
+            ),
+            f"""SELECT p_partkey, coalesce(array_to_string(list_transform(list_filter(json_extract(j, '$.genres[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$'), '|'), '') AS genres,
+              coalesce(j ->> '$.country', '') AS country, TRY_CAST(j ->> '$.trackCount' AS INT) AS track_count FROM (SELECT p_partkey, ({MIXED_JSON})::JSON AS j FROM part)""",
+        ),
+        "click_props": (
+            lambda s, d: table(s, d, "clicks").select("click_id", F.try_parse_json("props").alias("v")).select(
+                "click_id", V.text(F.col("v"), "$.device.os", "").alias("os"), F.array_join(V.strings(F.col("v"), "$.tags"), "|").alias("tags"), F.size(V.elements(F.col("v"), "$.items")).alias("n_items"),
+            ),
+            """SELECT click_id, coalesce(j ->> '$.device.os', '') AS os, coalesce(array_to_string(list_transform(list_filter(json_extract(j, '$.tags[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$'), '|'), '') AS tags,
+              coalesce(json_array_length(j, '$.items'), 0)::INT AS n_items FROM (SELECT click_id, CASE WHEN json_valid(props) THEN props::JSON END AS j FROM clicks)""",
+        ),
+        "rounding_half_even": (
+            lambda s, d: table(s, d, "lineitem").groupBy(X.round_even(F.col("l_quantity") / 8, 2).alias("rounded")).agg(F.count(F.lit(1)).alias("n")),
+            "SELECT round_even(l_quantity::DOUBLE / 8, 2)::DOUBLE AS rounded, count(*) AS n FROM lineitem GROUP BY 1",
+        ),
+        "show_quantiles": (
+            lambda s, d: quantiles(episodes(s, d), "duration_sec", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, [S]),
+            q("SELECT show_id, quantile_cont(duration_sec::DOUBLE, 0.1) AS p10, quantile_cont(duration_sec::DOUBLE, 0.5) AS p50, quantile_cont(duration_sec::DOUBLE, 0.9) AS p90 FROM e GROUP BY 1", EP),
+        ),
         "value_counts": (lambda s, d: queue.value_counts(events(s, d), "event_type"), "SELECT event_type, count(*) AS n FROM events GROUP BY 1"),
         "report_format": (
             lambda s, d: table(s, d, "orders").groupBy("o_orderstatus").agg(F.format_number(F.sum(F.floor("o_totalprice")), 0).alias("total")),

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from . import schemas
+from ..functions import variants
+from . import charts, schemas
 
 
 def chart_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -18,19 +19,29 @@ def chart_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookups(spark: SparkSession, path: str) -> DataFrame:
-    """A row per id: results of podcasts or tracks, the last response winning."""
-    raw = spark.read.schema(schemas.LOOKUPS).json(path, multiLine=True)
-    each = raw.select(F.posexplode("responses").alias("p", "r")).select("p", F.posexplode("r.response.results").alias("q", "x"))
-    wanted = each.where((F.col("x.kind") == "podcast") | (F.col("x.wrapperType") == "track"))
-    return wanted.groupBy(F.col("x.collectionId").alias("id")).agg(F.max_by("x", F.struct("p", "q")).alias("x"))
+    """(id, x) of a snapshot of lookups, a file of JSON: results of podcasts or tracks, the last response winning."""
+    each = spark.read.text(path, wholetext=True).select(F.posexplode(variants.elements(F.parse_json("value"), "$.responses")).alias("p", "r"))
+    items = each.select("p", F.posexplode(variants.elements(F.col("r"), "$.response.results")).alias("q", "item"))
+    return charts.typed(items.select(F.struct("p", "q").alias("place"), "item"))
 
 
-def frame(ids: DataFrame, found: DataFrame, category: str, subcategory: str) -> DataFrame:
-    """The sampling frame: every ranked id with its metadata, NULL where the lookup had none."""
-    x = lambda n: F.col(f"x.{n}")
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path has files; other errors of reading it are raised."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def frame(ids: DataFrame, found: DataFrame, category: str, subcategory: str, missing: str | None = None) -> DataFrame:
+    """The sampling frame: every ranked id with its metadata; text that the lookup had not is ``missing``, numbers NULL."""
+    x = lambda n: F.col(f"x.{n}") if missing is None or n == "trackCount" else F.coalesce(F.col(f"x.{n}"), F.lit(missing))
     return ids.join(found, "id", "left").select(
         "rank", F.col("id").alias("collection_id"), x("collectionName").alias("show_name"), x("artistName").alias("publisher"), x("feedUrl").alias("feed_url"),
-        x("primaryGenreName").alias("primary_genre"), F.array_join(x("genres"), "|").alias("genres"), F.lit(category).alias("apple_category"), F.lit(subcategory).alias("apple_subcategory"),
+        x("primaryGenreName").alias("primary_genre"), F.array_join(F.coalesce("x.genres", F.array().cast("array<string>")), "|").alias("genres"), F.lit(category).alias("apple_category"), F.lit(subcategory).alias("apple_subcategory"),
         x("trackCount").alias("track_count"), x("country").alias("country"), x("releaseDate").alias("release_date"), x("collectionViewUrl").alias("apple_url"),
         x("artworkUrl600").alias("artwork_url"), F.col("x").isNotNull().alias("lookup_found"),
     )
@@ -46,10 +57,9 @@ def episodes_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def corpus_csv(spark: SparkSession, path: str) -> DataFrame:
     """The corpus table, ids as text; columns are found by their header."""
-    try:
-        names = spark.read.csv(path, header=True, multiLine=True, escape='"').columns
-    except AnalysisException as e:
-        raise FileNotFoundError(f"no corpus at {path}; run the corpus build first") from e
+    if not there(spark, path):
+        raise FileNotFoundError(f"no corpus at {path}; run the corpus build first")
+    names = spark.read.csv(path, header=True, multiLine=True, escape='"').columns
     kinds = dict(c.strip().split(" ") for c in schemas.CORPUS.split(","))
     return spark.read.schema(", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names)).csv(path, header=True, multiLine=True, escape='"')
 
@@ -60,12 +70,12 @@ def fixed_ids(spark: SparkSession, ids: list[int]) -> DataFrame:
 
 
 def labels_csv(spark: SparkSession, path: str, name: str = "show name", value: str = "partisan leaning") -> DataFrame:
-    """(label, value, norm); headers by trimmed name in any case, rows without a name dropped, first of equal names kept."""
+    """(label, value, norm); headers by trimmed name in any case, rows without a name dropped, of equal names the first by file and line kept."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     by = {c.strip().lower(): c for c in raw.columns}
     if name not in by or value not in by:
         raise ValueError(f"expected columns {name!r} and {value!r}, got {raw.columns}")
-    rows = raw.select(F.col(f"`{by[name]}`").alias("label"), F.col(f"`{by[value]}`").alias("value"), F.monotonically_increasing_id().alias("i"))
+    rows = raw.select(F.col(f"`{by[name]}`").alias("label"), F.col(f"`{by[value]}`").alias("value"), F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("i"))
     first = rows.where("label is not null").groupBy("label").agg(F.min_by("value", "i").alias("value"))
     return first.withColumn("norm", X.normalize_name(F.col("label")))
 
@@ -136,7 +146,7 @@ def feed_episodes(parsed: DataFrame) -> DataFrame:
         "collection_id", "show_name", F.trim(F.coalesce("i.title", F.lit(""))).alias("episode_title"),
         F.substring(F.trim(F.coalesce("i.description", F.lit(""))), 1, 2000).alias("episode_description"),
         X.parse_pubdate(F.col("i.pubDate")).alias("pub_date"), F.coalesce("i.enclosure._url", F.lit("")).alias("audio_url"), size.alias("audio_bytes"),
-        F.round(real, 1).alias("duration_sec"), real.alias("duration_raw"), F.col("d.source").alias("duration_source"),
+        X.round_even(real, 1).alias("duration_sec"), real.alias("duration_raw"), F.col("d.source").alias("duration_source"),
     )
 
 

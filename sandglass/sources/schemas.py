@@ -3,11 +3,6 @@
 from __future__ import annotations
 
 CHART_IDS = "pulled_at_utc string, url string, genre_id int, storefront string, result_ids array<bigint>"
-LOOKUP_RESULT = (
-    "struct<kind:string, wrapperType:string, collectionId:bigint, collectionName:string, artistName:string, feedUrl:string, "
-    "primaryGenreName:string, genres:array<string>, trackCount:int, country:string, releaseDate:string, collectionViewUrl:string, artworkUrl600:string>"
-)
-LOOKUPS = f"pulled_at_utc string, responses array<struct<url:string, response:struct<results:array<{LOOKUP_RESULT}>>>>"
 FRAME_COLUMNS = (
     "rank", "collection_id", "show_name", "publisher", "feed_url", "primary_genre", "genres", "apple_category", "apple_subcategory",
     "track_count", "country", "release_date", "apple_url", "artwork_url", "lookup_found",

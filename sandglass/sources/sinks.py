@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import sanitize_title
 from ..operators.numbering import shared_folder
 from ..operators.transcripts import cues, full_text
-from . import joblog, schemas
+from . import joblog, readers, schemas
 
 
 def stem() -> Column:
@@ -67,10 +66,8 @@ def upsert_transcripts(new: DataFrame, path: str) -> None:
     """
     spark = new.sparkSession
     there = spark.createDataFrame([], schemas.TRANSCRIPT)
-    try:
-        there = spark.read.schema(schemas.TRANSCRIPT).json(f"{path}/json").join(F.broadcast(new.select("show_id").distinct()), "show_id", "left_semi")
-    except AnalysisException:  # nothing was written yet
-        pass
+    if readers.there(spark, f"{path}/json"):
+        there = spark.read.schema(schemas.TRANSCRIPT).json(f"{path}/json").join(new.select("show_id").distinct(), "show_id", "left_semi")
     staged = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
     latest_transcripts(there.select(*new.columns), new).write.parquet(staged)
     merged = spark.read.schema(new.schema).parquet(staged)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sandglass.functions import fuzzy
-from sandglass.operators import hours, queue
+from sandglass.operators import hours, queue, sampling, transcripts
 from sandglass.operators.numbering import numbered, quantiles, running
 from sandglass.plans import cli, reports
 from sandglass.sources import http, readers, schemas, sinks
@@ -237,3 +237,25 @@ def test_quantiles_are_interpolated(spark):
         assert [q["a"], q["b"], q["c"]] == pytest.approx([np.quantile(known, p) for p in (0.25, 0.5, 0.9)])
     empty = quantiles(spark.createDataFrame([], "x double"), "x", {"a": 0.5}).first()
     assert empty["a"] is None
+
+
+def test_playlist_manifest_and_first_rows(spark, tmp_path):
+    lists = [{"id": "a", "title": "short", "duration": 2699.0}, {"id": "b", "title": "long", "duration": 2700.0}, {"id": "c", "title": "none"}]
+    (tmp_path / "list.json").write_text("\n".join(map(json.dumps, lists)))
+    assert [r["id"] for r in readers.playlist(spark, f"{tmp_path}/list.json").collect()] == ["b"]
+    plan = readers.playlist(spark, f"{tmp_path}/list.json")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(duration), GreaterThanOrEqual(duration,2700.0)]" in plan
+    sinks.csv(spark.createDataFrame([("s", str(i)) for i in range(9)], "show_id string, episode_id string").coalesce(1), f"{tmp_path}/m")
+    assert readers.manifest(spark, f"{tmp_path}/m").count() == 9 and readers.manifest(spark, f"{tmp_path}/m", 4).count() == 4
+    rows = spark.createDataFrame([(i * 7 % 10, i) for i in range(10)], "k int, v int").repartition(4)
+    assert [r["k"] for r in queue.first_rows(rows, [F.desc("k")], 3).collect()] == [9, 8, 7]
+    assert [r["k"] for r in queue.first_rows(rows, ["k"], None).collect()] == list(range(10)) == [r["k"] for r in queue.first_rows(rows, ["k"], 0).collect()]
+
+
+def test_transcript_records_and_sorted_summaries(spark):
+    one = spark.createDataFrame([("e1", "s1", 'A "title": x', "x", "m", "en", 1.0, "h1", [(0.0, 1.0, "hi"), (1.0, 2.0, "there")])], schemas.TRANSCRIPT)
+    got = transcripts.record(one).first()
+    told = json.loads(got["record"])
+    assert got["stem"] == "e1_A _title__ x" and got["text"] == "hi there" and told["segments"][1] == {"start": 1.0, "end": 2.0, "text": "there"} and told["audio_sha256"] == "h1"
+    eps = spark.createDataFrame([(s, f"e{i}", 60.0) for s, n in ((3, 1), (1, 2), (2, 2)) for i in range(n)], "show_id long, episode_id string, duration_sec double")
+    assert [(r["show_id"], r["n_eps"]) for r in sampling.per_show_summary(eps).collect()] == [(1, 2), (2, 2), (3, 1)]
