@@ -4,9 +4,13 @@ Words are runs of digits, a-z (after lower-casing A-Z) and non-ASCII characters;
 joined by spaces. Base phrases are found exactly. A notice is a phrase whose words in brackets tell licenses apart (names,
 version numbers): these must stand there exactly, and edits are allowed in the parts between them only. The longest part
 with k edits allowed is split into k + 1 pieces, of which one stays whole (pigeonhole), so exact hits of pieces
-(Aho-Corasick) give candidate windows, and the regex library's bounded-error matching verifies edits there and gives the
-spans. A part too short for an edit is a seed as it is. For Creative Commons, the words after a match (nc, sharealike, ...) are
-read exactly and complete the label. All work is linear in the text beside the verification of candidate windows.
+(Aho-Corasick) give the places where a match may begin: with k edits in all, a hit leaves 2k + 1 of them, and only those that
+begin a word count. For each, once, one pass over the notice's length gives the edits to the end of every word that a match could
+reach; where they are few enough, the regex library's bounded-error matching verifies the text between and counts its edits. (It is asked
+for a match of all of that text: after a fuzzy group it takes lookaheads back too late and loses matches.) Of overlapping spans of one
+notice the one with fewer edits is told.
+A part too short for an edit is a seed as it is. For Creative Commons, the words after a match (nc, sharealike, ...) are read
+exactly and complete the label. Work is linear in the text: a verification reads no more than a notice's length and its edits.
 
 Defined cases: null and empty texts have no words, no labels and score 0; rows are judged one by one, so repeated
 rows repeat their result; other columns are not read.
@@ -62,6 +66,23 @@ NOTICES = (
     ("[artistic license]", "artistic"),
     ("[zlib license]", "zlib"),
     ("this is free and [unencumbered] software released into the public domain", "unlicense"),
+    ("[apache 2 0]", "apache-2.0"),
+    ("[gpl 2 0]", "gpl"),
+    ("[gpl 3 0]", "gpl"),
+    ("[lgplv2]", "lgpl"),
+    ("[lgplv3]", "lgpl"),
+    ("[lgpl 2 1]", "lgpl"),
+    ("[lgpl 3 0]", "lgpl"),
+    ("[agplv3]", "agpl"),
+    ("[agpl 3 0]", "agpl"),
+    ("[mpl 2 0]", "mpl"),
+    ("[epl 2 0]", "epl"),
+    ("[bsl 1 0]", "bsl"),
+    ("[spdx license identifier mit]", "mit"),
+    ("[spdx license identifier isc]", "isc"),
+    ("[spdx license identifier zlib]", "zlib"),
+    ("[spdx license identifier unlicense]", "unlicense"),
+    ("[creative commons by]", "cc-by"),
     ("[cc by]", "cc-by"),
     ("[cc0]", "cc0"),
     ("creative commons [zero]", "cc0"),
@@ -91,6 +112,41 @@ def parts_of(notice: str, per_char: float) -> list[tuple[str, int]]:
     return out
 
 
+def places(phrase: str) -> dict[str, int]:
+    """The letters' places in a phrase, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(phrase):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def near_ends(where: dict[str, int], n: int, k: int, text: str, at: int) -> list[tuple[int, int]]:
+    """(edits, end) of the ends of words up to which the text from ``at`` is within k edits of a phrase of n letters, fewest first.
+
+    One column of the table of edit distances at a time, as two bit vectors; it ends where k is out of reach.
+    """
+    every, last = (1 << n) - 1, 1 << n - 1
+    up, down, d, out = every, 0, n, []
+    stop = min(len(text), at + n + k)
+    for j in range(at, stop):
+        eq = where.get(text[j], 0)
+        flat = ((eq & up) + up ^ up) | eq
+        eq |= down
+        rise, fall = down | (every & ~(flat | up)), up & flat
+        if rise & last:
+            d += 1
+        elif fall & last:
+            d -= 1
+        if d <= k:
+            if j + 1 == len(text) or text[j + 1] == " ":
+                out.append((d, j + 1))
+        elif d - (stop - j - 1) > k:
+            break
+        rise, fall = (rise << 1 | 1) & every, fall << 1 & every
+        up, down = fall | (every & ~(eq | rise)), rise & eq
+    return sorted(out)
+
+
 @lru_cache(maxsize=4)
 def machine(notices: tuple, per_char: float):
     import ahocorasick
@@ -102,7 +158,7 @@ def machine(notices: tuple, per_char: float):
         parts = parts_of(notice, per_char)
         shown = [regex.escape(text) if not k else rf"(?:{regex.escape(text)}){{e<={k}}}" for text, k in parts]
         whole, errors = "".join(text for text, _ in parts), sum(k for _, k in parts)
-        rules.append((regex.compile(rf"(?<![^ ])(?e)(?:{''.join(shown)})(?![^ ])"), len(whole), errors, label))
+        rules.append((regex.compile(rf"(?b){''.join(shown)}"), whole, places(whole), errors, label))
         best = max(range(len(parts)), key=lambda j: len(parts[j][0]) / (parts[j][1] + 1))
         lead = sum(len(text) for text, _ in parts[:best])
         for off, piece in pieces(*parts[best]):
@@ -128,31 +184,40 @@ def completed(joined: str, end: int, label: str) -> tuple[int, str]:
             return end, "-".join([label, *marks])
 
 
+def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, edits) without those that overlap one with fewer edits, or with as many and an earlier start."""
+    kept: list[tuple[int, int, int]] = []
+    for a, b, edits in sorted(spans, key=lambda x: (x[2], x[0], x[1])):
+        at = bisect_right(kept, (a, b, edits))
+        if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or b <= kept[at][0]):
+            kept.insert(at, (a, b, edits))
+    return kept
+
+
 def fuzzy_spans(joined: str, notices: tuple = NOTICES, per_char: float = ERRORS_PER_CHAR) -> list[tuple[int, int, str, int]]:
     """(start, end, label, edits) in characters of the joined words, by start."""
     auto, rules = machine(notices, per_char)
-    windows: dict[int, list[list[int]]] = {}
+    begins: dict[int, set[int]] = {}  # of each notice: places where words begin and a match may
     for end, (length, where) in auto.iter(joined):
         start = end - length + 1
         for i, off in where:
-            _, n, k, _ = rules[i]
-            windows.setdefault(i, []).append([max(0, start - off - k), min(len(joined), start - off + n + k)])
+            k, own = rules[i][3], begins.setdefault(i, set())
+            for at in range(max(0, start - off - k), min(len(joined), start - off + k + 1)):
+                if at == 0 or joined[at - 1] == " ":
+                    own.add(at)
     found = set()
-    for i, own in windows.items():
-        pattern, _, _, label = rules[i]
-        own.sort()
-        merged = [own[0]]
-        for lo, hi in own[1:]:
-            if lo <= merged[-1][1]:
-                merged[-1][1] = max(hi, merged[-1][1])
-            else:
-                merged.append([lo, hi])
-        for lo, hi in merged:
-            for m in pattern.finditer(joined, lo, min(len(joined), hi + 1)):
-                a, b = m.span()
-                if b > a and (b == len(joined) or joined[b] == " "):
-                    b, told = completed(joined, b, label) if label == "cc-by" else (b, label)
-                    found.add((a, b, told, sum(m.fuzzy_counts)))
+    for i, own in begins.items():
+        pattern, whole, where, k, label = rules[i]
+        spans = []
+        for at in own:
+            for _, end in near_ends(where, len(whole), k, joined, at):
+                m = pattern.fullmatch(joined, at, end)
+                if m:
+                    spans.append((at, end, sum(m.fuzzy_counts)))
+                    break
+        for a, b, edits in apart(spans):
+            b, told = completed(joined, b, label) if label == "cc-by" else (b, label)
+            found.add((a, b, told, edits))
     return sorted(found)
 
 
