@@ -21,7 +21,7 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("before, behind", [("", ""), ("", " permission"), ("this software", ""), ("a b c", " permission to use"), ("", " " + COPY), (COPY, " x")])
+@pytest.mark.parametrize("before, behind", [("", ""), ("", " permission"), ("this software", ""), ("a b c", " permission to use"), ("", " " + COPY), (COPY, " permission")])
 def test_what_stands_around_a_notice_takes_nothing_from_it(before, behind):
     text = f"{before} {COPY}{behind}".strip()
     spans = [s for s in licenses.fuzzy_spans(text) if s[2] == "mit"]
