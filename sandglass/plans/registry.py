@@ -6,14 +6,17 @@ stand for transcripts, turns, feeds and queue messages. Quantities are whole num
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import variants as V
 from ..operators import hours, matching, queue, rules, sampling, transcripts
-from ..operators.numbering import numbered, quantiles
+from ..operators.numbering import numbered, quantiles, shared_folder
 from ..sources import readers, sinks
+from ..streaming import engines, worker
 from . import reports
 
 SEED = 20260713
@@ -140,6 +143,8 @@ def label_table(s, d) -> DataFrame:
 
 
 NORM = r"""list_aggregate(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('', 'the', 'a', 'an', 'podcast', 'show', 'with')), 'string_agg', ' ')"""
+#: Letters without their marks, then ASCII alone; an ellipsis is three points when decomposed.
+FOLDED = r"regexp_replace(strip_accents(replace(coalesce(text, ''), '…', '...')), '[^\x00-\x7F]', '', 'g')"
 TOP2 = f"""
 WITH n AS (SELECT s_suppkey AS id, {NORM.format("s_name")} AS norm FROM supplier),
 l AS (SELECT c_name AS label, c_mktsegment AS value, {NORM.format("replace(c_name, 'Customer', 'Supplier')")} AS ln FROM customer),
@@ -156,6 +161,31 @@ def matches(s, d) -> DataFrame:
     return matching.match_status(matching.top2(names(s, d), label_table(s, d)))
 
 
+def titles_by_engine(s, d) -> DataFrame:
+    """Parts stand for items; the stub engine runs as a table function in SQL, a show's items in one task."""
+    engines.register(s)
+    title = F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" fail"))).otherwise(F.col("p_name"))
+    todo = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("item"), F.lit(1).alias("attempt"), F.col("p_type").alias("show_id"), F.col("p_partkey").cast("string").alias("episode_id"), F.lit("").alias("audio_sha256"), title.alias("title"))
+    call = "transcribe_items(engine => 'stub', options => '{{}}', items => TABLE({todo}) PARTITION BY show_id)"
+    return s.sql(f"SELECT show_id AS source, outcome, count(*) AS n, sum(n_words) AS words FROM {call} GROUP BY 1, 2", todo=todo)
+
+
+def stream_arrivals(s, d) -> DataFrame:
+    """Sales stand for meta files and shipments of their lines for audio: streams of both, joined with watermarks.
+
+    A sale without a shipment from an hour before it up to three days after it is dropped once the watermark has passed that time.
+    """
+    folder = f"{shared_folder(s)}/arrivals-{uuid.uuid4().hex}"
+    # as a pattern, the path may be a file or a folder
+    stream = lambda name: s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+    metas = stream("sales").where("sale_id is not null and sold_at is not null").select(F.col("sale_id").alias("item"), F.col("sold_at").cast("timestamp").alias("at"))
+    sent = stream("sale_lines").where("sale_id is not null and shipped_at is not null").select(F.col("sale_id").alias("item"), F.col("shipped_at").cast("timestamp").alias("at"))
+    joined = worker.arrivals(metas, sent, "3 days")
+    query = joined.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.read.schema(joined.schema).parquet(f"{folder}/rows")
+
+
 def mixed_json():
     """JSON of a lookup whose genres hold all kinds of elements and whose country is text, a number or null."""
     country = F.when(F.col("p_size") % 3 == 0, '"US"').when(F.col("p_size") % 3 == 1, "null").otherwise(F.col("p_size").cast("string"))
@@ -423,7 +453,7 @@ def build() -> dict[str, tuple]:
             r"SELECT doc_id, CASE WHEN t = '' THEN 'untitled' ELSE t END AS title FROM (SELECT doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[/\\:*?" + '"' + r"<>|]', '_', 'g'), '\s+', ' ', 'g')), 1, 80)) AS t FROM documents)",
         ),
         "normalize_name": (lambda s, d: table(s, d, "part").select("p_partkey", X.normalize_ascii(F.col("p_name")).alias("norm")), f"SELECT p_partkey, coalesce({NORM.format('p_name')}, '') AS norm FROM part"),
-        "normalize_name_folded": (lambda s, d: docs(s, d).select("doc_id", X.normalize_name(F.coalesce("text", F.lit(""))).alias("norm")), None),
+        "normalize_name_folded": (lambda s, d: docs(s, d).select("doc_id", X.normalize_name(F.coalesce("text", F.lit(""))).alias("norm")), f"SELECT doc_id, coalesce({NORM.format(FOLDED)}, '') AS norm FROM documents"),
         "fuzzy_top2": (matches, TOP2 + "SELECT * FROM m"),
         "match_status": (lambda s, d: queue.value_counts(matches(s, d), "match_status"), TOP2 + "SELECT match_status, count(*) AS n FROM m GROUP BY 1"),
         "fuzzy_top2_composite": (lambda s, d: matching.match_status(matching.top2(names(s, d), label_table(s, d), "composite")), None),
@@ -472,6 +502,12 @@ def build() -> dict[str, tuple]:
             """SELECT click_id, coalesce(j ->> '$.device.os', '') AS os, coalesce(array_to_string(list_transform(list_filter(json_extract(j, '$.tags[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$'), '|'), '') AS tags,
               coalesce(json_array_length(j, '$.items'), 0)::INT AS n_items FROM (SELECT click_id, CASE WHEN json_valid(props) THEN props::JSON END AS j FROM clicks)""",
         ),
+        "engine_table_function": (
+            titles_by_engine,
+            r"""SELECT source, outcome, count(*) AS n, sum(CASE WHEN outcome = 'ok' THEN len(regexp_extract_all(title, '[^\x20\x09-\x0D\x1C-\x1F\x85\xA0]+')) ELSE 0 END)::BIGINT AS words
+              FROM (SELECT *, CASE WHEN contains(title, 'fail') THEN 'fail' ELSE 'ok' END AS outcome FROM (SELECT p_type AS source, CASE WHEN p_size % 5 = 0 THEN p_name || ' fail' ELSE p_name END AS title FROM part)) GROUP BY 1, 2""",
+        ),
+        "stream_arrivals": (stream_arrivals, None),
         "rounding_half_even": (
             lambda s, d: table(s, d, "lineitem").groupBy(X.round_even(F.col("l_quantity") / 8, 2).alias("rounded")).agg(F.count(F.lit(1)).alias("n")),
             "SELECT round_even(l_quantity::DOUBLE / 8, 2)::DOUBLE AS rounded, count(*) AS n FROM lineitem GROUP BY 1",

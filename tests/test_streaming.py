@@ -239,3 +239,26 @@ def test_states_of_random_orders_end_once():
             life, what = on_timer(life, now, rules) if e is None else on_event(life, e, now, rules)
             ends += bool(what) and what[0] in ("done", "failed", "dropped")
         assert ends <= 1 and (ends == 1) == (life.phase in (lifecycle.DONE, lifecycle.FAILED, lifecycle.DROPPED))
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_registered_arrivals_against_plain_python(spark, tmp_path, folder):
+    from sandglass.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    if folder:  # tables of several files, as on a cluster
+        for name in ("sales", "sale_lines"):
+            spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = registry.queries()["stream_arrivals"](spark, str(tmp_path) if folder else sf).collect()
+    sales = [(r["sale_id"], r["sold_at"]) for r in spark.read.parquet(f"{sf}/sales.parquet").collect() if r["sale_id"] is not None and r["sold_at"] is not None]
+    sent = {}
+    for r in spark.read.parquet(f"{sf}/sale_lines.parquet").collect():
+        if r["sale_id"] is not None and r["shipped_at"] is not None:
+            sent.setdefault(r["sale_id"], []).append(r["shipped_at"])
+    ready = sorted((i, t, a) for i, t in sales for a in sent.get(i, []) if t - timedelta(hours=1) <= a <= t + timedelta(days=3))
+    assert sorted((r["item"], r["meta_at"], r["audio_at"]) for r in got if r["state"] == "ready") == ready and ready
+    near = {(i, t) for i, t, _ in ready}
+    mark = min(max(t for _, t in sales), max(a for x in sent.values() for a in x)) - timedelta(seconds=10)
+    dropped = sorted((i, t) for i, t in sales if (i, t) not in near and t + timedelta(days=3) < mark - timedelta(seconds=1))
+    told = sorted((r["item"], r["meta_at"]) for r in got if r["state"] == "dropped")
+    assert set(dropped) <= set(told) and all(x not in near for x in told) and len(told) <= sum((i, t) not in near for i, t in sales) and dropped
