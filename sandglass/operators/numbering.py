@@ -23,12 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._sandglass_tables
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """df in ranges of the order, numbered as _part and stored: range bounds are drawn anew each time a plan runs."""
-    path = f"{shared_folder(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged.write.parquet(path)
-    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+    return stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -63,7 +67,7 @@ def quantiles(df: DataFrame, column: str, shares: dict[str, float], keys: list[s
     by = keys or ["_one"]
     rows = df if keys else df.withColumn("_one", F.lit(1))
     counts = rows.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running(counts, by, [F.asc("_v")], {"upto": F.col("_n")})
+    placed = running(stored(counts, "counts"), by, [F.asc("_v")], {"upto": F.col("_n")})
     at = lambda p: (F.col("total_upto") - 1) * F.lit(float(p))
     value = lambda i: F.min(F.when(F.col("upto") > i, F.col("_v")))  # noqa: E731  the first value that reaches beyond the place
     low = [value(F.floor(at(p))).alias(f"_low_{n}") for n, p in shares.items()]
