@@ -6,9 +6,10 @@ compatible if merging their joined symbols gives those two back). These last tok
 
 Symbols are pushed one by one. A position is live while the symbols after it begin some token of the merge list, which bounds
 the lookahead: no token has more symbols than ``lookahead``. Whatever comes later starts at a live position, so what all live
-positions descend from is stable: its tokens are emitted and forgotten. On ordinary words that is so after a few symbols, and
-memory stays constant however long a piece is. Every piece takes this way; the results of short ones are remembered in
-a table of bounded size.
+positions descend from is stable: its tokens are emitted and its states forgotten. On ordinary words that is so after a few symbols, and
+the states stay few however long a piece is. Every piece takes this way; the results of short ones are remembered in
+a table of bounded size. ``encode`` hands tokens over as they become stable if it is given a function for them; the digest takes those of a
+slice together, so beside the states it holds the ids of one slice: 64 KB of text and on to the next blank, the whole text where there is none.
 
 Texts are read in slices that end at a blank, which no piece reaches over. Pieces are what the vocabulary's normalizer and
 splitter give. For slices of Latin letters (below U+0200) both are done here by exact equivalents; other slices pass the
@@ -388,7 +389,7 @@ class Codec:
         return self.trip(text, ids.append, told.append), "".join(ids), "".join(told)
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text), in constant memory beside the text."""
+        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text), slice by slice."""
         ids, told = hashlib.sha256(), hashlib.sha256()
         n = self.trip(text, lambda s: ids.update(s.encode()), lambda s: told.update(s.encode()))
         return n, ids.hexdigest(), told.hexdigest()

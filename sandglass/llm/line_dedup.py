@@ -3,7 +3,7 @@
 Texts are split at newlines and a line's ID is its MD5. Suffixes (one per line) are ranked by their first h lines, for
 doubling h: the rank of 2h lines orders the pairs (rank of h lines here, rank of h lines h further on). Suffixes whose
 prefix stands nowhere else leave the array, as they have no neighbour with so long a common prefix; doubling ends when none is
-left, so its depth is the length of the longest repeated run. Equal ranks are the intervals of a longest common prefix of h
+left, or when the longest length that is asked for (see below) is reached. Equal ranks are the intervals of a longest common prefix of h
 lines or more; for a length L between h and 2h, those of the pair (rank of h lines from the first line, rank of h lines up
 to the last). In each interval the first place stays whole, and the lines of all later places are deleted, but for lines
 that belong to the first place too where a run overlaps itself.
@@ -80,12 +80,14 @@ def doubled(array: DataFrame, shift: int) -> tuple[DataFrame, int]:
     return reranked(stored(pairs, "pairs"), ["rank", "next"])
 
 
-def suffix_array(lines: DataFrame) -> list[DataFrame]:
-    """(doc_id, doc, pos, words, rank) for prefixes of 1, 2, 4, ... lines: the suffixes whose prefix stands twice or more."""
+def suffix_array(lines: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """(doc_id, doc, pos, words, rank) for prefixes of 1, 2, 4, ... lines, up to ``most`` if given: the suffixes whose prefix stands twice or more."""
     levels: list[DataFrame] = []
     array, n = reranked(lines, ["id"])
     while n:
         levels.append(array)
+        if most is not None and 1 << len(levels) > most:
+            break
         array, n = doubled(array, 1 << (len(levels) - 1))
     return levels
 
@@ -103,16 +105,18 @@ def lines_of(places: DataFrame, length: int) -> DataFrame:
     return places.select("doc", F.explode(F.sequence(start, F.col("pos") + (length - 1))).alias("pos"))
 
 
-def through_blanks(docs: DataFrame, lines: DataFrame, levels: list[DataFrame], min_lines: int) -> list[DataFrame]:
-    """(doc, pos): last lines of repeated runs over ``min_lines`` long, up to the line with a word after a blank stretch."""
+def lengths_over_blanks(docs: DataFrame, lines: DataFrame, min_lines: int) -> DataFrame:
+    """Stored (doc, pos, length) over ``min_lines`` long: from each line with a word over blank lines to the next line with one."""
     blank = r"\n[ \t-\r]*" + (r"\n" if min_lines > 1 else r"(\n|\z)")
-    gaps = stored(docs.where(F.col("text").rlike(blank)).select(doc_key().alias("doc")).distinct(), "texts-with-gaps")
-    if gaps.isEmpty():
-        return []
+    gaps = docs.where(F.col("text").rlike(blank)).select(doc_key().alias("doc")).distinct()
     before = W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, -(min_lines - 1))
     start = F.max(F.when(F.col("words") > 0, F.col("pos"))).over(before)
     asked = lines.join(gaps, "doc", "left_semi").select("doc", start.alias("pos"), (F.col("pos") - start + 1).alias("length"))
-    asked = stored(asked.where(F.col("length") > min_lines), "lengths")
+    return stored(asked.where(F.col("length") > min_lines), "lengths")
+
+
+def through_blanks(asked: DataFrame, levels: list[DataFrame]) -> list[DataFrame]:
+    """(doc, pos): last lines of repeated runs of the lengths asked for."""
     out = []
     for k, array in enumerate(levels):
         h = 1 << k
@@ -127,7 +131,9 @@ def through_blanks(docs: DataFrame, lines: DataFrame, levels: list[DataFrame], m
 def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(deleted(doc, pos), lines), both stored."""
     lines = stored(line_table(docs), "lines")
-    levels = suffix_array(lines)
+    asked = lengths_over_blanks(docs, lines, min_lines)
+    longest = asked.agg(F.max("length")).first()[0] or 0
+    levels = suffix_array(lines, max(min_lines, longest - 1))
     nothing = lines.select("doc", "pos").where("false")
     if not levels:
         return nothing, lines
@@ -136,7 +142,7 @@ def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     if k < len(levels):
         array = levels[k] if min_lines == 1 << k else doubled(levels[k], min_lines - (1 << k))[0]
         found.append(lines_of(later_places(array.where("words > 0"), ["rank"]), min_lines))
-    found += through_blanks(docs, lines, levels, min_lines)
+    found += through_blanks(asked, levels) if longest else []
     return stored(reduce(DataFrame.unionByName, found).distinct(), "deleted-lines"), lines
 
 
