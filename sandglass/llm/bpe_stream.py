@@ -8,10 +8,11 @@ Symbols are pushed one by one. A position is live while the symbols after it beg
 the lookahead: no token has more symbols than ``lookahead``. Whatever comes later starts at a live position, so what all live
 positions descend from is stable: its tokens are emitted and its states forgotten. On ordinary words that is so after a few symbols, and
 the states stay few however long a piece is. Every piece takes this way; the results of short ones are remembered in
-a table of bounded size. ``encode`` hands tokens over as they become stable if it is given a function for them; the digest takes those of a
-slice together, so beside the states it holds the ids of one slice: 64 KB of text and on to the next blank, the whole text where there is none.
+a table of bounded size.
 
-Texts are read in slices that end at a blank, which no piece reaches over. Pieces are what the vocabulary's normalizer and
+Texts are read in slices of 64 KB that end at a blank, which no piece reaches over; ids of a slice are handed on together. A stretch without
+blanks beyond that is cut before digits, which are pieces of their own, and tokens of a piece that is longer still are handed on as they
+become stable. So ids never gather, and what grows with a text is no more than a few copies of its longest stretch. Pieces are what the vocabulary's normalizer and
 splitter give. For slices of Latin letters (below U+0200) both are done here by exact equivalents; other slices pass the
 library's own normalizer and splitter, and then the same transducer.
 
@@ -29,7 +30,7 @@ import codecs
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -42,9 +43,13 @@ CHUNKS = 500_000
 BATCH = 2048
 #: Characters after which a slice of a text ends at the next blank.
 SLICE = 1 << 16
+#: Ids of a long piece that are handed on together.
+HELD = 4096
 _BLANK = re.compile("[ \n]")
 _LATIN = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ʯ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Where a slice without blanks is cut: before a digit, which is a piece of its own and which no character before it combines with.
+_APART = re.compile("[0-9]")
 _PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LATIN}]+|[{_NUMBER}]|[^{_LATIN}{_NUMBER}]+")
 #: Bytes of texts whose characters all lie below U+0200, without the separators that only str.split() cuts at.
 _PLAIN = bytes(b for b in range(0xC8) if not 0x1C <= b <= 0x1F)
@@ -355,31 +360,71 @@ class Codec:
         vocab, encode = self.vocab, self.machine.encode
         return [vocab[t] for p, _ in pieces for t in encode(p)]
 
-    def encode(self, text: str | None) -> Iterator[list[int]]:
-        """Ids of the text, slice by slice."""
+    def long_piece(self, symbols: str, out: Callable[[list[int]], None]) -> None:
+        """Ids of one piece in the vocabulary's letters, handed on as its tokens become stable."""
+        vocab, held = self.vocab, []
+
+        def settled(tokens: list[str]) -> None:
+            held.extend([vocab[t] for t in tokens])
+            if len(held) >= HELD:
+                out(held.copy())
+                held.clear()
+
+        self.machine.encode(symbols, settled)
+        out(held)
+
+    def stretch(self, text: str, out: Callable[[list[int]], None]) -> None:
+        """Ids of a text without special tokens that may have no blank for long: in parts that end where pieces do anyway."""
+        at = 0
+        while at < len(text):
+            cut = _APART.search(text, at + SLICE)
+            part = text[at : cut.start()] if cut else text[at:]
+            at += len(part)
+            if len(part) <= 2 * SLICE:
+                out(self.ids_of(part))
+            elif not part.encode().translate(None, _PLAIN):
+                for chunk in part.lower().split():
+                    for m in _PIECE.finditer(chunk):
+                        raw = m.group()
+                        if len(raw) > SLICE:
+                            self.long_piece((raw if raw.isascii() else raw.encode().decode("latin-1")).translate(self.table), out)
+                        else:
+                            out(list(self.piece(raw)))
+            else:
+                pieces = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part))
+                for piece, _ in pieces:
+                    self.long_piece(piece, out)
+
+    def encode(self, text: str | None, out: Callable[[list[int]], None]) -> None:
+        """Hands the ids of the text on, slice by slice; those of a slice that has no blank for long as they become stable."""
         text, at = text or "", 0
         while at < len(text):
             cut = _BLANK.search(text, at + SLICE)
             part = text[at : cut.end()] if cut else text[at:]
             at += len(part)
+            plain = (lambda t: out(self.ids_of(t))) if len(part) <= 2 * SLICE else (lambda t: self.stretch(t, out))
             if self.cut and "<" in part:
-                ids, done = [], 0
+                done = 0
                 for m in self.cut.finditer(part):
-                    ids += self.ids_of(part[done : m.start()])
-                    ids.append(self.special[m.group()])
+                    plain(part[done : m.start()])
+                    out([self.special[m.group()]])
                     done = m.end()
-                yield ids + self.ids_of(part[done:])
+                plain(part[done:])
             else:
-                yield self.ids_of(part)
+                plain(part)
 
     def trip(self, text: str | None, ids_to: Callable[[str], object], text_to: Callable[[str], object]) -> int:
         """Number of ids; their decimals, joined by a space, and the decoded text are handed on as they come."""
         machine, n, shown = ByteText(self.bytes_of, self.between), 0, self.shown
-        for ids in self.encode(text):
+
+        def take(ids: list[int]) -> None:
+            nonlocal n
             if ids:
                 ids_to((" " if n else "") + " ".join([shown[i] for i in ids]))
                 n += len(ids)
                 text_to(machine.feed(ids))
+
+        self.encode(text, take)
         text_to(machine.finish())
         return n
 
@@ -389,7 +434,7 @@ class Codec:
         return self.trip(text, ids.append, told.append), "".join(ids), "".join(told)
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text), slice by slice."""
+        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text), handed on as they come."""
         ids, told = hashlib.sha256(), hashlib.sha256()
         n = self.trip(text, lambda s: ids.update(s.encode()), lambda s: told.update(s.encode()))
         return n, ids.hexdigest(), told.hexdigest()
