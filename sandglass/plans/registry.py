@@ -369,7 +369,7 @@ def build() -> dict[str, tuple]:
             """WITH f AS (SELECT l_suppkey AS collection_id, l_orderkey || '-' || l_linenumber AS k, l_linenumber < 7 AS sound, CASE WHEN l_linestatus = 'F' AND l_linenumber < 7 THEN nullif(l_partkey * 1000, 0) END AS audio_bytes,
               CASE WHEN l_returnflag <> 'R' THEN l_quantity::INT * 60.0 + 30 END AS told, l_shipdate FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
             SELECT collection_id, 'T' || k AS episode_title, CASE WHEN sound THEN k ELSE '' END AS audio_url, coalesce(audio_bytes, 0) AS audio_bytes,
-              round(coalesce(told, CASE WHEN audio_bytes > 100000 THEN audio_bytes * 8 / 128000 END), 1)::DOUBLE AS duration_sec,
+              round_even(coalesce(told, CASE WHEN audio_bytes > 100000 THEN audio_bytes * 8 / 128000 END)::DOUBLE, 1)::DOUBLE AS duration_sec,
               CASE WHEN told IS NOT NULL THEN 'itunes:duration' WHEN audio_bytes > 100000 THEN 'estimated_from_bytes' ELSE 'missing' END AS duration_source, date_trunc('second', l_shipdate) AS pub_date FROM f""",
         ),
         "feed_channels": (
@@ -379,7 +379,7 @@ def build() -> dict[str, tuple]:
         "corpus_totals": (
             lambda s, d: reports.corpus_totals(hours.feed_stats(episodes(s, d))).withColumn("mean_share", F.round("mean_share", 6)),
             q("""SELECT count(*) AS n_shows, round(sum(h), 1) AS total_hours, count(*) FILTER (share > 0) AS n_estimated, round(avg(share), 6) AS mean_share FROM (
-              SELECT round(sum(duration_sec) / 3600, 2) AS h, coalesce(round(sum(duration_sec) FILTER (duration_source = 'estimated_from_bytes') / sum(duration_sec), 3), 0) AS share FROM e GROUP BY show_id)""", EP),
+              SELECT round_even(sum(duration_sec) / 3600, 2) AS h, coalesce(round_even(sum(duration_sec) FILTER (duration_source = 'estimated_from_bytes') / sum(duration_sec), 3), 0) AS share FROM e GROUP BY show_id)""", EP),
         ),
         "recommendation": (
             lambda s, d: reports.recommendation(hours_table(s, d)).select("n_total", "n_dormant", "best_h", "n_best", "n_floor", "floor_ok"),
