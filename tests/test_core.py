@@ -262,7 +262,7 @@ def test_labels_are_all_customers(spark, tmp_path):
 @pytest.mark.parametrize("name", [n for n, (_, sql) in ALL.items() if sql])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents pages conversations labels".split():
+    for t in "region nation customer supplier part orders lineitem events documents pages conversations labels clicks".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = ALL[name][0](spark, SF).toPandas()
     want = con.sql(ALL[name][1]).df()
