@@ -75,9 +75,18 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--lease", type=float, default=600.0, help="seconds after which an attempt without outcome is given up")
     q.add_argument("--patience", type=float, default=60.0, help="seconds that an item waits for its audio")
     q.add_argument("--smoke-test", action="store_true", help="one item through the engine, then end")
+    for command in sub.choices.values():
+        command.add_argument("--log", help="log to which a line is appended when the command begins and when it ends or fails")
     return p
 
 
+def noted(spark: SparkSession, path: str | None, command: str, what: str) -> None:
+    """A line of the log: time in UTC, command, what happened."""
+    if path:
+        line = f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ} {command} {' '.join(what.split())}"
+        sinks.append_lines(spark.createDataFrame([(line,)], "value string").coalesce(1), path)
+
+
 def run(a: argparse.Namespace, spark: SparkSession) -> str:
     """The corpus build from a frozen frame, pulled first if its chart's url is given."""
     date = a.chart_date or datetime.now(UTC).strftime("%Y%m%d")
@@ -146,17 +155,29 @@ def download(a: argparse.Namespace, spark: SparkSession) -> str:
     return ", ".join(f"{r['outcome']}: {r['n']}" for r in value_counts(told, "outcome").collect())
 
 
+def work_off(a: argparse.Namespace, spark: SparkSession) -> str:
+    """The transcription queue until nothing is left in it."""
+    worker.drain(spark, a.queue, a.out, a.checkpoint, a.engine, a.batch_size, engine_options(a), a.audio, a.workers, worker.Rules(a.tries, a.lease, a.patience))
+    return ", ".join(f"{r['outcome']}: {r['n']}" for r in value_counts(worker.results(spark, a.out), "outcome").collect())
+
+
+def engine_options(a: argparse.Namespace) -> dict:
+    return {"model": a.model, "compute_type": a.compute_type, "language": None if a.auto_lang else a.language}
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
     a = parser().parse_args(argv)
-    if a.command == "queue":
-        options = {"model": a.model, "compute_type": a.compute_type, "language": None if a.auto_lang else a.language}
-        if a.smoke_test:
-            return json.dumps(worker.smoke_test(a.engine, options=options))
+    if a.command == "queue" and a.smoke_test:
+        return json.dumps(worker.smoke_test(a.engine, options=engine_options(a)))
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    if a.command == "queue":
-        worker.drain(spark, a.queue, a.out, a.checkpoint, a.engine, a.batch_size, options, a.audio, a.workers, worker.Rules(a.tries, a.lease, a.patience))
-        return ", ".join(f"{r['outcome']}: {r['n']}" for r in value_counts(worker.results(spark, a.out), "outcome").collect())
-    return {"run": run, "budget": budget, "sample": sample, "download": download}[a.command](a, spark)
+    noted(spark, a.log, a.command, "begins")
+    try:
+        text = {"run": run, "budget": budget, "sample": sample, "download": download, "queue": work_off}[a.command](a, spark)
+    except Exception as e:
+        noted(spark, a.log, a.command, f"failed: {type(e).__name__}: {str(e)[:200]}")
+        raise
+    noted(spark, a.log, a.command, "ends")
+    return text
 
 
 if __name__ == "__main__":

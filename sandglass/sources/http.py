@@ -2,14 +2,16 @@
 
 spark.dataSource.register(SnapshotSource); spark.read.format("snapshot").option("urls", ...).option("cache", folder)
 
-Option "fetcher" names a callable as "module:function" (url -> (status, body)), "delay" the seconds between calls to one host.
+Option "fetcher" names a callable as "module:function" (url -> (status, body as text or bytes)), "delay" the seconds between calls to one host.
 """
 
 from __future__ import annotations
 
+import codecs
 import importlib
 import json
 import os
+import re
 import time
 from hashlib import sha256
 
@@ -19,6 +21,22 @@ RETRIES = 3
 PERMANENT = (403, 404, 410)
 
 
+_DECLARED = re.compile(rb"""^\s*<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._:-]+)["']""")
+_MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+
+
+def decoded(body: bytes | str) -> str:
+    """A body as text: bytes by their byte order mark, else by the encoding that an XML declaration names, else as UTF-8; bad bytes become U+FFFD."""
+    if isinstance(body, str):
+        return body
+    declared = _DECLARED.match(body[:400])
+    name = next((n for mark, n in _MARKS if body.startswith(mark)), declared.group(1).decode() if declared else "utf-8")
+    try:
+        return body.decode(name, "replace")
+    except LookupError:  # an encoding that nobody knows
+        return body.decode("utf-8", "replace")
+
+
 def fetch_cached(url: str, cache: str, get=None, delay: float = 0.0, refresh: bool = False) -> tuple[int | None, str | None, str]:
     """(status, body, error) of url; results, failures too, are kept under the hash of the url."""
     base = os.path.join(cache, sha256(url.encode()).hexdigest()[:24])
@@ -36,6 +54,7 @@ def fetch_cached(url: str, cache: str, get=None, delay: float = 0.0, refresh: bo
         time.sleep(delay * 2**attempt)
         try:
             status, body = get(url)
+            body = body if body is None else decoded(body)
             error = "" if status == 200 else f"HTTP {status}"
         except OSError as e:
             error = str(e)

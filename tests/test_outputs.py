@@ -73,7 +73,11 @@ def test_budget_and_sample_by_command_line(spark, tmp_path):
     assert "| **hours a show** | 25 |" in text and "| shows at the floor | 3 (100%) |" in text and "| floor keeps enough | yes |" in text and "| hours in the sample | 75 |" in text
     assert sorted(os.listdir(tmp_path / "b")) == ["bottleneck_shows", "budget_manifest", "budget_summary", "duration_log", "sample_manifest", "show_hours", "survival"]
     assert json.loads(text_of(tmp_path / "b/budget_manifest"))["best_h"] == 30
-    text = cli.main(["sample", "--episodes", f"{tmp_path}/eps", "--out", f"{tmp_path}/s", "--hours", "50"], spark)
+    text = cli.main(["sample", "--episodes", f"{tmp_path}/eps", "--out", f"{tmp_path}/s", "--hours", "50", "--log", f"{tmp_path}/log"], spark)
+    with pytest.raises(Exception):
+        cli.main(["sample", "--episodes", f"{tmp_path}/none", "--out", f"{tmp_path}/s2", "--log", f"{tmp_path}/log"], spark)
+    noted = sorted(r["value"].split(" ", 1) for r in spark.read.text(f"{tmp_path}/log").collect())
+    assert sorted(x[1].split(":")[0] for x in noted) == ["sample begins", "sample begins", "sample ends", "sample failed"] and all(x[0].endswith("Z") for x in noted)
     assert "| hours | 50.0 |" in text and "| 50.0 | yes |" in text
     dropped = spark.read.csv(f"{tmp_path}/s/excluded_shows", header=True).collect()
     assert [(r["show"], r["reason"]) for r in dropped] == [("Show 1", "< 50h in window")]
@@ -175,6 +179,10 @@ def test_caches_keep_what_was_tried(spark, tmp_path):
     assert http.fetch_cached("http://h/x", cache, lambda u: (200, "new")) == (200, "hi", "")
     assert http.fetch_cached("http://h/x", cache, lambda u: (200, "new"), refresh=True) == (200, "new", "")
     assert http.fetch_cached("http://h/gone", cache, lambda u: (404, None)) == (404, None, "HTTP 404")
+    latin = "<?xml version='1.0' encoding='ISO-8859-1'?><rss>Müller</rss>"
+    assert http.fetch_cached("http://h/latin", cache, lambda u: (200, latin.encode("latin-1")))[1] == latin == http.fetch_cached("http://h/latin", cache)[1]
+    assert http.decoded("é".encode()) == "é" and http.decoded("é".encode("utf-16")) == "é" and http.decoded(b"\xef\xbb\xbfx") == "x"
+    assert http.decoded(b"a\xff") == "a\ufffd" and http.decoded(b"<?xml encoding='no-such'?>\xc3\xa9").endswith("é")
     sinks.raw_json(readers.fixed_ids(spark, [3, 1]), f"{tmp_path}/raw")
     sinks.raw_json(readers.fixed_ids(spark, [9]), f"{tmp_path}/raw")
     assert sorted(r["id"] for r in spark.read.json(f"{tmp_path}/raw").collect()) == [1, 3]
