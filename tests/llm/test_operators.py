@@ -57,7 +57,7 @@ def test_every_row_once_and_empty_table(docs, none, name):
     assert APPLY[name](none).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES.keys() & APPLY.keys()))
 def test_against_sql(spark, docs, name):
     import pandas as pd
 
