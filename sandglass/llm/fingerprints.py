@@ -16,6 +16,7 @@ Only fingerprints, never texts or document pairs, are shuffled. Copies collapse
 The pipeline's stage (``similar_documents``, ``keep_one``) asks for a similarity of 0.8 on shingles of five words. Equal prefixes
 prune nothing at that distance (10 of 64 bits in the mean), so there a fingerprint has 256 bits, of which at most a fifth may
 differ, and candidates come from ``KEYS`` keys of ``EACH`` min-wise shingles each; pigeonring chains and then all 256 bits decide.
+Keys shared by many are linked through leads first; pairs that this leaves apart are then all compared, in pairs of blocks.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; rows are told apart by fingerprint, so
 a doc_id that stands on several texts is in the component of each; a null doc_id never names a component unless all members
@@ -327,13 +328,61 @@ def similar_in_bucket(leads: np.ndarray, rest: np.ndarray, radius: int) -> list[
     return out
 
 
+def near_pairs(left: np.ndarray, right: np.ndarray, radius: int, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of left, rows of right) that differ in at most ``radius`` bits, of all pairs.
+
+    Rows of left further from the middle of right than its furthest row and ``radius`` together are near none (triangle inequality).
+    """
+    distance = lambda a, b: sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.uint16) for w in range(a.shape[1]))
+    bits = np.unpackbits(right.view(np.uint8), axis=1)
+    middle = np.packbits(2 * bits.sum(axis=0) > len(right)).view(np.uint64)[None]
+    close = np.flatnonzero(distance(left, middle)[:, 0] <= int(distance(right, middle).max()) + radius)
+    for at in range(0, len(close), rows):
+        i, j = np.nonzero(distance(left[close[at : at + rows]], right) <= radius)
+        yield close[at + i], j
+
+
+def open_links(rooted: DataFrame, words: int, radius: int, block: int) -> DataFrame:
+    """(a, b) links that join what is not joined yet: all near pairs of rooted(key, fp, root) with one key and two roots, connections kept.
+
+    Of a key's roots the one with most members needs no comparison within itself. The others' members, and its own, are dealt out in
+    blocks of about ``block``; each block of others meets all blocks, a pair of blocks in a group, so no pair with two roots is left out.
+    """
+    counts = stored(rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "near-roots")
+    keys = counts.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top")).where("top.n < members")
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    keys = keys.select("key", "members", F.col("top.root").alias("main"), blocks(F.col("members") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("mains"))
+    placed = spread_join(rooted, stored(keys, "near-open"), ["key"], "members").withColumn("draw", F.xxhash64("key", "fp"))
+    own = F.when(F.col("root") == F.col("main"), F.col("others") + F.pmod("draw", "mains")).otherwise(F.pmod("draw", "others")).cast("int")
+    placed = placed.select("key", "fp", "root", "others", "mains", own.alias("own"))
+    last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
+    spread = placed.select("key", "fp", "root", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    grouped = spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp", "root").groupBy("key", "low", "high")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, low, high = (k.as_py() for k in key)
+        own = table["own"].to_numpy()
+        fps, root = table["fp"].to_pylist(), table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        values = np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), words)
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        forest, out = Forest(len(fps)), []
+        if len(left) and len(right):
+            for i, j in near_pairs(values[left], values[right], radius):
+                a, b = left[i], right[j]
+                apart = np.flatnonzero(root[a] != root[b])
+                out += [(fps[x], fps[y]) for x, y in zip(a[apart].tolist(), b[apart].tolist()) if forest.join(int(root[x]), int(root[y]))]
+        return pa.table([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return grouped.applyInArrow(run, "a binary, b binary")
+
+
 def similar_links(rows: DataFrame, words: int, radius: int, bucket: int = NEAR_BUCKET) -> DataFrame:
-    """(a, b) links among the fingerprints of rows(fp, keys), candidates being those that share a key.
+    """(a, b) links that keep all connections of the near fingerprints of rows(fp, keys) that share a key.
 
-    The members of a key shared by more than ``bucket`` are dealt out evenly in parts of half as many; about as many leads, drawn
-    by hash, go to each part, so the work is linear in the members and no task has more. Each key draws other leads, and members near
-    no lead are compared within their part. Two that are near each other but no lead, and in different parts, still meet in their
-    other keys: crowded keys are made of passages that many texts share, and texts with a similarity of 0.8 share more than these.
+    The members of a key shared by more than ``bucket`` are first dealt out evenly in parts of half as many; about as many leads, drawn
+    by hash, go to each part, so this is linear in the members and no task has more. Each key draws other leads, and members near
+    no lead are compared within their part. What this leaves apart in such a key is then compared exactly, by ``open_links``: all
+    pairs of members that no link connects so far, here or through other keys.
     """
     ship(rows.sparkSession)
     keyed = stored(rows.select("fp", F.explode("keys").alias("key")).distinct(), "near-keys")
@@ -369,7 +418,15 @@ def similar_links(rows: DataFrame, words: int, radius: int, bucket: int = NEAR_B
                 yield told(out)
         yield told(close())
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    found = stored(dealt.mapInArrow(run, "a binary, b binary"), "near-links")
+    crowded = stored(sizes.where(F.col("n") > bucket), "near-crowded")
+    if crowded.isEmpty():
+        return found
+    tree = components(found)
+    members = spread_join(keyed, crowded, ["key"], "n")
+    rooted = members.join(tree, members["fp"] == tree["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    rest = open_links(stored(rooted, "near-rooted"), words, radius, 2 * bucket)
+    return tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
 
 
 def row_tag() -> Column:
