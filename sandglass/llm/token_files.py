@@ -52,29 +52,29 @@ class PieceEncoder:
 
     A piece is a word after a single space, or a newline and the word after it. Texts are cut into pieces and numbered by
     Arrow, a batch at once; only a batch's distinct pieces are looked up. Missing words of Latin letters (a comma or full
-    stop may follow) are a split of their own and go to the library's model; other missing pieces are encoded together,
-    joined as they stand in texts and told apart by the tokens that begin with the space or are the newline.
+    stop may follow) are a split of their own and go to the library's model as such; other missing pieces are joined as they
+    stand in texts. Both are encoded many at once and told apart by the tokens that begin with the space or are the newline.
     """
 
     def __init__(self, path: str, limit: int = PIECES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.model = self.tok.model
+        self.splits = Tokenizer(self.tok.model)  # the model alone, for splits that are already made
+        self.splits.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         names = self.tok.get_vocab(with_added_tokens=True)
         self.kind = np.uint16 if max(names.values()) < 1 << 16 else np.uint32
         self.newline = names["\u010a"]
         self.opens = np.zeros(max(names.values()) + 1, dtype=bool)
         self.opens[[self.newline, *(i for t, i in names.items() if t.startswith("\u0120"))]] = True
-        self.letters = str.maketrans({chr(b): x for b, x in enumerate(byte_letters())})
-        self.end_marks = {c: np.array([names[c]], self.kind).tobytes() for c in ".,"} | {"": b""}
-        self.line = np.array([self.newline], self.kind).tobytes()
+        self.end_marks = {c: np.array([names[c]], self.kind).tobytes() for c in ".,"}
+        self.letters = str.maketrans({chr(b): x for b, x in enumerate(byte_letters()) if chr(b) not in " \n"})
         self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.limit = limit
@@ -84,35 +84,36 @@ class PieceEncoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Put the ids of pieces into the table."""
-        table, tokenize, letters, code, joined = self.table, self.model.tokenize, self.letters, self.kind().dtype.char, []
-
-        def word_ids(raw: str) -> bytes:
-            return array(code, [t.id for t in tokenize(raw)]).tobytes()
-
+        table, plain, joined, marked = self.table, {}, [], []
         for piece in pieces:
-            if piece.isascii() and piece.isalpha():
-                if piece not in table:
-                    table[piece] = word_ids("\u0120" + piece)
-                continue
-            if (found := _LETTERS.fullmatch(piece)) is None:
+            if not _LETTERS.fullmatch(piece):
                 joined.append(piece)
                 continue
-            line, word, mark = found.groups()
-            raw = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-            if line:
-                table[piece] = self.line + word_ids(raw) + self.end_marks[mark]
-            else:
-                if (own := table.get(word)) is None:
-                    own = table[word] = word_ids("\u0120" + raw)
-                table[piece] = own + self.end_marks[mark]
+            if piece[-1] in self.end_marks:
+                marked.append(piece)
+                piece = piece[:-1]
+            if piece not in table:
+                plain[piece] = None
+        plain = list(plain)
+        for at in range(0, len(plain), 1024):
+            part = plain[at : at + 1024]
+            text = (" " + " ".join(part)).encode().decode("latin-1").translate(self.letters)
+            text = text.replace(" \n", "\n").replace(" ", " \u0120").replace("\n", " \u010a ")
+            self._put(part, np.array(self.splits.encode_batch_fast([text[1:]], add_special_tokens=False)[0].ids, self.kind))
         for at in range(0, len(joined), 1024):
             part = joined[at : at + 1024]
-            ids = self.ids("".join([p if p[0] == "\n" else " " + p for p in part]))
-            cuts = np.flatnonzero(self.opens[ids]).tolist()
-            if len(cuts) != len(part):  # some piece has an opening token inside: each is encoded alone
-                table.update((p, self.ids(p if p[0] == "\n" else " " + p).tobytes()) for p in part)
-                continue
-            table.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, cuts, [*cuts[1:], len(ids)]))
+            self._put(part, self.ids("".join([p if p[0] == "\n" else " " + p for p in part])))
+        table.update((p, table[p[:-1]] + self.end_marks[p[-1]]) for p in marked)
+
+    def _put(self, pieces: list[str], ids: np.ndarray) -> None:
+        """The ids of joined pieces into the table, cut at opening tokens."""
+        width = self.kind().itemsize
+        cuts = (np.flatnonzero(self.opens[ids]) * width).tolist()
+        raw = ids.tobytes()
+        if len(cuts) == len(pieces):
+            self.table.update((p, raw[a:b]) for p, a, b in zip(pieces, cuts, [*cuts[1:], len(raw)]))
+        else:  # some piece has an opening token inside: each is encoded alone
+            self.table.update((p, self.ids(p if p[0] == "\n" else " " + p).tobytes()) for p in pieces)
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
         if len(self.table) > self.limit:  # frequent pieces come back from the older table
@@ -147,20 +148,11 @@ class PieceEncoder:
         lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
         edges = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        known = self.look_up(coded.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(known), self.kind)
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.kind().itemsize
-        which = coded.indices.to_numpy()
-        size = sizes[which]
-        short = np.int32 if size.sum() < 1 << 31 and len(pool) < 1 << 31 else np.int64
-        begin, size = (np.cumsum(sizes) - sizes).astype(short)[which], size.astype(short)
-        heads = edges[:-1] - edges[0]
-        begin[heads] += 1  # no newline stands before a text
-        size[heads] -= 1
-        ends = np.cumsum(size, dtype=short)
-        all_ids = pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1], dtype=short)]
-        cuts = [0, *ends[edges[1:] - edges[0] - 1].tolist()]
-        return [all_ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        known = self.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        _, ends, data = pa.array(known, pa.large_binary()).take(coded.indices).buffers()
+        all_ids = np.frombuffer(data, self.kind)
+        cuts = (np.frombuffer(ends, np.int64)[edges - edges[0]] // self.kind().itemsize).tolist()
+        return [all_ids[a + 1 : b] for a, b in zip(cuts, cuts[1:])]  # no newline stands before a text
 
 
 def encoder(path: str) -> PieceEncoder:
