@@ -8,9 +8,11 @@ as it fills.
 Rows are counted by hour once, in a stored table with a row per hour; the driver asks it for the children of nodes that are split
 only, so what it holds follows rows / limit and never the rows. Where each file begins is exact: in thin leaves at a moment, in
 leaves of several parts at a row number, taken over ranges of (moment, order), so one hour that holds a third of all rows is numbered
-and written by many tasks. These offsets are the partitioner: it looks a row's file number up, repartitionAndSortWithinPartitions
-delivers the rows of each file in order, and one task a file streams them into one ParquetWriter. A task writes under a name of its own and
-renames at the end, so tasks can be lost or run twice.
+and written by many tasks. Files above BUCKET_ROWS rows or BUCKET_BYTES in the mean are cut into buckets by time in the same way.
+These offsets are the partitioner. Rows travel as Arrow blocks: a task cuts what it read into a block for each bucket, by offsets alone;
+repartitionAndSortWithinPartitions on (file, bucket) delivers the blocks of a file bucket by bucket, and one task a file puts one bucket
+after the other in order and streams it into one ParquetWriter. A task writes under a name of its own and renames at the end, so
+tasks can be lost or run twice.
 
 A rewrite compares each file's leaf, part, row count and sum of row hashes (64 bits a row) with the files there; those that
 recur stay, others are written under the next version's name, and only then what is no longer named is removed.
@@ -28,12 +30,14 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from decimal import Decimal
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +48,12 @@ HOUR = 3_600_000_000
 DAY = 24 * HOUR
 UNITS = "YMDh"
 NULL = "null"
-#: Rows that a writing task turns into Arrow at once, and rows of a row group.
-ROWS, GROUP = 4096, 65536
+#: Rows of a row group.
+GROUP = 65536
+#: What a task cuts into blocks at once, and bytes of blocks that it hands on at once.
+DEAL_ROWS, DEAL_BYTES, HAND_BYTES = 131072, 32 << 20, 4 << 20
+#: What a writing task puts in order at once: rows, and bytes by the mean over all rows.
+BUCKET_ROWS, BUCKET_BYTES = 262144, 64 << 20
 LOWEST = -(1 << 63)
 
 
@@ -68,6 +76,18 @@ class File:
     written: bool = False
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Where buckets begin: ascending row numbers and moments with the bucket that begins there, and the bucket without a moment."""
+
+    ranks: np.ndarray
+    by_rank: np.ndarray
+    moments: np.ndarray
+    by_moment: np.ndarray
+    none: int
+    file: np.ndarray  # of each bucket, -1 if it stays
+
+
 def micros(column: Column, kind: T.DataType) -> Column:
     """Microseconds since 1970 of a date or of a timestamp, which counts as it stands if it has no zone."""
     if isinstance(kind, T.TimestampType):
@@ -83,10 +103,20 @@ def floor_to(value: Column, step: int) -> Column:
     return value - F.pmod(value, F.lit(step).cast("long"))
 
 
+def width(column: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value."""
+    if isinstance(kind, T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(column.cast("string")), F.lit(0))
+    return F.lit(8)
+
+
 def hour_counts(keyed: DataFrame) -> DataFrame:
-    """Stored (hour, n, h) of keyed(m, h): rows and the sum of their hashes for each hour, null among them."""
+    """Stored (hour, n, h, b) of keyed(m, h, b): rows, the sum of their hashes and of their bytes for each hour, null among them."""
     hour = F.expr(f"(m - pmod(m, {HOUR}L)) div {HOUR}L").alias("hour")
-    return stored(keyed.groupBy(hour).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).cast("decimal(38,0)").alias("h")), "hours")
+    hashes = F.sum(F.col("h").cast("decimal(20,0)")).cast("decimal(38,0)").alias("h")
+    return stored(keyed.groupBy(hour).agg(F.count(F.lit(1)).alias("n"), hashes, F.sum(F.col("b").cast("long")).alias("b")), "hours")
 
 
 def sums(table: DataFrame, starts: list[int]) -> dict[int, tuple[int, Decimal]]:
@@ -158,63 +188,107 @@ def carrier(column: Column, kind: T.DataType) -> Column:
     return F.unix_date(column) if isinstance(kind, T.DateType) else column
 
 
-def plain(value):
-    if isinstance(value, Row):
-        return {k: plain(v) for k, v in zip(value.__fields__, value)}
-    if isinstance(value, dict):
-        return [(plain(k), plain(v)) for k, v in value.items()]
-    return [plain(v) for v in value] if isinstance(value, list) else value
+def file_schema(kinds: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in kinds])
 
-def arrow_column(values: tuple, kind: pa.DataType) -> pa.Array:
-    if pa.types.is_timestamp(kind):
-        return pa.array(values, pa.int64()).view(kind)
-    if pa.types.is_date(kind):
-        return pa.array(values, pa.int32()).view(kind)
-    return pa.array([plain(v) for v in values] if pa.types.is_nested(kind) else values, kind)
 
+def block_schema(schema: pa.Schema) -> pa.Schema:
+    """Of the blocks that rows travel in: moment, hash and mark before the columns."""
+    own = [("m", pa.int64()), ("h", pa.int64()), ("mark", pa.bool_())]
+    return pa.schema([*own, *[(f"c{i}", f.type) for i, f in enumerate(schema)]])
 
-def file_schema(kinds: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in kinds])
+def arrow_column(column: pa.Array, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_timestamp(kind) or pa.types.is_date(kind):
+        return column.view(kind)
+    return column if column.type == kind else column.cast(kind)
+
+
+def buckets_of(rank: pa.Array, moment: pa.Array, cuts: Cuts) -> np.ndarray:
+    """The bucket of each row, by its row number if it has one (0: none), else by its moment."""
+    ranks, at = rank.to_numpy(), moment.fill_null(0).to_numpy()
+    out = np.full(len(ranks), cuts.none, dtype=np.int64)
+    timed = moment.is_valid().to_numpy(zero_copy_only=False) & (ranks == 0)
+    if len(cuts.moments):
+        out[timed] = cuts.by_moment[np.searchsorted(cuts.moments, at[timed], "right") - 1]
+    if len(cuts.ranks):
+        numbered_rows = ranks > 0
+        out[numbered_rows] = cuts.by_rank[np.searchsorted(cuts.ranks, ranks[numbered_rows], "right") - 1]
+    return out
 
 
-def stream_file(items: Iterator, folder: str, names: list[str], schema: pa.Schema, ident: int) -> Iterator[tuple]:
-    """One file of rows in order, streamed; gives (file number, path, rows, marked rows, SHA-256 of the ids)."""
+def deal(batches: Iterator[pa.RecordBatch], cuts: Cuts, schema: pa.Schema) -> Iterator[tuple[int, int, bytes]]:
+    """(file, bucket, block) of rows (rank, m, h, mark, columns); rows of files that stay are left out."""
+
+    def cut(held: list[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        bucket = buckets_of(rows.column(0), rows.column(1), cuts)
+        (todo,) = np.nonzero(cuts.file[bucket] >= 0)
+        order = todo[np.argsort(bucket[todo], kind="stable")]
+        if not len(order):
+            return
+        dealt = rows.take(pa.array(order))
+        block = pa.record_batch([arrow_column(c, f.type) for c, f in zip(dealt.columns[1:], schema, strict=True)], schema=schema)
+        each, first = np.unique(bucket[order], return_index=True)
+        for b, start, end in zip(each.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+            yield int(cuts.file[b]), b, block.slice(start, end - start).serialize().to_pybytes()
+
+    held, n, size = [], 0, 0
+    for batch in parts(batches, DEAL_ROWS):
+        held.append(batch)
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= DEAL_ROWS or size >= DEAL_BYTES:
+            yield from cut(held)
+            held, n, size = [], 0, 0
+    if n:
+        yield from cut(held)
+
+
+def handed(blocks: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The blocks as rows of Arrow batches of about HAND_BYTES."""
+    rows, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["file", "bucket", "block"])
+
+    for file, bucket, block in blocks:
+        rows.append((file, bucket, block))
+        size += len(block)
+        if size >= HAND_BYTES:
+            yield batch()
+            rows, size = [], 0
+    if rows:
+        yield batch()
+
+
+def stream_file(items: Iterator, folder: str, names: list[str], schema: pa.Schema, ident: int, order: list[int]) -> Iterator[tuple]:
+    """One file of ((file number, bucket), block) in order, streamed; gives (file number, path, rows, marked rows, SHA-256 of the ids)."""
     first = next(items, None)
     if first is None:
         return
-    number = first[0][0]
+    number, carried = first[0][0], block_schema(schema)
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     path = f"{root}/{names[number]}"
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.writing"
-    digest, n, marked, waiting, held = hashlib.sha256(), 0, 0, [], []
+    digest, n, marked = hashlib.sha256(), 0, 0
+    by = [(c, "ascending") for c in ("m", *[f"c{i}" for i in order], "h")]
 
-    def batch(rows: list) -> pa.RecordBatch:
-        return pa.record_batch([arrow_column(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    def all_items() -> Iterator:
+        yield first
+        yield from items
 
     with fs.open_output_stream(own) as sink, pq.ParquetWriter(sink, schema) as writer:
-
-        def flush(end: bool) -> None:
-            nonlocal waiting, held
-            if waiting:
-                digest.update(((b"," if n > len(waiting) else b"") + ",".join("" if v[ident] is None else str(v[ident]) for v in waiting).encode()))
-                held.append(batch(waiting))
-                waiting = []
-            if held and (end or len(held) * ROWS >= GROUP):
-                writer.write_table(pa.Table.from_batches(held))
-                held = []
-
-        while first is not None:
-            (_, *_, mark), values = first
-            waiting.append(values)
-            n, marked = n + 1, marked + mark
-            if len(waiting) == ROWS:
-                flush(False)
-            first = next(items, None)
-        flush(True)
+        for _, blocks in groupby(all_items(), key=lambda item: item[0]):
+            table = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(block), carried) for _, block in blocks])
+            table = table.take(pc.sort_indices(table, sort_keys=by, null_placement="at_start"))
+            ids = pa.concat_arrays(table.column(3 + ident).chunks)
+            ids = ids.view(f"int{ids.type.bit_width}") if pa.types.is_timestamp(ids.type) or pa.types.is_date(ids.type) else ids
+            digest.update(((b"," if n else b"") + ",".join("" if v is None else str(v) for v in ids.to_pylist()).encode()))
+            n, marked = n + table.num_rows, marked + (pc.sum(table.column("mark")).as_py() or 0)
+            writer.write_table(pa.Table.from_arrays(table.columns[3:], schema=schema), row_group_size=GROUP)
     if fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
         fs.delete_file(path)  # of an earlier attempt, with the same rows
     fs.move(own, path)
@@ -231,79 +305,93 @@ def write_layout(rows: DataFrame, moment: Column, order: list[str], ident: str,
     kinds, there = rows.schema, there or []
     if len(set(rows.columns)) < len(rows.columns):
         raise ValueError("two columns have the same name")
-    kind_of = {f.name: f.dataType for f in kinds}
-    key = lambda c: micros(rows[c], kind_of[c]) if isinstance(kind_of[c], (T.TimestampType, T.TimestampNTZType, T.DateType)) else rows[c].cast("long")
     whole = F.xxhash64(*[F.to_json(rows[f.name]) if isinstance(f.dataType, T.MapType) else rows[f.name] for f in kinds])
     keyed = rows.select(
-        moment.cast("long").alias("m"), *[key(c).alias(f"o{i}") for i, c in enumerate(order)], whole.alias("h"),
-        (F.lit(False) if mark is None else F.coalesce(mark, F.lit(False))).alias("mark"), *[carrier(rows[f.name], f.dataType).alias(f"c{i}") for i, f in enumerate(kinds)],
+        moment.cast("long").alias("m"), whole.alias("h"), (F.lit(False) if mark is None else F.coalesce(mark, F.lit(False))).alias("mark"),
+        sum((width(rows[f.name], f.dataType) for f in kinds), F.lit(0)).alias("b"), *[carrier(rows[f.name], f.dataType).alias(f"c{i}") for i, f in enumerate(kinds)],
     )
     table = hour_counts(keyed)
     found = leaves(table, limit)
-    thin = [leaf for leaf in found if leaf.rows <= limit]
-    crowded = sorted((leaf for leaf in found if leaf.rows > limit), key=lambda leaf: (leaf.start is not None, leaf.start))
-    files, first_row, at = [], [], 1  # of crowded leaves: the row number at which each file begins
+    size = table.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    step = max(1, min(limit, BUCKET_ROWS, BUCKET_BYTES * (size["n"] or 0) // max(1, size["b"] or 0)))
+    fine = found if step == limit else leaves(table, step)
+    files = [File(leaf.name, part + 1, min(limit, leaf.rows - part * limit), Decimal(0)) for leaf in found for part in range(-(-leaf.rows // limit))]
+    number_of = {f.leaf: number for number, f in reversed(list(enumerate(files)))}  # of a leaf's first file
+
+    # hours above a bucket (None: rows without a moment) have their rows numbered; at: the first row number of each
+    crowded = sorted((leaf for leaf in fine if leaf.rows > step), key=lambda leaf: (leaf.start is not None, leaf.start))
+    at, behind = {}, 1
     for leaf in crowded:
-        for part in range(1, -(-leaf.rows // limit) + 1):
-            first_row.append(at + (part - 1) * limit)
-            files.append(File(leaf.name, part, min(limit, leaf.rows - (part - 1) * limit), Decimal(0)))
-        at += leaf.rows
-    timed = [leaf for leaf in thin if leaf.start is not None]
-    starts = [leaf.start for leaf in timed]
-    # hours of crowded leaves lie between thin ones: they must not count for the leaf before
-    edges = sorted({*starts, *[h for leaf in crowded if leaf.start is not None for h in (leaf.start, leaf.start + 1)]})
-    checks = sums(table, edges) if edges else {}
-    by_start = {s: checks.get(i, (0, Decimal(0)))[1] for i, s in enumerate(edges)}
-    none_thin = len(files)
-    if any(leaf.start is None for leaf in thin):
-        nulls = table.where("hour is null").first()
-        files.append(File(NULL, 1, nulls["n"], nulls["h"]))
-    first_timed = len(files)
-    files += [File(leaf.name, 1, leaf.rows, by_start[leaf.start]) for leaf in timed]
+        at[leaf.start] = behind
+        behind += leaf.rows
+    timed = [leaf for leaf in found if leaf.start is not None]
+    begin = [leaf.start for leaf in timed]
+    cuts = {(number_of[leaf.name], leaf.start, 0) for leaf in timed if leaf.rows <= limit}  # (file, hour, row number) where a bucket begins
+    for leaf in fine:
+        if leaf.start is None:
+            first, above = number_of[NULL], leaf.rows
+        elif place := bisect_right(begin, leaf.start):
+            first, above = number_of[timed[place - 1].name], timed[place - 1].rows
+        else:
+            continue  # empty hours before the first leaf, which a run of siblings begins with
+        if leaf.start not in at:
+            cuts.add((first, leaf.start, 0))
+            continue
+        for part in range(-(-leaf.rows // limit) if above > limit else 1):
+            cuts |= {(first + part, leaf.start, at[leaf.start] + row) for row in range(part * limit, min(leaf.rows, (part + 1) * limit), step)}
+    cuts = sorted(cuts, key=lambda c: (c[0], c[1] is not None, c[1], c[2]))
+
+    starts = sorted({*begin, *[leaf.start + 1 for leaf in timed if leaf.rows > limit]})  # hours behind a crowded leaf are not its own
+    checks = sums(table, starts) if starts else {}
+    by_start = {s: checks.get(i, (0, Decimal(0)))[1] for i, s in enumerate(starts)}
+    check_of = {leaf.name: by_start[leaf.start] for leaf in timed if leaf.rows <= limit}
+    if found and found[-1].start is None and found[-1].rows <= limit:
+        check_of[NULL] = table.where("hour is null").first()["h"]
+    files = [replace(f, check=check_of.get(f.leaf, f.check)) for f in files]
 
     hour = F.expr(f"(m - pmod(m, {HOUR}L)) div {HOUR}L")
     in_crowd = F.lit(False)
     if crowded:
-        hours_over = [leaf.start for leaf in crowded if leaf.start is not None]
-        none_over = any(leaf.start is None for leaf in crowded)
-        in_crowd = F.coalesce(hour.isin(hours_over) if hours_over else F.lit(False), F.lit(False)) | (F.col("m").isNull() if none_over else F.lit(False))
-        by_hour = keyed.where(in_crowd).withColumn("hour", hour).withColumn("tie", F.monotonically_increasing_id())
-        across = numbered(by_hour, [F.asc(c) for c in ("hour", "m", *[f"o{i}" for i in range(len(order))], "h", "tie")], "rank", "long")
+        hours_over = [h for h in at if h is not None]
+        in_crowd = F.coalesce(hour.isin(hours_over) if hours_over else F.lit(False), F.lit(False)) | (F.col("m").isNull() if None in at else F.lit(False))
+        by_hour = keyed.where(in_crowd).drop("b").withColumn("hour", hour).withColumn("tie", F.monotonically_increasing_id())
+        across = numbered(by_hour, [F.asc(c) for c in ("hour", "m", *[f"c{rows.columns.index(c)}" for c in order], "h", "tie")], "rank", "long")
         across = stored(across.drop("hour", "tie"), "crowded-rows")
+        parted = {at[leaf.start] + part * limit: number_of[leaf.name] + part for leaf in found if leaf.rows > limit for part in range(-(-leaf.rows // limit))}
+        edges = sorted({*parted, *at.values()})
         place = F.col("rank").alias("hour")
-        per = sums(across.select(place, F.lit(1).cast("long").alias("n"), F.col("h").cast("decimal(38,0)").alias("h")), first_row)
-        files = [replace(f, check=per[i][1]) if i < len(first_row) else f for i, f in enumerate(files)]
+        per = sums(across.select(place, F.lit(1).cast("long").alias("n"), F.col("h").cast("decimal(38,0)").alias("h")), edges)
+        for i, edge in enumerate(edges):
+            if edge in parted:
+                files[parted[edge]] = replace(files[parted[edge]], check=per[i][1])
 
     stay = {(f.leaf, f.part, f.rows, f.check): f for f in there}
     kept = {i: replace(stay[k], written=False, marked=0) for i, f in enumerate(files) if (k := (f.leaf, f.part, f.rows, f.check)) in stay}
     version = 1 + max((int(f.path.rpartition(".v")[2].partition(".")[0]) for f in there), default=0)
     names = [f"{f.leaf}/part-{f.part:05d}.v{version}.parquet" for f in files]
     todo = {number: dense for dense, number in enumerate(i for i in range(len(files)) if i not in kept)}
-    begin = [s * HOUR for s in starts]
     if todo:
-        n_keys, schema, where = len(order), file_schema(kinds), kinds.fieldNames().index(ident)
-        columns = [F.col("m"), *[F.coalesce(F.col(f"o{i}"), F.lit(LOWEST)).alias(f"o{i}") for i in range(n_keys)], F.col("h"), F.col("mark").cast("int"), *[F.col(f"c{i}") for i in range(len(kinds))]]
-        all_rows = keyed.where(~in_crowd).select(F.lit(None).cast("long").alias("rank"), *columns)
+        schema, where, by = file_schema(kinds), rows.columns.index(ident), [rows.columns.index(c) for c in order]
+        columns = [F.col("m"), F.col("h"), F.col("mark"), *[F.col(f"c{i}") for i in range(len(kinds))]]
+        all_rows = keyed.where(~in_crowd).select(F.lit(0).cast("long").alias("rank"), *columns)
         if crowded:
             all_rows = all_rows.unionByName(across.select("rank", *columns))
-        cut = 4 + n_keys
-
-        def placed(records: Iterator) -> Iterator:
-            for r in records:
-                if r[0] is not None:
-                    number = bisect_right(first_row, r[0]) - 1
-                elif r[1] is None:
-                    number = none_thin
-                else:
-                    number = first_timed + bisect_right(begin, r[1]) - 1
-                if number in todo:
-                    yield (number, r[1] if r[1] is not None else LOWEST, *r[2:cut]), r[cut:]
-
-        laid = all_rows.rdd.mapPartitions(placed).repartitionAndSortWithinPartitions(len(todo), lambda k: todo[k[0]])
-        for number, path, n, marked, digest in laid.mapPartitions(lambda items: stream_file(items, folder, names, schema, where)).collect():
+        by_rank = sorted((rank, bucket) for bucket, (_, _, rank) in enumerate(cuts) if rank)
+        by_moment = sorted((max(h * HOUR, LOWEST), bucket) for bucket, (_, h, rank) in enumerate(cuts) if h is not None and not rank)
+        without = next((bucket for bucket, (_, h, rank) in enumerate(cuts) if h is None and not rank), 0)
+        whole_numbers = lambda x: np.array(list(x), dtype=np.int64)
+        lookup = Cuts(
+            whole_numbers(r for r, _ in by_rank), whole_numbers(b for _, b in by_rank), whole_numbers(m for m, _ in by_moment), whole_numbers(b for _, b in by_moment),
+            without, whole_numbers(number if number in todo else -1 for number, _, _ in cuts),
+        )
+        blocks = all_rows.mapInArrow(lambda batches: handed(deal(batches, lookup, block_schema(schema))), "file int, bucket long, block binary")
+        laid = blocks.rdd.map(lambda r: ((r[0], r[1]), r[2])).repartitionAndSortWithinPartitions(len(todo), lambda k: todo[k[0]])
+        for number, path, n, marked, digest in laid.mapPartitions(lambda items: stream_file(items, folder, names, schema, where, by)).collect():
             if n != files[number].rows:
                 raise ValueError(f"{path} has {n} rows, {files[number].rows} were counted: the rows changed between two reads")
             kept[number] = replace(files[number], path=path, digest=digest, marked=marked, written=True)
+    if len(kept) < len(files):
+        raise ValueError("a file has no rows: the rows changed between two reads")
     out = [kept[i] for i in range(len(files))]
     sweep(folder, {f.path for f in out})
     return sorted(out, key=lambda f: (f.leaf, f.part))

@@ -146,3 +146,40 @@ def test_other_types_and_lost_writers(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
     with pytest.raises(ValueError):
         tp.write_layout(df.select("id", "id", "d"), df["id"], ["d"], "id", 7, folder)
+
+
+def test_blocks_are_shuffled_not_rows(spark, monkeypatch):
+    """The Python shuffle carries a block for each bucket and task, and none for files that stay."""
+    from pyspark.rdd import RDD
+
+    counts, shuffle = [], RDD.repartitionAndSortWithinPartitions
+
+    def counted(self, *args, **kwargs):
+        counts.append(self.count())
+        return shuffle(self, *args, **kwargs)
+
+    monkeypatch.setattr(RDD, "repartitionAndSortWithinPartitions", counted)
+    clicks = spark.range(20000, numPartitions=2).selectExpr(
+        "id click_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id % 9000) ts", "timestamp_ntz'2024-01-02' + make_dt_interval(id div 150) arrived_at", "'x' kind"
+    )
+    result = tp.partition_clicks(clicks, share=20).collect()
+    assert sum(r["n_rows"] for r in result) == 20000
+    assert len(counts) == 2 and 0 < sum(counts) <= 2 * 2 * 2 * len(result)
+
+
+def laid_out(spark, rows, limit):
+    df = spark.createDataFrame(rows, KIND).repartition(5)
+    files = tp.write_layout(df, tp.click_moment(df), ["arrived_at", "click_id"], "click_id", limit, f"{tp.shared_dir(spark)}/buckets-{tp.uuid.uuid4().hex}")
+    want = layout([(moment(r[0], r[1]), r) for r in rows], limit)
+    ids = lambda own: hashlib.sha256(",".join("" if r[0] is None else str(r[0]) for r in own).encode()).hexdigest()
+    assert {(f.leaf, f.part): (f.rows, f.digest) for f in files} == {k: (len(own), ids(own)) for k, own in want.items()}
+    for f in files:
+        assert sorted(map(repr, pq.ParquetFile(f.path).read().to_pylist())) == sorted(repr(dict(zip([c.split()[0] for c in KIND.split(", ")], r))) for r in want[(f.leaf, f.part)])
+
+
+@pytest.mark.parametrize(("rows_of", "bytes_of"), [(3, 64 << 20), (262144, 300)])
+def test_files_of_several_buckets(spark, monkeypatch, rows_of, bytes_of):
+    """Files cut into buckets at hours and, in crowded hours within and above the limit, at row numbers."""
+    monkeypatch.setattr(tp, "BUCKET_ROWS", rows_of)
+    monkeypatch.setattr(tp, "BUCKET_BYTES", bytes_of)
+    laid_out(spark, made(), 40)
