@@ -11,7 +11,7 @@ from sandglass.operators import matching, near
 
 from .test_similarity import COLUMNS, every_pair, found
 
-KINDS = ["edit"]
+KINDS = ["composite", "edit"]
 
 
 def tables(spark, names, labels):
