@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sandglass.functions.shipping import ship
 from sandglass.operators import matching, near
+from sandglass.plans import registry
 
 from .test_similarity import COLUMNS, every_pair, found
 
@@ -55,3 +56,9 @@ def test_settled_names_are_those_of_all_pairs(spark, kind, letters):
     known = names.join(near.settled(names.where("norm <> ''").select("norm").distinct(), two_of_each, kind), "norm").select("id", "a", "b")
     got = found(known)
     assert len(got) > 10 and got == {i: want[i] for i in got}
+
+
+def test_match_status_counts_without_a_search_of_all_pairs(spark):
+    counted = registry.queries()["match_status"](spark, "/root/testdata/sf0.01")
+    assert "CoGroup" not in counted._jdf.queryExecution().toString()
+    assert [tuple(r) for r in counted.collect()] == [("matched", 100)]
