@@ -105,8 +105,8 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
 def parsed_feed(body: Column) -> Column:
     """The feed's struct; a second try without control bytes where the first finds no channel."""
     parse = lambda c: F.from_xml(c, schemas.FEED, {"ignoreNamespace": "true", "rowTag": "rss", "mode": "PERMISSIVE"})
-    one, two = parse(body), parse(X.strip_control(body))
-    return F.when(one["channel"].isNotNull(), one).otherwise(two)
+    channel = F.coalesce(parse(body)["channel"], parse(X.strip_control(body))["channel"])  # each parsed once at most
+    return F.when(body.isNotNull(), F.struct(channel.alias("channel")))
 
 
 def feed_status(shows: DataFrame) -> DataFrame:
@@ -138,7 +138,9 @@ def feed_channel(parsed: DataFrame) -> DataFrame:
 
 def feed_episodes(parsed: DataFrame) -> DataFrame:
     """A row per item with repaired durations (full precision in duration_raw, one decimal in duration_sec)."""
-    rows = parsed.where("feed.channel is not null").select("collection_id", "show_name", F.explode("feed.channel.item").alias("i"))
+    heard = parsed.where("body is not null") if "body" in parsed.columns else parsed
+    # feeds without items fall out by their items' places: a filter on the feed, or explode's own, would parse it again
+    rows = heard.select("collection_id", "show_name", F.posexplode_outer("feed.channel.item").alias("p", "i")).where("p is not null")
     size = X.enclosure_bytes(F.col("i.enclosure._length"))
     rows = rows.withColumn("d", X.estimate_duration(X.parse_duration(F.col("i.duration")), size))
     real = F.nullif(F.col("d.sec"), F.lit(0.0))
