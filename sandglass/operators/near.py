@@ -98,7 +98,8 @@ def settled(names: DataFrame, labels: DataFrame, kind: str) -> DataFrame:
     one = sized(names, "la", "words").where(F.col("la").between(1, LETTERS))
     two = sized(first, "lb", "label_words").where(F.col("lb").between(1, LETTERS + 1))
     keyed = lambda df: df.withColumn("key", F.explode(letter_keys(F.col("norm"))))
-    pairs = keyed(one).join(keyed(two).withColumnRenamed("norm", "label_norm"), "key").withColumn("score", score.of_letters())
+    # names look small enough to be broadcast before they get their keys; with them they may not be
+    pairs = keyed(one).hint("merge").join(keyed(two).withColumnRenamed("norm", "label_norm"), "key").withColumn("score", score.of_letters())
     if score.of_words is not None:
         by_words = one.join(two.withColumnRenamed("norm", "label_norm"), (F.col("words") == F.col("label_words")) & (F.col("norm") != F.col("label_norm")) & alike(F.col("la"), F.col("lb")))
         apart = ~F.arrays_overlap(letter_keys(F.col("norm")), letter_keys(F.col("label_norm")))
